@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 #: Documents that the dictionary of a language is cut from, and bytes taken of each; the bounds of the fit.
-SAMPLE_DOCS, SAMPLE_BYTES = 96, 1024
+SAMPLE_DOCS, SAMPLE_BYTES = 400, 1024
 #: Languages at most; their dictionaries go to every task.
 MOST_LANGUAGES = 200
 BLOCK_CHARS = 4096
 #: A text is rejected if the second language needs less than this share more bytes.
-MARGIN = 0.004
+MARGIN = 0.002
 OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -42,7 +42,7 @@ def fit(docs: DataFrame, label: str = "lang", per_language: int = SAMPLE_DOCS, s
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     if not counts:
         return {}
-    rate = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(int(1e6 * min(1.0, 8 * per_language / r["count"]))))])
+    rate = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(int(1e6 * min(1.0, 4 * per_language / r["count"]))))])
     key = F.xxhash64(F.lit(seed), "text")
     sample = known.withColumn("key", key).filter(F.pmod("key", F.lit(1_000_000)) < rate[F.col("lang")])
     sample = sample.select("lang", "key", F.substring("text", 1, 4 * SAMPLE_BYTES).alias("text")).dropDuplicates(["lang", "key"])

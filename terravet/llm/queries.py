@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, pieces
+from . import language, licences, mixing, pieces, quality
 from .common import importable
 
 
@@ -27,6 +27,16 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, quality.graded(table(spark, sf_dir, "labels")))
+    return quality.grade(docs, model)
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pieces.tokenize(table(spark, sf_dir, "documents"), piece_model())
     return out.select(
@@ -41,5 +51,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_language": op1_language, "op7_pieces": op7_pieces, "op10_mixing": op10_mixing}
+QUERIES = {"op1_language": op1_language, "op2_licences": op2_licences, "op5_quality": op5_quality, "op7_pieces": op7_pieces, "op10_mixing": op10_mixing}
 ORACLE_SQL = {"op10_mixing": mixing.OP10_SQL}
