@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import documents, language, licences, mixing, pieces, quality
+from . import documents, language, licences, lines, mixing, pieces, quality
 from .common import importable
 
 
@@ -51,9 +51,14 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_language": op1_language, "op2_licences": op2_licences, "op5_quality": op5_quality, "op7_pieces": op7_pieces, "op8_near_duplicates": op8_near_duplicates, "op10_mixing": op10_mixing}
+QUERIES = {"op1_language": op1_language, "op2_licences": op2_licences, "op5_quality": op5_quality, "op7_pieces": op7_pieces, "op8_near_duplicates": op8_near_duplicates, "op9_lines": op9_lines, "op10_mixing": op10_mixing}
 ORACLE_SQL = {"op10_mixing": mixing.OP10_SQL}
