@@ -2,7 +2,7 @@
 
 Every document of a source is repeated a Poisson number of times. The mean is the source's target size over its
 present size, so that in expectation the sources stand in the target proportions. The number is the inverse of the
-distribution at a uniform value hashed from a seed, the id and the text: runs agree, and a lost task repeats itself.
+distribution at a uniform value hashed from a seed and the id: runs agree, and a lost task repeats itself.
 """
 
 from __future__ import annotations
@@ -22,26 +22,28 @@ def uniform(seed: int, *keys: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def poisson_count(mean: Column, u: Column) -> Column:
-    """The smallest k at which the Poisson distribution of this mean exceeds u, by summing its terms."""
+def intervals(means: DataFrame) -> DataFrame:
+    """__source, __low, __high, __count for (__source, __mean): a uniform value in [low, high) means so many copies.
+
+    The terms of the distribution are summed from 0 up; the last interval ends above 1. Counts of 0 have no row.
+    """
+    mean = F.least(F.col("__mean"), F.lit(LARGEST_MEAN))
     most = (mean + 12 * F.sqrt(mean) + 30).cast("int")
     zero = F.exp(-mean)
-    start = F.struct(F.lit(0).alias("k"), zero.alias("term"), zero.alias("sum"))
+    start = F.struct(zero.alias("term"), zero.alias("sum"), F.array(zero).alias("sums"))
 
     def step(s: Column, i: Column) -> Column:
         term = s["term"] * mean / i
-        open_ = s["sum"] <= u
-        return F.struct(
-            F.when(open_, i).otherwise(s["k"]).alias("k"),
-            F.when(open_, term).otherwise(s["term"]).alias("term"),
-            F.when(open_, s["sum"] + term).otherwise(s["sum"]).alias("sum"),
-        )
+        return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"), F.array_append(s["sums"], s["sum"] + term).alias("sums"))
 
-    return F.aggregate(F.sequence(F.lit(1), most), start, step, lambda s: s["k"])
+    sums = F.aggregate(F.sequence(F.lit(1), most), start, step, lambda s: s["sums"])
+    rows = means.select("__source", sums.alias("sums")).select("__source", "sums", F.posexplode(F.slice("sums", 2, 10_000)).alias("at", "__high"))
+    low = F.element_at("sums", F.col("at") + 1)
+    return rows.select("__source", low.alias("__low"), F.when(F.col("at") == F.size("sums") - 2, F.lit(2.0)).otherwise(F.col("__high")).alias("__high"), (F.col("at") + 1).alias("__count"))
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None, by: str, rows: float | None) -> DataFrame:
-    """source, mean: target share of the whole over the source's own size."""
+    """The intervals of each source, whose mean is its target share of the whole over its own size."""
     size = F.count(F.lit(1)).cast("double") if by == "documents" else F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("double")
     sizes = docs.groupBy(F.coalesce(F.col("source"), F.lit("")).alias("__source")).agg(size.alias("__size"))
     known = sizes.limit(BROADCAST_SOURCES + 1).collect()
@@ -50,7 +52,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, by: str, rows: floa
         whole, total = sum(r[1] for r in known), sum(share.values())
         whole = whole if rows is None else float(rows)
         means = [(s, w / total * whole / dict(known)[s]) for s, w in share.items()] if total else []
-        return F.broadcast(docs.sparkSession.createDataFrame(means, "__source string, __mean double"))
+        return F.broadcast(intervals(docs.sparkSession.createDataFrame(means, "__source string, __mean double")))
     if weights is None:
         weighted = sizes.withColumn("__share", F.lit(1.0))
     else:
@@ -58,7 +60,8 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, by: str, rows: floa
         weighted = sizes.join(given, "__source")
     sums = weighted.agg(F.sum("__share").alias("t")).crossJoin(sizes.agg(F.sum("__size").alias("w"))).first()
     whole = sums["w"] if rows is None else float(rows)
-    return weighted.filter("__size > 0").select("__source", (F.col("__share") / F.lit(sums["t"]) * F.lit(whole) / F.col("__size")).alias("__mean"))
+    mean = F.col("__share") / F.lit(sums["t"]) * F.lit(whole) / F.col("__size")
+    return intervals(weighted.filter("__size > 0").select("__source", mean.alias("__mean")))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, by: str = "documents", rows: float | None = None, seed: int = 17) -> DataFrame:
@@ -68,21 +71,17 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, by: str = "doc
     by: what the shares are counted in, "documents" or "chars". rows: target size of the whole; None: as it is.
     Adds `copy` (from 1) and `shuffle_key`; columns of these names in docs are replaced. The copies are dealt to
     partitions by the key's hash and sorted by it there, which is a random order of the whole.
-    A null source is the source "". Repeated rows share one count, as equal rows hash alike. Null or empty texts are
+    A null source is the source "". Repeated rows share one count; a null id is replaced by a hash of the text. Null or empty texts are
     documents like others (by "chars", a source of only such texts has no size and goes). Means over LARGEST_MEAN raise no
     error but are held there, as repeating a document so often is no mixture. An empty table gives an empty one.
     """
     given = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
-    mean = F.least(F.col("__mean"), F.lit(LARGEST_MEAN))
-    u = uniform(seed, F.col("doc_id"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    counted = (
-        docs.select(*given, F.coalesce(F.col("source"), F.lit("")).alias("__source"))
-        .join(rates(docs, weights, by, rows), "__source")
-        .withColumn("__count", poisson_count(mean, u))
-        .filter("__count > 0")
-    )
+    key = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    drawn = docs.select(*given, F.coalesce(F.col("source"), F.lit("")).alias("__source"), uniform(seed, key).alias("__u"))
+    means = rates(docs, weights, by, rows).withColumnRenamed("__source", "__of")
+    counted = drawn.join(means, (F.col("__source") == F.col("__of")) & (F.col("__u") >= F.col("__low")) & (F.col("__u") < F.col("__high")))
     copies = counted.select(*given, F.explode(F.sequence(F.lit(1), F.col("__count"))).alias("copy"))
-    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(f"order{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "copy")))
+    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(f"order{seed}"), key, "copy")))
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key", "copy")
 
 
@@ -92,12 +91,12 @@ WITH RECURSIVE sizes AS (SELECT coalesce(source, '') s, count(*)::DOUBLE n FROM
 means AS (SELECT s, 1.0 / (SELECT count(*) FROM sizes) * (SELECT sum(n) FROM sizes) / n AS m FROM sizes),
 drawn AS (
   SELECT d.*, least(m, 500.0::DOUBLE) AS m,
-    ('0x' || substr(md5('17|' || coalesce(doc_id::VARCHAR, '-') || '|' || md5(coalesce(text, ''))), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
+    ('0x' || substr(md5('17|' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
   FROM documents d JOIN means ON coalesce(source, '') = s),
 steps(m, k, term, total) AS (
   SELECT DISTINCT m, 0, exp(-m), exp(-m) FROM drawn
   UNION ALL SELECT m, k + 1, term * m / (k + 1), total + term * m / (k + 1) FROM steps WHERE k + 1 <= (m + 12 * sqrt(m) + 30)::INT),
 counted AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, min(k) AS n FROM drawn d JOIN steps t ON d.m = t.m AND t.total > d.u GROUP BY ALL)
-SELECT doc_id, text, lang, source, n_chars, copy::INT AS copy, md5('order17|' || coalesce(doc_id::VARCHAR, '-') || '|' || copy) AS shuffle_key
+SELECT doc_id, text, lang, source, n_chars, copy::INT AS copy, md5('order17|' || coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) || '|' || copy) AS shuffle_key
 FROM counted, LATERAL (SELECT unnest(generate_series(1, n)) AS copy) WHERE n > 0
 """
