@@ -48,10 +48,10 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, by: str, rows: floa
     sizes = docs.groupBy(F.coalesce(F.col("source"), F.lit("")).alias("__source")).agg(size.alias("__size"))
     known = sizes.limit(BROADCAST_SOURCES + 1).collect()
     if len(known) <= BROADCAST_SOURCES:
-        share = {r[0]: (1.0 if weights is None else float(weights.get(r[0], 0.0))) for r in known if r[1] > 0}
-        whole, total = sum(r[1] for r in known), sum(share.values())
-        whole = whole if rows is None else float(rows)
-        means = [(s, w / total * whole / dict(known)[s]) for s, w in share.items()] if total else []
+        size_of = {r[0]: r[1] for r in known if r[1]}
+        share = {s: (1.0 if weights is None else float(weights.get(s, 0.0))) for s in size_of}
+        whole, total = sum(size_of.values()) if rows is None else float(rows), sum(share.values())
+        means = [(s, w / total * whole / size_of[s]) for s, w in share.items()] if total else []
         return F.broadcast(intervals(docs.sparkSession.createDataFrame(means, "__source string, __mean double")))
     if weights is None:
         weighted = sizes.withColumn("__share", F.lit(1.0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import documents, language, licences, lines, mixing, pieces, quality
+from . import documents, language, licences, lines, media, mixing, pieces, quality, vectors
 from .common import importable
 
 
@@ -31,6 +31,14 @@ def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_column(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, quality.graded(table(spark, sf_dir, "labels")))
@@ -60,5 +68,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_language": op1_language, "op2_licences": op2_licences, "op5_quality": op5_quality, "op7_pieces": op7_pieces, "op8_near_duplicates": op8_near_duplicates, "op9_lines": op9_lines, "op10_mixing": op10_mixing}
+QUERIES = {"op1_language": op1_language, "op2_licences": op2_licences, "op3_neighbours": op3_neighbours, "op4_media": op4_media, "op5_quality": op5_quality, "op7_pieces": op7_pieces, "op8_near_duplicates": op8_near_duplicates, "op9_lines": op9_lines, "op10_mixing": op10_mixing}
+#: The exact answer, for measuring recall; the operator is approximate, so this is no statement of the query.
+OP3_EXACT_SQL = """
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) DESC, c.vec_id) AS rank
+  FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id) WHERE rank <= 20
+"""
+
 ORACLE_SQL = {"op10_mixing": mixing.OP10_SQL}
