@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import documents, language, licences, lines, media, mixing, pieces, quality, vectors
+from . import documents, language, licences, lines, media, mixing, pieces, quality, substrings, vectors
 from .common import importable
 
 
@@ -45,6 +45,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.grade(docs, model)
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pieces.tokenize(table(spark, sf_dir, "documents"), piece_model())
     return out.select(
@@ -68,7 +72,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_language": op1_language, "op2_licences": op2_licences, "op3_neighbours": op3_neighbours, "op4_media": op4_media, "op5_quality": op5_quality, "op7_pieces": op7_pieces, "op8_near_duplicates": op8_near_duplicates, "op9_lines": op9_lines, "op10_mixing": op10_mixing}
+QUERIES = {"op1_language": op1_language, "op2_licences": op2_licences, "op3_neighbours": op3_neighbours, "op4_media": op4_media, "op5_quality": op5_quality, "op6_substrings": op6_substrings, "op7_pieces": op7_pieces, "op8_near_duplicates": op8_near_duplicates, "op9_lines": op9_lines, "op10_mixing": op10_mixing}
 #: The exact answer, for measuring recall; the operator is approximate, so this is no statement of the query.
 OP3_EXACT_SQL = """
 SELECT query_id, rank::INT AS rank, vec_id, score FROM (
