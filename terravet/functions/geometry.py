@@ -10,8 +10,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terravet.schemas import GEOMETRY
+from terravet.schemas import POINT as POINT_TYPE
 
 POINT = "struct<x:double,y:double>"
 
@@ -250,14 +252,14 @@ def intersects_polygons(polygons: Sequence) -> callable:
                 return True
         return False
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(T.BooleanType())
     def udf(geoms: pd.DataFrame) -> pd.Series:
         return pd.Series([None if k is None else meets({"parts": p}) for k, p in zip(geoms["kind"], geoms["parts"])])
 
     return udf
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def geometry_distance(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
     """Least distance of two geometries; null if one is."""
     rows = zip(a["kind"], a["parts"], b["kind"], b["parts"])
@@ -283,7 +285,7 @@ def surface_point(kind: str, parts: list[np.ndarray]) -> tuple[float, float] | N
     return float((xs[k] + xs[k + 1]) / 2), y
 
 
-@F.pandas_udf(POINT)
+@F.pandas_udf(POINT_TYPE)
 def point_on_surface(geoms: pd.DataFrame) -> pd.DataFrame:
     found = [None if k is None else surface_point(k, parts_of({"parts": p})) for k, p in zip(geoms["kind"], geoms["parts"])]
     return pd.DataFrame({"x": [None if f is None else f[0] for f in found], "y": [None if f is None else f[1] for f in found]}, dtype="float64")
@@ -345,7 +347,7 @@ def simple_ring(ring: list[tuple[float, float]]) -> bool:
     return len(set(ring[:-1])) == len(ring) - 1 and not _crossing(a, b, a, b)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def is_valid(geoms: pd.DataFrame) -> pd.Series:
     """Points are valid, lines with two different vertices, polygons with simple rings; null is not."""
 

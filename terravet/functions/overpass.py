@@ -9,6 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terravet.functions import geometry as G
 from terravet.functions.tags import Selector
@@ -267,7 +268,7 @@ class Interpreter:
         return out.dropDuplicates(["objtype", "id"])
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _polygon_meets(area: pd.DataFrame, geom: pd.DataFrame) -> pd.Series:
     out = []
     for parts, own in zip(area["parts"], geom["parts"]):

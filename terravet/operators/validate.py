@@ -285,11 +285,16 @@ def register(name: str, kind: type[Validator]) -> None:
     REGISTRY[name] = kind
 
 
+def kind_of(name: str, settings: dict) -> str:
+    """The registered name of a configured validator: its `instance` in snake case, or its id."""
+    named = settings.get("instance")
+    return re.sub(r"(?<!^)(?=[A-Z])", "_", named.rpartition("::")[2].rpartition(".")[2]).lower() if named else name
+
+
 def build(name: str, settings: dict, **given) -> Validator:
     """A validator from its configuration: `instance` names the kind if the id doesn't; action_force beside action clears."""
-    settings = dict(settings)
-    named = settings.pop("instance", None)
-    kind = REGISTRY[re.sub(r"(?<!^)(?=[A-Z])", "_", named.rpartition("::")[2].rpartition(".")[2]).lower() if named else name]
+    kind = REGISTRY[kind_of(name, settings)]
+    settings = {k: v for k, v in settings.items() if k != "instance"}
     names = {"list": "users", "block": "block"}
     fields = {names.get(k, k): v for k, v in settings.items()}
     if "action_force" in fields:
