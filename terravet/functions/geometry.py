@@ -8,6 +8,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,7 @@ from terravet.schemas import GEOMETRY
 from terravet.schemas import POINT as POINT_TYPE
 
 POINT = "struct<x:double,y:double>"
+ARROW_GEOMETRY = pa.struct([("kind", pa.string()), ("parts", pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))])
 
 
 def vertex(lon: Column, lat: Column) -> Column:
@@ -320,20 +322,19 @@ def merge_lines(parts: list[list[tuple[float, float]]]) -> list[list[tuple[float
     return out
 
 
-@F.pandas_udf(GEOMETRY)
-def merged_lines(geoms: pd.DataFrame) -> pd.DataFrame:
+@F.arrow_udf(GEOMETRY)
+def merged_lines(geoms: pa.Array) -> pa.Array:
     """Line merge of a collection; a single open result is a line, points are kept beside."""
-    kinds, parts = [], []
-    for k, p in zip(geoms["kind"], geoms["parts"]):
-        if k is None:
-            kinds.append(None)
-            parts.append(None)
+    out = []
+    for g in geoms.to_pylist():
+        if g is None:
+            out.append(None)
             continue
-        given = [[(float(v["x"]), float(v["y"])) for v in part] for part in p]
-        done = merge_lines(given) + [g for g in given if len(g) == 1]
-        kinds.append("point" if len(done) == 1 and len(done[0]) == 1 else "line" if len(done) == 1 else "collection")
-        parts.append([[{"x": x, "y": y} for x, y in line] for line in done])
-    return pd.DataFrame({"kind": kinds, "parts": parts})
+        given = [[(v["x"], v["y"]) for v in part] for part in g["parts"]]
+        done = merge_lines(given) + [p for p in given if len(p) == 1]
+        kind = "point" if len(done) == 1 and len(done[0]) == 1 else "line" if len(done) == 1 else "collection"
+        out.append({"kind": kind, "parts": [[{"x": x, "y": y} for x, y in line] for line in done]})
+    return pa.array(out, ARROW_GEOMETRY)
 
 
 def simple_ring(ring: list[tuple[float, float]]) -> bool:
