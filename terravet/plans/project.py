@@ -17,7 +17,7 @@ from terravet import schemas
 from terravet.functions import geometry as G
 from terravet.functions import overpass
 from terravet.operators import apply, changesets, duplicates, export, history, ingest, locha, network, review, shapes, target, validate, views
-from terravet.plans.tables import Steps
+from terravet.plans.tables import Steps, importable
 from terravet.sources import osc
 from terravet.sources.config import Config
 
@@ -41,6 +41,9 @@ class Project:
     folder: str
     config: Config
 
+    def __post_init__(self) -> None:
+        importable(self.spark)
+
     def table(self, name: str) -> DataFrame:
         try:
             return apply.current(self.spark, f"{self.folder}/{name}")

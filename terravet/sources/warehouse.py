@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from terravet.operators.ingest import last_of
 from terravet.operators.views import base_view, typed
+from terravet.plans.tables import importable
 
 CREATED, UNKNOWN = 1_000_000_000, 2_000_000_000
 CHANGE_COLUMNS = ["objtype", "id", "version", "deleted", "changeset_id", "created", "uid", "username", "tags", "lon", "lat", "nodes", "members"]
@@ -34,6 +35,9 @@ class Warehouse:
     spark: SparkSession
     folder: str
 
+    def __post_init__(self) -> None:
+        importable(self.spark)
+
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
