@@ -18,7 +18,7 @@ BANDS, ROWS, BITS = 40, 4, 20
 
 
 def signed(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, d0 and d1 (128 bits of the set), bands array<long>, sig binary of every row; of a row without words null from d0 on."""
+    """doc_id, n_shingles, d0 and d1 (128 bits of the set), bands array<long> of every row; of a row without words null from d0 on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, sets = Circulant(BANDS, ROWS, BITS), word_sets(n)
@@ -28,7 +28,7 @@ def signed(docs: DataFrame, n: int) -> DataFrame:
                 found = sets(encoded(part.column(1)))
                 full = [i for i, s in enumerate(found) if len(s)]
                 least = np.array([made.least(made.places(found[i])) for i in full]).reshape(len(full), made.k)
-                bands, sigs = made.band_keys(least).tolist(), made.small(least)
+                bands = made.band_keys(least).tolist()
                 digests = [np.frombuffer(hashlib.blake2b(found[i].tobytes(), digest_size=16).digest(), np.int64) for i in full]
                 at = {i: j for j, i in enumerate(full)}
                 pick = lambda x: [x[at[i]] if i in at else None for i in range(len(found))]  # noqa: E731, B023
@@ -39,13 +39,12 @@ def signed(docs: DataFrame, n: int) -> DataFrame:
                         pa.array(pick([int(d[0]) for d in digests]), pa.int64()),
                         pa.array(pick([int(d[1]) for d in digests]), pa.int64()),
                         pa.array(pick(bands), pa.list_(pa.int64())),
-                        pa.array(pick([s.tobytes() for s in sigs]), pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "d0", "d1", "bands", "sig"],
+                    ["doc_id", "n_shingles", "d0", "d1", "bands"],
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, d0 long, d1 long, bands array<long>, sig binary")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, d0 long, d1 long, bands array<long>")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -62,13 +61,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     full = all_rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = scratch.save(full.groupBy("d0", "d1").agg(F.min("doc_id").alias("rep")))
     reps = full.join(small(classes.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    reps = scratch.save(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "bands", "sig"))
+    reps = scratch.save(reps.select(F.col("doc_id").alias("id"), "bands"))
     entries = reps.select("id", F.explode("bands").alias("key"))
     buckets = entries.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).filter("pivot <> last").select("key", "pivot")
     members = scratch.save(entries.join(small(scratch.save(buckets)), "key").select("key", "id", "pivot"))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("id IS NOT NULL AND text IS NOT NULL")
-    sigs = lambda ids: reps.join(small(ids), "id", "left_semi").select("id", "size", "sig")
-    _, found = linked(members, texts, sigs, word_sets(shingle), Threshold(num, den), BANDS * ROWS, scratch)
+    _, found = linked(members, texts, word_sets(shingle), Threshold(num, den), scratch)
     named = classes.join(small(found.select(F.col("id").alias("rep"), "component")), "rep", "left").select("d0", "d1", F.coalesce("component", "rep").alias("component"))
     out = all_rows.join(small(scratch.save(named)), ["d0", "d1"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

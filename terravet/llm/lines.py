@@ -107,21 +107,6 @@ def texts_of(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
     return docs.select("text").mapInArrow(run, "id long, text string").join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
-def signatures(texts: DataFrame) -> DataFrame:
-    """(id, size, sig) of lines (id, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, sets = Circulant(BANDS, ROWS, BITS), byte_sets()
-        for batch in batches:
-            found = sets(encoded(batch.column(1)))
-            least = np.array([made.least(made.places(s)) for s in found]).reshape(len(found), made.k)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in made.small(least)], pa.binary())], ["id", "size", "sig"]
-            )
-
-    return texts.select("id", "text").mapInArrow(run, "id long, size long, sig binary")
-
-
 def removals(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, lines array<int>): the numbers of each document's lines that another line stands for."""
     rows = entries(docs).repartition("key")
@@ -133,8 +118,7 @@ def removals(docs: DataFrame, scratch: Scratch) -> DataFrame:
     members = scratch.save(named.union(named.select("key", F.col("pivot").alias("id"), "pivot")).distinct())
     ids = scratch.save(members.select("id").distinct())
     texts = scratch.save(texts_of(docs, small(ids), scratch))
-    sigs = lambda some: signatures(texts.join(small(some), "id", "left_semi"))
-    _, found = linked(members, texts, sigs, byte_sets(), SIMILAR, BANDS * ROWS, scratch)
+    _, found = linked(members, texts, byte_sets(), SIMILAR, scratch)
 
     at = F.struct("doc_id", "line")
     counted = places(docs).groupBy("id").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n"))

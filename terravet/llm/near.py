@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, Scratch, joined, mix, prefix_sums, small, stretch_hashes, words
 from .graph import components
 
-#: Members compared with one copy of a pivot, and members of a block when the rest of a bucket is compared.
-STAR, BLOCK = 64, 512
+#: Members compared with one copy of a pivot, members of a block when the rest of a bucket is compared, and elements at a time.
+STAR, BLOCK, COLUMNS = 64, 2048, 4096
 
 Sets = Callable[[list[bytes]], list[np.ndarray]]
 
@@ -55,10 +55,6 @@ class Circulant:
         sums = ((signatures.astype(np.uint64) + np.uint64(1)) * self.factors).reshape(len(signatures), self.bands, self.rows).sum(axis=2, dtype=np.uint64)
         return mix(sums ^ self.names).view(np.int64)
 
-    def small(self, signatures: np.ndarray) -> np.ndarray:
-        """One byte of every coordinate, to estimate similarity by."""
-        return (mix(signatures.astype(np.uint64)) & np.uint64(255)).astype(np.uint8)
-
 
 def word_sets(n: int) -> Sets:
     """Sets of n-word shingles as sorted 64-bit hashes: small A-Z, words of bytes that aren't ASCII white space. With fewer words the whole sequence is one shingle; without words the set is empty."""
@@ -157,62 +153,80 @@ def verify(pairs: DataFrame, texts: DataFrame, sets: Sets, threshold: Threshold,
     return rows.repartition("b", "part").sortWithinPartitions("b", "part", "role").mapInArrow(run, "a long, b long")
 
 
-def across(members: DataFrame, threshold: Threshold, k: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of members (key, id, size, component, sig) of one bucket but different components that may reach the threshold.
+def joining(sets: list[np.ndarray], label: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: Threshold) -> list[tuple[int, int]]:
+    """Pairs of one place in `left` and one in `right` whose sets reach the threshold and whose labels differ, as many as join the labels.
 
-    Signatures of k bytes are compared block by block; a pair goes on unless it agrees in 4.5 standard deviations fewer
-    coordinates than the threshold asks for.
+    Of two different labels one isn't the commonest, so only the rows of other labels are held against all. The sizes of
+    intersections come from products of the incidence of the elements that two sets or more hold.
+    """
+    label, sizes = label.copy(), np.array([len(s) for s in sets], np.int64)
+    _, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, shared = np.repeat(np.arange(len(sets)), sizes), counts[at] > 1
+    column = (np.cumsum(counts > 1) - 1)[at[shared]]
+    owner = owner[shared]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    names, often = np.unique(label, return_counts=True)
+    odd = label != names[np.argmax(often)]
+    out = []
+    for rows, cols in ((left[odd[left]], right), (right[odd[right]], left[~odd[left]])):
+        if not len(rows) or not len(cols):
+            continue
+        both = np.zeros((len(rows), len(cols)), np.float32)
+        for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            x, y = np.searchsorted(column, [first, first + COLUMNS])
+            held = np.zeros((len(sets), COLUMNS), np.float32)
+            held[owner[x:y], column[x:y] - first] = 1
+            both += held[rows] @ held[cols].T
+        reach = threshold.den * both >= threshold.num * (sizes[rows][:, None] + sizes[cols][None, :] - both)
+        for i, r in enumerate(rows.tolist()):
+            met = cols[reach[i]]
+            for other in np.unique(label[met]).tolist():
+                if other != label[r]:
+                    out.append((r, int(met[label[met] == other][0])))
+                    label[label == other] = label[r]
+    return out
+
+
+def across(members: DataFrame, texts: DataFrame, sets: Sets, threshold: Threshold, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between members (key, id, component) of one bucket but different components: all that join any, for what they join.
+
+    A bucket of more than BLOCK members is dealt in blocks, and each two of them compared.
     """
-    goal = threshold.num / threshold.den
-    least = k * goal - 4.5 * (k * goal * (1 - goal)) ** 0.5
-    ratio = goal
     sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK))).cast("int").alias("blocks"))
     dealt = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "size", "component", "sig")
+    dealt = dealt.join(texts, "id").select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, i, j, own, ids, size, comp, sig in grouped(batches, 3):
-            own_, size_, comp_ = np.array(own), np.array(size, np.float64), np.array(comp, np.int64)
-            sigs = np.frombuffer(b"".join(sig), np.uint8).reshape(len(sig), -1)
-            left = np.flatnonzero(own_ == i[0])
-            right = left if i[0] == j[0] else np.flatnonzero(own_ == j[0])
-            ids_ = np.array(ids, np.int64)
-            a, b = [], []
-            for x in left.tolist():
-                y = right[(comp_[right] != comp_[x]) & (size_[right] >= ratio * size_[x]) & (size_[x] >= ratio * size_[right])]
-                if i[0] == j[0]:
-                    y = y[y > x]
-                y = y[(sigs[y] == sigs[x]).sum(axis=1) >= least]
-                a.extend([int(ids_[x])] * len(y))
-                b.extend(ids_[y].tolist())
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        for _, i, j, own, ids, component, text in grouped(batches, 3):
+            side, label = np.array(own), np.unique(np.array(component, np.int64), return_inverse=True)[1]
+            left, right = np.flatnonzero(side == i[0]), np.flatnonzero(side == j[0])
+            if len(ids) > 1 and label.any():
+                found = joining(sets([t.encode() for t in text]), label, left, right, threshold)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[x[k]] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    pairs = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
-    return scratch.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
+    return scratch.save(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct())
 
 
-def linked(members: DataFrame, texts: DataFrame, sigs: Callable[[DataFrame], DataFrame], sets: Sets, threshold: Threshold, k: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def linked(members: DataFrame, texts: DataFrame, sets: Sets, threshold: Threshold, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) among the members (key, id, pivot) of buckets, and the components (id, component) of linked ids.
 
-    members: a row for each item and bucket with at least two items, the pivot itself included. texts: (id, text).
-    sigs: from a table of ids to (id, size, sig) with k bytes of signature.
+    members: a row for each item and bucket with at least two items, the pivot itself included. texts: (id, text). The
+    links are all of a pivot's, and of others as many as the components hang on.
     """
     stars = scratch.save(members.filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct())
     first = scratch.save(verify(stars, texts, sets, threshold, scratch))
     found = components(first, scratch)
-    named = members.join(small(found), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    named = scratch.save(named)
-    # Buckets of the same items give the same pairs: one of them is enough.
+    named = scratch.save(members.join(small(found), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
+    # Buckets of the same items give the same links: one of them is enough. One of two items has been compared.
     seen = named.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("same"), F.count(F.lit(1)).alias("n"))
     mixed = scratch.save(seen.filter("c0 <> c1 AND n > 2").groupBy("same", "n").agg(F.min("key").alias("key")).select("key"))
     if mixed.isEmpty():
         return first, found
-    rest = named.join(small(mixed), "key", "left_semi")
-    known = small(scratch.save(sigs(scratch.save(rest.select("id").distinct()))))
-    pairs = across(rest.join(known, "id"), threshold, k, scratch)
-    pairs = scratch.save(pairs.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    second = scratch.save(verify(pairs, texts, sets, threshold, scratch))
-    links = first.union(second)
+    rest = scratch.save(named.join(small(mixed), "key", "left_semi"))
+    need = small(scratch.save(rest.select("id").distinct()))
+    own = scratch.save(texts.join(need, "id", "left_semi").dropDuplicates(["id"]))
+    links = first.union(across(rest, own, sets, threshold, scratch))
     return links, components(links, scratch)
