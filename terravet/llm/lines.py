@@ -11,10 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, encoded, joined, mix, prefix_sums, slices, small, stretch_hashes
+from .common import LOWER, Scratch, encoded, joined, mix, slices, small
 from .near import Circulant, Threshold, byte_sets, linked
 
 BANDS, ROWS, BITS = 16, 4, 16
@@ -38,7 +39,8 @@ def cut(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 
 def identities(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    return stretch_hashes(prefix_sums(data), starts, stops).view(np.int64)
+    whole = data.tobytes()
+    return np.fromiter((xxhash.xxh3_64_intdigest(whole[a:b]) for a, b in zip(starts.tolist(), stops.tolist())), np.uint64, len(starts)).view(np.int64)
 
 
 def least_of(made: Circulant, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
@@ -57,7 +59,7 @@ def entries(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Circulant(BANDS, ROWS, BITS)
         for batch in batches:
-            for a, b in slices(batch.column(0), 4 << 20):
+            for a, b in slices(batch.column(0)):
                 data, starts, stops, _, _ = cut(encoded(batch.column(0).slice(a, b - a)))
                 long = stops - starts >= MIN_BYTES
                 starts, stops = starts[long], stops[long]
@@ -81,7 +83,7 @@ def places(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column(1), 4 << 20):
+            for a, b in slices(batch.column(1)):
                 data, starts, stops, row, number = cut(encoded(batch.column(1).slice(a, b - a)))
                 long = stops - starts >= MIN_BYTES
                 ids = identities(data, starts[long], stops[long])
@@ -95,7 +97,7 @@ def texts_of(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column(0), 4 << 20):
+            for a, b in slices(batch.column(0)):
                 data, starts, stops, _, _ = cut(encoded(batch.column(0).slice(a, b - a)))
                 long = stops - starts >= MIN_BYTES
                 starts, stops = starts[long], stops[long]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, joined, mix, prefix_sums, small, stretch_hashes, words
+from .common import LOWER, MIX1, Scratch, joined, mix, prefix_sums, small, stretch_hashes, words
 from .graph import components
 
 #: Members compared with one copy of a pivot, members of a block when the rest of a bucket is compared, and elements at a time.
@@ -41,7 +41,7 @@ class Circulant:
         self.names = mix(np.arange(1, bands + 1, dtype=np.uint64))
 
     def places(self, elements: np.ndarray) -> np.ndarray:
-        return self.sigma[(mix(elements) >> self.shift).astype(np.int64)]
+        return self.sigma[(elements * MIX1 >> self.shift).astype(np.int64)]
 
     def least(self, places: np.ndarray) -> np.ndarray:
         """The signature of one set, whose elements stand at these places."""
