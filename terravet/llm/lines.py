@@ -123,12 +123,13 @@ def removals(docs: DataFrame, scratch: Scratch) -> DataFrame:
     _, found = linked(members, texts, byte_sets(), SIMILAR, scratch)
 
     at = F.struct("doc_id", "line")
-    counted = places(docs).groupBy("id").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n"))
+    every = scratch.save(places(docs))
+    counted = every.groupBy("id").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n"))
     counted = counted.join(small(found), "id", "left").filter("n > 1 OR component IS NOT NULL")
     counted = scratch.save(counted.select("id", "first", F.coalesce("component", "id").alias("component")))
     keeper = counted.groupBy("component").agg(F.min("first").alias("keeper"))
     owners = scratch.save(counted.join(keeper, "component").select("id", "keeper"))
-    gone = places(docs).join(small(owners), "id").filter(at != F.col("keeper"))
+    gone = every.join(small(owners), "id").filter(at != F.col("keeper"))
     return scratch.save(gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("lines")))
 
 
