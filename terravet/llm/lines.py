@@ -23,8 +23,8 @@ BANDS, ROWS, BITS = 16, 4, 16
 MIN_BYTES = 12
 SHINGLE = 8
 SIMILAR = Threshold(80, 100)
-#: Line numbers to remove that may be broadcast, 4 bytes each.
-BROADCAST_NUMBERS = 5_000_000
+#: Flags of lines that may be broadcast, of one byte or less each.
+BROADCAST_FLAGS = 20_000_000
 
 
 def cut(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -133,6 +133,21 @@ def removals(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("lines")))
 
 
+def flagged(gone: DataFrame) -> DataFrame:
+    """(doc_id, __stays, n): for each line up to the last that goes, whether it stays; and how many go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for numbers in batch.column(1).to_pylist():
+                stays = np.ones(numbers[-1] + 1, bool)
+                stays[numbers] = False
+                rows.append(stays)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.bool_())), pa.array([int((~r).sum()) for r in rows], pa.int32())], ["doc_id", "__stays", "n"])
+
+    return gone.mapInArrow(run, "doc_id long, __stays array<boolean>, n int")
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The rows of docs (doc_id, text and any others) without the lines that another line stands for; adds n_lines, n_removed.
 
@@ -144,16 +159,16 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "lines")
     given = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    gone = removals(docs.select("doc_id", "text"), scratch).select(F.col("doc_id").alias("__id"), F.col("lines").alias("__gone"))
-    numbers = gone.agg(F.sum(F.size("__gone"))).first()[0] or 0
-    side = F.broadcast(gone) if numbers <= BROADCAST_NUMBERS else gone
+    gone = scratch.save(flagged(removals(docs.select("doc_id", "text"), scratch))).select(F.col("doc_id").alias("__id"), "__stays", F.col("n").alias("__n"))
+    flags = gone.agg(F.sum(F.size("__stays"))).first()[0] or 0
+    side = F.broadcast(gone) if flags <= BROADCAST_FLAGS else gone
     base = docs.select(*given)
     out = base.join(side, base["doc_id"].cast("long") == side["__id"], "left")
     lines = F.split(F.col("text"), "\n", -1)
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone")), lambda i: F.get(lines, i))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    kept = F.filter(lines, lambda x, i: F.coalesce(F.get(F.col("__stays"), i), F.lit(True)))
+    text = F.when(F.col("__stays").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return out.select(
         *[text.alias("text") if c == "text" else F.col(c) for c in given],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).alias("n_lines"),
-        F.when(F.col("text").isNull() | F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).alias("n_removed"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1).alias("n_lines"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.coalesce("__n", F.lit(0))).alias("n_removed"),
     )
