@@ -149,16 +149,16 @@ def flagged(gone: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """The rows of docs (doc_id, text and any others) without the lines that another line stands for; adds n_lines, n_removed.
+    """The rows of docs (doc_id, text and any others) without the lines that another line stands for; adds n_removed.
 
     Lines of at least MIN_BYTES bytes whose sets of 8-byte stretches (small letters) have a Jaccard similarity of 0.8 or
     more are linked, equal lines always; of each component the line at the smallest (doc_id, line number) stays. Shorter
-    and empty lines stay. A null text has no lines and stays null, an empty text has one, empty line. Columns n_lines and
-    n_removed of docs are replaced. doc_id is a key: repeated rows count as one document and each loses the same lines; a
+    and empty lines stay. A null text has no lines and stays null, an empty text has one, empty line. A column n_removed of docs
+    is replaced. doc_id is a key: repeated rows count as one document and each loses the same lines; a
     row with a null doc_id is left as it is. Lines of any length are compared whole.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    given = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    given = [c for c in docs.columns if c != "n_removed"]
     gone = scratch.save(flagged(removals(docs.select("doc_id", "text"), scratch))).select(F.col("doc_id").alias("__id"), "__stays", F.col("n").alias("__n"))
     flags = gone.agg(F.sum(F.size("__stays"))).first()[0] or 0
     side = F.broadcast(gone) if flags <= BROADCAST_FLAGS else gone
@@ -169,6 +169,5 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     text = F.when(F.col("__stays").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return out.select(
         *[text.alias("text") if c == "text" else F.col(c) for c in given],
-        F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1).alias("n_lines"),
         F.when(F.col("text").isNull(), 0).otherwise(F.coalesce("__n", F.lit(0))).alias("n_removed"),
     )
