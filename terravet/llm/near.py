@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, MIX1, Scratch, joined, mix, prefix_sums, small, stretch_hashes, words
+from .common import LOWER, MIX1, Scratch, encoded, joined, mix, prefix_sums, slices, small, stretch_hashes, words
 from .graph import components
 
 #: Members compared with one copy of a pivot, members of a block when the rest of a bucket is compared, and elements at a time.
 STAR, BLOCK, COLUMNS = 64, 2048, 4096
+#: Members of a bucket up to which pairs are compared one by one.
+FEW = 8
 
 Sets = Callable[[list[bytes]], list[np.ndarray]]
 
@@ -142,13 +144,19 @@ def verify(pairs: DataFrame, texts: DataFrame, sets: Sets, threshold: Threshold,
     rows = pivots.union(members).join(own, "id").select("b", "part", "role", "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, _, role, ids, texts_ in grouped(batches, 2):
-            if role[0] or len(ids) < 2:
-                continue
-            found = sets([t.encode() for t in texts_])
-            a = [i for i, s in zip(ids[1:], found[1:]) if threshold.links(found[0], s)]
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array([b[0]] * len(a), pa.int64())], ["a", "b"])
+        now, pivot = None, None
+        for batch in batches:
+            b, part, role, ids = [np.asarray(c) for c in batch.columns[:4]]
+            hit = np.zeros(len(b), bool)
+            for x, y in slices(batch.column(4)):
+                found = sets(encoded(batch.column(4).slice(x, y - x)))
+                for i, own in enumerate(found, x):
+                    if role[i] == 0:
+                        now, pivot = (b[i], part[i]), own
+                    elif now == (b[i], part[i]):
+                        hit[i] = threshold.links(pivot, own)
+            if hit.any():
+                yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(b[hit])], ["a", "b"])
 
     return rows.repartition("b", "part").sortWithinPartitions("b", "part", "role").mapInArrow(run, "a long, b long")
 
@@ -188,6 +196,17 @@ def joining(sets: list[np.ndarray], label: np.ndarray, left: np.ndarray, right:
     return out
 
 
+def pairwise(sets: list[np.ndarray], labels: list[int], threshold: Threshold) -> list[tuple[int, int]]:
+    """The same for a few sets, pair by pair."""
+    label, out = list(labels), []
+    for y in range(1, len(sets)):
+        for x in range(y):
+            if label[x] != label[y] and threshold.links(sets[x], sets[y]):
+                out.append((x, y))
+                label = [label[x] if v == label[y] else v for v in label]
+    return out
+
+
 def across(members: DataFrame, texts: DataFrame, sets: Sets, threshold: Threshold, scratch: Scratch) -> DataFrame:
     """Links (a, b) between members (key, id, component) of one bucket but different components: all that join any, for what they join.
 
@@ -199,13 +218,21 @@ def across(members: DataFrame, texts: DataFrame, sets: Sets, threshold: Threshol
     dealt = dealt.join(texts, "id").select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int]] = []
         for _, i, j, own, ids, component, text in grouped(batches, 3):
-            side, label = np.array(own), np.unique(np.array(component, np.int64), return_inverse=True)[1]
-            left, right = np.flatnonzero(side == i[0]), np.flatnonzero(side == j[0])
-            if len(ids) > 1 and label.any():
-                found = joining(sets([t.encode() for t in text]), label, left, right, threshold)
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[x[k]] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+            found = sets([t.encode() for t in text])
+            if len(ids) <= FEW:
+                out += [(ids[x], ids[y]) for x, y in pairwise(found, component, threshold)]
+            else:
+                side, label = np.array(own), np.unique(np.array(component, np.int64), return_inverse=True)[1]
+                left, right = np.flatnonzero(side == i[0]), np.flatnonzero(side == j[0])
+                if label.any():
+                    out += [(ids[x], ids[y]) for x, y in joining(found, label, left, right, threshold)]
+            if len(out) > 1000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
 
     return scratch.save(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct())
 
