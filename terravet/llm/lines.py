@@ -92,21 +92,12 @@ def places(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id IS NOT NULL").mapInArrow(run, "id long, doc_id long, line int")
 
 
-def texts_of(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, text): the small-letter text of each of the lines ids, once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in slices(batch.column(0)):
-                data, starts, stops, _, _ = cut(encoded(batch.column(0).slice(a, b - a)))
-                long = stops - starts >= MIN_BYTES
-                starts, stops = starts[long], stops[long]
-                found, at = np.unique(identities(data, starts, stops), return_index=True)
-                whole = data.tobytes()
-                lines = [whole[s:e].decode() for s, e in zip(starts[at].tolist(), stops[at].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(lines, pa.string())], ["id", "text"])
-
-    return docs.select("text").mapInArrow(run, "id long, text string").join(ids, "id", "left_semi").dropDuplicates(["id"])
+def texts_of(docs: DataFrame, where: DataFrame) -> DataFrame:
+    """(id, text) of lines (id, first: where each is first met), read from the documents by number."""
+    lists = where.groupBy("first.doc_id").agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "id")).alias("at"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.split("text", "\n", -1).alias("lines")).join(lists, "doc_id")
+    picked = rows.select("lines", F.explode("at").alias("at"))
+    return picked.select("at.id", F.get("lines", F.col("at.line")).alias("text")).dropDuplicates(["id"])
 
 
 def removals(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -118,13 +109,12 @@ def removals(docs: DataFrame, scratch: Scratch) -> DataFrame:
     # A link made in a batch stands for a bucket of its own, named by its pivot; links of the shuffle keep their bucket.
     named = met.withColumn("key", F.when(F.col("local"), F.xxhash64("pivot")).otherwise(F.col("key"))).select("key", "id", "pivot")
     members = scratch.save(named.union(named.select("key", F.col("pivot").alias("id"), "pivot")).distinct())
-    ids = scratch.save(members.select("id").distinct())
-    texts = scratch.save(texts_of(docs, small(ids), scratch))
-    _, found = linked(members, texts, byte_sets(), SIMILAR, scratch)
-
-    at = F.struct("doc_id", "line")
     every = scratch.save(places(docs))
-    counted = every.groupBy("id").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n"))
+    at = F.struct("doc_id", "line")
+    counted = scratch.save(every.groupBy("id").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")))
+    where = scratch.save(counted.join(small(scratch.save(members.select("id").distinct())), "id", "left_semi"))
+    texts = scratch.save(texts_of(docs, small(where)))
+    _, found = linked(members, texts, byte_sets(), SIMILAR, scratch)
     counted = counted.join(small(found), "id", "left").filter("n > 1 OR component IS NOT NULL")
     counted = scratch.save(counted.select("id", "first", F.coalesce("component", "id").alias("component")))
     keeper = counted.groupBy("component").agg(F.min("first").alias("keeper"))

@@ -84,11 +84,11 @@ def word_sets(n: int) -> Sets:
 
 
 def byte_sets(n: int = 8) -> Sets:
-    """Sets of all stretches of 8 bytes, sorted; a shorter text is one stretch, padded."""
+    """Sets of all stretches of 8 bytes with small A-Z, sorted; a shorter text is one stretch, padded."""
     assert n == 8
 
     def of(texts: list[bytes]) -> list[np.ndarray]:
-        return [np.unique(np.ndarray((max(1, len(t) - 7),), "<u8", t if len(t) >= 8 else t.ljust(8, b"\0"), 0, (1,))) for t in texts]
+        return [np.unique(np.ndarray((max(1, len(t) - 7),), "<u8", t.lower().ljust(8, b"\0"), 0, (1,))) for t in texts]
 
     return of
 
