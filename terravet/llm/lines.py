@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, Scratch, encoded, joined, mix, slices, small
 from .near import Circulant, Threshold, byte_sets, linked
 
-BANDS, ROWS, BITS = 16, 4, 16
+BANDS, ROWS, BITS = 12, 4, 16
 #: Lines with fewer bytes are left alone: they carry a document's form rather than its content.
 MIN_BYTES = 12
 SHINGLE = 8
