@@ -1,8 +1,7 @@
 """Fuzzy line dedup: shingles of characters, MinHash banding, exact verification, one line kept of each component.
 
-A line's identity is a 64-bit hash of its small-letter bytes, so that exact copies are one item from the start. Within a
-batch of documents items are counted once and the members of one bucket are linked to a pivot on the spot; only pivots
-go on to the shuffle, so that a bucket of very many lines reaches it as a row for each batch.
+A line's identity is a 64-bit hash of its small-letter bytes, so that exact copies are one item from the start: each
+slice of a batch sends a line on once, however often it holds it, so that a very common line is a row for each slice.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, encoded, joined, mix, slices, small
+from .common import LOWER, Scratch, encoded, joined, slices, small
 from .near import Circulant, Threshold, byte_sets, linked
 
 BANDS, ROWS, BITS = 12, 4, 16
@@ -54,7 +53,7 @@ def least_of(made: Circulant, data: np.ndarray, starts: np.ndarray, stops: np.nd
 
 
 def entries(docs: DataFrame) -> DataFrame:
-    """(key, id, via): a line in a bucket; via is null for what goes to the bucket's shuffle, else the pivot of its batch, and key then its own hash."""
+    """(key, id): the lines of each bucket, once for each slice of a batch that holds them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Circulant(BANDS, ROWS, BITS)
@@ -64,18 +63,11 @@ def entries(docs: DataFrame) -> DataFrame:
                 long = stops - starts >= MIN_BYTES
                 starts, stops = starts[long], stops[long]
                 ids, at = np.unique(identities(data, starts, stops), return_index=True)
-                if not len(ids):
-                    continue
-                keys = made.band_keys(least_of(made, data, starts[at], stops[at])).ravel()
-                owners = np.repeat(ids, made.bands)
-                order = np.lexsort((owners, keys))
-                keys, owners = keys[order], owners[order]
-                new = np.concatenate([[True], keys[1:] != keys[:-1]])
-                pivots = owners[new][np.cumsum(new) - 1]
-                key = np.where(new, keys, mix(owners.view(np.uint64)).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(owners), pa.array(pivots, mask=new)], ["key", "id", "via"])
+                if len(ids):
+                    keys = made.band_keys(least_of(made, data, starts[at], stops[at]))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids, made.bands))], ["key", "id"])
 
-    return docs.select("text").mapInArrow(run, "key long, id long, via long")
+    return docs.select("text").mapInArrow(run, "key long, id long")
 
 
 def places(docs: DataFrame) -> DataFrame:
@@ -102,13 +94,11 @@ def texts_of(docs: DataFrame, where: DataFrame) -> DataFrame:
 
 def removals(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, lines array<int>): the numbers of each document's lines that another line stands for."""
-    rows = entries(docs).repartition("key")
-    run = Window.partitionBy("key").orderBy(F.col("via").isNotNull(), "id")
-    met = rows.withColumn("pivot", F.coalesce("via", F.min("id").over(run.rowsBetween(Window.unboundedPreceding, 0))))
-    met = scratch.save(met.filter("id <> pivot").select("key", "id", "pivot", F.col("via").isNotNull().alias("local")).distinct())
-    # A link made in a batch stands for a bucket of its own, named by its pivot; links of the shuffle keep their bucket.
-    named = met.withColumn("key", F.when(F.col("local"), F.xxhash64("pivot")).otherwise(F.col("key"))).select("key", "id", "pivot")
-    members = scratch.save(named.union(named.select("key", F.col("pivot").alias("id"), "pivot")).distinct())
+    # The least id so far is the bucket's pivot, as rows come in the order of ids; nothing of a bucket is held.
+    inside = Window.partitionBy("key").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    met = entries(docs).repartition("key").withColumn("pivot", F.min("id").over(inside))
+    met = scratch.save(met.filter("id <> pivot").distinct())
+    members = scratch.save(met.union(met.select("key", F.col("pivot").alias("id"), "pivot").distinct()))
     every = scratch.save(places(docs))
     at = F.struct("doc_id", "line")
     counted = scratch.save(every.groupBy("id").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")))
