@@ -662,8 +662,8 @@ def network_change_neighbors(w: Warehouse) -> DataFrame:
 
 @query(sql("""
 SELECT locha_id, id, count(DISTINCT b) AS base_neighbors, count(DISTINCT c) AS change_neighbors FROM (
-  SELECT locha_id, id, (node, way_id, x.lon, x.lat) AS b, NULL AS c FROM bnb JOIN base_n x ON x.id = node UNION ALL
-  SELECT locha_id, id, NULL, (node, way_id, coalesce(n.lon, x.lon), coalesce(n.lat, x.lat)) FROM cnb JOIN base_n x ON x.id = node
+  SELECT locha_id, bnb.id, (node, way_id, x.lon, x.lat) AS b, NULL AS c FROM bnb JOIN base_n x ON x.id = node UNION ALL
+  SELECT locha_id, cnb.id, NULL, (node, way_id, coalesce(n.lon, x.lon), coalesce(n.lat, x.lat)) FROM cnb JOIN base_n x ON x.id = node
     LEFT JOIN (SELECT c.* FROM cn c JOIN queue q ON q.objtype = 'n' AND q.id = c.id) n ON n.id = node)
 GROUP BY ALL HAVING list_sort(list(DISTINCT b) FILTER (b IS NOT NULL)) IS DISTINCT FROM list_sort(list(DISTINCT c) FILTER (c IS NOT NULL))
 """, NETWORK))
