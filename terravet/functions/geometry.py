@@ -7,7 +7,6 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,7 +16,8 @@ from terravet.schemas import GEOMETRY
 from terravet.schemas import POINT as POINT_TYPE
 
 POINT = "struct<x:double,y:double>"
-ARROW_GEOMETRY = pa.struct([("kind", pa.string()), ("parts", pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))])
+ARROW_POINT = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+ARROW_GEOMETRY = pa.struct([("kind", pa.string()), ("parts", pa.list_(pa.list_(ARROW_POINT)))])
 
 
 def vertex(lon: Column, lat: Column) -> Column:
@@ -231,7 +231,7 @@ def distance(a: list[np.ndarray], b: list[np.ndarray]) -> float:
 
 
 def parts_of(geom) -> list[np.ndarray]:
-    """Vertex arrays of a geometry as Arrow or pandas hands it over."""
+    """Vertex arrays of a geometry as Arrow hands it over."""
     if geom is None:
         return []
     return [np.array([(v["x"], v["y"]) for v in part]) for part in geom["parts"] if len(part)]
@@ -254,18 +254,17 @@ def intersects_polygons(polygons: Sequence) -> callable:
                 return True
         return False
 
-    @F.pandas_udf(T.BooleanType())
-    def udf(geoms: pd.DataFrame) -> pd.Series:
-        return pd.Series([None if k is None else meets({"parts": p}) for k, p in zip(geoms["kind"], geoms["parts"])])
+    @F.arrow_udf(T.BooleanType())
+    def udf(geoms: pa.Array) -> pa.Array:
+        return pa.array([None if g is None else meets(g) for g in geoms.to_pylist()], pa.bool_())
 
     return udf
 
 
-@F.pandas_udf(T.DoubleType())
-def geometry_distance(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
+@F.arrow_udf(T.DoubleType())
+def geometry_distance(a: pa.Array, b: pa.Array) -> pa.Array:
     """Least distance of two geometries; null if one is."""
-    rows = zip(a["kind"], a["parts"], b["kind"], b["parts"])
-    return pd.Series([None if k is None or m is None else distance(parts_of({"parts": p}), parts_of({"parts": q})) for k, p, m, q in rows])
+    return pa.array([None if x is None or y is None else distance(parts_of(x), parts_of(y)) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
 
 
 def surface_point(kind: str, parts: list[np.ndarray]) -> tuple[float, float] | None:
@@ -287,10 +286,10 @@ def surface_point(kind: str, parts: list[np.ndarray]) -> tuple[float, float] | N
     return float((xs[k] + xs[k + 1]) / 2), y
 
 
-@F.pandas_udf(POINT_TYPE)
-def point_on_surface(geoms: pd.DataFrame) -> pd.DataFrame:
-    found = [None if k is None else surface_point(k, parts_of({"parts": p})) for k, p in zip(geoms["kind"], geoms["parts"])]
-    return pd.DataFrame({"x": [None if f is None else f[0] for f in found], "y": [None if f is None else f[1] for f in found]}, dtype="float64")
+@F.arrow_udf(POINT_TYPE)
+def point_on_surface(geoms: pa.Array) -> pa.Array:
+    found = [None if g is None else surface_point(g["kind"], parts_of(g)) for g in geoms.to_pylist()]
+    return pa.array([None if f is None else {"x": f[0], "y": f[1]} for f in found], ARROW_POINT)
 
 
 def merge_lines(parts: list[list[tuple[float, float]]]) -> list[list[tuple[float, float]]]:
@@ -348,17 +347,17 @@ def simple_ring(ring: list[tuple[float, float]]) -> bool:
     return len(set(ring[:-1])) == len(ring) - 1 and not _crossing(a, b, a, b)
 
 
-@F.pandas_udf(T.BooleanType())
-def is_valid(geoms: pd.DataFrame) -> pd.Series:
+@F.arrow_udf(T.BooleanType())
+def is_valid(geoms: pa.Array) -> pa.Array:
     """Points are valid, lines with two different vertices, polygons with simple rings; null is not."""
 
-    def valid(kind, parts) -> bool:
-        rows = [[(float(v["x"]), float(v["y"])) for v in p] for p in parts]
-        if kind == "polygon":
+    def valid(g: dict) -> bool:
+        rows = [[(v["x"], v["y"]) for v in p] for p in g["parts"]]
+        if g["kind"] == "polygon":
             return bool(rows) and all(simple_ring(r) for r in rows)
         return bool(rows) and all(len(r) == 1 or len(set(r)) > 1 for r in rows)
 
-    return pd.Series([k is not None and valid(k, p) for k, p in zip(geoms["kind"], geoms["parts"])])
+    return pa.array([g is not None and valid(g) for g in geoms.to_pylist()], pa.bool_())
 
 
 def to_geojson(geom: Column) -> Column:

@@ -6,7 +6,7 @@ import re
 from dataclasses import dataclass, field
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -268,13 +268,13 @@ class Interpreter:
         return out.dropDuplicates(["objtype", "id"])
 
 
-@F.pandas_udf(T.BooleanType())
-def _polygon_meets(area: pd.DataFrame, geom: pd.DataFrame) -> pd.Series:
+@F.arrow_udf(T.BooleanType())
+def _polygon_meets(area: pa.Array, geom: pa.Array) -> pa.Array:
     out = []
-    for parts, own in zip(area["parts"], geom["parts"]):
-        polygon = [[(float(v["x"]), float(v["y"])) for v in p] for p in parts]
-        out.append(any(G._in_ring(float(v["x"]), float(v["y"]), r) for part in own for v in part for r in polygon))
-    return pd.Series(out)
+    for a, g in zip(area.to_pylist(), geom.to_pylist()):
+        rings = [[(v["x"], v["y"]) for v in p] for p in a["parts"]]
+        out.append(any(G._in_ring(v["x"], v["y"], r) for part in g["parts"] for v in part for r in rings))
+    return pa.array(out, pa.bool_())
 
 
 def element_json(mode: str = "body") -> Column:
