@@ -101,7 +101,7 @@ class Scanner:
         self.keys = np.array(sorted(leads), np.uint64)
         sizes = [len(s) for s in self.sets]
         #: A set outside these sizes can't reach the coefficient.
-        self.bounds = [(n * dice / (2 - dice), n * (2 - dice) / dice) for n in sizes]
+        self.bounds = [(n * dice / (2 - dice) - 1e-9, n * (2 - dice) / dice + 1e-9) for n in sizes]
 
     def coefficient(self, k: int, own: np.ndarray) -> float:
         low, high = self.bounds[k]
