@@ -61,9 +61,12 @@ def base_counts(candidates: DataFrame) -> DataFrame:
 
 
 def change_twins(candidates: DataFrame, changes: DataFrame, alive: DataFrame) -> DataFrame:
-    """(locha_id, index, objtype, id, count, duplicates) of changed objects, among unchanged base objects and living changes."""
-    touched = changes.select("locha_id", "objtype", "id")
-    rest = candidates.join(touched, ["locha_id", "objtype", "id"], "left_anti")
+    """(locha_id, index, objtype, id, count, duplicates) of changed objects, among base objects and living changes.
+
+    A base object that a change of the same rule touches doesn't count; one that is changed out of the rule still does.
+    """
+    touched = changes.select("locha_id", "objtype", "id", "index")
+    rest = candidates.join(touched, ["locha_id", "objtype", "id", "index"], "left_anti")
     cols = ["locha_id", "objtype", "id", "index", "level", "distance", "x", "y"]
     pool = rest.select(cols).unionByName(alive.select(cols))
     name = F.struct(F.col("o_objtype").alias("t"), F.col("o_id").alias("i"))
@@ -81,7 +84,7 @@ def duplicates(base: DataFrame, changes: DataFrame, rules: Rules, strict: bool =
     all_changes = matching(changes, rules)
     alive = all_changes.filter("NOT deleted")
     candidates = base_candidates(near, all_changes)
-    counts, found = base_counts(candidates), change_twins(candidates, changes, alive)
+    counts, found = base_counts(candidates), change_twins(candidates, all_changes, alive)
     had = counts.select("index", "objtype", "id", F.col("count").alias("had"))
     more = found.join(had, ["index", "objtype", "id"], "left").filter("had IS NULL OR count > had")
     own = F.array(F.concat("objtype", F.col("id").cast("string")))
