@@ -21,6 +21,8 @@ BANDS, ROWS, BITS = 12, 4, 16
 #: Lines with fewer bytes are left alone: they carry a document's form rather than its content.
 MIN_BYTES = 12
 SHINGLE = 8
+#: Stretches hashed at a time.
+STRETCH = 1 << 15
 SIMILAR = Threshold(80, 100)
 #: Flags of lines that may be broadcast, of one byte or less each.
 BROADCAST_FLAGS = 20_000_000
@@ -45,10 +47,13 @@ def identities(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.nd
 def least_of(made: Circulant, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     """Signatures of lines of at least SHINGLE bytes."""
     grams = np.ndarray((max(0, len(data) - SHINGLE + 1),), "<u8", np.ascontiguousarray(data), 0, (1,))
-    places = made.places(grams)
     out = np.empty((len(starts), made.k), made.shifted.dtype)
+    first, end, places = 0, 0, np.zeros(0, np.int64)
     for i, (a, b) in enumerate(zip(starts.tolist(), stops.tolist())):
-        out[i] = made.least(places[a : b - SHINGLE + 1])
+        if not first <= a < b - SHINGLE + 1 <= end:  # places of the next stretch, small enough for a cache
+            first, end = a, max(b - SHINGLE + 1, min(a + STRETCH, len(grams)))
+            places = made.places(grams[first:end])
+        out[i] = made.least(places[a - first : b - SHINGLE + 1 - first])
     return out
 
 
@@ -62,8 +67,11 @@ def entries(docs: DataFrame) -> DataFrame:
                 data, starts, stops, _, _ = cut(encoded(batch.column(0).slice(a, b - a)))
                 long = stops - starts >= MIN_BYTES
                 starts, stops = starts[long], stops[long]
-                ids, at = np.unique(identities(data, starts, stops), return_index=True)
-                if len(ids):
+                names = identities(data, starts, stops)
+                _, at = np.unique(names, return_index=True)
+                if len(at):
+                    at.sort()
+                    ids = names[at]
                     keys = made.band_keys(least_of(made, data, starts[at], stops[at]))
                     yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids, made.bands))], ["key", "id"])
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, MIX1, Scratch, encoded, joined, mix, prefix_sums, slices, small, stretch_hashes, words
+from .common import LOWER, Scratch, encoded, joined, mix, prefix_sums, slices, small, stretch_hashes, words
 from .graph import components
 
 #: Members compared with one copy of a pivot, members of a block when the rest of a bucket is compared, and elements at a time.
@@ -36,14 +36,15 @@ class Circulant:
         rng = np.random.default_rng(seed)
         self.bands, self.rows, self.k, self.shift = bands, rows, bands * rows, np.uint64(64 - bits)
         kind = np.uint16 if bits <= 16 else np.uint32
-        self.sigma = rng.permutation(1 << bits).astype(np.int64)
+        self.sigma = np.uint64(int(rng.integers(1, 1 << 62)) * 4 + 1)
         pi = rng.permutation(1 << bits).astype(kind)
         self.shifted = np.lib.stride_tricks.sliding_window_view(np.concatenate([pi, pi[: self.k]]), self.k)
         self.factors = rng.integers(1, 1 << 62, self.k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.names = mix(np.arange(1, bands + 1, dtype=np.uint64))
 
     def places(self, elements: np.ndarray) -> np.ndarray:
-        return self.sigma[(elements * MIX1 >> self.shift).astype(np.int64)]
+        """sigma multiplies by an odd number modulo 2^64, a permutation of the elements; the top bits are the place."""
+        return (elements * self.sigma >> self.shift).astype(np.int64)
 
     def least(self, places: np.ndarray) -> np.ndarray:
         """The signature of one set, whose elements stand at these places."""
