@@ -22,7 +22,7 @@ from .common import LOWER, Scratch, encoded, joined, mix, prefix_sums, slices, s
 from .graph import components
 
 #: Members compared with one copy of a pivot, members of a block when the rest of a bucket is compared, and elements at a time.
-STAR, BLOCK, COLUMNS = 64, 2048, 4096
+STAR, BLOCK, COLUMNS = 64, 1024, 2048
 #: Members of a bucket up to which pairs are compared one by one.
 FEW = 8
 
@@ -187,9 +187,8 @@ def joining(sets: list[np.ndarray], label: np.ndarray, left: np.ndarray, right:
             held = np.zeros((len(sets), COLUMNS), np.float32)
             held[owner[x:y], column[x:y] - first] = 1
             both += held[rows] @ held[cols].T
-        reach = threshold.den * both >= threshold.num * (sizes[rows][:, None] + sizes[cols][None, :] - both)
         for i, r in enumerate(rows.tolist()):
-            met = cols[reach[i]]
+            met = cols[threshold.den * both[i] >= threshold.num * (sizes[r] + sizes[cols] - both[i])]
             for other in np.unique(label[met]).tolist():
                 if other != label[r]:
                     out.append((r, int(met[label[met] == other][0])))
