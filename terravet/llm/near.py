@@ -208,9 +208,9 @@ def pairwise(sets: list[np.ndarray], labels: list[int], threshold: Threshold) ->
 
 
 def across(members: DataFrame, texts: DataFrame, sets: Sets, threshold: Threshold, scratch: Scratch) -> DataFrame:
-    """Links (a, b) between members (key, id, component) of one bucket but different components: all that join any, for what they join.
+    """Links (a, b) between members (key, id, component) of one group but different components, as many as join them.
 
-    A bucket of more than BLOCK members is dealt in blocks, and each two of them compared.
+    A group of more than BLOCK members is dealt in blocks, and each two of them compared.
     """
     sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK))).cast("int").alias("blocks"))
     dealt = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
@@ -246,8 +246,10 @@ def linked(members: DataFrame, texts: DataFrame, sets: Sets, threshold: Threshol
     stars = scratch.save(members.filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct())
     first = scratch.save(verify(stars, texts, sets, threshold, scratch))
     found = components(first, scratch)
-    named = scratch.save(members.join(small(found), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
-    # Buckets of the same items give the same links: one of them is enough. One of two items has been compared.
+    # Buckets with one pivot are one group, so that items which share many bands meet once.
+    groups = members.select(F.col("pivot").alias("key"), "id").distinct()
+    named = scratch.save(groups.join(small(found), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
+    # Groups of the same items give the same links: one of them is enough. One of two items has been compared.
     seen = named.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("same"), F.count(F.lit(1)).alias("n"))
     mixed = scratch.save(seen.filter("c0 <> c1 AND n > 2").groupBy("same", "n").agg(F.min("key").alias("key")).select("key"))
     if mixed.isEmpty():
