@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 #: Sources whose sizes are broadcast (at most 64 bytes each or so); beyond, the sizes are joined by a shuffle.
 BROADCAST_SOURCES = 100_000
-#: Copies beyond mean + 12 standard deviations + 30 have a probability below 1e-20.
+#: Largest mean of one draw, as exp(-mean) is 0 for large ones; beyond, the sum of several draws is taken. Copies beyond
+#: mean + 12 standard deviations + 30 have a probability below 1e-20.
 LARGEST_MEAN = 500.0
 
 
@@ -22,12 +23,8 @@ def uniform(seed: int, *keys: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def intervals(means: DataFrame) -> DataFrame:
-    """__source, __low, __high, __count for (__source, __mean): a uniform value in [low, high) means so many copies.
-
-    The terms of the distribution are summed from 0 up; the last interval ends above 1. Counts of 0 have no row.
-    """
-    mean = F.least(F.col("__mean"), F.lit(LARGEST_MEAN))
+def cumulated(mean: Column) -> Column:
+    """The probabilities of at most 0, 1, 2 ... copies, for a mean of at most LARGEST_MEAN. The terms are summed from 0 up."""
     most = (mean + 12 * F.sqrt(mean) + 30).cast("int")
     zero = F.exp(-mean)
     start = F.struct(zero.alias("term"), zero.alias("sum"), F.array(zero).alias("sums"))
@@ -36,14 +33,31 @@ def intervals(means: DataFrame) -> DataFrame:
         term = s["term"] * mean / i
         return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"), F.array_append(s["sums"], s["sum"] + term).alias("sums"))
 
-    sums = F.aggregate(F.sequence(F.lit(1), most), start, step, lambda s: s["sums"])
-    rows = means.select("__source", sums.alias("sums")).select("__source", "sums", F.posexplode(F.slice("sums", 2, 10_000)).alias("at", "__high"))
+    return F.aggregate(F.sequence(F.lit(1), most), start, step, lambda s: s["sums"])
+
+
+def intervals(means: DataFrame) -> DataFrame:
+    """__source, __low, __high, __count for (__source, __mean): a uniform value in [low, high) means so many copies.
+
+    Means are at most LARGEST_MEAN; the last interval ends above 1. Counts of 0 have no row.
+    """
+    rows = means.select("__source", cumulated(F.col("__mean")).alias("sums")).select("__source", "sums", F.posexplode(F.slice("sums", 2, 10_000)).alias("at", "__high"))
     low = F.element_at("sums", F.col("at") + 1)
     return rows.select("__source", low.alias("__low"), F.when(F.col("at") == F.size("sums") - 2, F.lit(2.0)).otherwise(F.col("__high")).alias("__high"), (F.col("at") + 1).alias("__count"))
 
 
-def rates(docs: DataFrame, weights: dict[str, float] | None, by: str, rows: float | None) -> DataFrame:
-    """The intervals of each source, whose mean is its target share of the whole over its own size."""
+def draws(means: DataFrame) -> DataFrame:
+    """__source, __parts, __sums for (__source, __mean): so many draws of equal mean make up the mean, each by these sums.
+
+    The sum of independent Poisson numbers is a Poisson number of the summed mean.
+    """
+    parts = F.ceil(F.col("__mean") / LARGEST_MEAN)
+    rows = means.select("__source", parts.alias("__parts"), (F.col("__mean") / parts).alias("__mean"))
+    return rows.select("__source", "__parts", cumulated(F.col("__mean")).alias("__sums"))
+
+
+def rates(docs: DataFrame, weights: dict[str, float] | None, by: str, rows: float | None) -> tuple[DataFrame, DataFrame | None]:
+    """The intervals of each source, whose mean is its target share of the whole over its own size; and the draws of those of larger means, if any."""
     size = F.count(F.lit(1)).cast("double") if by == "documents" else F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("double")
     sizes = docs.groupBy(F.coalesce(F.col("source"), F.lit("")).alias("__source")).agg(size.alias("__size"))
     known = sizes.limit(BROADCAST_SOURCES + 1).collect()
@@ -52,7 +66,8 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, by: str, rows: floa
         share = {s: (1.0 if weights is None else float(weights.get(s, 0.0))) for s in size_of}
         whole, total = sum(size_of.values()) if rows is None else float(rows), sum(share.values())
         means = [(s, w / total * whole / size_of[s]) for s, w in share.items()] if total else []
-        return F.broadcast(intervals(docs.sparkSession.createDataFrame(means, "__source string, __mean double")))
+        one, several = [docs.sparkSession.createDataFrame([m for m in means if (m[1] > LARGEST_MEAN) == large], "__source string, __mean double") for large in (False, True)]
+        return F.broadcast(intervals(one)), F.broadcast(draws(several)) if any(m > LARGEST_MEAN for _, m in means) else None
     if weights is None:
         weighted = sizes.withColumn("__share", F.lit(1.0))
     else:
@@ -61,7 +76,9 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, by: str, rows: floa
     sums = weighted.agg(F.sum("__share").alias("t")).crossJoin(sizes.agg(F.sum("__size").alias("w"))).first()
     whole = sums["w"] if rows is None else float(rows)
     mean = F.col("__share") / F.lit(sums["t"]) * F.lit(whole) / F.col("__size")
-    return intervals(weighted.filter("__size > 0").select("__source", mean.alias("__mean")))
+    found = weighted.filter("__size > 0").select("__source", mean.alias("__mean"))
+    several = found.filter(F.col("__mean") > LARGEST_MEAN)
+    return intervals(found.filter(F.col("__mean") <= LARGEST_MEAN)), None if several.isEmpty() else draws(several)
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, by: str = "documents", rows: float | None = None, seed: int = 17) -> DataFrame:
@@ -72,15 +89,22 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, by: str = "doc
     Adds `copy` (from 1) and `shuffle_key`; columns of these names in docs are replaced. The copies are dealt to
     partitions by the key's hash and sorted by it there, which is a random order of the whole.
     A null source is the source "". Repeated rows share one count; a null id is replaced by a hash of the text. Null or empty texts are
-    documents like others (by "chars", a source of only such texts has no size and goes). Means over LARGEST_MEAN raise no
-    error but are held there, as repeating a document so often is no mixture. An empty table gives an empty one.
+    documents like others (by "chars", a source of only such texts has no size and goes). Means over LARGEST_MEAN
+    are drawn in several parts, whose sum has the whole mean. An empty table gives an empty one.
     """
     given = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
     key = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     drawn = docs.select(*given, F.coalesce(F.col("source"), F.lit("")).alias("__source"), uniform(seed, key).alias("__u"))
-    means = rates(docs, weights, by, rows).withColumnRenamed("__source", "__of")
+    one, several = rates(docs, weights, by, rows)
+    means = one.withColumnRenamed("__source", "__of")
     counted = drawn.join(means, (F.col("__source") == F.col("__of")) & (F.col("__u") >= F.col("__low")) & (F.col("__u") < F.col("__high")))
     copies = counted.select(*given, F.explode(F.sequence(F.lit(1), F.col("__count"))).alias("copy"))
+    if several is not None:
+        part = lambda i: F.size(F.filter(F.slice("__sums", 1, F.size("__sums") - 1), lambda p: p <= uniform(seed, F.col("__key"), i)))
+        of_parts = drawn.withColumn("__key", key).join(several.withColumnRenamed("__source", "__of"), F.col("__source") == F.col("__of"))
+        of_parts = of_parts.withColumn("__drawn", F.transform(F.sequence(F.lit(1), F.col("__parts").cast("int")), part))
+        total = F.aggregate("__drawn", F.lit(0), lambda n, x: n + x)
+        copies = copies.union(of_parts.withColumn("__count", total).filter("__count > 0").select(*given, F.explode(F.sequence(F.lit(1), F.col("__count"))).alias("copy")))
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(f"order{seed}"), key, "copy")))
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key", "copy")
 
