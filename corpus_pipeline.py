@@ -21,7 +21,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that another line stands for; those that lose all they had go."""
-    out = lines.dedup_lines(docs).filter("n_removed = 0 OR trim(BOTH ' \n\t\r' FROM text) <> ''")
+    out = lines.dedup_lines(docs, least=1).filter("n_removed = 0 OR trim(BOTH ' \n\t\r' FROM text) <> ''")
     return out.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else c for c in docs.columns])
 
 

@@ -18,7 +18,7 @@ from .common import LOWER, Scratch, encoded, joined, slices, small
 from .near import Circulant, Threshold, byte_sets, linked
 
 BANDS, ROWS, BITS = 16, 4, 16
-#: Lines with fewer bytes are left alone: they carry a document's form rather than its content.
+#: Unless told otherwise, lines with fewer bytes are left alone: they carry a document's form rather than its content.
 MIN_BYTES = 12
 SHINGLE = 8
 #: Stretches hashed at a time.
@@ -57,15 +57,15 @@ def least_of(made: Circulant, data: np.ndarray, starts: np.ndarray, stops: np.nd
     return out
 
 
-def entries(docs: DataFrame) -> DataFrame:
-    """(key, id): the lines of each bucket, once for each slice of a batch that holds them."""
+def entries(docs: DataFrame, least: int) -> DataFrame:
+    """(key, id): the lines of each bucket, once for each slice of a batch that holds them; lines below a stretch are in none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Circulant(BANDS, ROWS, BITS)
         for batch in batches:
             for a, b in slices(batch.column(0)):
                 data, starts, stops, _, _ = cut(encoded(batch.column(0).slice(a, b - a)))
-                long = stops - starts >= MIN_BYTES
+                long = stops - starts >= max(least, SHINGLE)
                 starts, stops = starts[long], stops[long]
                 names = identities(data, starts, stops)
                 _, at = np.unique(names, return_index=True)
@@ -78,14 +78,14 @@ def entries(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, id long")
 
 
-def places(docs: DataFrame) -> DataFrame:
+def places(docs: DataFrame, least: int) -> DataFrame:
     """(id, doc_id, line) of every line that takes part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 data, starts, stops, row, number = cut(encoded(batch.column(1).slice(a, b - a)))
-                long = stops - starts >= MIN_BYTES
+                long = stops - starts >= least
                 ids = identities(data, starts[long], stops[long])
                 yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column(0).slice(a, b - a).take(pa.array(row[long])), pa.array(number[long].astype(np.int32))], ["id", "doc_id", "line"])
 
@@ -100,14 +100,14 @@ def texts_of(docs: DataFrame, where: DataFrame) -> DataFrame:
     return picked.select("at.id", F.get("lines", F.col("at.line")).alias("text")).dropDuplicates(["id"])
 
 
-def removals(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def removals(docs: DataFrame, scratch: Scratch, least: int = MIN_BYTES) -> DataFrame:
     """(doc_id, lines array<int>): the numbers of each document's lines that another line stands for."""
     # The least id so far is the bucket's pivot, as rows come in the order of ids; nothing of a bucket is held.
     inside = Window.partitionBy("key").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    met = entries(docs).repartition("key").withColumn("pivot", F.min("id").over(inside))
+    met = entries(docs, least).repartition("key").withColumn("pivot", F.min("id").over(inside))
     met = scratch.save(met.filter("id <> pivot").distinct())
     members = scratch.save(met.union(met.select("key", F.col("pivot").alias("id"), "pivot").distinct()))
-    every = scratch.save(places(docs))
+    every = scratch.save(places(docs, least))
     at = F.struct("doc_id", "line")
     counted = scratch.save(every.groupBy("id").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")))
     where = scratch.save(counted.join(small(scratch.save(members.select("id").distinct())), "id", "left_semi"))
@@ -136,18 +136,18 @@ def flagged(gone: DataFrame) -> DataFrame:
     return gone.mapInArrow(run, "doc_id long, __stays array<boolean>, n int")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = MIN_BYTES) -> DataFrame:
     """The rows of docs (doc_id, text and any others) without the lines that another line stands for; adds n_removed.
 
-    Lines of at least MIN_BYTES bytes whose sets of 8-byte stretches (small letters) have a Jaccard similarity of 0.8 or
-    more are linked, equal lines always; of each component the line at the smallest (doc_id, line number) stays. Shorter
+    Lines of at least `least` bytes (1 or more) whose sets of 8-byte stretches (small letters) have a Jaccard similarity of 0.8 or
+    more are linked, equal lines always, and lines below 8 bytes only if equal; of each component the line at the smallest (doc_id, line number) stays. Shorter
     and empty lines stay. A null text has no lines and stays null, an empty text has one, empty line. A column n_removed of docs
     is replaced. doc_id is a key: repeated rows count as one document and each loses the same lines; a
     row with a null doc_id is left as it is. Lines of any length are compared whole.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     given = [c for c in docs.columns if c != "n_removed"]
-    gone = scratch.save(flagged(removals(docs.select("doc_id", "text"), scratch))).select(F.col("doc_id").alias("__id"), "__stays", F.col("n").alias("__n"))
+    gone = scratch.save(flagged(removals(docs.select("doc_id", "text"), scratch, least))).select(F.col("doc_id").alias("__id"), "__stays", F.col("n").alias("__n"))
     flags = gone.agg(F.sum(F.size("__stays"))).first()[0] or 0
     side = F.broadcast(gone) if flags <= BROADCAST_FLAGS else gone
     base = docs.select(*given)
