@@ -133,7 +133,7 @@ def features(samples: bytes) -> str:
 def store(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """The media of docs: lists (doc_id, n_bytes, medium, chunks), and the stored parts (medium, place, digest, packed).
 
-    Every chunk is stored once, with the medium and place that own it; references (to_medium, to_place) beside the owner's
+    Every chunk is written once, with the medium and place that own it; references (to_medium, to_place) beside the owner's
     (medium, place) say where else it belongs.
     """
     kept = scratch.save(lists(docs))
@@ -148,7 +148,9 @@ def store(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     some = rows.join(named, "__id", "left_semi")
     if not own.filter("doc_id IS NULL").isEmpty():
         some = some.union(rows.filter("__id IS NULL"))
-    return kept, payloads(some).join(small(refs), ["medium", "place", "digest"])
+    owned = refs.filter("medium = to_medium AND place = to_place").select("medium", "place", "digest")
+    stored = scratch.save(payloads(some).join(small(owned), ["medium", "place", "digest"], "left_semi"))
+    return kept, stored.join(small(refs), ["medium", "place", "digest"])
 
 
 def read_back(parts: DataFrame) -> DataFrame:
