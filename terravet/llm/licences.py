@@ -100,6 +100,8 @@ class Scanner:
         self.leads = leads
         self.keys = np.array(sorted(leads), np.uint64)
         sizes = [len(s) for s in self.sets]
+        #: Bigrams of each template that lead nowhere.
+        self.common = [sum(int(p) not in leads for p in s.tolist()) for s in self.sets]
         #: A set outside these sizes can't reach the coefficient.
         self.bounds = [(n * dice / (2 - dice) - 1e-9, n * (2 - dice) / dice + 1e-9) for n in sizes]
 
@@ -109,21 +111,48 @@ class Scanner:
             return 0.0
         return 2.0 * len(np.intersect1d(own, self.sets[k], assume_unique=True)) / (len(own) + len(self.sets[k]))
 
+    def spans(self, k: int, own: np.ndarray) -> list[tuple[float, int]]:
+        """(coefficient, first word) of the best span of a text's bigrams from each that matches, up to the words that the size bounds allow.
+
+        Both ends of a span are matching bigrams, as it is no better for one that doesn't match.
+        """
+        match = np.isin(own, self.sets[k])
+        at, n, (low, high) = np.flatnonzero(match), len(self.sets[k]), self.bounds[k]
+        width, out = int(self.lengths[k] * (2 - self.dice) / self.dice) + 1, []
+        for a in at.tolist():
+            part = own[a : a + width]
+            new = np.zeros(len(part), bool)
+            new[np.unique(part, return_index=True)[1]] = True
+            size, both = np.cumsum(new), np.cumsum(new & match[a : a + width])
+            ends = at[np.searchsorted(at, a) : np.searchsorted(at, a + len(part))] - a
+            ends = ends[(size[ends] >= low) & (size[ends] <= high)]
+            if len(ends):
+                out.append((float((2.0 * both[ends] / (size[ends] + n)).max()), a))
+        return out
+
     def text(self, pair: np.ndarray, hits: np.ndarray) -> list[tuple[int, float, int]]:
-        """(template, coefficient, first word) of each template that the whole text or a window of the template's length reaches."""
+        """(template, coefficient, first word) of each template that the whole text, a window of the template's length, or a span between two matching bigrams reaches."""
         best: dict[int, tuple[float, int]] = {}
         tried = {}
+        begun: dict[int, list[int]] = {}
         for at in hits.tolist():
             for k, j in self.leads[int(pair[at])]:
                 start = max(0, at - j)
                 tried.setdefault((k, start), 0)
                 tried[k, start] += 1
+                begun.setdefault(k, []).append(at)
         n = len(pair)
         spans = [(k, a, min(n, a + self.lengths[k])) for (k, a), c in tried.items() if c >= 1]
-        spans += [(k, 0, n) for k in {k for k, _ in tried}]
+        spans += [(k, 0, n) for k in begun]
         for k, a, b in spans:
             if (c := self.coefficient(k, np.unique(pair[a : b - 1]))) >= self.dice and (c, -a) > best.get(k, (0.0, 0)):
                 best[k] = (c, -a)
+        for k, starts in begun.items():
+            # A set that reaches the coefficient shares at least dice / (2 - dice) of the template; leads are all but its common bigrams.
+            if len(np.unique(pair[starts])) + self.common[k] >= self.bounds[k][0]:
+                for c, a in self.spans(k, pair[: n - 1]):
+                    if c >= self.dice and (c, -a) > best.get(k, (0.0, 0)):
+                        best[k] = (c, -a)
         return sorted(((k, c, -a) for k, (c, a) in best.items()), key=lambda x: (-x[1], -self.lengths[x[0]], x[0]))
 
     def scan(self, texts: list[bytes]) -> list[list[tuple[int, float, int]]]:
@@ -145,8 +174,8 @@ class Scanner:
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, dice: float = DICE, keep: str = "doc_id") -> DataFrame:
     """`keep`, licence string, dice double, first_word int, matches array<string> of every row of docs; other columns go.
 
-    The normalised text (small letters, punctuation as white space) is compared whole, and window by window where a
-    template's bigram leads to it; templates whose set size can't reach the coefficient are pruned. The licence is the one
+    The normalised text (small letters, punctuation as white space) is compared whole, window by window where a
+    template's bigram leads to it, and from each of its bigrams in spans of all sizes that can reach the coefficient; templates whose set size can't reach the coefficient are pruned. The licence is the one
     with the largest coefficient, ties to the longer template, then by name; matches are all that reach it. Null, empty and
     one-word texts, and texts without a match, have a null licence, dice 0, first_word null and no matches. Whole texts of
     any length are scanned; repeated rows give repeated results.
