@@ -111,10 +111,30 @@ def snapped(x: Column, cell: float) -> Column:
     return F.round(x / F.lit(float(cell))) * F.lit(float(cell))
 
 
-def cells(box: Column, size: float, margin: float = 0.0) -> Column:
-    """Grid cells (struct of whole numbers cx, cy) that a box, widened by the margin, touches."""
-    low = lambda c: F.floor((c - F.lit(margin)) / F.lit(size))
-    high = lambda c: F.floor((c + F.lit(margin)) / F.lit(size))
+def segments(geom: Column) -> Column:
+    """Boxes of the segments of a geometry; a part of one vertex is a box of its own."""
+
+    def of(part: Column) -> Column:
+        def box(i: Column) -> Column:
+            p, q = F.get(part, i), F.get(part, F.least(i + 1, F.size(part) - 1))
+            return F.struct(F.least(p["x"], q["x"]).alias("min_x"), F.least(p["y"], q["y"]).alias("min_y"), F.greatest(p["x"], q["x"]).alias("max_x"), F.greatest(p["y"], q["y"]).alias("max_y"))
+
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(part) - 2, F.lit(0))), box)
+
+    return F.flatten(F.transform(F.filter(geom["parts"], lambda p: F.size(p) > 0), of))
+
+
+def level(box: Column, size: float, margin: float) -> Column:
+    """The grid whose cells, of size * 2^level, are no smaller than a box widened by the margin."""
+    wide = F.greatest(box["max_x"] - box["min_x"], box["max_y"] - box["min_y"]) + 2 * margin
+    return F.greatest(F.ceil(F.log2(F.greatest(wide, F.lit(size)) / F.lit(size))), F.lit(0)).cast("int")
+
+
+def cells(box: Column, size: float, margin: float = 0.0, at: Column | None = None) -> Column:
+    """Grid cells (struct of whole numbers cx, cy) that a box, widened by the margin, touches; at: a level of coarser grids."""
+    side = F.lit(size) if at is None else F.lit(size) * F.pow(F.lit(2.0), at)
+    low = lambda c: F.floor((c - F.lit(margin)) / side)
+    high = lambda c: F.floor((c + F.lit(margin)) / side)
     xs, ys = F.sequence(low(box["min_x"]), high(box["max_x"])), F.sequence(low(box["min_y"]), high(box["max_y"]))
     return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
 
@@ -184,20 +204,26 @@ def box_polygon(min_x: float, min_y: float, max_x: float, max_y: float) -> list[
     return [[[(min_x, min_y), (max_x, min_y), (max_x, max_y), (min_x, max_y), (min_x, min_y)]]]
 
 
-def _in_ring(x: float, y: float, ring: Sequence[tuple[float, float]]) -> bool:
-    """Even-odd rule; the edge counts as inside."""
-    inside = False
-    for (x1, y1), (x2, y2) in zip(ring[:-1], ring[1:]):
-        cross = (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)
-        if cross == 0 and min(x1, x2) <= x <= max(x1, x2) and min(y1, y2) <= y <= max(y1, y2):
-            return True
-        if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
-            inside = not inside
-    return inside
-
-
-def _in_polygon(x: float, y: float, polygon: Sequence[Sequence[tuple[float, float]]]) -> bool:
-    return bool(polygon) and sum(_in_ring(x, y, r) for r in polygon) % 2 == 1
+#: Pairs of vertices and edges that are compared in one array.
+PAIRS = 1 << 20
+
+
+def _in_rings(points: np.ndarray, rings: Sequence[np.ndarray]) -> np.ndarray:
+    """Which points lie inside closed rings by the even-odd rule; on an edge counts as inside."""
+    rings = [r for r in rings if len(r) > 1]
+    if not rings:
+        return np.zeros(len(points), bool)
+    a, b = np.concatenate([r[:-1] for r in rings]), np.concatenate([r[1:] for r in rings])
+    out, step = np.zeros(len(points), bool), max(1, PAIRS // len(a))
+    for at in range(0, len(points), step):
+        x, y = points[at : at + step, 0][:, None], points[at : at + step, 1][:, None]
+        turn = (b[:, 0] - a[:, 0]) * (y - a[:, 1]) - (b[:, 1] - a[:, 1]) * (x - a[:, 0])
+        on = (turn == 0) & (np.minimum(a[:, 0], b[:, 0]) <= x) & (x <= np.maximum(a[:, 0], b[:, 0])) & (np.minimum(a[:, 1], b[:, 1]) <= y) & (y <= np.maximum(a[:, 1], b[:, 1]))
+        spans = (a[:, 1] > y) != (b[:, 1] > y)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            left = x < (b[:, 0] - a[:, 0]) * (y - a[:, 1]) / (b[:, 1] - a[:, 1]) + a[:, 0]
+        out[at : at + step] = on.any(axis=1) | ((spans & left).sum(axis=1) % 2 == 1)
+    return out
 
 
 def _segment_distance(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -209,11 +235,20 @@ def _segment_distance(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray
     return np.sqrt(((p[:, None, :] - near) ** 2).sum(axis=2))
 
 
-def _crossing(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> bool:
-    """Whether any segment a-b crosses any c-d."""
+def _crossing(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray, touching: bool = False) -> bool:
+    """Whether any segment a-b crosses any c-d, or with touching has a point in common with it."""
     turn = lambda p, q, r: (q[..., 0] - p[..., 0]) * (r[..., 1] - p[..., 1]) - (q[..., 1] - p[..., 1]) * (r[..., 0] - p[..., 0])
-    a, b, c, d = a[:, None], b[:, None], c[None], d[None]
-    return bool(((turn(a, b, c) * turn(a, b, d) < 0) & (turn(c, d, a) * turn(c, d, b) < 0)).any())
+    step = max(1, PAIRS // len(c))
+    for at in range(0, len(a), step):
+        p, q, r, t = a[at : at + step, None], b[at : at + step, None], c[None], d[None]
+        one, two = turn(p, q, r) * turn(p, q, t), turn(r, t, p) * turn(r, t, q)
+        if touching:
+            boxes = ((np.minimum(p, q) <= np.maximum(r, t)) & (np.minimum(r, t) <= np.maximum(p, q))).all(axis=-1)
+            if ((one <= 0) & (two <= 0) & boxes).any():
+                return True
+        elif ((one < 0) & (two < 0)).any():
+            return True
+    return False
 
 
 def _segments(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -222,12 +257,17 @@ def _segments(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(starts), np.concatenate(ends)
 
 
+def _least_distance(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> float:
+    step = max(1, PAIRS // (4 * len(a)))
+    return min(float(_segment_distance(p[at : at + step], a, b).min()) for at in range(0, len(p), step))
+
+
 def distance(a: list[np.ndarray], b: list[np.ndarray]) -> float:
-    """Least distance between two sets of vertex lists; 0 where they cross."""
+    """Least distance between two sets of vertex lists; 0 where they cross. Compared in blocks of PAIRS."""
     (a1, a2), (b1, b2) = _segments(a), _segments(b)
     if _crossing(a1, a2, b1, b2):
         return 0.0
-    return float(min(_segment_distance(np.concatenate(a), b1, b2).min(), _segment_distance(np.concatenate(b), a1, a2).min()))
+    return min(_least_distance(np.concatenate(a), b1, b2), _least_distance(np.concatenate(b), a1, a2))
 
 
 def parts_of(geom) -> list[np.ndarray]:
@@ -238,19 +278,26 @@ def parts_of(geom) -> list[np.ndarray]:
 
 
 def intersects_polygons(polygons: Sequence) -> callable:
-    """An Arrow UDF: whether a geometry meets any of the polygons (closed over; they come from configuration)."""
-    rings = [[np.array(r) for r in p] for p in polygons]
+    """An Arrow UDF: whether a geometry has a point in common with any of the polygons (closed over; they come from configuration).
+
+    A polygon's inside counts on both sides: one that holds the other meets it.
+    """
+    rings = [[np.array(r, float) for r in p if len(r) > 1] for p in polygons]
+    rings = [p for p in rings if p]
+    boxes = [(np.concatenate(p).min(axis=0), np.concatenate(p).max(axis=0)) for p in rings]
 
     def meets(geom) -> bool:
         parts = parts_of(geom)
         if not parts:
             return False
-        for polygon, arrays in zip(polygons, rings):
-            if any(_in_polygon(float(x), float(y), polygon) for part in parts for x, y in part):
+        points = np.concatenate(parts)
+        low, high = points.min(axis=0), points.max(axis=0)
+        for own, (least, most) in zip(rings, boxes):
+            if (low > most).any() or (high < least).any():
+                continue
+            if _in_rings(points, own).any() or _crossing(*_segments(parts), *_segments(own), touching=True):
                 return True
-            a, b = _segments(parts)
-            c, d = _segments(arrays)
-            if _crossing(a, b, c, d):
+            if geom["kind"] == "polygon" and _in_rings(own[0][:1], parts).any():
                 return True
         return False
 

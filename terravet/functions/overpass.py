@@ -6,6 +6,7 @@ import re
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -272,8 +273,8 @@ class Interpreter:
 def _polygon_meets(area: pa.Array, geom: pa.Array) -> pa.Array:
     out = []
     for a, g in zip(area.to_pylist(), geom.to_pylist()):
-        rings = [[(v["x"], v["y"]) for v in p] for p in a["parts"]]
-        out.append(any(G._in_ring(v["x"], v["y"], r) for part in g["parts"] for v in part for r in rings))
+        rings, parts = G.parts_of(a), G.parts_of(g)
+        out.append(bool(rings and parts) and (bool(G._in_rings(np.concatenate(parts), rings).any()) or G._crossing(*G._segments(parts), *G._segments(rings), touching=True)))
     return pa.array(out, pa.bool_())
 
 

@@ -179,6 +179,12 @@ class Rules:
         parts = [F.when(r.predicate(tags), F.array(*[F.lit(k) for k in r.keys])) for r in self.rules]
         return F.array_distinct(F.flatten(F.filter(F.array(*parts), lambda x: x.isNotNull()))) if parts else F.array().cast("array<string>")
 
+    def interests(self, tags: Column) -> Column:
+        """(keys, sources) of each rule that selects: its keys that the tags have, and its sources."""
+        texts = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
+        parts = [F.when(r.predicate(tags), F.struct(F.array_intersect(texts(r.keys), F.map_keys(tags)).alias("keys"), texts(r.sources).alias("sources"))) for r in self.rules]
+        return F.filter(F.array(*parts), lambda x: x.isNotNull()) if parts else F.array().cast("array<struct<keys:array<string>,sources:array<string>>>")
+
     def first_index(self, tags: Column) -> Column:
         """Place of the first rule that selects; null if none does."""
         out: Column | None = None

@@ -46,26 +46,26 @@ def apply_changes(base: DataFrame, queue: DataFrame, journal: DataFrame, keys: D
 
 
 def set_aside(table: DataFrame, path: str) -> str:
-    """Write a version of a table beside the one that is read, and point to it last."""
+    """Write a version of a table beside those before it. It counts once its pointer, an empty file named after it, is there."""
     spark: SparkSession = table.sparkSession
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
     root = fs_path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    n = 1 + max([int(s.getPath().getName()[1:]) for s in (fs.listStatus(root) if fs.exists(root) else []) if s.getPath().getName()[1:].isdigit()], default=0)
+    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    n = 1 + max([int(x[1:].split(".")[0]) for x in names if x[:1] == "v" and x[1:].split(".")[0].isdigit()], default=0)
     version = f"{path}/v{n}"
     table.write.parquet(version)
-    pointer = fs.create(fs_path(f"{path}/.current.tmp"), True)
-    pointer.write(bytearray(f"v{n}".encode()))
-    pointer.close()
-    fs.delete(fs_path(f"{path}/current"), False)
-    fs.rename(fs_path(f"{path}/.current.tmp"), fs_path(f"{path}/current"))
+    fs.create(fs_path(f"{version}.current"), False).close()
     return version
 
 
-def current(spark: SparkSession, path: str) -> DataFrame:
-    """The version of a table that its pointer names."""
-    name = spark.read.text(f"{path}/current").first()[0]
-    return spark.read.parquet(f"{path}/{name}")
+def current(spark: SparkSession, path: str) -> DataFrame | None:
+    """The last version of a table that has a pointer; None without any."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    known = [int(x[1:-8]) for x in names if x.endswith(".current") and x[1:-8].isdigit()]
+    return spark.read.parquet(f"{path}/v{max(known)}") if known else None
 
 
 # --- integrity

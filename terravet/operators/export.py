@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terravet.plans.tables import Steps
+
 ORDER = ["objtype", "id", "version"]
 NAMES = {"n": "node", "w": "way", "r": "relation"}
 
@@ -29,7 +31,8 @@ def blocks(rows: DataFrame) -> DataFrame:
     ranged = classified(rows).repartitionByRange(*ORDER).withColumn("__p", F.spark_partition_id())
     own = Window.partitionBy("__p").orderBy(*ORDER)
     marked = ranged.withColumn("__new", F.when(F.lag("action").over(own).eqNullSafe(F.col("action")), 0).otherwise(1))
-    marked = marked.withColumn("__n", F.sum("__new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    # Kept, as the ranges are named twice below and have to be the same both times.
+    marked = Steps(rows.sparkSession, "blocks").keep(marked.withColumn("__n", F.sum("__new").over(own.rowsBetween(Window.unboundedPreceding, 0))))
     ends = marked.groupBy("__p").agg(F.max("__n").alias("n"), F.min_by("action", F.struct(*ORDER)).alias("first"), F.max_by("action", F.struct(*ORDER)).alias("last"))
     over = Window.orderBy("__p")
     joins = F.when(F.lag("last").over(over).eqNullSafe(F.col("first")), 1).otherwise(0)

@@ -31,14 +31,17 @@ def new_references(changes: DataFrame) -> DataFrame:
     return changes.filter("new AND objtype IN ('n', 'w')").select(*OBJECT_KEY).join(by_way.union(by_relation).distinct(), OBJECT_KEY, "left_semi")
 
 
-def propagated(changes: DataFrame) -> DataFrame:
+def propagated(changes: DataFrame, steps: Steps | None = None) -> DataFrame:
     """changes with propa: deleted ones, new ones that are referred to, ways with such a node, relations with such a member.
 
-    changes: objtype, id, deleted, new, nodes and members (before and after together).
+    changes: objtype, id, deleted, new, nodes and members (before and after together). Each pass names what it is given
+    several times, so its result is kept for the next.
     """
+    steps = steps or Steps(changes.sparkSession, "propagated")
+    changes = steps.keep(changes)
     marked = new_references(changes).withColumn("m", F.lit(True))
     first = changes.join(marked, OBJECT_KEY, "left").withColumn("propa", F.coalesce(F.col("deleted"), F.lit(False)) | F.coalesce("m", F.lit(False))).drop("m")
-    return forward_to_relations(forward_to_ways(first))
+    return forward_to_relations(steps.keep(forward_to_ways(steps.keep(first))))
 
 
 def forward_to_ways(changes: DataFrame) -> DataFrame:

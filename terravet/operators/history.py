@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terravet.functions import geometry as G
+from terravet.operators import nearby
 from terravet.operators.graph import components, packed
 from terravet.plans.tables import Steps
 from terravet.schemas import OBJECT_KEY
@@ -58,20 +59,26 @@ def tag_similarity(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(x, y)) / union).otherwise(F.lit(0.0))
 
 
-def conflated(pairs: DataFrame, reach: float = REACH) -> DataFrame:
+def conflated(pairs: DataFrame, reach: float = REACH, projection: G.Projection | None = None, steps: Steps | None = None) -> DataFrame:
     """Links (locha_id, before, after, reason) from sides.
 
     An object is linked with itself. A deleted one and a created one of the same type and logical change within `reach`
     are linked besides, if each is the other's best by tags and nearness; the deleted one's own link stays. The score is the
-    mean of the tags' similarity and 1 - distance / reach. This is our own definition.
+    mean of the tags' similarity and 1 - distance / reach. This is our own definition. Distances are in the projection's plane.
     """
+    plane, steps = (projection or G.Projection()).geometry, steps or Steps(pairs.sparkSession, "conflated")
     none = F.lit(None).cast("double")
     reason = lambda why, score, dist: F.struct(F.lit(why).alias("conflate"), score.alias("score"), dist.alias("max_distance"))
-    moved = F.when(F.col("before.geom").isNotNull() & F.col("after.geom").isNotNull(), G.geometry_distance("before.geom", "after.geom"))
+    moved = F.when(F.col("before.geom").isNotNull() & F.col("after.geom").isNotNull(), G.geometry_distance(plane(F.col("before.geom")), plane(F.col("after.geom"))))
     own = pairs.select("locha_id", "before", "after", reason("same", F.lit(1.0), moved).alias("reason"))
     gone = pairs.filter("before IS NOT NULL AND after.deleted AND before.geom IS NOT NULL").select("locha_id", "objtype", F.col("before").alias("b"))
     made = pairs.filter("before IS NULL AND NOT after.deleted AND after.geom IS NOT NULL").select("locha_id", "objtype", F.col("after").alias("a"))
-    met = gone.join(made, ["locha_id", "objtype"]).withColumn("d", G.geometry_distance("b.geom", "a.geom")).filter(F.col("d") <= reach)
+    # Nearness first, by cells; then what both sides are. Types are kept apart, so ids name the objects.
+    within = ["locha_id", "objtype"]
+    shapes = lambda df, c: df.select(*within, F.col(f"{c}.id").alias("id"), plane(F.col(f"{c}.geom")).alias("geom"))
+    pairs_ = nearby.near(shapes(gone, "b"), shapes(made, "a"), within, reach, steps)
+    met = pairs_.join(gone.withColumn("id", F.col("b.id")), [*within, "id"]).join(made.withColumn("o_id", F.col("a.id")), [*within, "o_id"])
+    met = met.withColumn("d", G.geometry_distance(plane(F.col("b.geom")), plane(F.col("a.geom"))))
     met = met.withColumn("score", (tag_similarity(F.col("b.tags"), F.col("a.tags")) + 1 - F.col("d") / reach) / 2)
     best = lambda side, other: F.row_number().over(Window.partitionBy("locha_id", "objtype", f"{side}.id").orderBy(F.desc("score"), F.col(f"{other}.id")))
     chosen = met.withColumn("r1", best("a", "b")).withColumn("r2", best("b", "a")).filter("r1 = 1 AND r2 = 1")

@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 
 from terravet.functions import geometry as G
 from terravet.functions import scalars
+from terravet.operators import nearby
 from terravet.operators.graph import components
 from terravet.plans.tables import Steps
 from terravet.schemas import OBJECT_KEY
 
 #: Parts of one cluster at most, and rounds of splitting; the radius in distances, the cell in distances.
 MOST, ROUNDS, RADIUS, CELL = 99, 5, 20, 100
+#: Points that k-means is given at a time; a larger cluster is cut by a grid of that radius first, and by finer ones.
+POINTS, HALVINGS = 5000, 16
 
 
 def clustering_input(rows: DataFrame, projection: G.Projection) -> DataFrame:
@@ -26,18 +29,11 @@ def clustering_input(rows: DataFrame, projection: G.Projection) -> DataFrame:
     return parts.select("cc_id", F.when(F.size(F.flatten("p")) > 0, G.geometry("collection", F.flatten("p"))).alias("geom"))
 
 
-def near_pairs(shapes: DataFrame, distance: float) -> DataFrame:
-    """(a, b) of ids in shapes (id, cell, geom) with the same cell and not further apart than distance."""
-    boxed = shapes.withColumn("box", G.bbox(F.col("geom"))).filter("box IS NOT NULL")
-    tiles = boxed.select("id", "cell", "geom", F.explode(G.cells(F.col("box"), max(distance, 1e-9) * 4, distance / 2)).alias("tile"))
-    other = tiles.select(F.col("id").alias("o_id"), "cell", F.col("geom").alias("o_geom"), "tile")
-    pairs = tiles.join(other, ["cell", "tile"]).filter("id < o_id").dropDuplicates(["id", "o_id"])
-    return pairs.filter(G.geometry_distance("geom", "o_geom") <= distance).select(F.col("id").alias("a"), F.col("o_id").alias("b"))
-
-
 def linked_clusters(shapes: DataFrame, distance: float, steps: Steps) -> DataFrame:
     """(id, cluster): shapes (id, cell, geom) linked within a cell by steps of at most distance; a lone one is its own."""
-    found = components(near_pairs(shapes, distance), steps)
+    shapes = steps.keep(shapes)
+    pairs = nearby.near(shapes, shapes, ["cell"], distance, steps, ordered=True).select(F.col("id").alias("a"), F.col("o_id").alias("b"))
+    found = components(pairs, steps)
     return shapes.select("id").join(found.select(F.col("v").alias("id"), F.col("component").alias("cluster")), "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
 
 
@@ -62,8 +58,31 @@ def kmeans(points: np.ndarray, k: int, radius: float, rounds: int = 20) -> np.nd
         k += 1
 
 
-def split_large(points: DataFrame, distance: float, most: int = MOST, rounds: int = ROUNDS) -> DataFrame:
-    """(id, group) of points (id, cluster, x, y): clusters of more than `most` split by k-means, again while they are too large."""
+def cut(points: DataFrame, distance: float, most: int) -> DataFrame:
+    """points with tile: clusters of more than `most` points are cut into the coarsest cells that hold no more.
+
+    Cells are a part's diameter wide at most, as parts have no larger radius. Where more points than `most` stand in the
+    finest cell, they are dealt by their ids.
+    """
+    sizes = points.groupBy("cluster").agg(F.count(F.lit(1)).alias("__n"))
+    counted = points.join(sizes, "cluster")
+    whole = counted.filter(F.col("__n") <= most).select(*points.columns, F.lit(None).cast("string").alias("tile"))
+    side = lambda k: F.lit(2.0 * RADIUS * distance) / F.pow(F.lit(2.0), k)
+    name = lambda k: F.concat_ws(":", k, F.floor(F.col("x") / side(k)), F.floor(F.col("y") / side(k)))
+    large = counted.filter(F.col("__n") > most).select(*points.columns)
+    tiles = large.select("id", "cluster", F.explode(F.sequence(F.lit(0), F.lit(HALVINGS))).alias("k"), "x", "y").withColumn("tile", name(F.col("k")))
+    full = tiles.groupBy("cluster", "tile").agg(F.count(F.lit(1)).alias("n"))
+    fit = tiles.join(full, ["cluster", "tile"]).filter((F.col("n") <= most) | (F.col("k") == HALVINGS))
+    first = fit.groupBy("id").agg(F.min_by(F.struct("tile", "n"), "k").alias("t"))
+    dealt = F.concat_ws(":", "t.tile", F.when(F.col("t.n") > most, F.pmod(F.xxhash64("id"), F.ceil(F.col("t.n") / most))))
+    return whole.unionByName(large.join(first, "id").withColumn("tile", dealt).select(*points.columns, "tile"))
+
+
+def split_large(points: DataFrame, distance: float, most: int = MOST, rounds: int = ROUNDS, at_once: int = POINTS) -> DataFrame:
+    """(id, cluster, part) of points (id, cluster, x, y): clusters of more than `most` split by k-means, again while they are too large.
+
+    Clusters of more than `at_once` points are cut by a grid first, so that no task is given more; their parts' numbers don't follow on.
+    """
 
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
@@ -77,9 +96,10 @@ def split_large(points: DataFrame, distance: float, most: int = MOST, rounds: in
                 own = np.flatnonzero(labels == name)
                 part = kmeans(xy[own], -(-len(own) // most), RADIUS * distance)
                 labels[own] = np.where(part == 0, name, labels.max() + part)
-        return pd.DataFrame({"id": pdf["id"], "cluster": pdf["cluster"], "part": labels})
+        base = 0 if pdf["tile"].isna().all() else (zlib.crc32(str(pdf["tile"].iloc[0]).encode()) << 31) + (1 << 20)
+        return pd.DataFrame({"id": pdf["id"], "cluster": pdf["cluster"], "part": labels + base})
 
-    return points.groupBy("cluster").applyInPandas(split, "id long, cluster long, part long")
+    return cut(points, distance, at_once).groupBy("cluster", "tile").applyInPandas(split, "id long, cluster long, part long")
 
 
 def glued(groups: DataFrame, rows: DataFrame, steps: Steps) -> DataFrame:
@@ -93,9 +113,16 @@ def glued(groups: DataFrame, rows: DataFrame, steps: Steps) -> DataFrame:
 
 
 def renumbered(df: DataFrame, *keys: str, name: str = "number") -> DataFrame:
-    """df with a dense number for each distinct key, from 1; only the distinct keys are ranked."""
-    known = df.select(*keys).distinct()
-    ranked = known.withColumn(name, F.dense_rank().over(Window.orderBy(*keys)))
+    """df with a dense number for each distinct key, from 1, in the order of the keys.
+
+    The distinct keys are ranked within ranges; over the ranges, of which there are as many as partitions, their sizes are added up.
+    """
+    steps = Steps(df.sparkSession, "numbers")
+    ranged = df.select(*keys).distinct().repartitionByRange(*keys).withColumn("__p", F.spark_partition_id())
+    known = steps.keep(ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(*keys))))
+    sizes = known.groupBy("__p").agg(F.max("__n").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = known.join(F.broadcast(sizes.select("__p", before.alias("__before"))), "__p").select(*keys, (F.col("__n") + F.col("__before")).alias(name))
     return df.join(ranked, list(keys))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terravet.functions import geometry as G
 from terravet.functions.tags import Rules
-from terravet.operators import graph
+from terravet.operators import graph, nearby
 from terravet.plans.tables import Steps
 from terravet.schemas import OBJECT_KEY
 
@@ -68,24 +68,18 @@ def activity(rows: DataFrame) -> DataFrame:
     return graph.propagated(rows).withColumn("active", F.col("targeted") | F.col("propa")).withColumn("eligible", F.col("active") | F.col("geom_changed"))
 
 
-def held_components(rows: DataFrame, distance: float, projection: G.Projection | None = None) -> DataFrame:
+def held_components(rows: DataFrame, distance: float, projection: G.Projection | None = None, steps: Steps | None = None) -> DataFrame:
     """(cc_id) of components to hold: those with a targeted change, and those with another change within `distance` of one.
 
-    One step: what is held for being near holds nothing further. Nearness is a grid join of boxes and an exact distance.
+    One step: what is held for being near holds nothing further. Nearness is a join on the cells of segments and an exact distance.
     """
-    projection = projection or G.Projection()
+    projection, steps = projection or G.Projection(), steps or Steps(rows.sparkSession, "held")
     placed = rows.select("cc_id", "targeted", projection.geometry(F.col("geom")).alias("geom"), projection.geometry(F.col("b_geom")).alias("b_geom"))
     core = placed.filter("targeted").select("cc_id").distinct()
-    shapes = placed.select("cc_id", "targeted", F.explode(F.array("geom", "b_geom")).alias("g")).filter("g IS NOT NULL")
-    shapes = shapes.withColumn("box", G.bbox(F.col("g"))).filter("box IS NOT NULL")
-    size = max(distance * 100, 1e-9)
-    near = shapes.join(core, "cc_id", "left_semi").select("cc_id", "g", "box", F.explode(G.cells(F.col("box"), size, distance)).alias("cell"))
-    rest = shapes.join(core, "cc_id", "left_anti").select(F.col("cc_id").alias("o_cc"), F.col("g").alias("o_g"), F.col("box").alias("o_box"), F.explode(G.cells(F.col("box"), size)).alias("cell"))
-    a, b = F.col("box"), F.col("o_box")
-    close = (a["min_x"] - distance <= b["max_x"]) & (b["min_x"] <= a["max_x"] + distance) & (a["min_y"] - distance <= b["max_y"]) & (b["min_y"] <= a["max_y"] + distance)
-    pairs = near.join(rest, "cell").filter(close)
-    found = pairs.filter(G.geometry_distance("g", "o_g") <= distance).select(F.col("o_cc").alias("cc_id"))
-    return core.union(found).distinct()
+    shapes = placed.select(F.col("cc_id").alias("id"), F.explode(F.array("geom", "b_geom")).alias("geom")).filter("geom IS NOT NULL")
+    shapes, ids = steps.keep(shapes), core.withColumnRenamed("cc_id", "id")
+    found = nearby.near(shapes.join(ids, "id", "left_semi"), shapes.join(ids, "id", "left_anti"), [], distance, steps)
+    return core.union(found.select(F.col("o_id").alias("cc_id"))).distinct()
 
 
 def release(rows: DataFrame, held: DataFrame) -> DataFrame:
@@ -97,7 +91,7 @@ def release_untargeted(base: DataFrame, queue: DataFrame, base_geom: DataFrame,
     """The queue's flags (objtype, id, targeted, cc_id), and the changes to release."""
     rows = steps.keep(activity(flags(enriched(queue.drop("targeted", "cc_id"), base, change_geom, base_geom), rules, area)))
     rows = steps.keep(rows.join(graph.change_components(rows, steps), OBJECT_KEY))
-    return rows.select(*OBJECT_KEY, "targeted", "cc_id"), release(rows, held_components(rows, distance, projection))
+    return rows.select(*OBJECT_KEY, "targeted", "cc_id"), release(rows, held_components(rows, distance, projection, steps))
 
 
 def write_back(queue: DataFrame, found: DataFrame) -> DataFrame:

@@ -155,16 +155,30 @@ class Deleted(Validator):
 
 
 @dataclass(frozen=True)
-class GeomChanges(Validator):
-    """The geometry moved: less than dist is accepted, more rejected; not at all says nothing."""
+class Dual(Validator):
+    """Says accept under one name and reject under another; both are its own unless configured."""
+
+    accept: str | None = None
+    reject: str | None = None
+
+    def yes(self, options: Column | None = None) -> Column:
+        return action(self.accept or self.id, "accept", options)
+
+    def no(self, options: Column | None = None) -> Column:
+        return action(self.reject or self.id, "reject", options)
+
+
+@dataclass(frozen=True)
+class GeomChanges(Dual):
+    """The geometry moved: less than dist is accepted, more rejected; not at all says nothing. dist is in the links' plane."""
 
     dist: float = 0.0
 
     def apply(self, links: DataFrame) -> DataFrame:
         d = F.col("reason.max_distance")
         moved = F.coalesce(d, F.lit(0.0)) != 0
-        verdict = F.when(d < self.dist, F.lit("accept")).otherwise(F.lit("reject"))
-        said = action(self.id, verdict, F.create_map(F.lit("dist"), d.cast("string")))
+        options = F.create_map(F.lit("dist"), d.cast("string"))
+        said = F.when(d < self.dist, self.yes(options)).otherwise(self.no(options))
         return links.withColumn("attribs", on_key(F.col("attribs"), "geom", self.candidate(links) & moved, said, self.force))
 
 
@@ -189,20 +203,25 @@ class GeomNewObject(Validator):
 
 
 @dataclass(frozen=True)
-class TagsChanges(Validator):
-    """Differences in keys of interest are rejected with their rules' sources, others accepted."""
+class TagsChanges(Dual):
+    """Differences in keys of interest are rejected with the sources of the rules they are of interest to, others accepted.
+
+    A key is of interest to a rule that selects the tags before and finds it there, or the tags after.
+    """
 
     rules: Rules = field(default_factory=Rules)
 
     def apply(self, links: DataFrame) -> DataFrame:
-        before, after = F.col("before.tags"), F.col("after.tags")
-        keys = F.array_union(self.rules.keys_of_interest(before), self.rules.keys_of_interest(after))
-        sources = [s for r in self.rules.rules for s in r.sources]
-        options = F.create_map(F.lit("sources"), F.lit(",".join(dict.fromkeys(sources)))) if sources else F.lit(None).cast("map<string,string>")
-        no, yes = action(self.id, "reject", options), action(self.id, "accept")
-        rows = links.withColumn("__keys", F.coalesce(keys, F.array().cast("array<string>")))
-        said = lambda k: F.when(F.array_contains(F.col("__keys"), k), no).otherwise(yes)
-        return rows.withColumn("tags", on_every_key(F.col("tags"), self.candidate(links), said, self.force)).drop("__keys")
+        found = [self.rules.interests(F.col(f"{side}.tags")) for side in ("before", "after")]
+        rows = links.withColumn("__rules", F.concat(*found))
+
+        def said(k: Column) -> Column:
+            own = F.filter("__rules", lambda r: F.array_contains(r["keys"], k))
+            sources = F.flatten(F.transform(own, lambda r: r["sources"]))
+            options = F.when(F.size(sources) > 0, F.create_map(F.lit("sources"), F.array_join(sources, ",")))
+            return F.when(F.size(own) > 0, self.no(options)).otherwise(self.yes())
+
+        return rows.withColumn("tags", on_every_key(F.col("tags"), self.candidate(links), said, self.force)).drop("__rules")
 
 
 @dataclass(frozen=True)
@@ -301,8 +320,10 @@ def build(name: str, settings: dict, **given) -> Validator:
         fields |= {"verdict": fields.pop("action_force"), "force": True}
     if "action" in fields:
         fields["verdict"] = fields.pop("action")
-    for key in ("accept", "reject", "description", "osm_tags"):
+    for key in ("description", "osm_tags"):
         fields.pop(key, None)
+    if not issubclass(kind, Dual) and {"accept", "reject"} & fields.keys():
+        raise ValueError(f"{name}: accept and reject name the two verdicts of other validators")
     if "users" in fields:
         fields["users"] = tuple(fields["users"])
     return kind(name, **fields, **given)

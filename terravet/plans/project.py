@@ -45,18 +45,21 @@ class Project:
         importable(self.spark)
 
     def table(self, name: str) -> DataFrame:
-        try:
-            return apply.current(self.spark, f"{self.folder}/{name}")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.spark.createDataFrame([], TABLES[name])
+        found = apply.current(self.spark, f"{self.folder}/{name}")
+        return self.spark.createDataFrame([], TABLES[name]) if found is None else found
 
     def put(self, **tables: DataFrame) -> None:
         for name, df in tables.items():
             cols = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES[name].fields]
             apply.set_aside(df.select(cols), f"{self.folder}/{name}")
 
+    @property
+    def plane(self) -> G.Projection:
+        """The configured projection to metres; one that isn't known by its number is a plane about the middle of the project's area."""
+        points = [v for p in self.config.polygons or [] for ring in p for v in ring]
+        middle = lambda i: (min(v[i] for v in points) + max(v[i] for v in points)) / 2 if points else 0.0
+        return G.Projection(self.config.local_srid, (middle(0), middle(1)))
+
     @property
     def base(self) -> DataFrame:
         return views.base_view(self.table("nodes"), self.table("ways"), self.table("relations"))
@@ -96,7 +99,7 @@ class Project:
         c, steps = self.config, Steps(self.spark, "release")
         base_geom, change_geom = self.shapes()
         found, free = target.release_untargeted(
-            self.base, self.table("queue"), base_geom, change_geom, c.rules, steps, target.inside_polygons(c.polygons), c.locha_cluster_distance, G.Projection(c.local_srid)
+            self.base, self.table("queue"), base_geom, change_geom, c.rules, steps, target.inside_polygons(c.polygons), c.locha_cluster_distance, self.plane
         )
         found, free = steps.keep(found), steps.keep(free)
         self.put(queue=target.write_back(self.table("queue"), found))
@@ -115,15 +118,15 @@ class Project:
         base_geom, change_geom = self.shapes()
         queue = self.table("queue")
         rows = target.enriched(queue, self.base, change_geom, base_geom)
-        ids = steps.keep(locha.assign_locha(rows.withColumn("cc_id", F.coalesce("cc_id", "id")), c.locha_cluster_distance, steps, G.Projection(c.local_srid)))
+        ids = steps.keep(locha.assign_locha(rows.withColumn("cc_id", F.coalesce("cc_id", "id")), c.locha_cluster_distance, steps, self.plane))
         queue = steps.keep(target.write_back(queue, ids))
         self.put(queue=queue)
         groups = {name: g.polygon for name, g in c.user_groups.items()}
         versions = history.versions(self.base, queue, base_geom, change_geom, self.table("changesets"), groups)
-        return steps.keep(history.clustered(history.conflated(history.sides(history.history(versions))), steps))
+        return steps.keep(history.clustered(history.conflated(history.sides(history.history(versions)), projection=self.plane, steps=steps), steps))
 
-    def validators(self) -> list[validate.Validator]:
-        """The configured chain; duplicate and network come with what they find in the tables."""
+    def validators(self, now: datetime) -> list[validate.Validator]:
+        """The configured chain; duplicate and network come with what they find in the tables, delayed with the time."""
         queue, out = self.table("queue"), []
         for name, settings in self.config.validators.items():
             settings, given = dict(settings), {}
@@ -131,13 +134,15 @@ class Project:
             kind = validate.kind_of(name, settings)
             if kind == "duplicate":
                 base_geom, change_geom = self.shapes()
-                point = lambda df: df.select("objtype", "id", G.point_on_surface(G.Projection(self.config.local_srid).geometry(F.col("geom"))).alias("p")).select("objtype", "id", "p.x", "p.y")
+                point = lambda df: df.select("objtype", "id", G.point_on_surface(self.plane.geometry(F.col("geom"))).alias("p")).select("objtype", "id", "p.x", "p.y")
                 nodes = self.table("nodes").select(F.lit("n").alias("objtype"), "id", G.point(F.col("lon"), F.col("lat")).alias("geom"))
                 base = self.base.select("objtype", "id", "tags").join(point(nodes.unionByName(base_geom.filter("objtype = 'w'"))), ["objtype", "id"])
                 own = queue.select("objtype", "id", "locha_id", "deleted", "tags").join(point(change_geom), ["objtype", "id"])
                 given["found"] = duplicates.duplicates(base, own, specific)
             if kind == "network":
                 given["found"] = network.network_diff(self.table("ways"), self.table("nodes"), queue, specific)
+            if kind == "delayed" and "now" not in settings:
+                given["now"] = now.astimezone(UTC).replace(tzinfo=None, microsecond=0).isoformat()
             if kind == "tags_changes":
                 given["rules"] = self.config.rules + specific if specific else self.config.rules
             out.append(validate.build(name, settings, **given))
@@ -147,7 +152,7 @@ class Project:
         """Judge the queue, refresh the log, and apply the logical changes of which every link is accepted."""
         steps = Steps(self.spark, "validate")
         links = self.links()
-        judged = validate.validate(links, self.validators(), self.config.rules)
+        judged = validate.validate(links, self.validators(now), self.config.rules)
         at = F.lit(now.astimezone(UTC).replace(tzinfo=None))
         new = steps.keep(validate.log_rows(judged, at))
         free = steps.keep(review.keys_of(new, review.wholly_accepted(new)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terravet.operators.ingest import simplify
+from terravet.plans.tables import Steps
 from terravet.sources.warehouse import typed_change
 
 _TAG = T.ArrayType(T.StructType([T.StructField("_k", T.StringType()), T.StructField("_v", T.StringType())]))
@@ -23,10 +24,14 @@ BLOCK = T.StructType([T.StructField("node", T.ArrayType(_NODE)), T.StructField("
 
 
 def read_osc(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Rows of changes from change files, gzipped or not, in no order; repeated objects stay repeated."""
-    parts = []
+    """Rows of changes from change files, gzipped or not, in no order; repeated objects stay repeated.
+
+    Each file is parsed once for each action. A gzipped file can't be split: it is one task, so give many files of bounded size.
+    """
+    parts, steps = [], Steps(spark, "osc")
     for action in ("create", "modify", "delete"):
         blocks = spark.read.format("xml").option("rowTag", action).schema(BLOCK).load(path)
+        blocks = steps.keep(blocks)
         for tag, t in (("node", "n"), ("way", "w"), ("relation", "r")):
             o = blocks.select(F.explode(tag).alias("o"))
             tags = F.map_from_entries(F.transform("o.tag", lambda x: F.struct(x["_k"].alias("key"), x["_v"].alias("value"))))

@@ -36,9 +36,9 @@ def project(spark, settings):
 
 
 def rows(spark):
-    """A tag of interest, something of no interest, a delete, and a harmless tag."""
+    """A tag of interest, something of no interest, a delete, and a move with a harmless tag."""
     q = D.changes(
-        spark, ("n", 1, 2, False, {"a": "1", "name": "y"}, 0, 0, None), ("n", 4, 1, False, {"c": "1"}, 80, 80, None), ("n", 99, 2, True, None, None, None, None), ("n", 3, 2, False, {"a": "1", "k": "v"}, -50, -50, None)
+        spark, ("n", 1, 2, False, {"a": "1", "name": "y"}, 0, 0, None), ("n", 4, 1, False, {"c": "1"}, 80, 80, None), ("n", 99, 2, True, None, None, None, None), ("n", 3, 2, False, {"a": "1", "k": "v"}, -50, -50.5, None)
     )
     return q.drop("targeted", "locha_id", "cc_id")
 
