@@ -1,36 +1,72 @@
-"""Removal of repeated byte strings by sorted suffixes.
-
-Every window of LENGTH bytes has one anchor: the GRAM-byte string with the least hash in it, the leftmost of equal ones.
-Equal windows have equal anchors at the same offset, so only contexts of equal anchors need comparing. Consecutive windows
-with one anchor form a run; its context is the bytes of them all. A context that occurs twice is repeated throughout. The
-distinct contexts of an anchor have their suffixes from the anchor on, and their reversed prefixes before it, sorted by
-deep-shallow sorting: multikey quicksort to a shallow depth, then a blind trie for each group that agrees that far. The
-common prefixes of neighbours in the two orders say which windows are repeated.
+"""Removal of repeated strings by sorted suffixes.
+
+Strings are of LENGTH bytes, or of PASSAGE words. Every window of such a length has one anchor: the short gram with the
+least hash in it, the leftmost of equal ones. Equal windows have equal anchors at the same offset, so only contexts of equal
+anchors need comparing. Consecutive windows with one anchor form a run; its context is the bytes or words of them all. A
+context that occurs twice is repeated throughout. The distinct contexts of an anchor have their suffixes from the anchor on,
+and their reversed prefixes before it, sorted by deep-shallow sorting: multikey quicksort to a shallow depth, then a blind
+trie for each group that agrees that far. The common prefixes of neighbours in the two orders say which windows are repeated.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, encoded, joined, mix, powers, prefix_sums, slices, small
+from .common import Scratch, encoded, joined, mix, powers, prefix_sums, slices, stretch_hashes, words
 from .near import grouped
 
 LENGTH, GRAM = 400, 64
-SPAN = LENGTH - GRAM + 1
+#: A passage has over 50 words.
+PASSAGE, WORD_GRAM = 51, 5
 #: Bytes that quicksort looks at, and at a time.
 SHALLOW, WORD = 32, 8
 #: Distinct contexts of one anchor that are sorted in one task; the windows of a larger group are counted by a shuffle.
 GROUP = 20_000
-#: Positions in one array of windows.
+#: Bytes of text in one array.
 PLACES = 1 << 23
 
 
+@dataclass(frozen=True)
+class Units:
+    """What strings are made of: `length` units of `size` bytes, with grams of `gram` units. Words stand as their 8-byte hashes."""
+
+    length: int
+    gram: int
+    size: int
+
+    @property
+    def span(self) -> int:
+        return self.length - self.gram + 1
+
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray | None, np.ndarray | None]:
+        """Of all texts together: unit where each starts and ends, the units' bytes, hashes of the grams; of words, start and end in the text."""
+        data, starts, ends = joined(texts)
+        if self.size == 1:
+            sums, n = prefix_sums(data), max(0, len(data) - self.gram)
+            _, down = powers(len(data) + 1)
+            return starts, ends, data.tobytes(), mix((sums[self.gram : self.gram + n] - sums[:n]) * down[:n]), None, None
+        s, e = words(data)
+        h = stretch_hashes(prefix_sums(data), s, e)
+        bounds = np.searchsorted(s, np.concatenate([starts, [len(data)]]))
+        odd, n = mix(np.arange(1, self.gram + 1, dtype=np.uint64)) | np.uint64(1), max(0, len(h) - self.gram + 1)
+        grams = mix(sum((h[j : n + j] * odd[j] for j in range(self.gram)), np.zeros(n, np.uint64)))
+        move = np.repeat(starts, np.diff(bounds))
+        return bounds[:-1], bounds[1:], h.byteswap().tobytes(), grams, s - move, e - move
+
+    def reversed(self, x: bytes) -> bytes:
+        return x[::-1] if self.size == 1 else np.frombuffer(x, np.int64)[::-1].tobytes()
+
+
+BYTES, WORDS = Units(LENGTH, GRAM, 1), Units(PASSAGE, WORD_GRAM, 8)
+
+
 # --- deep-shallow sorting
 
 
@@ -120,15 +156,16 @@ def deep_shallow(strings: list[bytes], shallow: int = SHALLOW) -> tuple[list[int
 # --- which windows of a group's contexts are repeated
 
 
-def repeated(left: list[bytes], right: list[bytes]) -> np.ndarray:
-    """(contexts, LENGTH + 1) booleans: whether the window that begins t bytes before the anchor, which context i holds
-    whole, stands in another of the contexts too. left: bytes before the anchor; right: from the anchor on."""
-    m = len(left)
-    low = np.array([max(0, LENGTH - len(r)) for r in right])
-    high = np.array([len(x) for x in left])
-    l_order, l_common = deep_shallow([x[::-1] for x in left])
+def repeated(left: list[bytes], right: list[bytes], kind: Units = BYTES) -> np.ndarray:
+    """(contexts, length + 1) booleans: whether the window that begins t units before the anchor, which context i holds
+    whole, stands in another of the contexts too. left: units before the anchor; right: from the anchor on."""
+    m, size, length = len(left), kind.size, kind.length
+    low = np.array([max(0, length - len(r) // size) for r in right])
+    high = np.array([len(x) // size for x in left])
+    l_order, l_common = deep_shallow([kind.reversed(x) for x in left])
     r_order, r_common = deep_shallow(right)
-    marks = np.zeros((m, LENGTH + 2), np.int32)
+    l_common, r_common = [x // size for x in l_common], [x // size for x in r_common]
+    marks = np.zeros((m, length + 2), np.int32)
     if m <= 512:
         common = []
         for order, lcp in ((l_order, l_common), (r_order, r_common)):
@@ -138,18 +175,18 @@ def repeated(left: list[bytes], right: list[bytes]) -> np.ndarray:
                 table[at[i], at[i + 1 :]] = run
                 table[at[i + 1 :], at[i]] = run
             common.append(table)
-        first = np.maximum(LENGTH - common[1], np.maximum(low[:, None], low[None, :]))
+        first = np.maximum(length - common[1], np.maximum(low[:, None], low[None, :]))
         last = np.minimum(common[0], np.minimum(high[:, None], high[None, :]))
         np.fill_diagonal(last, -1)
         i, j = np.nonzero(first <= last)
         np.add.at(marks, (i, first[i, j]), 1)
         np.add.at(marks, (i, last[i, j] + 1), -1)
-        return np.cumsum(marks, axis=1)[:, : LENGTH + 1] > 0
-    out = np.zeros((m, LENGTH + 1), bool)
+        return np.cumsum(marks, axis=1)[:, : length + 1] > 0
+    out = np.zeros((m, length + 1), bool)
     l_lcp, r_lcp, l_at, r_at = np.array(l_common), np.array(r_common), np.array(l_order), np.array(r_order)
     for t in range(int(low.min()), int(high.max()) + 1):
         a, b = np.empty(m, np.int64), np.empty(m, np.int64)
-        a[l_at], b[r_at] = np.cumsum(l_lcp < t), np.cumsum(r_lcp < LENGTH - t)
+        a[l_at], b[r_at] = np.cumsum(l_lcp < t), np.cumsum(r_lcp < length - t)
         own = np.flatnonzero((low <= t) & (t <= high))
         _, back, n = np.unique(a[own] * (m + 1) + b[own], return_inverse=True, return_counts=True)
         out[own[n[back] > 1], t] = True
@@ -165,83 +202,102 @@ def stretches(row: np.ndarray) -> list[tuple[int, int]]:
 # --- runs of windows
 
 
-def anchored(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of all texts' runs: text, first window, last window, anchor, all as places in data, and the anchor's hash."""
-    n = len(data) - GRAM
-    if n < SPAN:
-        return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),)
-    sums = prefix_sums(data)
-    _, down = powers(len(data) + 1)
-    h = mix((sums[GRAM : GRAM + n] - sums[:n]) * down[:n])
-    least = (h & ~np.uint64((1 << 24) - 1)) | np.arange(n, dtype=np.uint64)
+def anchored(grams: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: Units = BYTES) -> tuple[np.ndarray, ...]:
+    """Of all texts' runs: text, first window, last window, anchor, all as places in the array of units, and the anchor's hash."""
+    n, span = len(grams), kind.span
+    none = tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),)
+    if n < span:
+        return none
+    least = (grams & ~np.uint64((1 << 24) - 1)) | np.arange(n, dtype=np.uint64)
     width = 1
-    while width * 2 <= SPAN:
+    while width * 2 <= span:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
-    least = np.minimum(least[: n - SPAN + 1], least[SPAN - width :][: n - SPAN + 1])
+    least = np.minimum(least[: n - span + 1], least[span - width :][: n - span + 1])
     anchor = (least & np.uint64((1 << 24) - 1)).astype(np.int64)
-    inside = np.zeros(n - SPAN + 2, np.int32)
-    fits = ends - starts >= LENGTH
-    np.add.at(inside, np.minimum(starts[fits], n - SPAN + 1), 1)
-    np.add.at(inside, np.minimum(ends[fits] - LENGTH + 1, n - SPAN + 1), -1)
+    inside = np.zeros(n - span + 2, np.int32)
+    fits = ends - starts >= kind.length
+    np.add.at(inside, np.minimum(starts[fits], n - span + 1), 1)
+    np.add.at(inside, np.minimum(ends[fits] - kind.length + 1, n - span + 1), -1)
     windows = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
     if not len(windows):
-        return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),)
+        return none
     text = np.searchsorted(ends, windows, "right")
     own = anchor[windows]
     new = np.concatenate([[True], (own[1:] != own[:-1]) | (text[1:] != text[:-1])])
     first = np.flatnonzero(new)
     last = np.concatenate([first[1:] - 1, [len(windows) - 1]])
-    return text[first], windows[first], windows[last], own[first], h[own[first]]
+    return text[first], windows[first], windows[last], own[first], grams[own[first]]
 
 
-def parts(texts: list[bytes]) -> Iterator[tuple[list[bytes], list[int], list[int]]]:
-    """Texts to work on together, each with its number and where it begins; a text beyond PLACES in pieces whose windows follow on."""
+def parts(texts: list[bytes], kind: Units = BYTES) -> Iterator[tuple[list[bytes], list[int], list[int], list[int]]]:
+    """Texts to work on together, each with its number and the byte and unit where it begins; a text beyond PLACES in pieces whose windows follow on."""
     batch, numbers = [], []
     for i, t in enumerate(texts):
         if len(t) <= PLACES:
             batch.append(t)
             numbers.append(i)
+        elif kind.size == 1:
+            for at in range(0, len(t) - kind.length + 1, PLACES):
+                yield [t[at : at + PLACES + kind.length - 1]], [i], [at], [at]
         else:
-            for at in range(0, len(t) - LENGTH + 1, PLACES):
-                yield [t[at : at + PLACES + LENGTH - 1]], [i], [at]
+            data, _, _ = joined([t])
+            s, e = words(data)
+            step = max(1, PLACES // kind.size)
+            for at in range(0, len(s) - kind.length + 1, step):
+                stop = min(len(s), at + step + kind.length - 1)
+                yield [t[s[at] : e[stop - 1]]], [i], [int(s[at])], [at]
     if batch:
-        yield batch, numbers, [0] * len(batch)
+        yield batch, numbers, [0] * len(batch), [0] * len(batch)
 
 
-def runs(docs: DataFrame) -> DataFrame:
-    """(t, gram, c0, c1, first, last, anchor) of each run: hash of the text, anchor's hash, digest of the context, places in the text."""
+def runs(docs: DataFrame, kind: Units = BYTES) -> DataFrame:
+    """(t, gram, c0, c1, first, last, anchor, b0, b1, b2) of each run: digest of the text, anchor's hash, digest of the context, places in units;
+    and the bytes where the context begins, its anchor begins and it ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column(1)):
-                keys = np.asarray(batch.column(0).slice(a, b - a))
-                for texts, numbers, begins in parts(encoded(batch.column(1).slice(a, b - a))):
-                    data, starts, ends = joined(texts)
-                    text, first, last, anchor, gram = anchored(data, starts, ends)
+                names = batch.column(0).slice(a, b - a)
+                for texts, numbers, begins, before in parts(encoded(batch.column(1).slice(a, b - a)), kind):
+                    starts, ends, raw, grams, unit_start, unit_end = kind.of(texts)
+                    text, first, last, anchor, gram = anchored(grams, starts, ends, kind)
                     if not len(text):
                         continue
-                    raw = data.tobytes()
+                    size, stop = kind.size, last + kind.length
                     digest = b"".join(
-                        [hashlib.blake2b(raw[f : e + LENGTH], digest_size=16, salt=o.to_bytes(2, "big")).digest() for f, e, o in zip(first.tolist(), last.tolist(), (anchor - first).tolist())]
+                        [hashlib.blake2b(raw[f * size : e * size], digest_size=16, salt=o.to_bytes(2, "big")).digest() for f, e, o in zip(first.tolist(), stop.tolist(), (anchor - first).tolist())]
                     )
                     c = np.frombuffer(digest, np.int64).reshape(-1, 2)
-                    move = np.array(begins)[text] - starts[text]
-                    key = keys[np.array(numbers)[text]]
-                    cols = [key, gram.view(np.int64), c[:, 0], c[:, 1], *[(x + move).astype(np.int32) for x in (first, last, anchor)]]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["t", "gram", "c0", "c1", "first", "last", "anchor"])
+                    move, shift = np.array(before)[text] - starts[text], np.array(begins)[text]
+                    places = [x + move for x in (first, last, anchor)]
+                    places += [x + move for x in (first, anchor, stop)] if unit_start is None else [x + shift for x in (unit_start[first], unit_start[anchor], unit_end[stop - 1])]
+                    cols = [names.take(pa.array(np.array(numbers)[text])), pa.array(gram.view(np.int64)), pa.array(c[:, 0]), pa.array(c[:, 1]), *[pa.array(x.astype(np.int32)) for x in places]]
+                    yield pa.RecordBatch.from_arrays(cols, ["t", "gram", "c0", "c1", "first", "last", "anchor", "b0", "b1", "b2"])
 
-    return docs.select(F.xxhash64("text").alias("t"), "text").filter("text IS NOT NULL").mapInArrow(run, "t long, gram long, c0 long, c1 long, first int, last int, anchor int")
+    schema = "t binary, gram long, c0 long, c1 long, first int, last int, anchor int, b0 int, b1 int, b2 int"
+    return docs.select(name(F.col("text")).alias("t"), "text").filter("text IS NOT NULL").mapInArrow(run, schema)
 
 
-def sorted_groups(contexts: DataFrame) -> DataFrame:
+def name(text: Column) -> Column:
+    """A text's identity, of 128 bits."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def sorted_groups(contexts: DataFrame, kind: Units = BYTES) -> DataFrame:
     """(c0, c1, low, high): stretches of repeated windows, as offsets of the anchor, of contexts (gram, c0, c1, n, left, right)."""
 
+    def units(texts: list[bytes]) -> list[bytes]:
+        if kind.size == 1:
+            return texts
+        starts, ends, raw, *_ = kind.of(texts)
+        return [raw[a * 8 : b * 8] for a, b in zip(starts.tolist(), ends.tolist())]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[int, int, int, int]] = []
         for _, c0, c1, n, left, right in grouped(batches, 1):
             if len(n) > 1 and min(n) == 1:
-                found = repeated(left, right)
+                found = repeated(units(left), units(right), kind)
                 for i in range(len(n)):
                     if n[i] == 1 and found[i].any():
                         rows += [(c0[i], c1[i], a, b) for a, b in stretches(found[i])]
@@ -258,65 +314,88 @@ def sorted_groups(contexts: DataFrame) -> DataFrame:
     return contexts.select("gram", "c0", "c1", "n", "left", "right").repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "c0 long, c1 long, low int, high int")
 
 
-def counted_windows(contexts: DataFrame) -> DataFrame:
+def counted_windows(contexts: DataFrame, kind: Units = BYTES) -> DataFrame:
     """The same as sorted_groups for groups too large for one task: each window is a row, and equal ones are counted."""
-    whole = F.concat("left", "right")
-    each = contexts.select("gram", "c0", "c1", "n", F.octet_length("left").alias("l"), whole.alias("w"), F.explode(F.sequence(F.lit(0), F.octet_length(whole) - LENGTH)).alias("at"))
-    each = each.select("gram", "c0", "c1", "n", (F.col("l") - F.col("at")).alias("low"), F.md5(F.substring("w", F.col("at") + 1, F.lit(LENGTH))).alias("window"))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            for i in range(batch.num_rows):
+                starts, ends, raw, *_ = kind.of([left[i], right[i]])
+                size, l = kind.size, int(ends[0] - starts[0])
+                whole = raw[starts[0] * size : ends[0] * size] + raw[starts[1] * size : ends[1] * size]
+                at = range(len(whole) // size - kind.length + 1)
+                digests = [hashlib.blake2b(whole[x * size : (x + kind.length) * size], digest_size=16).digest() for x in at]
+                cols = [batch.column(c).slice(i, 1).take(pa.array(np.zeros(len(at), np.int64))) for c in range(4)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([l - x for x in at], pa.int32()), pa.array(digests, pa.binary())], ["gram", "c0", "c1", "n", "low", "window"])
+
+    each = contexts.select("gram", "c0", "c1", "n", "left", "right").mapInArrow(windows, "gram long, c0 long, c1 long, n long, low int, window binary")
     many = each.groupBy("gram", "low", "window").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
     return each.filter("n = 1").join(many, ["gram", "low", "window"], "left_semi").select("c0", "c1", "low", F.col("low").alias("high"))
 
 
-def spans(docs: DataFrame, scratch: Scratch, group: int = GROUP) -> DataFrame:
-    """(t, starts array<int>, ends array<int>): the disjoint stretches to remove of each text, by its hash."""
-    found = scratch.save(runs(docs))
-    at = F.struct("t", "first", "last", "anchor")
-    contexts = scratch.save(found.groupBy("c0", "c1").agg(F.count(F.lit(1)).alias("n"), F.first("gram").alias("gram"), F.min(at).alias("at")))
-    meet = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("single")).filter("k > 1 AND single = 1").select("gram", "k")
-    rest = contexts.join(small(scratch.save(meet)), "gram").select("gram", "k", "c0", "c1", "n", "at.*")
-    rest = scratch.save(rest)
-    need = small(scratch.save(rest.select("t").distinct()))
-    texts = docs.select(F.xxhash64("text").alias("t"), F.col("text").cast("binary").alias("b")).filter("b IS NOT NULL").join(need, "t", "left_semi")
-    bytes_ = lambda a, b: F.substring("b", a + 1, b - a)
-    cut = rest.join(texts, "t").select(
-        "gram", "k", "c0", "c1", "n", bytes_(F.col("first"), F.col("anchor")).alias("left"), bytes_(F.col("anchor"), F.col("last") + LENGTH).alias("right")
-    )
-    # Copies of a text give its contexts several times over.
-    cut = scratch.save(cut.dropDuplicates(["c0", "c1"]))
-    edges = sorted_groups(cut.filter(F.col("k") <= group)).union(counted_windows(cut.filter(F.col("k") > group)))
-    inner = contexts.filter("n > 1").select("c0", "c1", (F.col("at.anchor") - F.col("at.last")).alias("low"), (F.col("at.anchor") - F.col("at.first")).alias("high"))
-    covered = scratch.save(inner.union(edges))
-    places = found.join(small(covered), ["c0", "c1"]).select("t", F.struct((F.col("anchor") - F.col("high")).alias("a"), (F.col("anchor") - F.col("low") + LENGTH).alias("b")).alias("s"))
-    lists = places.groupBy("t").agg(F.sort_array(F.collect_set("s")).alias("s")).select("t", F.col("s.a").alias("a"), F.col("s.b").alias("b"))
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            starts, ends = [], []
-            for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                x, y = [a[0]], [b[0]]
-                for s, e in zip(a[1:], b[1:]):
-                    if s <= y[-1]:
-                        y[-1] = max(y[-1], e)
-                    else:
-                        x.append(s)
-                        y.append(e)
-                starts.append(x)
-                ends.append(y)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], ["t", "starts", "ends"])
-
-    return scratch.save(lists.mapInArrow(merge, "t long, starts array<int>, ends array<int>"))
+def spans(docs: DataFrame, scratch: Scratch, kind: Units = BYTES, group: int = GROUP) -> DataFrame:
+    """(t, starts array<int>, ends array<int>): the disjoint stretches of each text, in units, that repeated strings cover."""
+    with scratch.inner() as own:
+        with own.inner() as first:
+            every = first.save(runs(docs, kind))
+            again = every.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("gram")
+            found = own.save(every.join(again, "gram", "left_semi"))
+        at = F.struct("t", "b0", "b1", "b2")
+        offsets = [(F.col("anchor") - F.col("last")).alias("low"), (F.col("anchor") - F.col("first")).alias("high")]
+        contexts = own.save(found.groupBy("c0", "c1").agg(F.count(F.lit(1)).alias("n"), F.first("gram").alias("gram"), F.min(at).alias("at"), *[F.first(x).alias(n) for x, n in zip(offsets, ("low", "high"))]))
+        meet = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("single")).filter("k > 1 AND single = 1").select("gram", "k")
+        rest = own.save(contexts.join(meet, "gram").select("gram", "k", "c0", "c1", "n", "at.*"))
+        need = rest.select("t").distinct()
+        texts = docs.select(name(F.col("text")).alias("t"), F.col("text").cast("binary").alias("b")).filter("b IS NOT NULL").join(need, "t", "left_semi")
+        bytes_ = lambda a, b: F.substring("b", F.col(a) + 1, F.col(b) - F.col(a))
+        cut = rest.join(texts, "t").select("gram", "k", "c0", "c1", "n", bytes_("b0", "b1").alias("left"), bytes_("b1", "b2").alias("right"))
+        # Copies of a text give its contexts several times over.
+        cut = own.save(cut.dropDuplicates(["c0", "c1"]))
+        edges = sorted_groups(cut.filter(F.col("k") <= group), kind).union(counted_windows(cut.filter(F.col("k") > group), kind))
+        covered = own.save(contexts.filter("n > 1").select("c0", "c1", "low", "high").union(edges))
+        places = found.join(covered, ["c0", "c1"]).select("t", F.struct((F.col("anchor") - F.col("high")).alias("a"), (F.col("anchor") - F.col("low") + kind.length).alias("b")).alias("s"))
+        lists = places.groupBy("t").agg(F.sort_array(F.collect_set("s")).alias("s")).select("t", F.col("s.a").alias("a"), F.col("s.b").alias("b"))
+        return scratch.save(lists.mapInArrow(merged, "t binary, starts array<int>, ends array<int>"))
+
+
+def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted stretches joined where they meet."""
+    for batch in batches:
+        starts, ends = [], []
+        for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            x, y = [a[0]], [b[0]]
+            for s, e in zip(a[1:], b[1:]):
+                if s <= y[-1]:
+                    y[-1] = max(y[-1], e)
+                else:
+                    x.append(s)
+                    y.append(e)
+            starts.append(x)
+            ends.append(y)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], ["t", "starts", "ends"])
+
+
+def passages(docs: DataFrame, scratch: Scratch, group: int = GROUP) -> DataFrame:
+    """(t, passage_words): how many words of each text, by its digest, lie in a string of PASSAGE words that also stands elsewhere."""
+    found = spans(docs, scratch, WORDS, group)
+    total = lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + x)
+    return scratch.save(found.select("t", (total("ends") - total("starts")).cast("long").alias("passage_words")))
 
 
 def remove_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary (the bytes that stay) of every row of docs; other columns go.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary (the bytes that stay), passage_words of every row of docs; other columns go.
 
     Each byte of a text (UTF-8) that a string of LENGTH bytes covers which also starts anywhere else, in the same text or
     another, is removed; strings are judged on the input. Every copy of a repeated string goes. Strings never cross texts,
     and a text shorter than LENGTH, a null or an empty one loses nothing (null: no bytes). Rows are texts whatever their
-    ids: repeated rows are copies of each other, and a null id is an id. Texts of any length are whole.
+    ids: repeated rows are copies of each other, and a null id is an id. Texts of any length are whole. passage_words counts
+    the words (runs of bytes that aren't ASCII white space) within repeated strings of PASSAGE words, whatever their bytes
+    and the white space between them; they are reported, and removed only where the rule for bytes says so.
     """
     scratch = Scratch(docs.sparkSession, "substrings")
-    gone = spans(docs.select("text"), scratch, group)
+    texts = docs.select("text")
+    gone, told = spans(texts, scratch, BYTES, group), passages(texts, scratch, group)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,9 +408,11 @@ def remove_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
                 count.append(len(a or ()))
                 sha.append(hashlib.sha256(rest).hexdigest())
                 kept.append(rest)
-            cols = [batch.column(0), *[pa.array(x, pa.int64()) for x in (n, removed, count)], pa.array(sha, pa.string()), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
-    joined_ = rows.join(small(gone), "t", "left").select("doc_id", "text", "starts", "ends")
-    return joined_.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+            cols = [batch.column(0), *[pa.array(x, pa.int64()) for x in (n, removed, count)], pa.array(sha, pa.string()), pa.array(kept, pa.binary()), batch.column(4)]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "passage_words"])
+
+    rows = docs.select("doc_id", "text", name(F.col("text")).alias("t"))
+    # Both sides are by text: one table of what is known of each, so that the texts move once at most.
+    known = scratch.save(gone.join(told, "t", "full_outer"))
+    joined_ = rows.join(known, "t", "left").select("doc_id", "text", "starts", "ends", F.coalesce("passage_words", F.lit(0).cast("long")))
+    return joined_.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, passage_words long")
