@@ -18,7 +18,7 @@ from terravet.functions import geometry as G
 from terravet.functions import overpass
 from terravet.operators import apply, changesets, duplicates, export, history, ingest, locha, network, review, shapes, target, validate, views
 from terravet.plans.tables import Steps, importable
-from terravet.sources import osc
+from terravet.sources import osc, pbf, replication
 from terravet.sources.config import Config
 
 TABLES = {
@@ -80,6 +80,28 @@ class Project:
 
     # --- stages
 
+    def import_base(self, *paths: str) -> None:
+        """Extracts in the PBF format as the base, in place of what there was; the first one's state is where fetching begins."""
+        parts = [pbf.read(self.spark, p) for p in paths]
+        own = lambda t: ingest.merge_extracts(*[p.filter(F.col("objtype") == t) for p in parts], keep_latest=True)
+        self.put_base(own("n").unionByName(own("w")).unionByName(own("r")))
+        state = pbf.replication(pbf.paths_of(paths[0])[0])
+        if "sequence_number" in state:
+            began = osc.State(int(state["sequence_number"]), state.get("timestamp", datetime.fromtimestamp(0, UTC)))
+            osc.write_text(self.spark, f"{self.folder}/replication/state.txt", began.text())
+
+    def fetch_changes(self, server: str, size: int = replication.SIZE) -> int:
+        """Import the change files that a replication folder has after the project's state, at most `size` bytes; the code says whether there were any.
+
+        The state moves once the queue is written; a run that is lost between the two imports the same files again.
+        """
+        text = osc.read_text(self.spark, f"{self.folder}/replication/state.txt")
+        found = replication.after(self.spark, server, osc.State.parse(text) if text else osc.State(0, datetime.fromtimestamp(0, UTC)), size)
+        if found.files:
+            self.import_changes(osc.merged_diffs(self.spark, found.files).withColumn("insert_order", F.lit(0)))
+            osc.write_text(self.spark, f"{self.folder}/replication/state.txt", found.state.text())
+        return found.code
+
     def import_changes(self, batch: DataFrame) -> None:
         """batch: changes with insert_order."""
         self.put(queue=ingest.import_changes(self.table("queue"), batch))
@@ -169,7 +191,11 @@ class Project:
     # --- out
 
     def export(self, path: str) -> None:
-        export.full_dump(self.base, path)
+        """The whole base: a folder of PBF files if the path ends so, else parquet."""
+        if path.endswith(".osm.pbf"):
+            pbf.write(self.base, path)
+        else:
+            export.full_dump(self.base, path)
 
     def export_update(self, now: datetime) -> bool:
         """The journal as the next numbered diff; the journal is empty then. False if there was nothing."""

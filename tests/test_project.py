@@ -12,20 +12,6 @@ from terravet.streaming import micro_batch
 from tests import domain as D
 
 NOW = datetime(2024, 1, 1, tzinfo=UTC)
-WORLD = {"type": "Polygon", "coordinates": [[[-180, -90], [180, -90], [180, 90], [-180, 90], [-180, -90]]]}
-
-
-@pytest.fixture
-def settings(tmp_path):
-    (tmp_path / "demo").mkdir()
-    (tmp_path / "demo/world.geojson").write_text(json.dumps(WORLD))
-    (tmp_path / "demo/tags.json").write_text(json.dumps([{"select": ["[a]"], "interest": {"name": None}, "sources": ["s"]}]))
-    (tmp_path / "common.yaml").write_text("description: {en: d}\nmain_contacts: [me]\n")
-    (tmp_path / "demo/config.yaml").write_text(
-        "extends: ../common.yaml\ntitle: {en: Demo}\nlocal_srid: 4326\nlocha_cluster_distance: 1\nuser_groups:\n  all: {title: All, polygon: world.geojson, osm_tags: tags.json, users: [me]}\n"
-        "validators:\n  deleted: {}\n  tags_changes: {}\n"
-    )
-    return tmp_path
 
 
 def project(spark, settings):
@@ -98,3 +84,41 @@ def test_query_language(spark, settings):
     for bad in ("node[a", "node[a];", "out(", "what;", "node(1,2,3);out;"):
         with pytest.raises(ValueError):
             overpass.query(p.base.limit(0).withColumn("geom", osc.F.lit(None).cast("struct<kind:string,parts:array<array<struct<x:double,y:double>>>>")), bad)
+
+
+def test_delays_hang_on_the_time_of_the_update(spark, settings):
+    """A change of half a year before: with both delays named only the later one speaks, and only once it is so old."""
+    text = (settings / "demo/config.yaml").read_text()
+    said = {}
+    for days in (10, 400):
+        (settings / "demo/config.yaml").write_text(text.replace("  deleted: {}\n  tags_changes: {}\n", f"  late: {{instance: Delayed, after_delay: {days * 86400}, action: accept}}\n  early: {{instance: Delayed, before_delay: {days * 86400}, action: reject}}\n"))
+        p = project(spark, settings)
+        p.put(queue=p.table("queue").limit(0), log=p.table("log").limit(0), journal=p.table("journal").limit(0))
+        when = osc.F.lit(datetime(2023, 7, 1)).cast("timestamp_ntz")
+        p.update(rows(spark).withColumn("created", when).withColumn("insert_order", osc.F.lit(0)), None, NOW)
+        said[days] = {r["after_object"]["id"]: r["action"] for r in p.table("log").collect()}
+    assert said[10][1] == "accept" and said[400][1] == "reject"
+
+
+def test_distances_are_metres(spark, settings):
+    """A move of some 110 m in UTM zone 31: within 200 m, beyond 50 m; and a deleted and a created node some 50 km apart are no one object."""
+    text = (settings / "demo/config.yaml").read_text().replace("local_srid: 4326", "local_srid: 32631")
+    for dist, verdict in ((200, "accept"), (50, "reject")):
+        (settings / "demo/config.yaml").write_text(text.replace("  deleted: {}\n  tags_changes: {}\n", f"  moved: {{instance: GeomChanges, dist: {dist}, accept: moved_little, reject: moved_far}}\n"))
+        p = Project(spark, f"file://{settings}/metres{dist}", config.load(settings / "demo/config.yaml"))
+        p.put(nodes=D.nodes(spark, (1, {"a": "1"}, 3.0, 45.0), (2, {"a": "1", "name": "x"}, 3.0, 45.5)), ways=D.ways(spark), relations=D.relations(spark))
+        q = D.changes(spark, ("n", 1, 2, False, {"a": "1"}, 3.0, 45.001, None), ("n", 2, 2, True, None, 3.0, 45.5, None), ("n", 7, 1, False, {"a": "1", "name": "x"}, 3.0, 45.95, None)).drop("targeted", "locha_id", "cc_id")
+        p.update(q.withColumn("insert_order", osc.F.lit(0)), None, NOW)
+        log = p.table("log").collect()
+        (moved,) = [r for r in log if r["after_object"]["id"] == 1]
+        (said,) = moved["diff_attribs"]["geom"]
+        assert (said["validator_id"], said["action"]) == (f"moved_{'little' if verdict == 'accept' else 'far'}", verdict) and 100 < float(said["options"]["dist"]) < 120
+        assert not [r for r in log if r["before_object"] is not None and r["before_object"]["id"] == 2 and r["after_object"]["id"] == 7]
+
+
+def test_names_of_verdicts_belong_to_two_sided_validators(settings):
+    from terravet.operators import validate
+
+    assert validate.build("geom_changes", {"dist": 3, "accept": "a", "reject": "b"}).accept == "a"
+    with pytest.raises(ValueError, match="name the two verdicts"):
+        validate.build("deleted", {"accept": "a"})
