@@ -27,6 +27,8 @@ def test_pieces(docs, clashing, rows, empty):
         got = pieces.tokenize(table, MODEL, table_chunks=500).collect()
         assert Counter((r["doc_id"], r["n_tokens"], tuple(r["ids"]), r["decoded"]) for r in got) == expected
     assert pieces.tokenize(empty, MODEL).count() == 0
+    got = pieces.tokenize_joined(clashing, MODEL).collect()
+    assert Counter((r["doc_id"], r["n_tokens"], tuple(r["ids"]), r["decoded"]) for r in got) == expected and pieces.tokenize_joined(empty, MODEL).count() == 0
 
 
 def test_pieces_whole_text_equals_chunks():
@@ -135,6 +137,85 @@ def test_gradient_is_right():
     assert np.allclose(p.sum(axis=1), 1) and np.mean(p.argmax(axis=1) == [r[0] for r in rows]) == 1
 
 
+def test_fit_is_a_maximum():
+    """On ratings that overlap: no small step of a weight or threshold raises the penalised likelihood that fit_rows maximises."""
+    rng = np.random.default_rng(4)
+    rows = [(int(np.clip(round(x + rng.normal() * 0.7), 0, 2)), np.array([0, 1 + int(x)]), np.array([1.0, 1.0])) for x in rng.integers(0, 3, 600)]
+    m = quality.fit_rows(rows, 3, bits=4)
+    y, weigh = np.array([r[0] for r in rows]), None
+    weigh = (len(y) / (3 * np.bincount(y, minlength=3)))[y]
+
+    def value(weights, thresholds):
+        made = quality.Ordinal(weights, thresholds)
+        p = made.grades(np.array([made.score(a, v) for _, a, v in rows]))[np.arange(len(y)), y]
+        return float((weigh * np.log(p)).mean() - quality.PENALTY / 2 * (weights**2).sum())
+
+    best = value(m.weights, m.thresholds)
+    for step in (0.05, -0.05):
+        for k in range(4):
+            w = m.weights.copy()
+            w[k] += step
+            assert value(w, m.thresholds) <= best + 1e-5
+        for k in range(2):
+            t = m.thresholds.copy()
+            t[k] += step
+            assert value(m.weights, t) <= best + 1e-5
+    # Scores by hand: the distribution function of each threshold less the score.
+    p = m.grades(np.array([0.3]))[0]
+    below = 1 / (1 + np.exp(-(m.thresholds - 0.3)))
+    assert np.allclose(p, [below[0], below[1] - below[0], 1 - below[1]])
+
+
+def test_quality_learns_from_whole_texts(spark):
+    """What tells the grade stands after 3,000 other distinct words, in null-free and repeated rows."""
+    rng = random.Random(3)
+    filler = [f"filler{i}" for i in range(3000)]
+    mark = {0: "vile", 1: "cheap", 2: "river"}
+    rows = [(i, " ".join(rng.sample(filler, 3000)) + " " + " ".join([mark[i % 3] * 3] * 40), i % 3) for i in range(90)]
+    df = spark.createDataFrame([*rows, rows[0], (None, "vile", 0)], "doc_id long, text string, grade int")
+    model = quality.fit(df, df.select("doc_id", "grade"))
+    got = quality.grade(df.filter("doc_id IS NOT NULL"), model).dropDuplicates(["doc_id"]).collect()
+    assert np.mean([round(r["expected_grade"]) == r["doc_id"] % 3 for r in got]) > 0.95
+
+
+def test_language_learns_every_label_from_whole_texts(spark):
+    """230 labels, and texts that tell their language only after 1,200 characters."""
+    rng = random.Random(5)
+    own = {f"l{i:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(12)] for i in range(230)}
+    text = lambda k: "same beginning of all " * 55 + " ".join(rng.choice(own[k]) for _ in range(300))
+    rows = [(j * 1000 + i, text(k), k) for i, k in enumerate(own) for j in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    made = language.fit(df)
+    assert sorted(made) == sorted(own)
+    fresh = spark.createDataFrame([(i, text(k), k) for i, k in enumerate(own) if i % 10 == 0], "doc_id long, text string, lang string")
+    got = language.identify(fresh, made, keep=("doc_id", "lang")).collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.95
+
+
+def test_language_against_plain_compression(spark):
+    """Predictions of each row against the smallest size by a compressor made here for each language."""
+    import zstandard
+
+    rng = random.Random(6)
+    own = {"aa": "kalomitu", "bb": "scheinungver", "cc": "nholhaque"}
+    text = lambda k, n: " ".join("".join(rng.choice(own[k]) for _ in range(4)) for _ in range(n))
+    made = {k: text(k, 400).encode() for k in own}
+    rows = [(i, text(rng.choice(list(own)), rng.randint(1, 2500))) for i in range(60)]
+    rows += [rows[0], (None, rows[1][1])]
+    got = language.identify(spark.createDataFrame(rows, "doc_id long, text string"), made, keep=("doc_id", "text")).collect()
+
+    def size(k, t):
+        c = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(made[k], dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+        return sum(len(c.compress(t[a : a + language.BLOCK_CHARS].encode())) for a in range(0, len(t), language.BLOCK_CHARS))
+
+    assert len(got) == len(rows)
+    for r in got:
+        sizes = {k: size(k, r["text"]) for k in own}
+        assert sizes[r["lang_pred"]] == min(sizes.values()) and r["rejected"] == (sorted(sizes.values())[1] - min(sizes.values()) < language.MARGIN * sorted(sizes.values())[1])
+
+
+
+
 def test_mixing(spark, docs, clashing, rows, empty):
     many = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 100 == 1, "b").otherwise("c").alias("source"))
     got = mixing.mix(many, {"a": 0.5, "b": 0.25, "c": 0.25})
@@ -200,6 +281,30 @@ def test_neighbours(spark, cloud):
     assert hits / total >= 0.9
 
 
+def test_edges_are_crossed_in_expected_order():
+    for m in (1, 2, 3, 5):
+        sets = vectors.edge_sets(m, 10**6)
+        assert len(sets) == 3**m == len({tuple(sorted(x for x in s if x >= 0)) for s in sets.tolist()})
+        made, q = vectors.Hashes(4, 1, m, 2.0, 10**6), np.random.default_rng(m).normal(size=(5, 5))
+        low, _ = made.slots(0, q)
+        keys = made.visits(0, q)
+        near = {k for d in np.ndindex(*[3] * m) for k in made.keys(0, low[0] + np.array(d) - 1)[None].tolist()}
+        assert set(keys[0].tolist()) == near and (keys[:, 0] == made.keys(0, low)).all()
+
+
+def test_large_norms_lose_no_neighbour_to_rounding(spark):
+    """Products near 0 of vectors with norms of 1e8, where rounding is larger than the differences."""
+    rng = np.random.default_rng(3)
+    q = rng.normal(size=8) * 1e8
+    x = rng.normal(size=(300, 8)) * 1e8
+    x -= np.outer(x @ q / (q @ q), q)
+    x += np.outer(rng.normal(size=300) * 1e-12, q)
+    rows = [(0, q.tolist())] + [(i + 1, v.tolist()) for i, v in enumerate(x)]
+    got = vectors.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=10).orderBy("rank").collect()
+    score = [(-float((np.array(v) * q).sum()), i) for i, v in rows[1:]]
+    assert [(r["vec_id"]) for r in got] == [i for _, i in sorted(score)[:10]]
+
+
 def test_few_vectors_give_all(spark):
     df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "vec_id long, embedding array<float>")
     got = vectors.neighbours(df, F.col("vec_id") == 0, k=20).orderBy("rank").collect()
