@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,11 +12,11 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that may be broadcast: 2 million keys of 8 to 24 bytes stay below 100 MB in every executor.
-BROADCAST_ROWS = 2_000_000
+#: Bytes that may be broadcast, Spark's own bound.
+BROADCAST_BYTES = 10 << 20
 #: Bytes of text that the vectorised code works on at a time; a longer text is worked on alone.
 SLICE_BYTES = 1 << 20
 
@@ -24,9 +25,11 @@ BASE = 0x9E3779B97F4A7C15 | 1
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset, as in tests, one of our own."""
+    """The folder of spark.checkpoint.dir; where that is unset, one of our own, for a local master only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         found = "file://" + tempfile.mkdtemp(prefix="terravet-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -42,10 +45,13 @@ def importable(spark: SparkSession) -> None:
 
 
 class Scratch:
-    """Tables written to the shared folder: they cut the lineage, and a lost executor costs nothing that was written."""
+    """Tables written to the shared folder: they cut the lineage, and a lost executor costs nothing that was written.
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.n = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
+    What only leads to another table goes to an `inner` scratch, whose tables are removed when its block is left.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, root: str | None = None):
+        self.spark, self.root, self.n = spark, f"{root or shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
 
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -53,15 +59,24 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def inner(self) -> Scratch:
+        return Scratch(self.spark, "inner", self.root)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.drop()
+
     def drop(self) -> None:
         """Remove every table of this scratch; only once nothing lazy reads them."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a saved table for broadcast if its counted size is below the bound; else leave the join to shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame, row: Column, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a saved table for broadcast if its measured bytes, `row` for each row, are below the bound; else leave the join to Spark."""
+    return F.broadcast(df) if (df.agg(F.sum(row)).first()[0] or 0) <= most else df
 
 
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
