@@ -16,10 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
-#: Documents that the dictionary of a language is cut from, and bytes taken of each; the bounds of the fit.
-SAMPLE_DOCS, SAMPLE_BYTES = 400, 1024
-#: Languages at most; their dictionaries go to every task.
-MOST_LANGUAGES = 200
+#: Documents that the dictionary of a language is cut from, and characters taken of each, in stretches spread over all of it; the bounds of the fit.
+SAMPLE_DOCS, SAMPLE_CHARS, STRETCHES = 400, 1024, 4
+#: Bytes of all dictionaries together, which go to every task: with very many languages each has an equal, smaller share.
+DICTIONARY_BYTES = 64 << 20
 BLOCK_CHARS = 4096
 #: A text is rejected if the second language needs less than this share more bytes.
 MARGIN = 0.002
@@ -36,23 +36,31 @@ def fit(docs: DataFrame, label: str = "lang", per_language: int = SAMPLE_DOCS, s
     """A dictionary for each label. docs: the labelled rows to learn from (text and label are all that is used).
 
     Rows are sampled by a hash at a rate that follows each label's count, distinct texts only, and at most
-    `per_language` of them are kept. Rows with a null label or without text teach nothing.
+    `per_language` of them are kept, of each SAMPLE_CHARS characters spread over the whole text. Every label that has text
+    with letters gets a dictionary. Rows with a null label or without text teach nothing.
     """
     known = docs.filter(F.col(label).isNotNull() & F.col("text").isNotNull()).select(F.col(label).alias("lang"), "text")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = known.groupBy("lang").count().collect()
     if not counts:
         return {}
-    rate = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(int(1e6 * min(1.0, 4 * per_language / r["count"]))))])
-    key = F.xxhash64(F.lit(seed), "text")
-    sample = known.withColumn("key", key).filter(F.pmod("key", F.lit(1_000_000)) < rate[F.col("lang")])
-    sample = sample.select("lang", "key", F.substring("text", 1, 4 * SAMPLE_BYTES).alias("text")).dropDuplicates(["lang", "key"])
+    per_language = max(1, min(per_language, DICTIONARY_BYTES // (4 * SAMPLE_CHARS * len(counts))))
+    rates = docs.sparkSession.createDataFrame([(r["lang"], int(1e6 * min(1.0, 4 * per_language / r["count"]))) for r in counts], "lang string, rate long")
+    sample = known.withColumn("key", F.xxhash64(F.lit(seed), "text")).join(F.broadcast(rates), "lang").filter(F.pmod("key", F.lit(1_000_000)) < F.col("rate"))
+    sample = sample.select("lang", "key", spread(F.col("text")).alias("text")).dropDuplicates(["lang", "key"])
     first = sample.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("key", F.lit(1_000_003)), "key"))).filter(F.col("n") <= per_language)
     parts: dict[str, list[str]] = {}
     for r in first.orderBy("lang", "n").select("lang", "text").collect():
-        parts.setdefault(r["lang"], []).append(letters(r["text"])[:SAMPLE_BYTES])
+        parts.setdefault(r["lang"], []).append(letters(r["text"]))
     return {k: " ".join(x for x in v if x).encode() for k, v in parts.items() if any(v)}
 
 
+def spread(text: Column) -> Column:
+    """A text of at most SAMPLE_CHARS characters whole; of a longer one so many in STRETCHES parts, from its beginning to its end."""
+    n, part = F.length(text), SAMPLE_CHARS // STRETCHES
+    cut = [F.substring(text, (F.floor((n - part) * F.lit(i) / F.lit(STRETCHES - 1)) + 1).cast("int"), F.lit(part)) for i in range(STRETCHES)]
+    return F.when(n <= SAMPLE_CHARS, text).otherwise(F.concat_ws(" ", *cut))
+
+
 class Classifier:
     def __init__(self, dictionaries: dict[str, bytes], level: int = 3):
         import zstandard
