@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +40,24 @@ SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PRO
 LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT,
 STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF
 ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
-    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list
+of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
+this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE
+COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR
+CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT
+NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION)
+HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR
+OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "Apache-2.0 header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
 compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless
 required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS"
 BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
 governing permissions and limitations under the License.""",
-    "GPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
+    "GPL-3.0 header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
 Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
 version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
 warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You
@@ -57,7 +70,7 @@ purpose, commercial or non-commercial, and by any means.""",
 held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for
 any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
 restrictions.""",
-    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL
+    "MPL-2.0 header": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL
 was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
     "CC-BY-4.0 notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
@@ -65,6 +78,15 @@ was not distributed with this file, You can obtain one at https://mozilla.org/MP
     "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3.",
     "MIT notice": "Released under the MIT License.",
 }
+#: Licences whose whole texts lie in licence_texts.
+FULL = ["Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"]
+
+
+def templates_known() -> dict[str, str]:
+    """The texts above and the full texts; read where a scan is planned, and sent to the tasks with it."""
+    return TEMPLATES | {n: (resources.files(__package__) / "licence_texts" / f"{n}.txt").read_text("utf-8") for n in FULL}
+
+
 #: Words too common to lead to a template.
 COMMON = "a an and any are as at be by for from in is it not of on or that the this to with you".split()
 DICE = 0.8
@@ -86,7 +108,8 @@ def bigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str] = TEMPLATES, dice: float = DICE):
+    def __init__(self, templates: dict[str, str] | None = None, dice: float = DICE):
+        templates = templates_known() if templates is None else templates
         self.names, self.dice = sorted(templates), dice
         common = set(bigrams([" ".join(COMMON).encode()])[0].tolist())
         self.sets, self.lengths, leads = [], [], {}
@@ -133,26 +156,21 @@ class Scanner:
     def text(self, pair: np.ndarray, hits: np.ndarray) -> list[tuple[int, float, int]]:
         """(template, coefficient, first word) of each template that the whole text, a window of the template's length, or a span between two matching bigrams reaches."""
         best: dict[int, tuple[float, int]] = {}
-        tried = {}
+        windows: dict[int, set[int]] = {}
         begun: dict[int, list[int]] = {}
         for at in hits.tolist():
             for k, j in self.leads[int(pair[at])]:
-                start = max(0, at - j)
-                tried.setdefault((k, start), 0)
-                tried[k, start] += 1
+                windows.setdefault(k, set()).add(max(0, at - j))
                 begun.setdefault(k, []).append(at)
         n = len(pair)
-        spans = [(k, a, min(n, a + self.lengths[k])) for (k, a), c in tried.items() if c >= 1]
-        spans += [(k, 0, n) for k in begun]
-        for k, a, b in spans:
-            if (c := self.coefficient(k, np.unique(pair[a : b - 1]))) >= self.dice and (c, -a) > best.get(k, (0.0, 0)):
-                best[k] = (c, -a)
         for k, starts in begun.items():
             # A set that reaches the coefficient shares at least dice / (2 - dice) of the template; leads are all but its common bigrams.
-            if len(np.unique(pair[starts])) + self.common[k] >= self.bounds[k][0]:
-                for c, a in self.spans(k, pair[: n - 1]):
-                    if c >= self.dice and (c, -a) > best.get(k, (0.0, 0)):
-                        best[k] = (c, -a)
+            if len(np.unique(pair[starts])) + self.common[k] < self.bounds[k][0]:
+                continue
+            found = [(self.coefficient(k, np.unique(pair[a : b - 1])), a) for a, b in [(0, n), *[(a, min(n, a + self.lengths[k])) for a in windows[k]]]]
+            for c, a in found + self.spans(k, pair[: n - 1]):
+                if c >= self.dice and (c, -a) > best.get(k, (0.0, 0)):
+                    best[k] = (c, -a)
         return sorted(((k, c, -a) for k, (c, a) in best.items()), key=lambda x: (-x[1], -self.lengths[x[0]], x[0]))
 
     def scan(self, texts: list[bytes]) -> list[list[tuple[int, float, int]]]:
@@ -171,7 +189,7 @@ class Scanner:
         return out
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, dice: float = DICE, keep: str = "doc_id") -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, dice: float = DICE, keep: str = "doc_id") -> DataFrame:
     """`keep`, licence string, dice double, first_word int, matches array<string> of every row of docs; other columns go.
 
     The normalised text (small letters, punctuation as white space) is compared whole, window by window where a
@@ -180,7 +198,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, dice: float = D
     one-word texts, and texts without a match, have a null licence, dice 0, first_word null and no matches. Whole texts of
     any length are scanned; repeated rows give repeated results.
     """
-    kind = docs.schema[keep].dataType.simpleString()
+    kind, templates = docs.schema[keep].dataType.simpleString(), templates_known() if templates is None else templates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, dice)
