@@ -15,12 +15,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BITS = 18
-#: Labelled rows that the fit uses, as many of each grade where there are; and distinct features taken of each.
-SAMPLE_ROWS, SAMPLE_FEATURES = 9000, 2000
+#: Labelled rows that the fit uses, as many of each grade where there are, and features of them all together; rows are taken whole.
+SAMPLE_ROWS, SAMPLE_FEATURES = 9000, 8_000_000
 #: A text is kept if its top grade is at least so probable.
 KEEP = 0.5
 STEPS, RATE, PENALTY = 120, 0.3, 2e-6
@@ -33,7 +33,7 @@ def shape(word: str) -> str:
     """Runs of capitals, other letters and digits as one sign each; other characters stay."""
     for pattern, sign in SHAPE:
         word = pattern.sub(sign, word)
-    return word[:12]
+    return word
 
 
 class Features:
@@ -117,30 +117,32 @@ def fit_rows(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int, bits:
     return Ordinal(weights, theta[len(used)] + np.concatenate([[0.0], np.cumsum(np.exp(theta[len(used) + 1 :]))]))
 
 
-def fit(docs: DataFrame, ratings: DataFrame, grades: int = 3, sample_rows: int = SAMPLE_ROWS, seed: int = 5) -> Ordinal | None:
+def fit(docs: DataFrame, ratings: DataFrame, grades: int = 3, sample_rows: int = SAMPLE_ROWS, sample_features: int = SAMPLE_FEATURES, seed: int = 5) -> Ordinal | None:
     """docs: doc_id, text. ratings: doc_id, grade from 0 to grades - 1; null grades and ids teach nothing. None without ratings.
 
-    Rows are sampled by a hash of the id, at a rate that follows each grade's count; a text counts once.
+    Rows are sampled by a hash of the id, at a rate that follows each grade's count; a text counts once, with its worst grade.
+    All features of a sampled text teach, as all are scored; texts are taken in the order of a hash until sample_features are.
     """
     rated = ratings.filter(F.col("grade").between(0, grades - 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("grade").cast("int").alias("grade"))
     counts = {r[0]: r[1] for r in rated.groupBy("grade").count().collect()}
     if len(counts) < 2:
         return None
     rate = F.create_map(*[x for g, n in counts.items() for x in (F.lit(g), F.lit(int(1e6 * min(1.0, sample_rows / grades / n))))])
-    sample = rated.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)) < rate[F.col("grade")]).limit(2 * sample_rows)
+    key = F.xxhash64(F.lit(seed), "doc_id")
+    sample = rated.filter(F.pmod(key, F.lit(1_000_000)) < rate[F.col("grade")]).orderBy(key, "doc_id", "grade").limit(2 * sample_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in batches:
             found = [features(t.as_py()) for t in batch.column(1)]
-            found = [(p[:SAMPLE_FEATURES], v[:SAMPLE_FEATURES]) for p, v in found]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([p for p, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float64()))], ["key", "grade", "places", "values"]
-            )
-
-    chosen = docs.filter(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id").select(F.xxhash64("text").alias("key"), "text", "grade")
-    rows = chosen.mapInArrow(run, "key long, grade int, places array<int>, values array<double>").dropDuplicates(["key"]).orderBy("key").collect()
-    rows = [(r["grade"], np.array(r["places"], np.int32), np.array(r["values"])) for r in rows if r["places"]]
+            packed = [pa.array([x[c].tobytes() for x in found], pa.binary()) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(p) for p, _ in found], pa.int64()), *packed], ["key", "grade", "n", "places", "values"])
+
+    chosen = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(sample), "doc_id").select(F.xxhash64("text").alias("key"), "text", "grade")
+    rows = chosen.mapInArrow(run, "key long, grade int, n long, places binary, values binary").groupBy("key").agg(F.min(F.struct("grade", "n", "places", "values")).alias("r"))
+    so_far = F.sum("n").over(Window.orderBy("key"))  # a window over the bounded sample
+    rows = rows.select("key", "r.*").withColumn("so_far", so_far).filter((F.col("so_far") <= sample_features) | (F.col("so_far") == F.col("n"))).orderBy("key").collect()
+    rows = [(r["grade"], np.frombuffer(r["places"], np.int32), np.frombuffer(r["values"], np.float64)) for r in rows if r["n"]]
     return fit_rows(rows, grades) if rows else None
 
 
