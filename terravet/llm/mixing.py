@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Sources whose sizes are broadcast (at most 64 bytes each or so); beyond, the sizes are joined by a shuffle.
 BROADCAST_SOURCES = 100_000
+#: Parts that a source's documents are dealt to where its sizes are joined by a shuffle, as one source may hold a third of all.
+SALTS = 32
 #: Largest mean of one draw, as exp(-mean) is 0 for large ones; beyond, the sum of several draws is taken. Copies beyond
 #: mean + 12 standard deviations + 30 have a probability below 1e-20.
 LARGEST_MEAN = 500.0
@@ -78,7 +80,8 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, by: str, rows: floa
     mean = F.col("__share") / F.lit(sums["t"]) * F.lit(whole) / F.col("__size")
     found = weighted.filter("__size > 0").select("__source", mean.alias("__mean"))
     several = found.filter(F.col("__mean") > LARGEST_MEAN)
-    return intervals(found.filter(F.col("__mean") <= LARGEST_MEAN)), None if several.isEmpty() else draws(several)
+    salted = lambda df: df.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted(intervals(found.filter(F.col("__mean") <= LARGEST_MEAN))), None if several.isEmpty() else salted(draws(several))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, by: str = "documents", rows: float | None = None, seed: int = 17) -> DataFrame:
@@ -96,12 +99,14 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, by: str = "doc
     key = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     drawn = docs.select(*given, F.coalesce(F.col("source"), F.lit("")).alias("__source"), uniform(seed, key).alias("__u"))
     one, several = rates(docs, weights, by, rows)
+    drawn = drawn.withColumn("__part", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+    same = lambda df: (F.col("__source") == F.col("__of")) & (F.col("__part") == F.col("__salt") if "__salt" in df.columns else F.lit(True))
     means = one.withColumnRenamed("__source", "__of")
-    counted = drawn.join(means, (F.col("__source") == F.col("__of")) & (F.col("__u") >= F.col("__low")) & (F.col("__u") < F.col("__high")))
+    counted = drawn.join(means, same(one) & (F.col("__u") >= F.col("__low")) & (F.col("__u") < F.col("__high")))
     copies = counted.select(*given, F.explode(F.sequence(F.lit(1), F.col("__count"))).alias("copy"))
     if several is not None:
         part = lambda i: F.size(F.filter(F.slice("__sums", 1, F.size("__sums") - 1), lambda p: p <= uniform(seed, F.col("__key"), i)))
-        of_parts = drawn.withColumn("__key", key).join(several.withColumnRenamed("__source", "__of"), F.col("__source") == F.col("__of"))
+        of_parts = drawn.withColumn("__key", key).join(several.withColumnRenamed("__source", "__of"), same(several))
         of_parts = of_parts.withColumn("__drawn", F.transform(F.sequence(F.lit(1), F.col("__parts").cast("int")), part))
         total = F.aggregate("__drawn", F.lit(0), lambda n, x: n + x)
         copies = copies.union(of_parts.withColumn("__count", total).filter("__count > 0").select(*given, F.explode(F.sequence(F.lit(1), F.col("__count"))).alias("copy")))
@@ -109,18 +114,20 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, by: str = "doc
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key", "copy")
 
 
-#: The query's statement: every source the same share, counted in documents.
+#: The query's statement: every source the same share, counted in documents. A mean over 500 is the sum of equal draws.
 OP10_SQL = r"""
 WITH RECURSIVE sizes AS (SELECT coalesce(source, '') s, count(*)::DOUBLE n FROM documents GROUP BY 1),
 means AS (SELECT s, 1.0 / (SELECT count(*) FROM sizes) * (SELECT sum(n) FROM sizes) / n AS m FROM sizes),
-drawn AS (
-  SELECT d.*, least(m, 500.0::DOUBLE) AS m,
-    ('0x' || substr(md5('17|' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
-  FROM documents d JOIN means ON coalesce(source, '') = s),
+parts AS (SELECT s, m / ceil(m / 500.0::DOUBLE) AS m, ceil(m / 500.0::DOUBLE)::INT AS parts FROM means),
+rows AS (SELECT *, row_number() OVER () AS r, coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) AS key FROM documents),
+each AS (SELECT r, m, '17|' || key || CASE WHEN parts > 1 THEN '|' || part ELSE '' END AS seeded
+  FROM rows JOIN parts ON coalesce(source, '') = s, LATERAL (SELECT unnest(generate_series(1, parts)) AS part)),
+drawn AS (SELECT r, m, ('0x' || substr(md5(seeded), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u FROM each),
 steps(m, k, term, total) AS (
-  SELECT DISTINCT m, 0, exp(-m), exp(-m) FROM drawn
+  SELECT DISTINCT m, 0, exp(-m), exp(-m) FROM parts
   UNION ALL SELECT m, k + 1, term * m / (k + 1), total + term * m / (k + 1) FROM steps WHERE k + 1 <= (m + 12 * sqrt(m) + 30)::INT),
-counted AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, min(k) AS n FROM drawn d JOIN steps t ON d.m = t.m AND t.total > d.u GROUP BY ALL)
-SELECT doc_id, text, lang, source, n_chars, copy::INT AS copy, md5('order17|' || coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) || '|' || copy) AS shuffle_key
-FROM counted, LATERAL (SELECT unnest(generate_series(1, n)) AS copy) WHERE n > 0
+bounded AS (SELECT m, k, CASE WHEN k = 0 THEN -1.0 ELSE lag(total) OVER (PARTITION BY m ORDER BY k) END AS low, CASE WHEN k = max(k) OVER (PARTITION BY m) THEN 2.0 ELSE total END AS high FROM steps),
+counted AS (SELECT r, sum(k)::BIGINT AS n FROM drawn d JOIN bounded b ON d.m = b.m AND d.u >= b.low AND d.u < b.high GROUP BY r)
+SELECT doc_id, text, lang, source, n_chars, copy::INT AS copy, md5('order17|' || key || '|' || copy) AS shuffle_key
+FROM rows JOIN counted USING (r), LATERAL (SELECT unnest(generate_series(1, n)) AS copy) WHERE n > 0
 """

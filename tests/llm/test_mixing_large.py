@@ -21,3 +21,17 @@ def test_rare_source_gets_its_whole_share(spark, monkeypatch, broadcast):
     mixed = mixing.mix(many.filter("doc_id < 100 OR doc_id > 198"), {"rare": 1.0, "common": 30.0}, rows=62_000)  # 20 of each rare one, 594 of each common one
     n = {r["source"]: r["count"] for r in mixed.groupBy("source").count().collect()}
     assert abs(n["rare"] - 2000) < 200 and abs(n["common"] - 60_000) < 1000
+
+
+def test_statement_agrees_beyond_one_draw(spark, tmp_path):
+    """The DuckDB statement and the operator on a source whose mean is 1,500 and one of 0.5, with nulls and a repeated row."""
+    import duckdb
+
+    rows = [(i, f"text {i}", "en", "common", 6) for i in range(2998)] + [(5000, "rare", "fr", "rare", 4), (5001, None, None, None, None), (5001, None, None, None, None), (None, "no id", "en", "common", 5)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    columns = "doc_id, source, copy, shuffle_key"
+    expected = sorted(map(str, con.execute(f"SELECT {columns} FROM ({mixing.OP10_SQL})").fetchall()))
+    got = mixing.mix(spark.read.parquet(str(tmp_path / "documents.parquet"))).select(*columns.split(", ")).collect()
+    assert sorted(str(tuple(r)) for r in got) == expected and sum(r["source"] == "rare" for r in got) > 900
