@@ -3,7 +3,8 @@
 Where no piece goes on after a white-space marker and none holds a line feed with other characters, merges never cross
 the cuts before a run of markers and around line feeds. Each task keeps a table from chunk to ids, segments a chunk with
 the library when it first appears, and joins the ids of a text's chunks by position. The table is dropped and begun
-again at TABLE_CHUNKS entries, so that a task's memory is bounded; results are the same.
+again at TABLE_CHUNKS entries, so that a task's memory is bounded; results are the same. tokenize_joined builds one table for
+all documents by Spark and joins the ids back by position; the README gives the figures of both.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import Scratch, slices
 
 TABLE_CHUNKS = 300_000
 MARK = "▁"
@@ -93,3 +94,43 @@ def tokenize(df: DataFrame, model: str, keep: str = "doc_id", text: str = "text"
 
     out = df.select(F.col(keep).alias("keep"), F.col(text).alias("text")).mapInArrow(run, f"keep {kind}, n_tokens long, ids array<int>, decoded string")
     return out.withColumnRenamed("keep", keep)
+
+
+def tokenize_joined(df: DataFrame, model: str, keep: str = "doc_id", text: str = "text") -> DataFrame:
+    """The same rows as tokenize, by one table of the distinct chunks of all documents, each segmented once, joined back by position.
+
+    Every word of every text becomes a row of two shuffles. A model whose pieces may cross the cuts raises ValueError.
+    """
+    if not Segmenter(model).cuts:
+        raise ValueError("pieces of this model may cross white-space markers")
+    kind, scratch = df.schema[keep].dataType.simpleString(), Scratch(df.sparkSession, "pieces")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seg = Segmenter(model)
+        for batch in batches:
+            for a, b in slices(batch.column(1)):
+                part = batch.slice(a, b - a)
+                chunks = [CUT.findall(seg.sp.normalize(t or "")) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(chunks, pa.list_(pa.string()))], ["keep", "chunks"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seg = Segmenter(model)
+        for batch in batches:
+            seg.start()
+            chunks = batch.column(0).to_pylist()
+            seg.learn(set(chunks).difference(seg.table))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([seg.table[c] for c in chunks], pa.list_(pa.int32()))], ["chunk", "ids"])
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seg = Segmenter(model)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(seg.decode(batch.column(2).to_pylist()), pa.string())], ["keep", "n_tokens", "ids", "decoded"])
+
+    rows = df.select(F.col(keep).alias("keep"), F.col(text).alias("text")).mapInArrow(cut, f"keep {kind}, chunks array<string>")
+    rows = scratch.save(rows.withColumn("row", F.monotonically_increasing_id()))
+    each = rows.select("row", F.posexplode("chunks").alias("at", "chunk"))
+    table = scratch.save(each.select("chunk").distinct().mapInArrow(learn, "chunk string, ids array<int>"))
+    placed = each.join(table, "chunk").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("all"))
+    ids = F.coalesce(F.flatten(F.col("all.ids")), F.expr("CAST(array() AS array<int>)"))
+    out = rows.select("row", "keep").join(placed, "row", "left").select("keep", F.size(ids).cast("long").alias("n_tokens"), ids.alias("ids"))
+    return out.mapInArrow(decode, f"keep {kind}, n_tokens long, ids array<int>, decoded string").withColumnRenamed("keep", keep)
