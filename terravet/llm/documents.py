@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, encoded, slices, small
+from .common import Scratch, encoded, slices
 from .near import Circulant, Threshold, linked, word_sets
 
 #: 40 bands of 4 coordinates: a pair of similarity 0.85 shares no band once in 10^12, one of 0.8 once in 10^9.
@@ -58,16 +58,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     """
     scratch = Scratch(docs.sparkSession, "near")
     all_rows = scratch.save(signed(docs, shingle))
-    full = all_rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = scratch.save(full.groupBy("d0", "d1").agg(F.min("doc_id").alias("rep")))
-    reps = full.join(small(classes.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    reps = scratch.save(reps.select(F.col("doc_id").alias("id"), "bands"))
-    entries = reps.select("id", F.explode("bands").alias("key"))
-    buckets = entries.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).filter("pivot <> last").select("key", "pivot")
-    members = scratch.save(entries.join(small(scratch.save(buckets)), "key").select("key", "id", "pivot"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("id IS NOT NULL AND text IS NOT NULL")
-    _, found = linked(members, texts, word_sets(shingle), Threshold(num, den), scratch)
-    named = classes.join(small(found.select(F.col("id").alias("rep"), "component")), "rep", "left").select("d0", "d1", F.coalesce("component", "rep").alias("component"))
-    out = all_rows.join(small(scratch.save(named)), ["d0", "d1"], "left")
+    with scratch.inner() as own:
+        full = all_rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+        classes = own.save(full.groupBy("d0", "d1").agg(F.min("doc_id").alias("rep")))
+        reps = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        reps = own.save(reps.select(F.col("doc_id").alias("id"), "bands"))
+        entries = reps.select("id", F.explode("bands").alias("key"))
+        buckets = entries.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).filter("pivot <> last").select("key", "pivot")
+        members = own.save(entries.join(buckets, "key").select("key", "id", "pivot"))
+        need = members.select("id").distinct()
+        texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("id IS NOT NULL AND text IS NOT NULL")
+        texts = own.save(texts.join(need, "id", "left_semi").dropDuplicates(["id"]))
+        found = linked(members, texts, word_sets(shingle), Threshold(num, den), own)
+        named = classes.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("d0", "d1", F.coalesce("component", "rep").alias("component"))
+        named = scratch.save(named)
+    some = all_rows.select("doc_id", "n_shingles", "d0", "d1")
+    none = some.filter("d0 IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component"))
+    out = some.filter("d0 IS NOT NULL").join(named, ["d0", "d1"], "left").select("doc_id", "n_shingles", "component").union(none)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

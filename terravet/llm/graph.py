@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small
+from .common import Scratch
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, component) of every id in links (a, b), both long; component is the smallest id that can be reached.
+    """(id, component) of every id in links (a, b), of one orderable type; component is the smallest id that can be reached.
 
     Each round sends a vertex to the neighbour, or itself, whose hash is smallest, joins the vertices that meet, and goes
     on with the links between what remains. The hash changes by the round, so that a chain of any order shrinks by a
-    constant factor; the maps of the rounds are put together at the end. Links from an id to itself still name the id.
+    constant factor; the maps of the rounds are put together at the end. Links from an id to itself and those with a null end say nothing,
+    repeated links count once, and without links the result is empty.
     """
-    ids = links.select(F.col("a").alias("id")).union(links.select("b"))
+    with scratch.inner() as own:
+        return scratch.save(contracted(links.filter("a IS NOT NULL AND b IS NOT NULL"), own))
+
+
+def contracted(links: DataFrame, scratch: Scratch) -> DataFrame:
     edges = scratch.save(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
     maps: list[DataFrame] = []
     while not edges.isEmpty():
@@ -25,21 +30,19 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         near = both.groupBy("v").agg(F.least(F.min(rank("w")), F.min(rank("v")))["id"].alias("to"))
         near = scratch.save(near)
         maps.append(near)
-        ends = small(near)
         moved = (
-            edges.join(ends.select(F.col("v").alias("a"), F.col("to").alias("x")), "a")
-            .join(ends.select(F.col("v").alias("b"), F.col("to").alias("y")), "b")
+            edges.join(near.select(F.col("v").alias("a"), F.col("to").alias("x")), "a")
+            .join(near.select(F.col("v").alias("b"), F.col("to").alias("y")), "b")
             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
             .filter("a <> b")
             .distinct()
         )
         edges = scratch.save(moved)
     if not maps:
-        return ids.distinct().select("id", F.col("id").alias("component"))
+        return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     whole = maps[-1]
     for earlier in reversed(maps[:-1]):
-        later = small(whole).select(F.col("v").alias("to"), F.col("to").alias("end"))
+        later = whole.select(F.col("v").alias("to"), F.col("to").alias("end"))
         whole = scratch.save(earlier.join(later, "to", "left").select("v", F.coalesce("end", "to").alias("to")))
     least = whole.groupBy("to").agg(F.least(F.min("v"), F.col("to")).alias("component"))
-    found = whole.join(least, "to").select(F.col("v").alias("id"), "component")
-    return scratch.save(found)
+    return whole.join(least, "to").select(F.col("v").alias("id"), "component")

@@ -1,7 +1,8 @@
 """Fuzzy line dedup: shingles of characters, MinHash banding, exact verification, one line kept of each component.
 
-A line's identity is a 64-bit hash of its small-letter bytes, so that exact copies are one item from the start: each
-slice of a batch sends a line on once, however often it holds it, so that a very common line is a row for each slice.
+A line's identity is a 128-bit hash of its small-letter bytes, so that exact copies are one item from the start. A task
+sends each line on once for every FLUSH bytes of band keys it makes, so that a very common line is a few entries a task;
+its entries travel in packed arrays, one for each range of keys, and are sorted by numpy where they arrive.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, Scratch, encoded, joined, slices, small
@@ -24,8 +25,10 @@ SHINGLE = 8
 #: Stretches hashed at a time.
 STRETCH = 1 << 15
 SIMILAR = Threshold(80, 100)
-#: Flags of lines that may be broadcast, of one byte or less each.
-BROADCAST_FLAGS = 20_000_000
+#: Bytes of entries that a task gathers before it sends them on, and that it sorts at a time.
+FLUSH = 48 << 20
+#: Packed arrays that a gathering is dealt to, for each shuffle partition.
+SPREAD = 8
 
 
 def cut(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -40,8 +43,15 @@ def cut(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 
 def identities(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """(lines, 2) numbers: a 128-bit hash of each line."""
     whole = data.tobytes()
-    return np.fromiter((xxhash.xxh3_64_intdigest(whole[a:b]) for a, b in zip(starts.tolist(), stops.tolist())), np.uint64, len(starts)).view(np.int64)
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(whole[a:b]) for a, b in zip(starts.tolist(), stops.tolist())]), np.int64).reshape(-1, 2)
+
+
+def binary(ids: np.ndarray) -> pa.Array:
+    """The same as an Arrow array of 16 bytes each."""
+    offsets = np.arange(0, 16 * len(ids) + 1, 16, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids))])
 
 
 def least_of(made: Circulant, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
@@ -57,25 +67,80 @@ def least_of(made: Circulant, data: np.ndarray, starts: np.ndarray, stops: np.nd
     return out
 
 
-def entries(docs: DataFrame, least: int) -> DataFrame:
-    """(key, id): the lines of each bucket, once for each slice of a batch that holds them; lines below a stretch are in none."""
+def entries(docs: DataFrame, least: int, parts: int) -> DataFrame:
+    """(part, entries): band key and line of each bucket entry, three numbers each, by range of keys; lines below a stretch are in none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Circulant(BANDS, ROWS, BITS)
+        seen: set[bytes] = set()
+        keys, lines, held = [], [], 0
+
+        def packed() -> pa.RecordBatch:
+            key = np.concatenate(keys)
+            rows = np.column_stack([key.ravel(), np.repeat(np.concatenate(lines), made.bands, axis=0)])
+            part = (rows[:, 0].view(np.uint64) % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            rows, part = rows[order], part[order]
+            cuts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]])
+            blobs = [rows[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+            return pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]]), pa.array(blobs, pa.binary())], ["part", "entries"])
+
         for batch in batches:
             for a, b in slices(batch.column(0)):
                 data, starts, stops, _, _ = cut(encoded(batch.column(0).slice(a, b - a)))
                 long = stops - starts >= max(least, SHINGLE)
                 starts, stops = starts[long], stops[long]
-                names = identities(data, starts, stops)
-                _, at = np.unique(names, return_index=True)
-                if len(at):
-                    at.sort()
-                    ids = names[at]
-                    keys = made.band_keys(least_of(made, data, starts[at], stops[at]))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids, made.bands))], ["key", "id"])
+                ids = identities(data, starts, stops)
+                new = []
+                for i, name in enumerate(ids.view("V16").ravel().tolist()):
+                    if name not in seen:
+                        seen.add(name)
+                        new.append(i)
+                if new:
+                    keys.append(made.band_keys(least_of(made, data, starts[new], stops[new])))
+                    lines.append(ids[new])
+                    held += keys[-1].size * 24
+                if held >= FLUSH:
+                    yield packed()
+                    seen, keys, lines, held = set(), [], [], 0
+        if held:
+            yield packed()
+
+    return docs.select("text").mapInArrow(run, "part int, entries binary")
+
+
+def buckets(packed: DataFrame) -> DataFrame:
+    """(key, id, pivot) of each line in a bucket with others, but the one first met, which is the bucket's pivot.
+
+    A task holds the pivots of its keys and sorts FLUSH bytes of entries at a time; it holds no bucket.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.zeros((0, 3), np.int64)
+
+        def met(blobs: list[bytes]) -> pa.RecordBatch:
+            nonlocal known
+            rows = np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 3)
+            rows = np.concatenate([known, rows])  # a stable sort leaves known pivots first
+            rows = rows[np.argsort(rows[:, 0], kind="stable")]
+            first = np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]])
+            known = rows[first]
+            pivot = known[np.cumsum(first) - 1]
+            other = (rows[:, 1:] != pivot[:, 1:]).any(axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(rows[other, 0]), binary(rows[other, 1:]), binary(pivot[other, 1:])], ["key", "id", "pivot"])
+
+        held, size = [], 0
+        for batch in batches:
+            for blob in batch.column(1).to_pylist():
+                held.append(blob)
+                size += len(blob)
+                if size >= FLUSH:
+                    yield met(held)
+                    held, size = [], 0
+        if held:
+            yield met(held)
 
-    return docs.select("text").mapInArrow(run, "key long, id long")
+    return packed.repartition("part").mapInArrow(run, "key long, id binary, pivot binary").distinct()
 
 
 def places(docs: DataFrame, least: int) -> DataFrame:
@@ -87,13 +152,13 @@ def places(docs: DataFrame, least: int) -> DataFrame:
                 data, starts, stops, row, number = cut(encoded(batch.column(1).slice(a, b - a)))
                 long = stops - starts >= least
                 ids = identities(data, starts[long], stops[long])
-                yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column(0).slice(a, b - a).take(pa.array(row[long])), pa.array(number[long].astype(np.int32))], ["id", "doc_id", "line"])
+                yield pa.RecordBatch.from_arrays([binary(ids), batch.column(0).slice(a, b - a).take(pa.array(row[long])), pa.array(number[long].astype(np.int32))], ["id", "doc_id", "line"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id IS NOT NULL").mapInArrow(run, "id long, doc_id long, line int")
+    return docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id IS NOT NULL").mapInArrow(run, "id binary, doc_id long, line int")
 
 
 def texts_of(docs: DataFrame, where: DataFrame) -> DataFrame:
-    """(id, text) of lines (id, first: where each is first met), read from the documents by number."""
+    """(id, text) of lines (id, first: where each is first met), read from the documents by number; an id once."""
     lists = where.groupBy("first.doc_id").agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "id")).alias("at"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.split("text", "\n", -1).alias("lines")).join(lists, "doc_id")
     picked = rows.select("lines", F.explode("at").alias("at"))
@@ -102,23 +167,24 @@ def texts_of(docs: DataFrame, where: DataFrame) -> DataFrame:
 
 def removals(docs: DataFrame, scratch: Scratch, least: int = MIN_BYTES) -> DataFrame:
     """(doc_id, lines array<int>): the numbers of each document's lines that another line stands for."""
-    # The least id so far is the bucket's pivot, as rows come in the order of ids; nothing of a bucket is held.
-    inside = Window.partitionBy("key").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    met = entries(docs, least).repartition("key").withColumn("pivot", F.min("id").over(inside))
-    met = scratch.save(met.filter("id <> pivot").distinct())
-    members = scratch.save(met.union(met.select("key", F.col("pivot").alias("id"), "pivot").distinct()))
-    every = scratch.save(places(docs, least))
-    at = F.struct("doc_id", "line")
-    counted = scratch.save(every.groupBy("id").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")))
-    where = scratch.save(counted.join(small(scratch.save(members.select("id").distinct())), "id", "left_semi"))
-    texts = scratch.save(texts_of(docs, small(where)))
-    _, found = linked(members, texts, byte_sets(), SIMILAR, scratch)
-    counted = counted.join(small(found), "id", "left").filter("n > 1 OR component IS NOT NULL")
-    counted = scratch.save(counted.select("id", "first", F.coalesce("component", "id").alias("component")))
-    keeper = counted.groupBy("component").agg(F.min("first").alias("keeper"))
-    owners = scratch.save(counted.join(keeper, "component").select("id", "keeper"))
-    gone = every.join(small(owners), "id").filter(at != F.col("keeper"))
-    return scratch.save(gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("lines")))
+    parts = SPREAD * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    with scratch.inner() as own:
+        met = own.save(buckets(entries(docs.filter("doc_id IS NOT NULL"), least, parts)))
+        members = own.save(met.union(met.select("key", F.col("pivot").alias("id"), "pivot").distinct()))
+        every = own.save(places(docs, least))
+        at = F.struct("doc_id", "line")
+        # Of the distinct lines only those go on that are repeated or share a bucket.
+        counted = every.groupBy("id").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n"))
+        counted = counted.join(members.select("id").distinct().withColumn("member", F.lit(True)), "id", "left")
+        counted = own.save(counted.filter("n > 1 OR member").select("id", "first", F.coalesce("member", F.lit(False)).alias("member"), "n"))
+        texts = own.save(texts_of(docs, counted.filter("member")))
+        found = linked(members, texts, byte_sets(), SIMILAR, own)
+        named = counted.join(found, "id", "left").filter("n > 1 OR component IS NOT NULL")
+        named = own.save(named.select("id", "first", F.coalesce("component", "id").alias("component")))
+        keeper = named.groupBy("component").agg(F.min("first").alias("keeper"))
+        owners = named.join(keeper, "component").select("id", "keeper")
+        gone = every.join(owners, "id").filter(at != F.col("keeper"))
+        return scratch.save(gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("lines")))
 
 
 def flagged(gone: DataFrame) -> DataFrame:
@@ -148,8 +214,7 @@ def dedup_lines(docs: DataFrame, least: int = MIN_BYTES) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "lines")
     given = [c for c in docs.columns if c != "n_removed"]
     gone = scratch.save(flagged(removals(docs.select("doc_id", "text"), scratch, least))).select(F.col("doc_id").alias("__id"), "__stays", F.col("n").alias("__n"))
-    flags = gone.agg(F.sum(F.size("__stays"))).first()[0] or 0
-    side = F.broadcast(gone) if flags <= BROADCAST_FLAGS else gone
+    side = small(gone, 64 + F.size("__stays"))
     base = docs.select(*given)
     out = base.join(side, base["doc_id"].cast("long") == side["__id"], "left")
     lines = F.split(F.col("text"), "\n", -1)

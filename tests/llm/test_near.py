@@ -177,8 +177,51 @@ def test_long_texts_in_pieces(monkeypatch):
     text = bytes(rng.choice(b"abcd") for _ in range(9000))
     monkeypatch.setattr(substrings, "PLACES", 2500)
     covered = []
-    for texts, numbers, begins in substrings.parts([text]):
-        data, starts, ends = substrings.joined(texts)
-        t, first, last, anchor, _ = substrings.anchored(data, starts, ends)
+    for texts, numbers, begins, _ in substrings.parts([text]):
+        starts, ends, _, grams, *_ = substrings.BYTES.of(texts)
+        t, first, last, anchor, _ = substrings.anchored(grams, starts, ends)
         covered += [w + begins[0] for f, e in zip(first, last) for w in range(f, e + 1)]
     assert covered == list(range(9000 - 399))
+
+
+def test_long_texts_in_pieces_of_words(monkeypatch):
+    rng = random.Random(5)
+    text = " ".join(rng.choice("abcdefgh") for _ in range(4000)).encode()
+    monkeypatch.setattr(substrings, "PLACES", 2500)
+    covered = []
+    for texts, numbers, begins, before in substrings.parts([text], substrings.WORDS):
+        starts, ends, _, grams, unit_start, unit_end = substrings.WORDS.of(texts)
+        t, first, last, anchor, _ = substrings.anchored(grams, starts, ends, substrings.WORDS)
+        covered += [w + before[0] for f, e in zip(first, last) for w in range(f, e + 1)]
+        assert all(text[begins[0] + unit_start[w]] == text[2 * (w + before[0])] for w in range(len(unit_start)))
+    assert covered == list(range(4000 - 50))
+
+
+def plain_passages(rows):
+    """Words within strings of 51 words that also stand elsewhere, by text."""
+    data = [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode()) for _, t, *_ in rows]
+    seen = Counter(tuple(w[s : s + 51]) for w in data for s in range(len(w) - 50))
+    out = Counter()
+    for (doc, *_), w in zip(rows, data):
+        cover = bytearray(len(w))
+        for s in range(len(w) - 50):
+            if seen[tuple(w[s : s + 51])] > 1:
+                cover[s : s + 51] = b"\1" * 51
+        out[doc, sum(cover)] += 1
+    return out
+
+
+@pytest.mark.parametrize("group", [substrings.GROUP, 1])
+def test_passages_of_words(spark, group):
+    """Passages of 45 to 70 words, most below 400 bytes, amid others, with other white space between their words."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 7))) for _ in range(300)]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    rows, passages = [], [some(n) for n in (45, 50, 51, 52, 60, 70)]
+    for p in passages:
+        for i in range(3):
+            own = some(rng.randint(0, 60)) + p[rng.randint(0, 2) * (i == 2) :] + some(rng.randint(0, 60))
+            rows.append((len(rows), "".join(w + rng.choice([" ", "\n", "  ", "\t "]) for w in own)))
+    rows += [(100, " ".join(some(200))), (101, None), (102, ""), (103, " ".join(["a"] * 60)), (None, rows[0][1]), (5, rows[5][1])]
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), group)
+    assert Counter((r["doc_id"], r["passage_words"]) for r in got.collect()) == plain_passages(rows)
