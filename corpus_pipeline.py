@@ -9,27 +9,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terravet.llm import documents, language, lines, mixing, pieces
-from terravet.llm.common import Scratch, importable, small
+from terravet.llm.common import Scratch, importable
 from terravet.llm.queries import piece_model
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told; those without letters, or between two languages, go."""
+    """Documents whose language is told; those without letters (null and empty texts too), or between two languages, go.
+
+    Repeated rows go or stay together; columns named like the operator's own stay as they are; an empty table stays empty.
+    """
     found = language.identify(docs, language.fit(docs.filter(~language.held_out())), keep=tuple(docs.columns))
-    return found.filter(~F.col("rejected")).select(*docs.columns)
+    own = [f"__{i}" for i in range(len(docs.columns))]
+    found = found.toDF(*own, "lang_pred", "score", "margin", "rejected").filter(~F.col("rejected"))
+    return found.select(*[F.col(n).alias(c) for n, c in zip(own, docs.columns)])
 
 
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that another line stands for; those that lose all they had go."""
+    """Documents without the lines that another line stands for; those that lose all they had go.
+
+    Null and empty texts and rows with a null doc_id stay as they are; repeated rows lose the same lines. n_chars follows the text.
+    """
     out = lines.dedup_lines(docs, least=1).filter("n_removed = 0 OR trim(BOTH ' \n\t\r' FROM text) <> ''")
     return out.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else c for c in docs.columns])
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, as one row, of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    """One document, as one row, of each group of near duplicates: five-word shingles, similarity 0.8 or more.
+
+    Texts without words and rows with a null doc_id are linked with nothing and stay; of repeated rows one stays.
+    """
     kept = documents.near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count()
     kept = Scratch(spark, "kept").save(kept.select(F.col("doc_id").alias("__id"), "count"))
-    alone, again = small(kept.filter("count = 1").select("__id")), small(kept.filter("count > 1").select("__id"))
+    alone, again = kept.filter("count = 1").select("__id"), kept.filter("count > 1").select("__id")
     own = F.col("doc_id").cast("long") == F.col("__id")
     rows = docs.join(alone, own, "left_semi").union(docs.filter("doc_id IS NULL"))
     if kept.filter("count > 1").isEmpty():
@@ -38,12 +49,12 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every source at the same share, in a random order."""
+    """Every source at the same share, in a random order; a null source is one source. Repeated rows share one count."""
     return mixing.mix(docs).select(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and the text they decode to."""
+    """Token ids of every document, and the text they decode to; a null text is the empty one. Other columns go."""
     return pieces.tokenize(docs, piece_model())
 
 
@@ -55,7 +66,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     importable(spark)
-    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
+    """The rows of the last stage; each stage's table is removed once the next one's is written. No documents give no rows."""
+    docs, scratch, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline"), None
     for _, stage in STAGES:
-        docs = scratch.save(stage(spark, docs, sf_dir))
+        own = scratch.inner()
+        docs = own.save(stage(spark, docs, sf_dir))
+        if before is not None:
+            before.drop()
+        before = own
     return docs
