@@ -66,7 +66,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
         entries = reps.select("id", F.explode("bands").alias("key"))
         buckets = entries.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).filter("pivot <> last").select("key", "pivot")
         members = own.save(entries.join(buckets, "key").select("key", "id", "pivot"))
-        need = members.select("id").distinct()
+        # These grow with the texts: joined in one way at every size.
+        need = members.select("id").distinct().hint("merge")
         texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("id IS NOT NULL AND text IS NOT NULL")
         texts = own.save(texts.join(need, "id", "left_semi").dropDuplicates(["id"]))
         found = linked(members, texts, word_sets(shingle), Threshold(num, den), own)
