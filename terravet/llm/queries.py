@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import documents, language, licences, lines, media, mixing, pieces, quality, substrings, vectors
+from . import codes, documents, exact, language, licences, lines, media, mixing, pieces, quality, spelling, substrings, vectors
 from .common import importable
 
 
@@ -72,7 +72,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_language": op1_language, "op2_licences": op2_licences, "op3_neighbours": op3_neighbours, "op4_media": op4_media, "op5_quality": op5_quality, "op6_substrings": op6_substrings, "op7_pieces": op7_pieces, "op8_near_duplicates": op8_near_duplicates, "op9_lines": op9_lines, "op10_mixing": op10_mixing}
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, books = codes.product_codes(table(spark, sf_dir, "embeddings"))
+    digits = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c.cast("long")), 2, "0"))), "")
+    digest = F.sha2(F.lit(codes.text_of(books)).cast("binary"), 256)
+    return codes.with_label_errors(found).select("vec_id", digits.alias("code"), "error", "label_error", digest.alias("codebooks_sha256"))
+
+
+def op12_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_language": op1_language, "op2_licences": op2_licences, "op3_neighbours": op3_neighbours, "op4_media": op4_media, "op5_quality": op5_quality, "op6_substrings": op6_substrings, "op7_pieces": op7_pieces, "op8_near_duplicates": op8_near_duplicates, "op9_lines": op9_lines, "op10_mixing": op10_mixing, "op11_codes": op11_codes, "op12_exact": op12_exact, "op13_spelling": op13_spelling}
 #: The exact answer, for measuring recall; the operator is approximate, so this is no statement of the query.
 OP3_EXACT_SQL = """
 SELECT query_id, rank::INT AS rank, vec_id, score FROM (
@@ -81,4 +96,4 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM (
   FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id) WHERE rank <= 20
 """
 
-ORACLE_SQL = {"op10_mixing": mixing.OP10_SQL}
+ORACLE_SQL = {"op10_mixing": mixing.OP10_SQL, "op11_codes": codes.statement(), "op12_exact": exact.OP12_SQL, "op13_spelling": spelling.OP13_SQL}
