@@ -56,17 +56,21 @@ def change_shapes(nodes: DataFrame, ways: DataFrame, relations: DataFrame, chang
 
     A deleted way has no geometry; a deleted relation without members takes the base's.
     """
-    over = overlay_nodes(nodes, changes)
+    listed = changes.filter("objtype = 'w' AND NOT deleted").select(F.explode("nodes").alias("id"))
     points = changes.filter("objtype = 'n'").select("id", G.point(F.col("lon"), F.col("lat")).alias("geom"))
     changed = changes.filter("objtype = 'w'").select("id", "nodes", "deleted")
-    lines = way_shapes(changed.filter("NOT deleted"), over)
-    lines = changed.select("id").join(lines, "id", "left")
     new = changes.filter("objtype = 'r'").select("id", "members", "deleted")
     old = relations.select("id", F.col("members").alias("old"))
     own = new.join(old, "id", "left").select("id", F.when(F.col("deleted") & (F.coalesce(F.size("members"), F.lit(0)) <= 0), F.col("old")).otherwise(F.col("members")).alias("members"))
-    wanted = own.select(F.explode("members").alias("m")).filter("m.type = 'w'").select(F.col("m.ref").alias("id")).distinct()
-    rest = ways.select("id", "nodes").join(changed.select("id"), "id", "left_anti").unionByName(changed.filter("NOT deleted").select("id", "nodes"))
-    shapes = way_shapes(rest.join(wanted, "id", "left_semi"), over)
+    members = own.select(F.explode("members").alias("m")).select("m.type", F.col("m.ref").alias("id"))
+    wanted = members.filter("type = 'w'").select("id").distinct()
+    rest = ways.select("id", "nodes").join(changed.select("id"), "id", "left_anti").unionByName(changed.filter("NOT deleted").select("id", "nodes")).join(wanted, "id", "left_semi")
+    # Only nodes that a shape lists are overlaid, not the whole base.
+    listed = listed.union(rest.select(F.explode("nodes").alias("id"))).union(members.filter("type = 'n'").select("id")).distinct()
+    over = overlay_nodes(nodes.join(listed, "id", "left_semi"), changes)
+    lines = way_shapes(changed.filter("NOT deleted"), over)
+    lines = changed.select("id").join(lines, "id", "left")
+    shapes = way_shapes(rest, over)
     areas = relation_shapes(own, over.select("id", G.point(F.col("lon"), F.col("lat")).alias("geom")), shapes)
     tag = lambda df, t: df.select(F.lit(t).alias("objtype"), "id", "geom")
     return tag(points, "n").unionByName(tag(lines, "w")).unionByName(tag(areas, "r"))

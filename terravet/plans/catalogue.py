@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from terravet import schemas
 from terravet.functions import geometry as G
 from terravet.functions import overpass, scalars
 from terravet.functions.tags import Rule, Rules
 from terravet.operators import apply, changesets, duplicates, export, graph, history, ingest, locha, network, review, shapes, target, validate, views
+from terravet.plans.geometries import Geometries
+from terravet.plans.keyed import KeyedTable
 from terravet.plans.prelude import sql
 from terravet.plans.tables import Steps
 from terravet.sources.warehouse import Warehouse
@@ -351,6 +354,61 @@ def apply_delete(w: Warehouse) -> DataFrame:
     return apply.without_deleted(w.base, apply.accepted_changes(queue_of(w), accepted_keys(w))).select("objtype", "id", "version")
 
 
+def updated_base(w: Warehouse, compacted: bool) -> tuple[dict[str, KeyedTable], Geometries]:
+    """The base in keyed tables, with its geometry, after the accepted changes in two updates."""
+    steps = steps_of(w, "keyed")
+    kinds = {"nodes": (w.nodes, schemas.NODE, "n"), "ways": (w.ways, schemas.WAY, "w"), "relations": (w.relations, schemas.RELATION, "r")}
+    base = {name: KeyedTable(w.spark, f"{steps.root}/{name}", schema) for name, (_, schema, _) in kinds.items()}
+    for name, (rows, _, _) in kinds.items():
+        base[name].replace(rows)
+    kept = Geometries.under(base, steps.root).current()
+    accepted = steps.keep(apply.accepted_changes(queue_of(w), accepted_keys(w)))
+    for part in (accepted.filter("id % 2 = 0"), accepted.filter("id % 2 <> 0")):
+        moved = steps.keep(kept.moved(part))
+        for name, (_, _, t) in kinds.items():
+            base[name].change(part.filter(F.col("objtype") == t).withColumn("gone", F.col("deleted")))
+        kept.refresh(moved, steps)
+    if compacted:
+        for table in (*base.values(), kept.lines, kept.areas):
+            table.compact()
+    return base, kept
+
+
+APPLIED = f"""
+SELECT objtype, id, version FROM base_keys b WHERE NOT EXISTS (SELECT 1 FROM {ACCEPTED} a WHERE a.objtype = b.objtype AND a.id = b.id)
+UNION ALL SELECT objtype, id, version FROM {ACCEPTED} WHERE NOT deleted
+"""
+
+
+@query(sql(APPLIED))
+def merge_on_read(w: Warehouse) -> DataFrame:
+    base, _ = updated_base(w, compacted=False)
+    return views.base_view(*[t.read() for t in base.values()]).select("objtype", "id", "version")
+
+
+@query(sql(APPLIED))
+def merge_compacted(w: Warehouse) -> DataFrame:
+    base, _ = updated_base(w, compacted=True)
+    return views.base_view(*[t.read() for t in base.values()]).select("objtype", "id", "version")
+
+
+@query(sql(f"""
+, acc AS {ACCEPTED},
+an AS (SELECT id, lon, lat FROM base_n WHERE id NOT IN (SELECT id FROM acc WHERE objtype = 'n')
+  UNION ALL SELECT c.id, c.lon, c.lat FROM cn c JOIN acc a ON a.objtype = 'n' AND a.id = c.id AND NOT a.deleted),
+aw AS (SELECT id FROM base_w WHERE id NOT IN (SELECT id FROM acc WHERE objtype = 'w' AND deleted)),
+awn AS (SELECT id, node FROM base_wn WHERE id NOT IN (SELECT id FROM acc WHERE objtype = 'w') UNION ALL SELECT id, node FROM cwn WHERE id IN (SELECT id FROM acc WHERE objtype = 'w')),
+arm AS (SELECT id, ref FROM base_rm WHERE id NOT IN (SELECT id FROM acc WHERE objtype = 'r') UNION ALL SELECT id, ref FROM crm WHERE id IN (SELECT id FROM acc WHERE objtype = 'r'))
+SELECT 'w' AS objtype, aw.id, min(lon) AS min_x, min(lat) AS min_y, max(lon) AS max_x, max(lat) AS max_y FROM aw LEFT JOIN awn x ON x.id = aw.id LEFT JOIN an ON an.id = x.node GROUP BY aw.id
+UNION ALL SELECT 'r', r.id, min(lon), min(lat), max(lon), max(lat) FROM base_r r LEFT JOIN arm m ON m.id = r.id LEFT JOIN aw ON aw.id = m.ref LEFT JOIN awn x ON x.id = aw.id LEFT JOIN an ON an.id = x.node GROUP BY r.id
+"""))
+def geometry_refreshed(w: Warehouse) -> DataFrame:
+    """Boxes of the geometry that is kept up to date by what each update touches."""
+    _, kept = updated_base(w, compacted=False)
+    boxes = lambda df, t: box_columns(df).select(F.lit(t).alias("objtype"), "id", "min_x", "min_y", "max_x", "max_y")
+    return boxes(kept.lines.read(), "w").unionByName(boxes(kept.areas.read(), "r"))
+
+
 @query(sql(f"SELECT objtype, id, version, deleted FROM {ACCEPTED}"))
 def journal(w: Warehouse) -> DataFrame:
     queue = queue_of(w)

@@ -1,7 +1,8 @@
 """A project's tables and the stages of an update over them.
 
 Each stage writes new versions of the tables it changes beside the old ones; a pointer names the current version, so that a
-reader never sees half a stage and a lost one is run again from what it began with.
+reader never sees half a stage and a lost one is run again from what it began with. The base and its geometry are large and
+change little: they are keyed tables, to which an update adds its own rows only.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from terravet import schemas
 from terravet.functions import geometry as G
 from terravet.functions import overpass
 from terravet.operators import apply, changesets, duplicates, export, history, ingest, locha, network, review, shapes, target, validate, views
+from terravet.plans.geometries import Geometries, points
+from terravet.plans.keyed import KeyedTable
 from terravet.plans.tables import Steps, importable
 from terravet.sources import osc, pbf, replication
 from terravet.sources.config import Config
@@ -44,12 +47,27 @@ class Project:
     def __post_init__(self) -> None:
         importable(self.spark)
 
+    def keyed(self, name: str) -> KeyedTable:
+        """A table of the base."""
+        return KeyedTable(self.spark, f"{self.folder}/{name}", TABLES[name])
+
+    @property
+    def geometries(self) -> Geometries:
+        """The geometry of the base, as it is now."""
+        return Geometries.under({name: self.keyed(name) for name in KINDS.values()}, self.folder)
+
     def table(self, name: str) -> DataFrame:
+        if name in KINDS.values():
+            return self.keyed(name).read()
         found = apply.current(self.spark, f"{self.folder}/{name}")
         return self.spark.createDataFrame([], TABLES[name]) if found is None else found
 
     def put(self, **tables: DataFrame) -> None:
+        """Whole tables in place of what there was."""
         for name, df in tables.items():
+            if name in KINDS.values():
+                self.keyed(name).replace(df)
+                continue
             cols = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES[name].fields]
             apply.set_aside(df.select(cols), f"{self.folder}/{name}")
 
@@ -69,14 +87,14 @@ class Project:
         self.put(**{name: base.filter(F.col("objtype") == t) for t, name in KINDS.items()})
 
     def shapes(self) -> tuple[DataFrame, DataFrame]:
-        """Geometry of what the queue touches: its base objects, and its changes."""
+        """Geometry of what the queue touches: its base objects, with the member ways of its relations, and its changes."""
         n, w, r, queue = self.table("nodes"), self.table("ways"), self.table("relations"), self.table("queue")
         ids = lambda t: queue.filter(F.col("objtype") == t).select("id")
-        steps = Steps(self.spark, "shapes")
-        own = r.join(ids("r"), "id", "left_semi")
-        members = own.select(F.explode("members").alias("m")).filter("m.type = 'w'").select(F.col("m.ref").alias("id"))
-        near = w.join(ids("w").union(members).distinct(), "id", "left_semi")
-        return steps.keep(shapes.base_shapes(n, near, own)), steps.keep(shapes.change_shapes(n, w, r, queue))
+        steps, kept = Steps(self.spark, "shapes"), self.geometries.current()
+        members = r.join(ids("r"), "id", "left_semi").select(F.explode("members").alias("m")).filter("m.type = 'w'").select(F.col("m.ref").alias("id"))
+        some = lambda df, which, t: df.join(which, "id", "left_semi").select(F.lit(t).alias("objtype"), "id", "geom")
+        base = some(points(n), ids("n"), "n").unionByName(some(kept.lines.read(), ids("w").union(members).distinct(), "w")).unionByName(some(kept.areas.read(), ids("r"), "r"))
+        return steps.keep(base), steps.keep(shapes.change_shapes(n, w, r, queue))
 
     # --- stages
 
@@ -110,11 +128,26 @@ class Project:
         self.put(queue=ingest.prune_unknown_deletes(self.table("queue"), self.base))
 
     def apply_keys(self, keys: DataFrame) -> None:
-        base, queue, journal = apply.apply_changes(self.base, self.table("queue"), self.table("journal"), Steps(self.spark, "keys").keep(keys))
+        """Apply changes of the queue: the base and its geometry get the rows that change, the queue and the journal are written anew.
+
+        The queue goes last, so that a run that is lost before is run again over the same changes.
+        """
         steps = Steps(self.spark, "applied")
-        base, queue, journal = steps.keep(base), steps.keep(queue), steps.keep(journal)
-        self.put_base(base)
-        self.put(queue=queue, journal=journal)
+        queue, kept = self.table("queue"), self.geometries.current()
+        accepted = steps.keep(apply.accepted_changes(queue, steps.keep(keys)))
+        if accepted.isEmpty():
+            return
+        moved = steps.keep(kept.moved(accepted))
+        for t, name in KINDS.items():
+            table = self.keyed(name)
+            table.change(accepted.filter(F.col("objtype") == t).withColumn("gone", F.col("deleted")))
+            if table.due():
+                table.compact()
+        kept.refresh(moved, steps)
+        journal, left = steps.keep(apply.journaled(self.table("journal"), accepted)), steps.keep(apply.left_in_queue(queue, accepted))
+        self.put(journal=journal)
+        self.put(queue=left)
+        steps.drop()
 
     def release(self) -> None:
         """Flag what is of interest, and let through what isn't."""
@@ -223,8 +256,9 @@ class Project:
         return review.atom(rows, self.config.title.get("en") or next(iter(self.config.title.values())), link)
 
     def overpass(self, text: str) -> DataFrame:
-        n, w, r = self.table("nodes"), self.table("ways"), self.table("relations")
-        geom = shapes.base_shapes(n, w, r)
+        n, r, kept = self.table("nodes"), self.table("relations"), self.geometries.current()
+        tag = lambda df, t: df.select(F.lit(t).alias("objtype"), "id", "geom")
+        geom = tag(points(n), "n").unionByName(tag(kept.lines.read(), "w")).unionByName(tag(kept.areas.read(), "r"))
         areas = shapes.areas(r, geom.filter("objtype = 'w'").select("id", "geom")).join(r.select("id", "tags"), "id").withColumn("id", overpass.area_id(F.col("id")))
         return overpass.query(self.base.join(geom, ["objtype", "id"], "left"), text, areas)
 
