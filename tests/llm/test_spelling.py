@@ -64,6 +64,7 @@ def texts():
                 i = rng.randrange(len(w))
                 rng.choice([lambda: w.insert(i, rng.choice("abéz")), lambda: w.pop(i) if len(w) > 6 else None, lambda: w.__setitem__(i, rng.choice("abcé")), lambda: rng.shuffle(w)])()
             vocabulary["".join(w)] = rng.choice([4, 5, 6, 30, 79, 80, 81])
+    vocabulary |= {"chainsaw": 400, "chainsawe": 60, "chainsawes": 10}
     words = [rng.choice([w, w.upper() if w.isascii() else w, w.capitalize() if w.isascii() else w]) for w, n in vocabulary.items() for _ in range(n)]
     rng.shuffle(words)
     out = [(i, rng.choice([" ", "-", "\n", "œ", "1", "🙂"]).join(words[a : a + 40])) for i, a in enumerate(range(0, len(words), 40))]
