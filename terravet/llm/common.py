@@ -20,6 +20,9 @@ BROADCAST_BYTES = 10 << 20
 #: Bytes of text that the vectorised code works on at a time; a longer text is worked on alone.
 SLICE_BYTES = 1 << 20
 
+#: Rates of a sample by hash are whole numbers out of so many.
+RATES = 10**15
+
 MIX1, MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -74,6 +77,11 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def rate_of(share: float) -> int:
+    """A share as a rate out of RATES, never 0, so that no group of rows is too large to be sampled."""
+    return max(1, int(RATES * min(1.0, share)))
+
+
 def small(df: DataFrame, row: Column, most: int = BROADCAST_BYTES) -> DataFrame:
     """Mark a saved table for broadcast if its measured bytes, `row` for each row, are below the bound; else leave the join to Spark."""
     return F.broadcast(df) if (df.agg(F.sum(row)).first()[0] or 0) <= most else df

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import RATES, rate_of
+
 UNKNOWN = "und"
 #: Documents that the dictionary of a language is cut from, and characters taken of each, in stretches spread over all of it; the bounds of the fit.
 SAMPLE_DOCS, SAMPLE_CHARS, STRETCHES = 400, 1024, 4
@@ -44,8 +46,8 @@ def fit(docs: DataFrame, label: str = "lang", per_language: int = SAMPLE_DOCS, s
     if not counts:
         return {}
     per_language = max(1, min(per_language, DICTIONARY_BYTES // (4 * SAMPLE_CHARS * len(counts))))
-    rates = docs.sparkSession.createDataFrame([(r["lang"], int(1e6 * min(1.0, 4 * per_language / r["count"]))) for r in counts], "lang string, rate long")
-    sample = known.withColumn("key", F.xxhash64(F.lit(seed), "text")).join(F.broadcast(rates), "lang").filter(F.pmod("key", F.lit(1_000_000)) < F.col("rate"))
+    rates = docs.sparkSession.createDataFrame([(r["lang"], rate_of(4 * per_language / r["count"])) for r in counts], "lang string, rate long")
+    sample = known.withColumn("key", F.xxhash64(F.lit(seed), "text")).join(F.broadcast(rates), "lang").filter(F.pmod("key", F.lit(RATES)) < F.col("rate"))
     sample = sample.select("lang", "key", spread(F.col("text")).alias("text")).dropDuplicates(["lang", "key"])
     first = sample.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("key", F.lit(1_000_003)), "key"))).filter(F.col("n") <= per_language)
     parts: dict[str, list[str]] = {}

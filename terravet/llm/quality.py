@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import RATES, Scratch, rate_of
+
 BITS = 18
 #: Labelled rows that the fit uses, as many of each grade where there are, and features of them all together; rows are taken whole.
 SAMPLE_ROWS, SAMPLE_FEATURES = 9000, 8_000_000
@@ -127,9 +129,9 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int = 3, sample_rows: int =
     counts = {r[0]: r[1] for r in rated.groupBy("grade").count().collect()}
     if len(counts) < 2:
         return None
-    rate = F.create_map(*[x for g, n in counts.items() for x in (F.lit(g), F.lit(int(1e6 * min(1.0, sample_rows / grades / n))))])
+    rate = F.create_map(*[x for g, n in counts.items() for x in (F.lit(g), F.lit(rate_of(sample_rows / grades / n)))])
     key = F.xxhash64(F.lit(seed), "doc_id")
-    sample = rated.filter(F.pmod(key, F.lit(1_000_000)) < rate[F.col("grade")]).orderBy(key, "doc_id", "grade").limit(2 * sample_rows)
+    sample = rated.filter(F.pmod(key, F.lit(RATES)) < rate[F.col("grade")]).orderBy(key, "doc_id", "grade").limit(2 * sample_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
@@ -140,8 +142,11 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int = 3, sample_rows: int =
 
     chosen = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(sample), "doc_id").select(F.xxhash64("text").alias("key"), "text", "grade")
     rows = chosen.mapInArrow(run, "key long, grade int, n long, places binary, values binary").groupBy("key").agg(F.min(F.struct("grade", "n", "places", "values")).alias("r"))
-    so_far = F.sum("n").over(Window.orderBy("key"))  # a window over the bounded sample
-    rows = rows.select("key", "r.*").withColumn("so_far", so_far).filter((F.col("so_far") <= sample_features) | (F.col("so_far") == F.col("n"))).orderBy("key").collect()
+    so_far = F.sum("n").over(Window.orderBy("key"))  # a window over two numbers of each row of the bounded sample
+    with Scratch(docs.sparkSession, "quality") as own:
+        rows = own.save(rows.select("key", "r.*"))
+        taken = rows.select("key", "n").withColumn("so_far", so_far).filter((F.col("so_far") <= sample_features) | (F.col("so_far") == F.col("n")))
+        rows = rows.join(F.broadcast(taken.select("key")), "key", "left_semi").orderBy("key").collect()
     rows = [(r["grade"], np.frombuffer(r["places"], np.int32), np.frombuffer(r["values"], np.float64)) for r in rows if r["n"]]
     return fit_rows(rows, grades) if rows else None
 
