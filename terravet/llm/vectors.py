@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +25,8 @@ from pyspark.sql.types import FloatType
 from .common import Scratch, mix
 
 TABLES, WIDTH, BUCKET = 2, 2.0, 2048
-#: Visits in one table at most; share of the sample's neighbours to be found; queries in the sample.
-MOST_PROBES, RECALL, SAMPLE = 1024, 0.96, 128
+#: Visits in one table that are measured first, and four times as many while these are too few; share of the sample's neighbours to be found; queries in the sample.
+FIRST_PROBES, RECALL, SAMPLE = 1024, 0.96, 128
 #: Bits that one function tells of a row, about, at this width.
 BITS = 1.3
 #: Rows of a bucket that one task scores at a time; a larger bucket is dealt to several.
@@ -189,25 +189,32 @@ def lifted(x: np.ndarray, norm: float, query: bool) -> np.ndarray:
     return np.column_stack([scaled, rest])
 
 
-def measured(rows: DataFrame, queries: DataFrame, count: int, k: int, dim: int, norm: float, kind: type, made: Hashes) -> int:
-    """The fewest visits in each table that find RECALL of the k nearest of a sample of at most 2 * SAMPLE queries; all if none do."""
+def measured(rows: DataFrame, queries: DataFrame, count: int, k: int, dim: int, norm: float, kind: type, hashes: Callable[[int], Hashes]) -> int:
+    """The fewest visits in each table that find RECALL of the k nearest of a sample of at most 2 * SAMPLE queries: of FIRST_PROBES, then of four
+    times as many, and so on until they do, or until every bucket that there may be is visited. hashes: from a number of visits."""
     n = queries.count()
     sample = queries.filter(F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(max(1, n))) < SAMPLE).orderBy("id").limit(2 * SAMPLE)
     asked = {r["id"]: np.frombuffer(r["v"], kind) for r in sample.collect()}
     if not asked:
-        return len(made.sets)
+        return 1
     sample = sample.sparkSession.createDataFrame([(i, bytearray(v.tobytes())) for i, v in asked.items()], "id long, v binary")
     exact = top(scored(all_blocks(rows, F.broadcast(sample), count), dim, k, norm, kind), k)
     found = exact.join(rows.withColumnRenamed("id", "vec_id"), "vec_id").select("query_id", "v").collect()
     q = lifted(np.array([asked[r["query_id"]] for r in found], np.float64), norm, True)
     x = lifted(np.array([np.frombuffer(r["v"], kind) for r in found], np.float64), norm, False)
-    need = np.full(len(found), len(made.sets))
-    for t in range(made.tables):
-        for at in range(0, len(found), 64):
-            keys = made.keys(t, made.slots(t, x[at : at + 64])[0])
-            hit = made.visits(t, q[at : at + 64]) == keys[:, None]
-            need[at : at + 64] = np.minimum(need[at : at + 64], np.where(hit.any(axis=1), hit.argmax(axis=1), len(made.sets)))
-    return min(len(made.sets), int(np.sort(need)[min(len(need) - 1, math.ceil(RECALL * len(need)))]) + 1)
+    most = FIRST_PROBES
+    while True:
+        made = hashes(most)
+        need, step = np.full(len(found), len(made.sets)), max(1, (1 << 16) // len(made.sets))
+        for t in range(made.tables):
+            for at in range(0, len(found), step):
+                keys = made.keys(t, made.slots(t, x[at : at + step])[0])
+                hit = made.visits(t, q[at : at + step]) == keys[:, None]
+                need[at : at + step] = np.minimum(need[at : at + step], np.where(hit.any(axis=1), hit.argmax(axis=1), len(made.sets)))
+        fewest = int(np.sort(need)[min(len(need) - 1, math.ceil(RECALL * len(need)))]) + 1
+        if fewest <= len(made.sets) or len(made.sets) < most:
+            return min(len(made.sets), fewest)
+        most *= 4
 
 
 def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, vec: str = "embedding", tables: int = TABLES, functions: int | None = None, width: float = WIDTH, probes: int | None = None) -> DataFrame:
@@ -240,7 +247,7 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, vec: str = "em
         if functions is None:
             functions = min(24, max(2, round(math.log2(max(2.0, count / BUCKET)) / BITS)))
         if probes is None:
-            probes = measured(rows.select("id", "v"), queries, count, k, dim, norm, kind, Hashes(dim, tables, functions, width, MOST_PROBES))
+            probes = measured(rows.select("id", "v"), queries, count, k, dim, norm, kind, lambda most: Hashes(dim, tables, functions, width, most))
 
         def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             made = Hashes(dim, tables, functions, width, probes)
