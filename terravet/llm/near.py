@@ -297,8 +297,8 @@ def linked(members: DataFrame, texts: DataFrame, sets: Sets, threshold: Threshol
         groups = members.select(F.col("pivot").alias("key"), "id").distinct()
         named = own.save(groups.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
         # Groups of the same items give the same links: one of them is enough. One of two items has been compared.
-        seen = named.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("same"), F.count(F.lit(1)).alias("n"))
-        mixed = own.save(seen.filter("c0 <> c1 AND n > 2").groupBy("same", "n").agg(F.min("key").alias("key")).select("key"))
+        seen = named.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("same"), F.sum(F.xxhash64(F.lit(1), "id").cast("decimal(20,0)")).alias("too"), F.count(F.lit(1)).alias("n"))
+        mixed = own.save(seen.filter("c0 <> c1 AND n > 2").groupBy("same", "too", "n").agg(F.min("key").alias("key")).select("key"))
         if mixed.isEmpty():
             return scratch.save(found)
         rest = own.save(named.join(mixed, "key", "left_semi"))
