@@ -215,12 +215,13 @@ def dedup_lines(docs: DataFrame, least: int = MIN_BYTES) -> DataFrame:
     given = [c for c in docs.columns if c != "n_removed"]
     gone = scratch.save(flagged(removals(docs.select("doc_id", "text"), scratch, least))).select(F.col("doc_id").alias("__id"), "__stays", F.col("n").alias("__n"))
     side = small(gone, 64 + F.size("__stays"))
-    base = docs.select(*given)
-    out = base.join(side, base["doc_id"].cast("long") == side["__id"], "left")
-    lines = F.split(F.col("text"), "\n", -1)
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in given]).alias("row"))  # as one column, so that no name of docs is met again
+    of = lambda c: F.col("row")[c]
+    out = base.join(side, of("doc_id").cast("long") == F.col("__id"), "left")
+    lines = F.split(of("text"), "\n", -1)
     kept = F.filter(lines, lambda x, i: F.coalesce(F.get(F.col("__stays"), i), F.lit(True)))
-    text = F.when(F.col("__stays").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    text = F.when(F.col("__stays").isNull(), of("text")).otherwise(F.array_join(kept, "\n"))
     return out.select(
-        *[text.alias("text") if c == "text" else F.col(c) for c in given],
-        F.when(F.col("text").isNull(), 0).otherwise(F.coalesce("__n", F.lit(0))).alias("n_removed"),
+        *[(text if c == "text" else of(c)).alias(c) for c in given],
+        F.when(of("text").isNull(), 0).otherwise(F.coalesce("__n", F.lit(0))).alias("n_removed"),
     )

@@ -96,22 +96,25 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, by: str = "doc
     are drawn in several parts, whose sum has the whole mean. An empty table gives an empty one.
     """
     given = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
-    key = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    drawn = docs.select(*given, F.coalesce(F.col("source"), F.lit("")).alias("__source"), uniform(seed, key).alias("__u"))
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in given]).alias("row"))  # as one column, so that no name of docs is met again
+    key = F.coalesce(F.col("row")["doc_id"].cast("string"), F.md5(F.coalesce(F.col("row")["text"], F.lit("")).cast("binary")))
+    drawn = docs.select("row", F.coalesce(F.col("row")["source"], F.lit("")).alias("__source"), uniform(seed, key).alias("__u"))
+    docs = docs.select(F.col("row")["source"].alias("source"), F.col("row")["text"].alias("text"))
     one, several = rates(docs, weights, by, rows)
     drawn = drawn.withColumn("__part", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
     same = lambda df: (F.col("__source") == F.col("__of")) & (F.col("__part") == F.col("__salt") if "__salt" in df.columns else F.lit(True))
     means = one.withColumnRenamed("__source", "__of")
     counted = drawn.join(means, same(one) & (F.col("__u") >= F.col("__low")) & (F.col("__u") < F.col("__high")))
-    copies = counted.select(*given, F.explode(F.sequence(F.lit(1), F.col("__count"))).alias("copy"))
+    copies = counted.select("row", F.explode(F.sequence(F.lit(1), F.col("__count"))).alias("copy"))
     if several is not None:
         part = lambda i: F.size(F.filter(F.slice("__sums", 1, F.size("__sums") - 1), lambda p: p <= uniform(seed, F.col("__key"), i)))
         of_parts = drawn.withColumn("__key", key).join(several.withColumnRenamed("__source", "__of"), same(several))
         of_parts = of_parts.withColumn("__drawn", F.transform(F.sequence(F.lit(1), F.col("__parts").cast("int")), part))
         total = F.aggregate("__drawn", F.lit(0), lambda n, x: n + x)
-        copies = copies.union(of_parts.withColumn("__count", total).filter("__count > 0").select(*given, F.explode(F.sequence(F.lit(1), F.col("__count"))).alias("copy")))
+        copies = copies.union(of_parts.withColumn("__count", total).filter("__count > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("__count"))).alias("copy")))
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(f"order{seed}"), key, "copy")))
-    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key", "copy")
+    dealt = keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key", "copy")
+    return dealt.select(*[F.col("row")[c].alias(c) for c in given], "copy", "shuffle_key")
 
 
 #: The query's statement: every source the same share, counted in documents. A mean over 500 is the sum of equal draws.
