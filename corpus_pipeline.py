@@ -41,11 +41,11 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = documents.near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count()
     kept = Scratch(spark, "kept").save(kept.select(F.col("doc_id").alias("__id"), "count"))
     alone, again = kept.filter("count = 1").select("__id"), kept.filter("count > 1").select("__id")
-    own = F.col("doc_id").cast("long") == F.col("__id")
-    rows = docs.join(alone, own, "left_semi").union(docs.filter("doc_id IS NULL"))
+    own = lambda ids: docs["doc_id"].cast("long") == ids["__id"]
+    rows = docs.join(alone, own(alone), "left_semi").union(docs.filter("doc_id IS NULL"))
     if kept.filter("count > 1").isEmpty():
         return rows
-    return rows.union(docs.join(again, own, "left_semi").dropDuplicates(["doc_id"]))
+    return rows.union(docs.join(again, own(again), "left_semi").dropDuplicates(["doc_id"]))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,8 +65,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    importable(spark)
     """The rows of the last stage; each stage's table is removed once the next one's is written. No documents give no rows."""
+    importable(spark)
     docs, scratch, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline"), None
     for _, stage in STAGES:
         own = scratch.inner()
