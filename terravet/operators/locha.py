@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -79,9 +80,9 @@ def cut(points: DataFrame, distance: float, most: int) -> DataFrame:
 
 
 def split_large(points: DataFrame, distance: float, most: int = MOST, rounds: int = ROUNDS, at_once: int = POINTS) -> DataFrame:
-    """(id, cluster, part) of points (id, cluster, x, y): clusters of more than `most` split by k-means, again while they are too large.
+    """(id, cluster, tile, part) of points (id, cluster, x, y): clusters of more than `most` split by k-means, again while they are too large.
 
-    Clusters of more than `at_once` points are cut by a grid first, so that no task is given more; their parts' numbers don't follow on.
+    Clusters of more than `at_once` points are cut in tiles first, so that no task is given more; parts are numbered within a tile, which is null for the others.
     """
 
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -96,10 +97,9 @@ def split_large(points: DataFrame, distance: float, most: int = MOST, rounds: in
                 own = np.flatnonzero(labels == name)
                 part = kmeans(xy[own], -(-len(own) // most), RADIUS * distance)
                 labels[own] = np.where(part == 0, name, labels.max() + part)
-        base = 0 if pdf["tile"].isna().all() else (zlib.crc32(str(pdf["tile"].iloc[0]).encode()) << 31) + (1 << 20)
-        return pd.DataFrame({"id": pdf["id"], "cluster": pdf["cluster"], "part": labels + base})
+        return pd.DataFrame({"id": pdf["id"], "cluster": pdf["cluster"], "tile": pdf["tile"], "part": labels})
 
-    return cut(points, distance, at_once).groupBy("cluster", "tile").applyInPandas(split, "id long, cluster long, part long")
+    return cut(points, distance, at_once).groupBy("cluster", "tile").applyInPandas(split, "id long, cluster long, tile string, part long")
 
 
 def glued(groups: DataFrame, rows: DataFrame, steps: Steps) -> DataFrame:
@@ -113,17 +113,20 @@ def glued(groups: DataFrame, rows: DataFrame, steps: Steps) -> DataFrame:
 
 
 def renumbered(df: DataFrame, *keys: str, name: str = "number") -> DataFrame:
-    """df with a dense number for each distinct key, from 1, in the order of the keys.
+    """df with a dense number for each distinct key, from 1, in the order of the keys; a null key comes last.
 
     The distinct keys are ranked within ranges; over the ranges, of which there are as many as partitions, their sizes are added up.
     """
     steps = Steps(df.sparkSession, "numbers")
-    ranged = df.select(*keys).distinct().repartitionByRange(*keys).withColumn("__p", F.spark_partition_id())
-    known = steps.keep(ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(*keys))))
+    order = [F.col(k).asc_nulls_last() for k in keys]
+    ranged = df.select(*keys).distinct().repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
+    known = steps.keep(ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(*order))))
     sizes = known.groupBy("__p").agg(F.max("__n").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = known.join(F.broadcast(sizes.select("__p", before.alias("__before"))), "__p").select(*keys, (F.col("__n") + F.col("__before")).alias(name))
-    return df.join(ranked, list(keys))
+    ranked = ranked.toDF(*[f"__{k}" for k in keys], name)
+    same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(ranked[f"__{k}"]) for k in keys])
+    return df.join(ranked, same).select(*[df[c] for c in df.columns if c != name], ranked[name])
 
 
 def signatures(rows: DataFrame, key: str) -> DataFrame:
@@ -156,7 +159,7 @@ def assign_locha(rows: DataFrame, distance: float, steps: Steps, projection: G.P
     clusters = linked_clusters(placed, distance, steps)
     points = at.select(F.col("cc_id").alias("id"), F.col("p.x").alias("x"), F.col("p.y").alias("y")).join(clusters, "id")
     parts = split_large(points.select("id", "cluster", "x", "y"), distance)
-    first = Window.partitionBy("cluster", "part")
+    first = Window.partitionBy("cluster", "tile", "part")
     groups = parts.withColumn("g", F.min("id").over(first)).select(F.col("id").alias("cc_id"), "g")
     alone = rows.select("cc_id").distinct().join(groups, "cc_id", "left_anti").select("cc_id", F.col("cc_id").alias("g"))
     main = steps.keep(glued(steps.keep(groups.unionByName(alone)), rows, steps))

@@ -760,30 +760,29 @@ def locha_renumber(w: Warehouse) -> DataFrame:
     return locha.renumbered(rows, "part", "version").select("objtype", "id", F.col("number").cast("long").alias("number"))
 
 
-def placed_nodes(w: Warehouse, only: str = "true") -> DataFrame:
+def placed_nodes(w: Warehouse) -> DataFrame:
     cell = F.struct(F.round(F.col("lon") / 60).cast("long").alias("x"), F.round(F.col("lat") / 60).cast("long").alias("y"))
-    return queue_of(w).filter("objtype = 'n' AND NOT deleted").filter(only).select("id", cell.alias("cell"), G.point(F.col("lon"), F.col("lat")).alias("geom"))
+    return queue_of(w).filter("objtype = 'n' AND NOT deleted").select("id", cell.alias("cell"), G.point(F.col("lon"), F.col("lat")).alias("geom"))
 
 
-@query(sql("""
-, pts AS (SELECT c.id, round(c.lon / 60) AS gx, round(c.lat / 60) AS gy, c.lon, c.lat FROM queue q JOIN cn c ON q.objtype = 'n' AND q.id = c.id WHERE NOT c.deleted AND c.id < 1000000000),
+PLACE_CLUSTERS = """
+, pts AS (SELECT c.id, round(c.lon / 60) AS gx, round(c.lat / 60) AS gy, c.lon, c.lat FROM queue q JOIN cn c ON q.objtype = 'n' AND q.id = c.id WHERE NOT c.deleted),
 eps AS (SELECT a.id AS a, b.id AS b FROM pts a JOIN pts b ON a.gx = b.gx AND a.gy = b.gy AND (a.lon - b.lon) ** 2 + (a.lat - b.lat) ** 2 <= 36),
 linked AS (SELECT id, id AS r FROM pts UNION SELECT l.id, e.b FROM linked l JOIN eps e ON e.a = l.r)
 SELECT id, min(r) AS cluster FROM linked GROUP BY id
-"""))
+"""
+
+
+@query(sql(PLACE_CLUSTERS))
 def dbscan(w: Warehouse) -> DataFrame:
-    return locha.linked_clusters(placed_nodes(w, "id < 1000000000"), 6.0, steps_of(w, "dbscan"))
+    """Clusters by place of all pending nodes, created ones too."""
+    return locha.linked_clusters(placed_nodes(w), 6.0, steps_of(w, "dbscan"))
 
 
-@query(sql("""
-, pts AS (SELECT c.id, round(c.lon / 60) AS gx, round(c.lat / 60) AS gy, c.lon, c.lat FROM queue q JOIN cn c ON q.objtype = 'n' AND q.id = c.id WHERE NOT c.deleted),
-eps AS (SELECT a.id AS a, b.id AS b FROM pts a JOIN pts b ON a.gx = b.gx AND a.gy = b.gy AND (a.lon - b.lon) ** 2 + (a.lat - b.lat) ** 2 <= 36),
-linked AS (SELECT id, id AS r FROM pts UNION SELECT l.id, e.b FROM linked l JOIN eps e ON e.a = l.r)
-SELECT id, min(r) AS cluster FROM linked GROUP BY id
-"""))
+@query(sql(PLACE_CLUSTERS))
 def dbscan_queue(w: Warehouse) -> DataFrame:
-    """dbscan over all pending nodes, created ones too, which its statement leaves out."""
-    return locha.linked_clusters(placed_nodes(w), 6.0, steps_of(w, "dbscan_queue"))
+    """The same under the name that it had while dbscan left created nodes out."""
+    return dbscan(w)
 
 
 @query()

@@ -60,6 +60,6 @@ def test_all_nodes(spark):
         clusters[r["id"] // 700].append((r["id"], r["lon"], r["lat"]))
     got = QUERIES["kmeans_split"](spark, str(DATA)).collect()
     for r in got:
-        parts[r["cluster"], r["part"]].add(r["id"])
+        parts[r["cluster"], r["tile"], r["part"]].add(r["id"])
     assert len(got) == sum(map(len, clusters.values()))
     assert {frozenset(p) for p in parts.values()} == {s for own in clusters.values() for s in split(own)} and max(map(len, parts.values())) <= locha.MOST
