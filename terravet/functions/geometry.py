@@ -124,6 +124,51 @@ def segments(geom: Column) -> Column:
     return F.flatten(F.transform(F.filter(geom["parts"], lambda p: F.size(p) > 0), of))
 
 
+def segment_ends(geom: Column) -> Column:
+    """Segments of a geometry by their ends (ax, ay, bx, by); a part of one vertex is a segment of its own."""
+
+    def of(part: Column) -> Column:
+        def ends(i: Column) -> Column:
+            p, q = F.get(part, i), F.get(part, F.least(i + 1, F.size(part) - 1))
+            return F.struct(p["x"].alias("ax"), p["y"].alias("ay"), q["x"].alias("bx"), q["y"].alias("by"))
+
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(part) - 2, F.lit(0))), ends)
+
+    return F.flatten(F.transform(F.filter(geom["parts"], lambda p: F.size(p) > 0), of))
+
+
+def _point_to_segment(px: Column, py: Column, s: Column) -> Column:
+    """Distance of a point from a segment (ax, ay, bx, by)."""
+    dx, dy = s["bx"] - s["ax"], s["by"] - s["ay"]
+    size = dx * dx + dy * dy
+    t = F.when(size == 0, F.lit(0.0)).otherwise(F.least(F.greatest(((px - s["ax"]) * dx + (py - s["ay"]) * dy) / size, F.lit(0.0)), F.lit(1.0)))
+    x, y = px - (s["ax"] + t * dx), py - (s["ay"] + t * dy)
+    return F.sqrt(x * x + y * y)
+
+
+def segments_within(a: Column, b: Column, reach: float) -> Column:
+    """Whether two segments are at most `reach` apart: they cross, or an end of one is so near the other."""
+    turn = lambda s, x, y: (s["bx"] - s["ax"]) * (y - s["ay"]) - (s["by"] - s["ay"]) * (x - s["ax"])
+    sides = lambda s, o: turn(s, o["ax"], o["ay"]) * turn(s, o["bx"], o["by"]) < 0
+    ends = [_point_to_segment(p[x], p[y], s) <= reach for p, s in ((a, b), (b, a)) for x, y in (("ax", "ay"), ("bx", "by"))]
+    return ends[0] | ends[1] | ends[2] | ends[3] | (sides(a, b) & sides(b, a))
+
+
+def cells_along(s: Column, side: Column) -> Column:
+    """Cells (cx, cy) of a grid that a segment (ax, ay, bx, by) may pass, as many as its length asks for: those of stretches no longer than a cell."""
+    n = F.greatest(F.ceil(F.greatest(F.abs(s["bx"] - s["ax"]), F.abs(s["by"] - s["ay"])) / side), F.lit(1)).cast("int")
+    low = lambda a, b: F.floor(F.least(a, b) / side)
+    high = lambda a, b: F.floor(F.greatest(a, b) / side)
+
+    def stretch(i: Column) -> Column:
+        at = lambda p, q, k: p + (q - p) * k / n
+        ax, bx = at(s["ax"], s["bx"], i), at(s["ax"], s["bx"], i + 1)
+        ay, by = at(s["ay"], s["by"], i), at(s["ay"], s["by"], i + 1)
+        return F.flatten(F.transform(F.sequence(low(ax, bx), high(ax, bx)), lambda x: F.transform(F.sequence(low(ay, by), high(ay, by)), lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
+
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), stretch)))
+
+
 def level(box: Column, size: float, margin: float) -> Column:
     """The grid whose cells, of size * 2^level, are no smaller than a box widened by the margin."""
     wide = F.greatest(box["max_x"] - box["min_x"], box["max_y"] - box["min_y"]) + 2 * margin

@@ -6,15 +6,14 @@ import re
 from dataclasses import dataclass, field
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from terravet.functions import geometry as G
+from terravet.functions import polygons
 from terravet.functions.tags import Selector
 from terravet.operators.views import AREA_OFFSET
+from terravet.plans.tables import Steps
 
 KINDS = ("node", "way", "relation", "nwr", "nw", "nr", "wr", "area")
 TYPES = {"node": "n", "way": "w", "relation": "r", "nwr": "nwr", "nw": "nw", "nr": "nr", "wr": "wr"}
@@ -244,13 +243,23 @@ class Interpreter:
         return rows
 
     def inside(self, rows: DataFrame, area: str) -> DataFrame:
-        """Rows that meet one of the areas of a set, or the area of a number; boxes are met in a grid of cells first."""
+        """Rows that meet one of the areas of a set, or the area of a number.
+
+        Areas are cut in cells that are small where their borders are; segments of the rows meet them in the cells of the
+        sizes in use, so that no geometry is joined whole.
+        """
         found = self.areas.filter(F.col("id") == int(area)) if area.isdigit() else self.get(area)
-        cell = 10.0
-        shapes = found.filter("geom IS NOT NULL").select(F.col("geom").alias("a_geom"), F.explode(G.cells(G.bbox(F.col("geom")), cell)).alias("cell"))
-        own = rows.filter("geom IS NOT NULL").select("objtype", "id", "geom", F.explode(G.cells(G.bbox(F.col("geom")), cell)).alias("cell"))
-        met = own.join(shapes, "cell").filter(_polygon_meets("a_geom", "geom")).select("objtype", "id").distinct()
-        return rows.join(met, ["objtype", "id"], "left_semi")
+        quads = found.filter("geom IS NOT NULL").select(F.explode(polygons.area_quads("geom")).alias("quad"))
+        quads = Steps(rows.sparkSession, "areas").keep(quads.select("quad.level", "quad.cx", "quad.cy", "quad"))
+        levels = sorted(r[0] for r in quads.select("level").distinct().collect())  # a few numbers
+        if not levels:
+            return rows.limit(0)
+        segments = rows.filter("geom IS NOT NULL").select("objtype", "id", F.explode(G.segment_ends(F.col("geom"))).alias("s"))
+        every = segments.select("objtype", "id", "s", F.explode(F.array(*[F.lit(x) for x in levels])).alias("level"))
+        placed = every.select("objtype", "id", "s", "level", F.explode(G.cells_along(F.col("s"), F.lit(polygons.FINEST) * F.pow(F.lit(2.0), F.col("level")))).alias("cell"))
+        met = placed.select("objtype", "id", "s", "level", "cell.cx", "cell.cy").join(quads, ["level", "cx", "cy"])
+        hit = met.filter(polygons.segment_meets("s", "quad")).select("objtype", "id").distinct()
+        return rows.join(hit, ["objtype", "id"], "left_semi")
 
     def recurse(self, sign: str, rows: DataFrame) -> DataFrame:
         if sign[0] == ">":
@@ -269,15 +278,6 @@ class Interpreter:
         return out.dropDuplicates(["objtype", "id"])
 
 
-@F.arrow_udf(T.BooleanType())
-def _polygon_meets(area: pa.Array, geom: pa.Array) -> pa.Array:
-    out = []
-    for a, g in zip(area.to_pylist(), geom.to_pylist()):
-        rings, parts = G.parts_of(a), G.parts_of(g)
-        out.append(bool(rings and parts) and (bool(G._in_rings(np.concatenate(parts), rings).any()) or G._crossing(*G._segments(parts), *G._segments(rings), touching=True)))
-    return pa.array(out, pa.bool_())
-
-
 def element_json(mode: str = "body") -> Column:
     kind = F.when(F.col("objtype") == "n", "node").when(F.col("objtype") == "w", "way").otherwise("relation")
     cols = [kind.alias("type"), F.col("id")]

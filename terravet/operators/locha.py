@@ -80,9 +80,9 @@ def cut(points: DataFrame, distance: float, most: int) -> DataFrame:
 
 
 def split_large(points: DataFrame, distance: float, most: int = MOST, rounds: int = ROUNDS, at_once: int = POINTS) -> DataFrame:
-    """(id, cluster, tile, part) of points (id, cluster, x, y): clusters of more than `most` split by k-means, again while they are too large.
+    """(id, cluster, part) of points (id, cluster, x, y): clusters of more than `most` split by k-means, again while they are too large.
 
-    Clusters of more than `at_once` points are cut in tiles first, so that no task is given more; parts are numbered within a tile, which is null for the others.
+    Clusters of more than `at_once` points are cut in tiles first, so that no task is given more; tiles are numbered, and parts within their tile.
     """
 
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -97,9 +97,12 @@ def split_large(points: DataFrame, distance: float, most: int = MOST, rounds: in
                 own = np.flatnonzero(labels == name)
                 part = kmeans(xy[own], -(-len(own) // most), RADIUS * distance)
                 labels[own] = np.where(part == 0, name, labels.max() + part)
-        return pd.DataFrame({"id": pdf["id"], "cluster": pdf["cluster"], "tile": pdf["tile"], "part": labels})
+        return pd.DataFrame({"id": pdf["id"], "cluster": pdf["cluster"], "part": labels + (int(pdf["number"].iloc[0]) << 31)})
 
-    return cut(points, distance, at_once).groupBy("cluster", "tile").applyInPandas(split, "id long, cluster long, tile string, part long")
+    tiled = Steps(points.sparkSession, "tiles").keep(cut(points, distance, at_once))
+    numbers = renumbered(tiled.filter("tile IS NOT NULL").select("cluster", "tile").distinct(), "cluster", "tile")
+    rows = tiled.filter("tile IS NULL").withColumn("number", F.lit(0).cast("long")).unionByName(tiled.join(numbers, ["cluster", "tile"]).select(*tiled.columns, F.col("number").cast("long")))
+    return rows.groupBy("cluster", "number").applyInPandas(split, "id long, cluster long, part long")
 
 
 def glued(groups: DataFrame, rows: DataFrame, steps: Steps) -> DataFrame:
@@ -159,7 +162,7 @@ def assign_locha(rows: DataFrame, distance: float, steps: Steps, projection: G.P
     clusters = linked_clusters(placed, distance, steps)
     points = at.select(F.col("cc_id").alias("id"), F.col("p.x").alias("x"), F.col("p.y").alias("y")).join(clusters, "id")
     parts = split_large(points.select("id", "cluster", "x", "y"), distance)
-    first = Window.partitionBy("cluster", "tile", "part")
+    first = Window.partitionBy("cluster", "part")
     groups = parts.withColumn("g", F.min("id").over(first)).select(F.col("id").alias("cc_id"), "g")
     alone = rows.select("cc_id").distinct().join(groups, "cc_id", "left_anti").select("cc_id", F.col("cc_id").alias("g"))
     main = steps.keep(glued(steps.keep(groups.unionByName(alone)), rows, steps))

@@ -1,4 +1,7 @@
-"""Which geometries of two tables are near each other: an equi-join on the cells of their segments, and an exact distance."""
+"""Which geometries of two tables are near each other: an equi-join on the cells of their segments, and the exact distance of these.
+
+The least distance of two shapes is that of two of their segments; so the join carries segments only, and no geometry.
+"""
 
 from __future__ import annotations
 
@@ -10,15 +13,17 @@ from terravet.plans.tables import Steps
 
 
 def boxes(shapes: DataFrame, keys: list[str], size: float, margin: float) -> DataFrame:
-    """(keys, __box, __level): the segments of shapes (keys, geom). A long segment stands in a coarser grid, so that none covers many cells."""
-    each = shapes.select(*keys, F.explode(G.segments(F.col("geom"))).alias("__box"))
-    return each.withColumn("__level", G.level(F.col("__box"), size, margin))
+    """(keys, __s, __box, __level): the segments of shapes (keys, geom) and their boxes. A long segment stands in a coarser grid, so that none covers many cells."""
+    each = shapes.select(*keys, F.explode(G.segment_ends(F.col("geom"))).alias("__s"))
+    side = lambda f, a, b, name: f(F.col("__s")[a], F.col("__s")[b]).alias(name)
+    box = F.struct(side(F.least, "ax", "bx", "min_x"), side(F.least, "ay", "by", "min_y"), side(F.greatest, "ax", "bx", "max_x"), side(F.greatest, "ay", "by", "max_y"))
+    return each.withColumn("__box", box).withColumn("__level", G.level(F.col("__box"), size, margin))
 
 
 def tiles(segments: DataFrame, keys: list[str], size: float, margin: float, levels: Column) -> DataFrame:
-    """(keys, __at, __cell): the cells of each segment in the grids of these levels."""
-    each = segments.select(*keys, "__box", F.explode(levels).alias("__at"))
-    return each.select(*keys, "__at", F.explode(G.cells(F.col("__box"), size, margin, F.col("__at"))).alias("__cell")).distinct()
+    """(keys, __s, __at, __cell): the cells of each segment in the grids of these levels."""
+    each = segments.select(*keys, "__s", "__box", F.explode(levels).alias("__at"))
+    return each.select(*keys, "__s", "__at", F.explode(G.cells(F.col("__box"), size, margin, F.col("__at"))).alias("__cell"))
 
 
 def near(a: DataFrame, b: DataFrame, within: list[str], reach: float, steps: Steps, ordered: bool = False) -> DataFrame:
@@ -34,10 +39,10 @@ def near(a: DataFrame, b: DataFrame, within: list[str], reach: float, steps: Ste
     above = lambda known, equal: F.filter(F.array(*[F.lit(x) for x in known]).cast("array<int>"), lambda x: (x >= F.col("__level")) if equal else (x > F.col("__level")))
     in_first, in_second, others = used(first), used(second), ["o_id", *within]
     own = lambda df, k, margin: tiles(df, k, size, margin, F.array("__level"))
-    on = [*within, "__at", "__cell"]
-    pairs = tiles(first, keys, size, reach, above(in_second, True)).join(own(second, others, 0.0), on).select(*within, "id", "o_id")
-    pairs = pairs.union(own(first, keys, reach).join(tiles(second, others, size, 0.0, above(in_first, False)), on).select(*within, "id", "o_id"))
-    pairs = steps.keep((pairs.filter("id < o_id") if ordered else pairs).distinct())
-    shape = lambda df, to: df.select(F.col("id").alias(to), *within, F.col("geom").alias(f"{to}_geom"))
-    rows = pairs.join(shape(a, "id"), ["id", *within]).join(shape(b, "o_id"), ["o_id", *within])
-    return rows.filter(G.geometry_distance("id_geom", "o_id_geom") <= reach).select(*within, "id", "o_id")
+    on, other = [*within, "__at", "__cell"], lambda df: df.withColumnRenamed("__s", "__o")
+    met = lambda x, y: x.join(other(y), on).select(*within, "id", "o_id", "__s", "__o")
+    pairs = met(tiles(first, keys, size, reach, above(in_second, True)), own(second, others, 0.0))
+    pairs = pairs.unionByName(met(own(first, keys, reach), tiles(second, others, size, 0.0, above(in_first, False))))
+    if ordered:
+        pairs = pairs.filter("id < o_id")
+    return steps.keep(pairs.filter(G.segments_within(F.col("__s"), F.col("__o"), reach)).select(*within, "id", "o_id").distinct())

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terravet.functions import geometry as G
+from terravet.functions import polygons
 
 
 def overlay_nodes(nodes: DataFrame, changes: DataFrame) -> DataFrame:
@@ -77,11 +78,11 @@ def change_shapes(nodes: DataFrame, ways: DataFrame, relations: DataFrame, chang
 
 
 def areas(relations: DataFrame, way_shapes_: DataFrame) -> DataFrame:
-    """(id, geom): the rings of each relation's stitched member ways as polygons; inner rings fill, as all are united."""
+    """(id, geom): what the rings of each relation's stitched member ways enclose; inner rings fill, as all are united. A ring that crosses itself doesn't count."""
     lines = relation_shapes(relations, way_shapes_.limit(0), way_shapes_)
     rings = F.filter(F.col("geom.parts"), lambda p: (F.size(p) >= 4) & G.is_closed(p))
-    polygons = lines.filter("geom IS NOT NULL").select("id", rings.alias("rings")).filter(F.size("rings") > 0)
-    return polygons.select("id", G.geometry("polygon", F.col("rings")).alias("geom")).filter(G.is_valid("geom"))
+    closed = lines.filter("geom IS NOT NULL").select("id", rings.alias("rings")).filter(F.size("rings") > 0)
+    return closed.select("id", polygons.area_of(G.geometry("polygon", F.col("rings"))).alias("geom")).filter("geom IS NOT NULL")
 
 
 def dirty(ways: DataFrame, relations: DataFrame, node_ids: DataFrame, way_ids: DataFrame, relation_ids: DataFrame) -> DataFrame:

@@ -20,10 +20,7 @@ def test_parts_of_a_cut_cluster_keep_their_tile(spark):
     points = spark.range(3000).select("id", F.lit(7).cast("long").alias("cluster"), (F.col("id") % 60 * 1.0).alias("x"), F.floor(F.col("id") / 60).cast("double").alias("y"))
     parts = defaultdict(list)
     for r in locha.split_large(points, 1.0, most=20, at_once=300).collect():
-        parts[r["cluster"], r["tile"], r["part"]].append(r["id"])
-    assert sum(map(len, parts.values())) == 3000 and len({t for _, t, _ in parts}) > 5
-    where = {t: set() for _, t, _ in parts}
-    for (_, t, _), ids in parts.items():
-        assert len(ids) <= 20 * 2
-        where[t].update(ids)
-    assert sum(map(len, where.values())) == 3000
+        parts[r["cluster"], r["part"]].append(r["id"])
+    tile = {r["id"]: r["tile"] for r in locha.cut(points, 1.0, 300).collect()}
+    assert sum(map(len, parts.values())) == 3000 and len({p >> 31 for _, p in parts}) == len(set(tile.values())) > 5
+    assert all(len(ids) <= 20 * 2 and len({tile[i] for i in ids}) == 1 for ids in parts.values())
