@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -428,6 +428,44 @@ def merged_lines(geoms: pa.Array) -> pa.Array:
     return pa.array(out, ARROW_GEOMETRY)
 
 
+def overlapping(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Pairs (i, j) of boxes that meet."""
+    found = list(overlapping_blocks(low, high))
+    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+
+
+def overlapping_blocks(low: np.ndarray, high: np.ndarray) -> Iterator[np.ndarray]:
+    """Pairs (i, j) of boxes that meet, in blocks: a sweep along the axis on which they overlap less, i before j by their lower sides."""
+    spread = [float((high[:, k] - low[:, k]).sum()) / max(float(high[:, k].max() - low[:, k].min()), 1e-300) for k in (0, 1)] if len(low) else [0.0, 0.0]
+    if spread[1] < spread[0]:
+        low, high = low[:, ::-1], high[:, ::-1]
+    order = np.argsort(low[:, 0], kind="stable")
+    x0, x1 = low[order, 0], high[order, 0]
+    ends = np.searchsorted(x0, x1, "right")
+    counts = ends - np.arange(len(order)) - 1
+    at, sums = 0, np.cumsum(counts)
+    while at < len(order):
+        stop = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + PAIRS, "right")))
+        n = counts[at:stop]
+        i = np.repeat(np.arange(at, stop), n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        i, j = order[i], order[j]
+        meet = (low[i, 1] <= high[j, 1]) & (low[j, 1] <= high[i, 1])
+        yield np.column_stack([i[meet], j[meet]])
+        at = stop
+
+
+def self_crossing(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether segments a-b cross each other: only those whose boxes meet in a sweep from left to right are compared, in blocks."""
+    turn = lambda p, q, r: (q[:, 0] - p[:, 0]) * (r[:, 1] - p[:, 1]) - (q[:, 1] - p[:, 1]) * (r[:, 0] - p[:, 0])
+    for pairs in overlapping_blocks(np.minimum(a, b), np.maximum(a, b)):
+        i, j = pairs.T
+        p, q, r, t = a[i], b[i], a[j], b[j]
+        if ((turn(p, q, r) * turn(p, q, t) < 0) & (turn(r, t, p) * turn(r, t, q) < 0)).any():
+            return True
+    return False
+
+
 def simple_ring(ring: list[tuple[float, float]]) -> bool:
     """Whether a ring is closed, has an area and doesn't cross itself."""
     if len(ring) < 4 or ring[0] != ring[-1] or len(set(ring)) < 3:
@@ -435,8 +473,7 @@ def simple_ring(ring: list[tuple[float, float]]) -> bool:
     p = np.array(ring)
     if abs(float((p[:-1, 0] * p[1:, 1] - p[1:, 0] * p[:-1, 1]).sum())) == 0:
         return False
-    a, b = p[:-1], p[1:]
-    return len(set(ring[:-1])) == len(ring) - 1 and not _crossing(a, b, a, b)
+    return len(set(ring[:-1])) == len(ring) - 1 and not self_crossing(p[:-1], p[1:])
 
 
 @F.arrow_udf(T.BooleanType())

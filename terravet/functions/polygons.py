@@ -16,8 +16,6 @@ from pyspark.sql import types as T
 from terravet.functions import geometry as G
 from terravet.schemas import GEOMETRY
 
-#: Pairs of edges that are compared in one array.
-PAIRS = 1 << 20
 #: How near the end of an edge counts as the end, as a share of the edge; how near points are one, as a share of all.
 END, SAME = 1e-9, 1e-12
 
@@ -37,26 +35,6 @@ def area(ring: np.ndarray) -> float:
 # --- union
 
 
-def overlapping(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Pairs (i, j) of boxes that meet, i before j in the order of their left sides: a sweep from left to right, in blocks."""
-    order = np.argsort(low[:, 0], kind="stable")
-    x0, x1 = low[order, 0], high[order, 0]
-    ends = np.searchsorted(x0, x1, "right")
-    counts = ends - np.arange(len(order)) - 1
-    out, at = [], 0
-    sums = np.cumsum(counts)
-    while at < len(order):
-        stop = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + PAIRS, "right")))
-        n = counts[at:stop]
-        i = np.repeat(np.arange(at, stop), n)
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-        i, j = order[i], order[j]
-        meet = (low[i, 1] <= high[j, 1]) & (low[j, 1] <= high[i, 1])
-        out.append(np.column_stack([i[meet], j[meet]]))
-        at = stop
-    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-
-
 def together(n: int, pairs: np.ndarray) -> list[list[int]]:
     """Groups of 0 to n - 1 that pairs join."""
     up = list(range(n))
@@ -83,7 +61,7 @@ def united(rings: Rings) -> Rings:
         return list(rings)
     low, high = np.array([r.min(axis=0) for r in rings]), np.array([r.max(axis=0) for r in rings])
     out: Rings = []
-    for group in together(len(rings), overlapping(low, high)):
+    for group in together(len(rings), G.overlapping(low, high)):
         own = [rings[i] if area(rings[i]) > 0 else rings[i][::-1] for i in group]
         out += [rings[group[0]]] if len(group) == 1 else overlaid(own)
     return out
@@ -91,7 +69,7 @@ def united(rings: Rings) -> Rings:
 
 def split_points(a: np.ndarray, b: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(edge, place along it, point) where edges of different rings have points in common."""
-    pairs = overlapping(np.minimum(a, b), np.maximum(a, b))
+    pairs = G.overlapping(np.minimum(a, b), np.maximum(a, b))
     pairs = pairs[owner[pairs[:, 0]] != owner[pairs[:, 1]]]
     edges, places, points = [], [], []
 
@@ -99,8 +77,8 @@ def split_points(a: np.ndarray, b: np.ndarray, owner: np.ndarray) -> tuple[np.nd
         inner = (place > END) & (place < 1 - END)
         edges.append(edge[inner]), places.append(place[inner]), points.append(point[inner])
 
-    for at in range(0, len(pairs), PAIRS):
-        i, j = pairs[at : at + PAIRS].T
+    for at in range(0, len(pairs), G.PAIRS):
+        i, j = pairs[at : at + G.PAIRS].T
         d, e, r = b[i] - a[i], b[j] - a[j], a[j] - a[i]
         turn = cross(d, e)
         scale = np.sqrt((d * d).sum(axis=1) * (e * e).sum(axis=1))

@@ -68,6 +68,20 @@ def current(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(f"{path}/v{max(known)}") if known else None
 
 
+def forget(spark: SparkSession, path: str, keep: int = 3) -> None:
+    """Remove the versions of a table before its last `keep` ones; no writer may be at work, and readers of older ones lose them."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    known = sorted(int(x[1:-8]) for x in names if x.endswith(".current") and x[1:-8].isdigit())
+    for n in known[:-keep]:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{n}.current"), False)
+    for name in names:
+        number = name[1:].split(".")[0]
+        if name[:1] == "v" and number.isdigit() and known and int(number) < known[-keep:][0]:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"), True)
+
+
 # --- integrity
 
 

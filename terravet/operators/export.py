@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import gzip
-import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.sax.saxutils import quoteattr
 
 import pandas as pd
@@ -23,7 +22,12 @@ def classified(rows: DataFrame) -> DataFrame:
 
 
 def blocks(rows: DataFrame) -> DataFrame:
-    """classified rows with block: consecutive rows of one action in the order of type, id and version share a number from 1.
+    """classified rows with block: consecutive rows of one action in the order of type, id and version share a number from 1."""
+    return bounded_blocks(rows).drop("opens", "closes")
+
+
+def bounded_blocks(rows: DataFrame) -> DataFrame:
+    """blocks with opens, whether a row is its block's first, and closes, the action of the block that ends before it, if any does.
 
     Changes of action are found within ranges of the order; a range's number of new blocks is added up over the ranges, of
     which there are as many as partitions, and never over rows in one task.
@@ -32,12 +36,17 @@ def blocks(rows: DataFrame) -> DataFrame:
     own = Window.partitionBy("__p").orderBy(*ORDER)
     marked = ranged.withColumn("__new", F.when(F.lag("action").over(own).eqNullSafe(F.col("action")), 0).otherwise(1))
     # Kept, as the ranges are named twice below and have to be the same both times.
-    marked = Steps(rows.sparkSession, "blocks").keep(marked.withColumn("__n", F.sum("__new").over(own.rowsBetween(Window.unboundedPreceding, 0))))
+    marked = marked.withColumns({"__n": F.sum("__new").over(own.rowsBetween(Window.unboundedPreceding, 0)), "__was": F.lag("action").over(own)})
+    marked = Steps(rows.sparkSession, "blocks").keep(marked)
     ends = marked.groupBy("__p").agg(F.max("__n").alias("n"), F.min_by("action", F.struct(*ORDER)).alias("first"), F.max_by("action", F.struct(*ORDER)).alias("last"))
     over = Window.orderBy("__p")
     joins = F.when(F.lag("last").over(over).eqNullSafe(F.col("first")), 1).otherwise(0)
-    offsets = ends.withColumn("__same", joins).withColumn("__before", F.coalesce(F.sum(F.col("n")).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.sum("__same").over(over.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.join(F.broadcast(offsets.select("__p", "__before")), "__p").withColumn("block", (F.col("__n") + F.col("__before")).cast("long")).drop("__p", "__new", "__n", "__before")
+    offsets = ends.withColumns({"__same": joins, "__last": F.lag("last").over(over)}).withColumn("__before", F.coalesce(F.sum(F.col("n")).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.sum("__same").over(over.rowsBetween(Window.unboundedPreceding, 0)))
+    known = marked.join(F.broadcast(offsets.select("__p", "__before", "__same", "__last")), "__p")  # a row for each partition
+    goes_on = (F.col("__n") == 1) & (F.col("__same") == 1)
+    opens = (F.col("__new") == 1) & ~goes_on
+    known = known.withColumns({"block": (F.col("__n") + F.col("__before")).cast("long"), "opens": opens, "closes": F.when(opens, F.coalesce("__was", "__last"))})
+    return known.drop("__p", "__new", "__n", "__before", "__same", "__last", "__was")
 
 
 def element(row: dict) -> str:
@@ -65,54 +74,59 @@ def element(row: dict) -> str:
     return "".join(head) + ("/>" if not inner else ">" + "".join(inner) + f"</{NAMES[row['objtype']]}>")
 
 
-def elements(rows: DataFrame) -> DataFrame:
-    """(objtype, id, version, action, block, xml)."""
+def lines(rows: DataFrame) -> DataFrame:
+    """(text): the diff's lines in its order, over the partitions; each row with the ends of blocks before it. What ends the last block is left to the foot."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = pdf[["objtype", "id", "version", "action", "block"]].copy()
-            out["xml"] = [element(r) for r in pdf.to_dict("records")]
-            yield out
+            out = []
+            for r in pdf.to_dict("records"):
+                before = ([f"</{r['closes']}>"] if r["closes"] else []) + ([f"<{r['action']}>"] if r["opens"] else [])
+                out.append("\n".join([*before, element(r)]))
+            yield pd.DataFrame({"text": out})
+
+    return bounded_blocks(rows).repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).mapInPandas(run, "text string")
 
-    return blocks(rows).mapInPandas(run, "objtype string, id long, version int, action string, block long, xml string")
 
+def write_lines(text: DataFrame, head: str, foot: Callable[[], str], path: str, zipped: bool = True) -> None:
+    """One file of the lines of text (text), in the order of its partitions, between head and foot.
 
-def osc_text(rows: DataFrame) -> Iterator[str]:
-    """Pieces of a diff document, streamed through the driver partition by partition."""
-    yield '<?xml version="1.0" encoding="UTF-8"?>\n<osmChange version="0.6">\n'
-    block, action = None, None
-    for r in elements(rows).orderBy(*ORDER).toLocalIterator(prefetchPartitions=True):
-        if r["block"] != block:
-            if action:
-                yield f"</{action}>\n"
-            block, action = r["block"], r["action"]
-            yield f"<{action}>\n"
-        yield r["xml"] + "\n"
-    if action:
-        yield f"</{action}>\n"
-    yield "</osmChange>\n"
+    Executors write a file for each partition, gzip members if zipped, which put one after another are a gzip file again; the
+    driver only copies their bytes, a buffer at a time, beside the place, and renames. foot is asked for once the lines are written.
+    """
+    spark = text.sparkSession
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    steps = Steps(spark, "lines")
+    text.write.option("compression", "gzip" if zipped else "none").text(steps.root)
+    pack = (lambda t: gzip.compress(t.encode(), mtime=0)) if zipped else str.encode
+    target, beside, parts = hadoop.fs.Path(path), hadoop.fs.Path(path + ".tmp"), hadoop.fs.Path(steps.root)
+    fs, own = target.getFileSystem(conf), parts.getFileSystem(conf)
+    stream = fs.create(beside, True)
+    stream.write(bytearray(pack(head)))
+    for part in sorted((s.getPath() for s in own.listStatus(parts)), key=lambda p: p.getName()):
+        if part.getName().startswith("part-"):
+            piece = own.open(part)
+            hadoop.io.IOUtils.copyBytes(piece, stream, 1 << 20, False)
+            piece.close()
+    stream.write(bytearray(pack(foot())))
+    stream.close()
+    fs.delete(target, False)
+    if not fs.rename(beside, target):
+        raise OSError(f"{path}: can't be put in its place")
+    steps.drop()
 
 
 def write_osc(rows: DataFrame, path: str) -> bool:
-    """Write a gzipped diff through Hadoop's file systems, first beside its place and then renamed; False and no file if there is nothing."""
+    """Write a gzipped diff through Hadoop's file systems; False and no file if there is nothing."""
     if rows.isEmpty():
         return False
-    spark = rows.sparkSession
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
-    target, beside = jvm_path(path), jvm_path(path + ".tmp")
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    stream, held = fs.create(beside, True), io.BytesIO()
-    with gzip.GzipFile(fileobj=held, mode="wb", mtime=0) as zipped:
-        for piece in osc_text(rows):
-            zipped.write(piece.encode())
-            if held.tell() > 1 << 20:
-                stream.write(bytearray(held.getvalue()))
-                held.seek(0)
-                held.truncate()
-    stream.write(bytearray(held.getvalue()))
-    stream.close()
-    fs.delete(target, False)
-    return fs.rename(beside, target)
+
+    def foot() -> str:
+        last = classified(rows).agg(F.max_by("action", F.struct(*ORDER))).first()[0]
+        return f"</{last}>\n</osmChange>\n"
+
+    write_lines(lines(rows), '<?xml version="1.0" encoding="UTF-8"?>\n<osmChange version="0.6">\n', foot, path)
+    return True
 
 
 def full_dump(base: DataFrame, path: str) -> None:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terravet.functions import geometry as G
 from terravet.functions import scalars
+from terravet.operators import export
 
 
 def pending(log: DataFrame) -> DataFrame:
@@ -92,6 +93,27 @@ def atom(rows: list[dict], title: str, link: str) -> str:
     return "\n".join([*out, "</feed>"])
 
 
+def entries(found: DataFrame, link: str) -> DataFrame:
+    """(text): the entries of a feed of collections, oldest first over the partitions; what `atom` writes for them."""
+    text = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    here = F.concat(F.lit(f"{link}#locha_"), F.col("locha_id").cast("string"))
+    middle = lambda a, b: F.format_string("%.5f", (F.col(a) + F.col(b)) / 2)
+    where = F.when(F.col("min_x").isNull(), F.lit("")).otherwise(F.concat(F.lit(" at "), middle("min_y", "max_y"), F.lit(", "), middle("min_x", "max_x")))
+    quoted = F.replace(text(here), F.lit('"'), F.lit("&quot;"))
+    first = F.when(F.size("features") > 0, F.concat(F.lit('\n<content type="text">'), text(F.get("features", F.lit(0))), F.lit("</content>"))).otherwise(F.lit(""))
+    row = F.concat(
+        F.lit("<entry>\n<id>"), text(here), F.lit("</id>\n<title>"), text(F.concat(F.col("locha_id").cast("string"), where)), F.lit("</title>\n<updated>"),
+        F.coalesce(F.date_format("created", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("")), F.lit('</updated>\n<link href="'), quoted, F.lit('"/>'), first, F.lit("\n</entry>"),
+    )
+    return found.repartitionByRange("created", "locha_id").sortWithinPartitions("created", "locha_id").select(row.alias("text"))
+
+
+def write_atom(found: DataFrame, title: str, link: str, path: str) -> None:
+    """A feed of all collections as a file, whose entries the executors write."""
+    head = f'<?xml version="1.0" encoding="UTF-8"?>\n<feed xmlns="http://www.w3.org/2005/Atom">\n<title>{escape(title)}</title>\n<id>{escape(link)}</id>\n'
+    export.write_lines(entries(found, link), head, lambda: "</feed>\n", path, zipped=False)
+
+
 def refreshed(log: DataFrame, new_rows: DataFrame) -> DataFrame:
     """The log's accepted rows and, in place of all that waited, the new ones."""
     return log.filter("action = 'accept'").unionByName(new_rows.select(log.columns))

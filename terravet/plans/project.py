@@ -255,6 +255,10 @@ class Project:
         rows = [r.asDict() for r in self.changes_logs().toLocalIterator()]
         return review.atom(rows, self.config.title.get("en") or next(iter(self.config.title.values())), link)
 
+    def write_atom(self, link: str, path: str) -> None:
+        """The feed of what waits for review as a file."""
+        review.write_atom(self.changes_logs(), self.config.title.get("en") or next(iter(self.config.title.values())), link, path)
+
     def overpass(self, text: str) -> DataFrame:
         n, r, kept = self.table("nodes"), self.table("relations"), self.geometries.current()
         tag = lambda df, t: df.select(F.lit(t).alias("objtype"), "id", "geom")
@@ -272,6 +276,14 @@ class Project:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def vacuum(self, keep: int = 8) -> None:
+        """Remove versions of tables before the last `keep` ones: between updates, once no reader needs them."""
+        kept = self.geometries
+        for table in (kept.nodes, kept.ways, kept.relations, kept.lines, kept.areas):
+            table.vacuum(keep)
+        for name in TABLES.keys() - set(KINDS.values()):
+            apply.forget(self.spark, f"{self.folder}/{name}", keep)
+
     def update(self, batch: DataFrame, provider: Callable[[DataFrame], DataFrame] | None, now: datetime) -> None:
         """One whole update."""
         self.import_changes(batch)
@@ -281,3 +293,4 @@ class Project:
             self.fetch_changesets(provider, now)
         self.validate(now)
         self.export_update(now)
+        self.vacuum()

@@ -23,17 +23,19 @@ _RELATION = T.StructType([T.StructField(n, t) for n, t in [*_HEAD, ("member", T.
 BLOCK = T.StructType([T.StructField("node", T.ArrayType(_NODE)), T.StructField("way", T.ArrayType(_WAY)), T.StructField("relation", T.ArrayType(_RELATION))])
 
 
-def read_osc(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_osc(spark: SparkSession, path: str | list[str], name: str | None = None) -> DataFrame:
     """Rows of changes from change files, gzipped or not, in no order; repeated objects stay repeated.
 
-    Each file is parsed once for each action. A gzipped file can't be split: it is one task, so give many files of bounded size.
+    name: of a column with the file that a row came from. Each file is parsed once for each action. A gzipped file can't be split: it is one task, so give many files of bounded size.
     """
     parts, steps = [], Steps(spark, "osc")
     for action in ("create", "modify", "delete"):
         blocks = spark.read.format("xml").option("rowTag", action).schema(BLOCK).load(path)
+        if name:
+            blocks = blocks.withColumn(name, F.input_file_name())
         blocks = steps.keep(blocks)
         for tag, t in (("node", "n"), ("way", "w"), ("relation", "r")):
-            o = blocks.select(F.explode(tag).alias("o"))
+            o = blocks.select(F.explode(tag).alias("o"), *([name] if name else []))
             tags = F.map_from_entries(F.transform("o.tag", lambda x: F.struct(x["_k"].alias("key"), x["_v"].alias("value"))))
             cols = {
                 "objtype": F.lit(t), "id": F.col("o._id"), "version": F.col("o._version"), "deleted": F.lit(action == "delete"), "changeset_id": F.col("o._changeset"),
@@ -45,7 +47,8 @@ def read_osc(spark: SparkSession, path: str | list[str]) -> DataFrame:
                 cols |= {"nodes": F.transform("o.nd", lambda x: x["_ref"])}
             if t == "r":
                 cols |= {"members": F.transform("o.member", lambda m: F.struct(m["_ref"].alias("ref"), m["_role"].alias("role"), F.substring(m["_type"], 1, 1).alias("type")))}
-            parts.append(typed_change(o.select(*[c.alias(k) for k, c in cols.items()])))
+            more = [name] if name else []
+            parts.append(typed_change(o.select(*[c.alias(k) for k, c in cols.items()], *more), *more))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -54,11 +57,14 @@ def read_osc(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def merged_diffs(spark: SparkSession, paths: list[str]) -> DataFrame:
     """The last state of each object in several change files, later files after earlier ones of the same version."""
-    rows = None
-    for n, path in enumerate(paths):
-        part = read_osc(spark, path).withColumn("__n", F.lit(n))
-        rows = part if rows is None else rows.unionByName(part)
-    return simplify(rows, F.col("__n"), F.col("deleted")).drop("__n")
+    names = {path.rstrip("/").rpartition("/")[2]: n for n, path in enumerate(paths)}
+    rows = read_osc(spark, paths, name="__file")
+    short = F.substring_index("__file", "/", -1)
+    if len(names) < len(paths):  # files of one name in several folders are told apart by all of it
+        names, short = {spark._jvm.org.apache.hadoop.fs.Path(p).toUri().getPath(): n for n, p in enumerate(paths)}, F.regexp_replace("__file", "^[a-zA-Z0-9]+:(//[^/]*)?", "")
+    place = spark.createDataFrame(list(names.items()), "__of string, __n int")
+    rows = rows.join(F.broadcast(place), short == F.col("__of"))  # a row for each file
+    return simplify(rows.drop("__of", "__file"), F.col("__n"), F.col("deleted")).drop("__n")
 
 
 @dataclass(frozen=True)
