@@ -1,10 +1,9 @@
 """SentencePiece encoding and decoding through a table of distinct chunks.
 
 Where no piece goes on after a white-space marker and none holds a line feed with other characters, merges never cross
-the cuts before a run of markers and around line feeds. Each task keeps a table from chunk to ids, segments a chunk with
-the library when it first appears, and joins the ids of a text's chunks by position. The table is dropped and begun
-again at TABLE_CHUNKS entries, so that a task's memory is bounded; results are the same. tokenize_joined builds one table for
-all documents by Spark and joins the ids back by position; the README gives the figures of both.
+the cuts before a run of markers and around line feeds. tokenize_joined builds one table of the distinct chunks of all documents,
+segments each once with the library, and joins the ids back by position. tokenize does the same within each task, for models
+that can't be cut and for few documents: its table is dropped and begun again at TABLE_CHUNKS entries.
 """
 
 from __future__ import annotations
@@ -15,12 +14,16 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, slices
 
 TABLE_CHUNKS = 300_000
+#: Characters of a block of texts that share numbers of chunks.
+BLOCK_BYTES = 32 << 20
 MARK = "▁"
 CUT = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 
@@ -96,22 +99,55 @@ def tokenize(df: DataFrame, model: str, keep: str = "doc_id", text: str = "text"
     return out.withColumnRenamed("keep", keep)
 
 
-def tokenize_joined(df: DataFrame, model: str, keep: str = "doc_id", text: str = "text") -> DataFrame:
+def packed(numbers: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(numbers.astype(np.uint32).tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint32)
+
+
+def tokenize_joined(df: DataFrame, model: str, keep: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The same rows as tokenize, by one table of the distinct chunks of all documents, each segmented once, joined back by position.
 
-    Every word of every text becomes a row of two shuffles. A model whose pieces may cross the cuts raises ValueError.
+    Texts are cut in blocks of `block_bytes`; a block sends each of its distinct chunks once, under a number, and keeps each
+    text as numbers. The table's ids come back to the blocks by their numbers, so that what is joined are distinct chunks
+    of blocks and never words; a task holds the chunks of one block. Nulls, empty and long texts and repeated rows are as in
+    tokenize. A model whose pieces may cross the cuts raises ValueError.
     """
     if not Segmenter(model).cuts:
         raise ValueError("pieces of this model may cross white-space markers")
     kind, scratch = df.schema[keep].dataType.simpleString(), Scratch(df.sparkSession, "pieces")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seg = Segmenter(model)
+        seg, block, numbers, size = Segmenter(model), TaskContext.get().partitionId() << 32, {}, 0
+
+        def chunks() -> pa.RecordBatch:
+            n = len(numbers)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, block)), pa.nulls(n, kept_type), pa.nulls(n, pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array(list(numbers), pa.string())], names
+            )
+
+        names = ["block", "keep", "positions", "number", "chunk"]
         for batch in batches:
+            kept_type = batch.column(0).type
             for a, b in slices(batch.column(1)):
                 part = batch.slice(a, b - a)
-                chunks = [CUT.findall(seg.sp.normalize(t or "")) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(chunks, pa.list_(pa.string()))], ["keep", "chunks"])
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                add = numbers.setdefault
+                positions = [packed(np.array([add(c, len(numbers)) for c in CUT.findall(seg.sp.normalize(t))], np.uint32)) for t in texts]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(texts), block)), part.column(0), pa.array(positions, pa.binary()), pa.nulls(len(texts), pa.int32()), pa.nulls(len(texts), pa.string())], names)
+                size += sum(map(len, texts))
+                if size >= block_bytes:
+                    yield chunks()
+                    block, size = block + 1, 0
+                    numbers.clear()
+        if numbers:
+            yield chunks()
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg = Segmenter(model)
@@ -121,16 +157,44 @@ def tokenize_joined(df: DataFrame, model: str, keep: str = "doc_id", text: str =
             seg.learn(set(chunks).difference(seg.table))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([seg.table[c] for c in chunks], pa.list_(pa.int32()))], ["chunk", "ids"])
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seg = Segmenter(model)
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by block, its chunks before its texts, the chunks by number."""
+        seg, now, held = Segmenter(model), None, []
+        flat, ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(seg.decode(batch.column(2).to_pylist()), pa.string())], ["keep", "n_tokens", "ids", "decoded"])
-
-    rows = df.select(F.col(keep).alias("keep"), F.col(text).alias("text")).mapInArrow(cut, f"keep {kind}, chunks array<string>")
-    rows = scratch.save(rows.withColumn("row", F.monotonically_increasing_id()))
-    each = rows.select("row", F.posexplode("chunks").alias("at", "chunk"))
-    table = scratch.save(each.select("chunk").distinct().mapInArrow(learn, "chunk string, ids array<int>"))
-    placed = each.join(table, "chunk").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("all"))
-    ids = F.coalesce(F.flatten(F.col("all.ids")), F.expr("CAST(array() AS array<int>)"))
-    out = rows.select("row", "keep").join(placed, "row", "left").select("keep", F.size(ids).cast("long").alias("n_tokens"), ids.alias("ids"))
-    return out.mapInArrow(decode, f"keep {kind}, n_tokens long, ids array<int>, decoded string").withColumnRenamed("keep", keep)
+            block, is_text = np.asarray(batch.column(0)), np.asarray(batch.column(1)) == 1
+            edges = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (is_text[1:] != is_text[:-1]), [True]]))
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if not is_text[a]:
+                    if block[a] != now:
+                        now, held = int(block[a]), []
+                    held.append(batch.column(4).slice(a, b - a))
+                    continue
+                if block[a] != now:  # texts of a block without chunks, all empty
+                    now, held, flat, ends = int(block[a]), [], np.zeros(0, np.int32), np.zeros(1, np.int64)
+                elif held:
+                    flat = np.concatenate([np.asarray(h.flatten(), np.int32) for h in held])
+                    ends = np.concatenate([[0], np.cumsum(np.concatenate([np.asarray(pc.list_value_length(h)) for h in held]))]).astype(np.int64)
+                    held = []
+                for x, y in slices(batch.column(3).slice(a, b - a)):
+                    some = batch.slice(a + x, y - x)
+                    ids = []
+                    for data in some.column(3).to_pylist():
+                        n = unpacked(data)
+                        size = ends[n + 1] - ends[n]
+                        stop = np.cumsum(size)
+                        ids.append(flat[np.arange(stop[-1] if len(n) else 0) + np.repeat(ends[n] - (stop - size), size)])
+                    sizes = np.array([len(i) for i in ids], np.int64)
+                    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+                    yield pa.RecordBatch.from_arrays([some.column(2), pa.array(sizes), lists, pa.array(seg.decode([i.tolist() for i in ids]), pa.string())], ["keep", "n_tokens", "ids", "decoded"])
+
+    rows = df.select(F.col(keep).alias("keep"), F.col(text).alias("text")).mapInArrow(cut, f"block long, keep {kind}, positions binary, number int, chunk string")
+    rows = scratch.save(rows)
+    chunks = rows.filter("chunk IS NOT NULL").select("block", "number", "chunk")
+    table = scratch.save(chunks.select("chunk").distinct().mapInArrow(learn, "chunk string, ids array<int>"))
+    null = lambda t: F.lit(None).cast(t)
+    known = chunks.join(table, "chunk").select("block", F.lit(0).alias("role"), null(kind).alias("keep"), null("binary").alias("positions"), "ids", "number")
+    texts = rows.filter("positions IS NOT NULL").select("block", F.lit(1).alias("role"), "keep", "positions", null("array<int>").alias("ids"), null("int").alias("number"))
+    dealt = known.union(texts).repartition("block").sortWithinPartitions("block", "role", "number").drop("number")
+    return dealt.mapInArrow(place, f"keep {kind}, n_tokens long, ids array<int>, decoded string").withColumnRenamed("keep", keep)

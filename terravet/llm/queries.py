@@ -50,7 +50,7 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pieces.tokenize(table(spark, sf_dir, "documents"), piece_model())
+    out = pieces.tokenize_joined(table(spark, sf_dir, "documents"), piece_model())
     return out.select(
         "doc_id",
         "n_tokens",
