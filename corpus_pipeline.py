@@ -55,7 +55,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the text they decode to; a null text is the empty one. Other columns go."""
-    return pieces.tokenize(docs, piece_model())
+    return pieces.tokenize_joined(docs, piece_model())
 
 
 STAGES = [("language", known_language), ("lines", distinct_lines), ("near_duplicates", one_of_each), ("mixing", mixture), ("pieces", token_ids)]
