@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from terravet.operators.apply import current, forget, set_aside
+from terravet.plans.keyed import KeyedTable
 from terravet.plans.tables import Steps
 from terravet.schemas import OBJECT_KEY
 
+#: Links that one task puts together at the end.
+AT_ONCE = 50_000
+LABELS = T.StructType([T.StructField("id", T.LongType()), T.StructField("component", T.LongType())])
+
 #: Codes of vertex kinds in a packed key; the last stands for a node id that ways share.
 CODES = {"n": 0, "w": 1, "r": 2, "shared": 3}
 
@@ -78,16 +88,41 @@ def edges(changes: DataFrame) -> DataFrame:
     return to_nodes.union(shared).union(to_members)
 
 
+def joined_at_once(links: DataFrame) -> DataFrame:
+    """(v, to): the least end that the links (a, b), at most AT_ONCE of them, lead to; in one task, by union and find."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        up: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = x = up.setdefault(y, y)
+            return x
+
+        for pdf in batches:
+            for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist()):
+                x, y = find(a), find(b)
+                up[max(x, y)] = min(x, y)
+        if up:
+            yield pd.DataFrame({"v": list(up), "to": [find(v) for v in up]})
+
+    return links.select("a", "b").coalesce(1).mapInPandas(run, "v long, to long")
+
+
 def components(links: DataFrame, steps: Steps) -> DataFrame:
     """(v, component): the smallest key that links (a, b) lead to from each of their ends.
 
     Each round every vertex follows the neighbour (or itself) with the least hash, the vertices that meet become one, and
-    the links between what is left go on; the hash changes with the round, so that long chains shrink by a share each time.
+    the links between what is left go on; the hash changes with the round, so that long chains shrink by a share each time. Once
+    no more than AT_ONCE links are left, one task ends it.
     """
     open_ = steps.keep(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     ends = open_.select(F.col("a").alias("v")).union(open_.select("b")).distinct()
     rest, maps = steps.keep(open_.filter("a <> b")), []
-    while not rest.isEmpty():
+    while left := rest.count():
+        if left <= AT_ONCE:
+            maps.append(steps.keep(joined_at_once(rest)))
+            break
         rank = lambda c, k=len(maps): F.struct(F.xxhash64(F.lit(k), F.col(c)).alias("h"), F.col(c).alias("v"))
         both = rest.select(F.col("a").alias("v"), F.col("b").alias("w")).union(rest.select("b", "a"))
         step = steps.keep(both.groupBy("v").agg(F.least(F.min(rank("v")), F.min(rank("w")))["v"].alias("to")))
@@ -106,9 +141,66 @@ def components(links: DataFrame, steps: Steps) -> DataFrame:
     return ends.join(named, "v", "left").select("v", F.coalesce("component", "v").alias("component"))
 
 
-def change_components(changes: DataFrame, steps: Steps) -> DataFrame:
-    """(objtype, id, cc_id): the smallest packed key of a change's component; one that nothing touches is alone."""
-    found = components(edges(changes), steps)
+def relabelled(labels: DataFrame, links: DataFrame, changed: DataFrame, steps: Steps) -> DataFrame:
+    """(v, component, gone): the labels that change when links change, from the labels (v, component) before.
+
+    links: (a, b) as they are now, labels of all their ends as they were. changed: (a, b) of the links added and removed. Only components that
+    hold an end of these are computed again, from the links that they have now; what hangs together no more falls apart,
+    and an end that no link has any more is gone. Where nothing changed the result has no rows.
+    """
+    ends = lambda df: df.select(F.col("a").alias("v")).union(df.select("b")).distinct()
+    hit = steps.keep(ends(changed))
+    old = steps.keep(labels.join(labels.join(hit, "v", "left_semi").select("component").distinct(), "component", "left_semi").select("v", "component"))
+    within = steps.keep(old.select("v").union(hit).distinct())
+    own = links.join(within.withColumnRenamed("v", "a"), "a", "left_semi")
+    new = steps.keep(components(steps.keep(own), steps))
+    both = old.join(new.select("v", F.col("component").alias("now")), "v", "full")
+    moved = both.filter("NOT (component <=> now)")
+    return moved.select("v", F.coalesce("now", "component").alias("component"), F.col("now").isNull().alias("gone"))
+
+
+class KeptComponents:
+    """Labels of a link table that are kept between updates: a keyed table, to which an update adds the labels that change."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.table = KeyedTable(spark, f"{folder}/labels", LABELS)
+        self.links = f"{folder}/links"
+
+    def labels(self) -> DataFrame:
+        return self.table.read().select(F.col("id").alias("v"), "component")
+
+    def update(self, links: DataFrame, steps: Steps) -> int:
+        """Labels of these links in place of those before; how many labels changed.
+
+        What changed is told by comparison with the links of the last update. The labels are written before the links: a run that
+        is lost between finds the same difference again, and labels that are right already don't change.
+        """
+        spark = links.sparkSession
+        now = steps.keep(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        before = current(spark, self.links)
+        before = now.limit(0) if before is None else before
+        changed = steps.keep(now.join(before, ["a", "b"], "left_anti").union(before.join(now, ["a", "b"], "left_anti")))
+        if changed.isEmpty():
+            return 0
+        rows = relabelled(self.labels(), now, changed, steps)
+        n = self.table.change(rows.select(F.col("v").alias("id"), "component", "gone"))
+        if self.table.due():
+            self.table.compact()
+        set_aside(now, self.links)
+        forget(spark, self.links)
+        return n
+
+
+def change_components(changes: DataFrame, steps: Steps, kept: KeptComponents | None = None) -> DataFrame:
+    """(objtype, id, cc_id): the smallest packed key of a change's component; one that nothing touches is alone.
+
+    kept: labels of the last update's links, to compute only what changed since.
+    """
+    if kept is None:
+        found = components(edges(changes), steps)
+    else:
+        kept.update(edges(changes), steps)
+        found = kept.labels()
     own = changes.select(*OBJECT_KEY, packed(F.col("objtype"), F.col("id")).alias("v"))
     inside = found.join(own, "v")
     # A component is named by a change, not by a shared node.

@@ -87,10 +87,10 @@ def release(rows: DataFrame, held: DataFrame) -> DataFrame:
     return rows.join(held, "cc_id", "left_anti").select("objtype", "id", "version", "deleted")
 
 
-def release_untargeted(base: DataFrame, queue: DataFrame, base_geom: DataFrame, change_geom: DataFrame, rules: Rules, steps: Steps, area: Area = everywhere, distance: float = 0.0, projection: G.Projection | None = None) -> tuple[DataFrame, DataFrame]:
+def release_untargeted(base: DataFrame, queue: DataFrame, base_geom: DataFrame, change_geom: DataFrame, rules: Rules, steps: Steps, area: Area = everywhere, distance: float = 0.0, projection: G.Projection | None = None, kept: graph.KeptComponents | None = None) -> tuple[DataFrame, DataFrame]:
     """The queue's flags (objtype, id, targeted, cc_id), and the changes to release."""
     rows = steps.keep(activity(flags(enriched(queue.drop("targeted", "cc_id"), base, change_geom, base_geom), rules, area)))
-    rows = steps.keep(rows.join(graph.change_components(rows, steps), OBJECT_KEY))
+    rows = steps.keep(rows.join(graph.change_components(rows, steps, kept), OBJECT_KEY))
     return rows.select(*OBJECT_KEY, "targeted", "cc_id"), release(rows, held_components(rows, distance, projection, steps))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from terravet import schemas
 from terravet.functions import geometry as G
 from terravet.functions import overpass
-from terravet.operators import apply, changesets, duplicates, export, history, ingest, locha, network, review, shapes, target, validate, views
+from terravet.operators import apply, changesets, duplicates, export, graph, history, ingest, locha, network, review, shapes, target, validate, views
 from terravet.plans.geometries import Geometries, points
 from terravet.plans.keyed import KeyedTable
 from terravet.plans.tables import Steps, importable
@@ -154,7 +154,7 @@ class Project:
         c, steps = self.config, Steps(self.spark, "release")
         base_geom, change_geom = self.shapes()
         found, free = target.release_untargeted(
-            self.base, self.table("queue"), base_geom, change_geom, c.rules, steps, target.inside_polygons(c.polygons), c.locha_cluster_distance, self.plane
+            self.base, self.table("queue"), base_geom, change_geom, c.rules, steps, target.inside_polygons(c.polygons), c.locha_cluster_distance, self.plane, graph.KeptComponents(self.spark, f"{self.folder}/components")
         )
         found, free = steps.keep(found), steps.keep(free)
         self.put(queue=target.write_back(self.table("queue"), found))
