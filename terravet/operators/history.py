@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,25 +54,51 @@ def sides(rows: DataFrame) -> DataFrame:
     return rows.select("locha_id", *OBJECT_KEY, before.alias("before"), after.alias("after"))
 
 
+def value_similarity(a: Column, b: Column) -> Column:
+    """1 for equal values, else the share of letters that edits leave; 0 if one is missing."""
+    longest = F.greatest(F.length(a), F.length(b))
+    return F.when(a.isNull() | b.isNull(), 0.0).when(a == b, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
+
+
 def tag_similarity(a: Column, b: Column) -> Column:
-    """Shared (key, value) pairs over all of both; 0 without any."""
-    x, y = F.map_entries(F.coalesce(a, F.create_map().cast("map<string,string>"))), F.map_entries(F.coalesce(b, F.create_map().cast("map<string,string>")))
-    union = F.size(F.array_union(x, y))
-    return F.when(union > 0, F.size(F.array_intersect(x, y)) / union).otherwise(F.lit(0.0))
+    """The mean similarity of the values over all keys of both; 0 without any."""
+    x, y = (F.coalesce(c, F.create_map().cast("map<string,string>")) for c in (a, b))
+    keys = F.array_union(F.map_keys(x), F.map_keys(y))
+    each = F.transform(keys, lambda k: value_similarity(F.try_element_at(x, k), F.try_element_at(y, k)))
+    return F.when(F.size(keys) > 0, F.aggregate(each, F.lit(0.0), lambda s, v: s + v) / F.size(keys)).otherwise(F.lit(0.0))
+
+
+def assignment(pairs: DataFrame, within: list[str], steps: Steps) -> DataFrame:
+    """Those of pairs (within, x, y, score and more) that a stable matching takes: no x and y would both rather have each other than what they have.
+
+    Higher scores are better, ties go to the smaller x, then y. Each round takes the pairs that are both sides' best and leaves out
+    their sides; the best pair of all that are left is always one, so every round takes some.
+    """
+    order = [F.desc("score"), F.col("x"), F.col("y")]
+    best = lambda side: F.row_number().over(Window.partitionBy(*within, side).orderBy(*order))
+    left, taken = steps.keep(pairs), []
+    while not left.isEmpty():
+        ranked = left.withColumns({"__x": best("x"), "__y": best("y")})
+        now = steps.keep(ranked.filter("__x = 1 AND __y = 1").drop("__x", "__y"))
+        taken.append(now)
+        free = left.join(now.select(*within, "x"), [*within, "x"], "left_anti").join(now.select(*within, "y"), [*within, "y"], "left_anti")
+        left = steps.keep(free.select(pairs.columns))
+    return reduce(DataFrame.unionByName, taken) if taken else left
 
 
 def conflated(pairs: DataFrame, reach: float = REACH, projection: G.Projection | None = None, steps: Steps | None = None) -> DataFrame:
     """Links (locha_id, before, after, reason) from sides.
 
-    An object is linked with itself. A deleted one and a created one of the same type and logical change within `reach`
-    are linked besides, if each is the other's best by tags and nearness; the deleted one's own link stays. The score is the
-    mean of the tags' similarity and 1 - distance / reach. This is our own definition. Distances are in the projection's plane.
+    An object is linked with itself. Deleted and created ones of the same type and logical change within `reach` are linked
+    besides, by a stable matching on their scores, so that each has one partner at most; the deleted one's own link stays. The
+    score is the mean of the tags' similarity and 1 - distance / reach, which the reason gives one by one. This is our
+    own definition. Distances are in the projection's plane.
     """
     plane, steps = (projection or G.Projection()).geometry, steps or Steps(pairs.sparkSession, "conflated")
-    none = F.lit(None).cast("double")
-    reason = lambda why, score, dist: F.struct(F.lit(why).alias("conflate"), score.alias("score"), dist.alias("max_distance"))
+    none, part = F.lit(None).cast("double"), "struct<score:double,reason:string>"
+    reason = lambda why, score, dist, geom, tags: F.struct(F.lit(why).alias("conflate"), score.alias("score"), dist.alias("max_distance"), geom.cast(part).alias("geom"), tags.cast(part).alias("tags"))
     moved = F.when(F.col("before.geom").isNotNull() & F.col("after.geom").isNotNull(), G.geometry_distance(plane(F.col("before.geom")), plane(F.col("after.geom"))))
-    own = pairs.select("locha_id", "before", "after", reason("same", F.lit(1.0), moved).alias("reason"))
+    own = pairs.select("locha_id", "before", "after", reason("same", F.lit(1.0), moved, F.lit(None), F.lit(None)).alias("reason"))
     gone = pairs.filter("before IS NOT NULL AND after.deleted AND before.geom IS NOT NULL").select("locha_id", "objtype", F.col("before").alias("b"))
     made = pairs.filter("before IS NULL AND NOT after.deleted AND after.geom IS NOT NULL").select("locha_id", "objtype", F.col("after").alias("a"))
     # Nearness first, by cells; then what both sides are. Types are kept apart, so ids name the objects.
@@ -79,11 +107,12 @@ def conflated(pairs: DataFrame, reach: float = REACH, projection: G.Projection |
     pairs_ = nearby.near(shapes(gone, "b"), shapes(made, "a"), within, reach, steps)
     met = pairs_.join(gone.withColumn("id", F.col("b.id")), [*within, "id"]).join(made.withColumn("o_id", F.col("a.id")), [*within, "o_id"])
     met = met.withColumn("d", G.geometry_distance(plane(F.col("b.geom")), plane(F.col("a.geom"))))
-    met = met.withColumn("score", (tag_similarity(F.col("b.tags"), F.col("a.tags")) + 1 - F.col("d") / reach) / 2)
-    best = lambda side, other: F.row_number().over(Window.partitionBy("locha_id", "objtype", f"{side}.id").orderBy(F.desc("score"), F.col(f"{other}.id")))
-    chosen = met.withColumn("r1", best("a", "b")).withColumn("r2", best("b", "a")).filter("r1 = 1 AND r2 = 1")
-    links = chosen.select("locha_id", F.col("b").alias("before"), F.col("a").alias("after"), reason("nearby", F.col("score"), F.col("d")).alias("reason"))
-    return own.unionByName(links)
+    met = met.select(*within, F.col("id").alias("x"), F.col("o_id").alias("y"), "d", (1 - F.col("d") / reach).alias("near"), tag_similarity(F.col("b.tags"), F.col("a.tags")).alias("alike"))
+    chosen = assignment(met.withColumn("score", (F.col("alike") + F.col("near")) / 2), within, steps)
+    linked = chosen.join(gone.withColumn("x", F.col("b.id")), [*within, "x"]).join(made.withColumn("y", F.col("a.id")), [*within, "y"])
+    said = lambda score, why: F.struct(F.col(score).alias("score"), F.lit(why).alias("reason"))
+    why = reason("nearby", F.col("score"), F.col("d"), said("near", "distance"), said("alike", "tags"))
+    return own.unionByName(linked.select("locha_id", F.col("b").alias("before"), F.col("a").alias("after"), why.alias("reason")))
 
 
 def clustered(links: DataFrame, steps: Steps) -> DataFrame:

@@ -354,22 +354,25 @@ def apply_delete(w: Warehouse) -> DataFrame:
     return apply.without_deleted(w.base, apply.accepted_changes(queue_of(w), accepted_keys(w))).select("objtype", "id", "version")
 
 
-def updated_base(w: Warehouse, compacted: bool) -> tuple[dict[str, KeyedTable], Geometries]:
-    """The base in keyed tables, with its geometry, after the accepted changes in two updates."""
+def updated_base(w: Warehouse, compacted: bool, geometry: bool = False) -> tuple[dict[str, KeyedTable], Geometries]:
+    """The base in keyed tables, with its geometry or without, after the accepted changes in two updates."""
     steps = steps_of(w, "keyed")
     kinds = {"nodes": (w.nodes, schemas.NODE, "n"), "ways": (w.ways, schemas.WAY, "w"), "relations": (w.relations, schemas.RELATION, "r")}
     base = {name: KeyedTable(w.spark, f"{steps.root}/{name}", schema) for name, (_, schema, _) in kinds.items()}
     for name, (rows, _, _) in kinds.items():
         base[name].replace(rows)
-    kept = Geometries.under(base, steps.root).current()
+    kept = Geometries.under(base, steps.root)
+    if geometry:
+        kept.build()
     accepted = steps.keep(apply.accepted_changes(queue_of(w), accepted_keys(w)))
     for part in (accepted.filter("id % 2 = 0"), accepted.filter("id % 2 <> 0")):
-        moved = steps.keep(kept.moved(part))
+        moved = steps.keep(kept.moved(part)) if geometry else None
         for name, (_, _, t) in kinds.items():
             base[name].change(part.filter(F.col("objtype") == t).withColumn("gone", F.col("deleted")))
-        kept.refresh(moved, steps)
+        if geometry:
+            kept.refresh(moved, steps)
     if compacted:
-        for table in (*base.values(), kept.lines, kept.areas):
+        for table in base.values():
             table.compact()
     return base, kept
 
@@ -404,7 +407,7 @@ UNION ALL SELECT 'r', r.id, min(lon), min(lat), max(lon), max(lat) FROM base_r r
 """))
 def geometry_refreshed(w: Warehouse) -> DataFrame:
     """Boxes of the geometry that is kept up to date by what each update touches."""
-    _, kept = updated_base(w, compacted=False)
+    _, kept = updated_base(w, compacted=False, geometry=True)
     boxes = lambda df, t: box_columns(df).select(F.lit(t).alias("objtype"), "id", "min_x", "min_y", "max_x", "max_y")
     return boxes(kept.lines.read(), "w").unionByName(boxes(kept.areas.read(), "r"))
 

@@ -237,8 +237,23 @@ def block_of(rows: list[dict]) -> bytes:
 # --- the data source
 
 
+#: Schemes of Hadoop's file systems that go by another name here.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss", "gcs": "gs"}
+
+
+def uri_of(path: str) -> str:
+    """The address here of a path as Spark takes it."""
+    scheme, found, rest = path.partition("://")
+    if not found:
+        scheme, rest = "file", path
+    elif scheme == "file" and not rest.startswith("/"):
+        raise ValueError(f"{path}: no absolute path")
+    return f"{SCHEMES.get(scheme, scheme)}://{rest}"
+
+
 def opened(path: str) -> tuple[files.FileSystem, str]:
-    return files.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    """A file system and the path in it."""
+    return files.FileSystem.from_uri(uri_of(path))
 
 
 @dataclass
