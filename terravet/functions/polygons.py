@@ -226,10 +226,42 @@ def halves(kind: str, parts: Rings, axis: int, at: float, below: bool) -> Rings:
     return [x for p in parts for x in half_of_line(p, axis, at, below)]
 
 
+def line_pieces(line: np.ndarray, size: float) -> list[tuple[tuple[int, int], np.ndarray]]:
+    """((cx, cy), part) of a line in order: it is cut wherever it passes a border, all at once; what runs along one is in the upper cell."""
+    if len(line) == 1:
+        return [(tuple(np.floor(line[0] / size).astype(int).tolist()), line)]
+    p, q = line[:-1], line[1:]
+    edge, place, point = [np.arange(len(p))], [np.zeros(len(p))], [p]
+    for axis in (0, 1):
+        a, b = p[:, axis], q[:, axis]
+        first, last = np.floor(np.minimum(a, b) / size) + 1, np.ceil(np.maximum(a, b) / size) - 1
+        n = np.maximum(last - first + 1, 0).astype(int)
+        e = np.repeat(np.arange(len(p)), n)
+        at = (first[e] + np.arange(len(e)) - np.repeat(np.cumsum(n) - n, n)) * size
+        t = (at - a[e]) / (b[e] - a[e])
+        new = p[e] + t[:, None] * (q[e] - p[e])
+        new[:, axis] = at
+        edge.append(e), place.append(t), point.append(new)
+    order = np.lexsort((np.concatenate(place), np.concatenate(edge)))
+    points = np.concatenate([np.concatenate(point)[order], line[-1:]])
+    points = points[np.concatenate([[True], (points[1:] != points[:-1]).any(axis=1)])]
+    if len(points) == 1:
+        return line_pieces(points, size)
+    cell = np.floor((points[:-1] + points[1:]) / 2 / size).astype(int)
+    cuts = [0, *(np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1).tolist(), len(cell)]
+    return [(tuple(cell[x].tolist()), points[x : y + 1]) for x, y in zip(cuts[:-1], cuts[1:])]
+
+
 def pieces(kind: str, parts: Rings, size: float) -> list[tuple[int, int, Rings]]:
-    """(cx, cy, parts) of what lies in each cell of side `size`: halves of halves, so that no vertex is met more often than there are halvings."""
+    """(cx, cy, parts) of what lies in each cell of side `size`; areas by halves of halves, so that no vertex is met more often than there are halvings."""
     if not parts:
         return []
+    if kind != "polygon":
+        by: dict[tuple[int, int], Rings] = {}
+        for line in parts:
+            for cell, part in line_pieces(line, size):
+                by.setdefault(cell, []).append(part)
+        return sorted(((x, y, own) for (x, y), own in by.items()), key=lambda p: p[:2])
     points = np.concatenate(parts)
     low, high = np.floor(points.min(axis=0) / size).astype(int), np.floor(points.max(axis=0) / size).astype(int)
     todo, out = [(parts, *low.tolist(), *high.tolist())], []

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terravet import schemas
 from terravet.functions import geometry as G
-from terravet.functions import overpass, scalars
+from terravet.functions import overpass, polygons, scalars
 from terravet.functions.tags import Rule, Rules
 from terravet.operators import apply, changesets, duplicates, export, graph, history, ingest, locha, network, review, shapes, target, validate, views
 from terravet.plans.geometries import Geometries
@@ -231,6 +231,17 @@ def components(w: Warehouse) -> DataFrame:
     return named(w, steps_of(w, "components")).select("objtype", "id", "cc_id")
 
 
+@query(sql("SELECT objtype, id, cc_id FROM comp"))
+def components_updated(w: Warehouse) -> DataFrame:
+    """The same from labels that are kept: first of links of which some are missing and some are to go, then of all that there are."""
+    steps = steps_of(w, "updated")
+    rows = steps.keep(active(w, steps))
+    kept, links = graph.KeptComponents(w.spark, f"{steps.root}/kept"), steps.keep(graph.edges(rows))
+    others = links.join(links.groupBy("b").agg(F.max("a").alias("a")), ["a", "b"], "left_anti").select("a", "b")
+    kept.update(others.union(links.select(F.col("a"), (F.col("b") + 4).alias("b"))), steps)
+    return graph.change_components(rows, steps, kept)
+
+
 @query(sql("SELECT cc_id, count(*) AS objects FROM comp GROUP BY cc_id ORDER BY objects DESC, cc_id LIMIT 10"))
 def component_histogram(w: Warehouse) -> DataFrame:
     return graph.histogram(named(w, steps_of(w, "histogram")))
@@ -305,6 +316,17 @@ def way_lines(w: Warehouse) -> DataFrame:
     return rows.select("id", F.size("part").cast("long").alias("points"), F.round(G.length(F.col("part")), 3).alias("length"))
 
 
+@query(sql("""
+SELECT id, round(coalesce(sum(sqrt((lon - px) * (lon - px) + (lat - py) * (lat - py))), 0), 3) AS length FROM (
+  SELECT x.id, lon, lat, lag(lon) OVER w AS px, lag(lat) OVER w AS py FROM base_wn x JOIN base_n n ON n.id = x.node WINDOW w AS (PARTITION BY x.id ORDER BY x.pos)) GROUP BY id
+"""))
+def grid_lengths(w: Warehouse) -> DataFrame:
+    """Lengths of ways, added up over their pieces in the cells of a grid."""
+    pieces = shapes.way_shapes(w.ways, w.nodes).select("id", F.explode_outer(polygons.split_by_grid(F.col("geom"), 25.0)).alias("p"))
+    each = F.aggregate(F.col("p.geom.parts"), F.lit(0.0), lambda s, part: s + G.length(part))
+    return pieces.groupBy("id").agg(F.round(F.coalesce(F.sum(each), F.lit(0.0)), 3).alias("length"))
+
+
 @query(sql("""
 , hit AS (SELECT id FROM queue WHERE objtype = 'n'),
 dw AS (SELECT DISTINCT id FROM base_wn WHERE node IN (SELECT id FROM hit) UNION SELECT id FROM cw)
