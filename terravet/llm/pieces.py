@@ -9,12 +9,12 @@ that can't be cut and for few documents: its table is dropped and begun again at
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +24,8 @@ from .common import Scratch, slices
 TABLE_CHUNKS = 300_000
 #: Characters of a block of texts that share numbers of chunks.
 BLOCK_BYTES = 32 << 20
+#: Parts of the table of chunks for each shuffle partition.
+SPREAD = 4
 MARK = "▁"
 CUT = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 
@@ -99,102 +101,145 @@ def tokenize(df: DataFrame, model: str, keep: str = "doc_id", text: str = "text"
     return out.withColumnRenamed("keep", keep)
 
 
-def packed(numbers: np.ndarray) -> bytes:
+def zipped(data: bytes) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(numbers.astype(np.uint32).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(data)
 
 
-def unpacked(data: bytes) -> np.ndarray:
+def unzipped(data: bytes) -> bytes:
     import zstandard
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint32)
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    return zipped(np.asarray(numbers, np.uint32).tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(unzipped(data), np.uint32)
+
+
+def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of the runs of these sizes that begin at `starts`."""
+    stop = np.cumsum(sizes)
+    return np.arange(stop[-1] if len(stop) else 0) + np.repeat(starts - (stop - sizes), sizes)
+
+
+class BlockTable:
+    """Ids of a block's chunks by their numbers."""
+
+    def __init__(self, rows: list[tuple[bytes, bytes, bytes]]):
+        parts = [tuple(map(unpacked, r)) for r in rows]
+        sizes = np.zeros(sum(len(n) for n, _, _ in parts), np.int64)
+        for numbers, size, _ in parts:
+            sizes[numbers] = size
+        self.ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self.flat = np.zeros(self.ends[-1], np.int32)
+        for numbers, size, ids in parts:
+            self.flat[runs(self.ends[numbers], size.astype(np.int64))] = ids
+
+    def of(self, numbers: np.ndarray) -> np.ndarray:
+        n = numbers.astype(np.int64)
+        return self.flat[runs(self.ends[n], self.ends[n + 1] - self.ends[n])]
 
 
 def tokenize_joined(df: DataFrame, model: str, keep: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The same rows as tokenize, by one table of the distinct chunks of all documents, each segmented once, joined back by position.
 
-    Texts are cut in blocks of `block_bytes`; a block sends each of its distinct chunks once, under a number, and keeps each
-    text as numbers. The table's ids come back to the blocks by their numbers, so that what is joined are distinct chunks
-    of blocks and never words; a task holds the chunks of one block. Nulls, empty and long texts and repeated rows are as in
+    Texts are cut in blocks of `block_bytes`; a block keeps each text as numbers and sends each of its distinct chunks once,
+    packed by parts of a hash of the chunk. A part's task has all of its chunks' senders, segments each chunk once, and sends
+    the ids back to the blocks, where numbers lead to them. So what is dealt are distinct chunks of blocks and never words;
+    a task holds the chunks of one part or of one block. Nulls, empty and long texts and repeated rows are as in
     tokenize. A model whose pieces may cross the cuts raises ValueError.
     """
     if not Segmenter(model).cuts:
         raise ValueError("pieces of this model may cross white-space markers")
     kind, scratch = df.schema[keep].dataType.simpleString(), Scratch(df.sparkSession, "pieces")
+    parts = SPREAD * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg, block, numbers, size = Segmenter(model), TaskContext.get().partitionId() << 32, {}, 0
-
-        def chunks() -> pa.RecordBatch:
-            n = len(numbers)
+        names = ["block", "keep", "positions", "part", "numbers", "chunks"]
+
+        def sent(kept_type: pa.DataType) -> pa.RecordBatch:
+            own = [c.encode() for c in numbers]
+            part = np.array([zlib.crc32(c) % parts for c in own], np.int32)
+            order = np.argsort(part, kind="stable")
+            cuts = np.flatnonzero(np.concatenate([[True], part[order][1:] != part[order][:-1], [True]]))
+            each = [order[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+            n = len(each)
+            # A line feed is a chunk of its own and is in no other: it stands as the empty one.
+            lists = [zipped(b"\n".join(b"" if own[i] == b"\n" else own[i] for i in e.tolist())) for e in each]
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, block)), pa.nulls(n, kept_type), pa.nulls(n, pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array(list(numbers), pa.string())], names
+                [pa.array(np.full(n, block)), pa.nulls(n, kept_type), pa.nulls(n, pa.binary()), pa.array(part[order][cuts[:-1]]), pa.array([packed(e) for e in each], pa.binary()), pa.array(lists, pa.binary())], names
             )
 
-        names = ["block", "keep", "positions", "number", "chunk"]
+        kept_type = None
         for batch in batches:
             kept_type = batch.column(0).type
             for a, b in slices(batch.column(1)):
                 part = batch.slice(a, b - a)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                add = numbers.setdefault
-                positions = [packed(np.array([add(c, len(numbers)) for c in CUT.findall(seg.sp.normalize(t))], np.uint32)) for t in texts]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(texts), block)), part.column(0), pa.array(positions, pa.binary()), pa.nulls(len(texts), pa.int32()), pa.nulls(len(texts), pa.string())], names)
+                add, n = numbers.setdefault, len(texts)
+                positions = [packed([add(c, len(numbers)) for c in CUT.findall(seg.sp.normalize(t))]) for t in texts]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), part.column(0), pa.array(positions, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names)
                 size += sum(map(len, texts))
                 if size >= block_bytes:
-                    yield chunks()
+                    if numbers:
+                        yield sent(kept_type)
                     block, size = block + 1, 0
                     numbers.clear()
         if numbers:
-            yield chunks()
+            yield sent(kept_type)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seg = Segmenter(model)
+        """Rows come by part, whose table is dropped when the next one begins."""
+        seg, now = Segmenter(model), None
         for batch in batches:
-            seg.start()
-            chunks = batch.column(0).to_pylist()
-            seg.learn(set(chunks).difference(seg.table))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([seg.table[c] for c in chunks], pa.list_(pa.int32()))], ["chunk", "ids"])
+            sizes, ids = [], []
+            for part, data in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()):
+                if part != now:
+                    now = part
+                    seg.start()
+                chunks = [c or "\n" for c in unzipped(data).decode().split("\n")]
+                new = set(chunks).difference(seg.table)
+                if new:
+                    seg.learn(new)
+                found = [seg.table[c] for c in chunks]
+                sizes.append(packed(list(map(len, found))))
+                ids.append(packed(list(chain.from_iterable(found))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], ["block", "numbers", "sizes", "ids"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by block, its chunks before its texts, the chunks by number."""
-        seg, now, held = Segmenter(model), None, []
-        flat, ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        """Rows come by block, its chunks before its texts."""
+        seg, now, held, table = Segmenter(model), None, [], BlockTable([])
         for batch in batches:
             block, is_text = np.asarray(batch.column(0)), np.asarray(batch.column(1)) == 1
             edges = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (is_text[1:] != is_text[:-1]), [True]]))
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if block[a] != now:
+                    now, held, table = int(block[a]), [], BlockTable([])
                 if not is_text[a]:
-                    if block[a] != now:
-                        now, held = int(block[a]), []
-                    held.append(batch.column(4).slice(a, b - a))
+                    held += zip(*[batch.column(c).slice(a, b - a).to_pylist() for c in (4, 5, 6)])
                     continue
-                if block[a] != now:  # texts of a block without chunks, all empty
-                    now, held, flat, ends = int(block[a]), [], np.zeros(0, np.int32), np.zeros(1, np.int64)
-                elif held:
-                    flat = np.concatenate([np.asarray(h.flatten(), np.int32) for h in held])
-                    ends = np.concatenate([[0], np.cumsum(np.concatenate([np.asarray(pc.list_value_length(h)) for h in held]))]).astype(np.int64)
-                    held = []
+                if held:
+                    table, held = BlockTable(held), []
                 for x, y in slices(batch.column(3).slice(a, b - a)):
                     some = batch.slice(a + x, y - x)
-                    ids = []
-                    for data in some.column(3).to_pylist():
-                        n = unpacked(data)
-                        size = ends[n + 1] - ends[n]
-                        stop = np.cumsum(size)
-                        ids.append(flat[np.arange(stop[-1] if len(n) else 0) + np.repeat(ends[n] - (stop - size), size)])
+                    ids = [table.of(unpacked(data)) for data in some.column(3).to_pylist()]
                     sizes = np.array([len(i) for i in ids], np.int64)
                     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                     lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
                     yield pa.RecordBatch.from_arrays([some.column(2), pa.array(sizes), lists, pa.array(seg.decode([i.tolist() for i in ids]), pa.string())], ["keep", "n_tokens", "ids", "decoded"])
 
-    rows = df.select(F.col(keep).alias("keep"), F.col(text).alias("text")).mapInArrow(cut, f"block long, keep {kind}, positions binary, number int, chunk string")
+    rows = df.select(F.col(keep).alias("keep"), F.col(text).alias("text")).mapInArrow(cut, f"block long, keep {kind}, positions binary, part int, numbers binary, chunks binary")
     rows = scratch.save(rows)
-    chunks = rows.filter("chunk IS NOT NULL").select("block", "number", "chunk")
-    table = scratch.save(chunks.select("chunk").distinct().mapInArrow(learn, "chunk string, ids array<int>"))
+    asked = rows.filter("part IS NOT NULL").select("block", "part", "numbers", "chunks")
+    known = asked.repartition("part").sortWithinPartitions("part").mapInArrow(learn, "block long, numbers binary, sizes binary, ids binary")
     null = lambda t: F.lit(None).cast(t)
-    known = chunks.join(table, "chunk").select("block", F.lit(0).alias("role"), null(kind).alias("keep"), null("binary").alias("positions"), "ids", "number")
-    texts = rows.filter("positions IS NOT NULL").select("block", F.lit(1).alias("role"), "keep", "positions", null("array<int>").alias("ids"), null("int").alias("number"))
-    dealt = known.union(texts).repartition("block").sortWithinPartitions("block", "role", "number").drop("number")
+    known = known.select("block", F.lit(0).alias("role"), null(kind).alias("keep"), null("binary").alias("positions"), "numbers", "sizes", "ids")
+    texts = rows.filter("positions IS NOT NULL").select("block", F.lit(1).alias("role"), "keep", "positions", *[null("binary").alias(c) for c in ("numbers", "sizes", "ids")])
+    dealt = known.union(texts).repartition("block").sortWithinPartitions("block", "role")
     return dealt.mapInArrow(place, f"keep {kind}, n_tokens long, ids array<int>, decoded string").withColumnRenamed("keep", keep)
