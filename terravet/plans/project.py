@@ -46,6 +46,12 @@ class Project:
 
     def __post_init__(self) -> None:
         importable(self.spark)
+        self.open_steps: list[Steps] = []
+
+    def steps(self, name: str) -> Steps:
+        """Tables between stages; those that an update makes go with its end."""
+        self.open_steps.append(Steps(self.spark, name))
+        return self.open_steps[-1]
 
     def keyed(self, name: str) -> KeyedTable:
         """A table of the base."""
@@ -83,14 +89,14 @@ class Project:
         return views.base_view(self.table("nodes"), self.table("ways"), self.table("relations"))
 
     def put_base(self, base: DataFrame) -> None:
-        base = Steps(self.spark, "base").keep(base)
+        base = self.steps("base").keep(base)
         self.put(**{name: base.filter(F.col("objtype") == t) for t, name in KINDS.items()})
 
     def shapes(self) -> tuple[DataFrame, DataFrame]:
         """Geometry of what the queue touches: its base objects, with the member ways of its relations, and its changes."""
         n, w, r, queue = self.table("nodes"), self.table("ways"), self.table("relations"), self.table("queue")
         ids = lambda t: queue.filter(F.col("objtype") == t).select("id")
-        steps, kept = Steps(self.spark, "shapes"), self.geometries.current()
+        steps, kept = self.steps("shapes"), self.geometries.current()
         members = r.join(ids("r"), "id", "left_semi").select(F.explode("members").alias("m")).filter("m.type = 'w'").select(F.col("m.ref").alias("id"))
         some = lambda df, which, t: df.join(which, "id", "left_semi").select(F.lit(t).alias("objtype"), "id", "geom")
         base = some(points(n), ids("n"), "n").unionByName(some(kept.lines.read(), ids("w").union(members).distinct(), "w")).unionByName(some(kept.areas.read(), ids("r"), "r"))
@@ -132,7 +138,7 @@ class Project:
 
         The queue goes last, so that a run that is lost before is run again over the same changes.
         """
-        steps = Steps(self.spark, "applied")
+        steps = self.steps("applied")
         queue, kept = self.table("queue"), self.geometries.current()
         accepted = steps.keep(apply.accepted_changes(queue, steps.keep(keys)))
         if accepted.isEmpty():
@@ -151,7 +157,7 @@ class Project:
 
     def release(self) -> None:
         """Flag what is of interest, and let through what isn't."""
-        c, steps = self.config, Steps(self.spark, "release")
+        c, steps = self.config, self.steps("release")
         base_geom, change_geom = self.shapes()
         found, free = target.release_untargeted(
             self.base, self.table("queue"), base_geom, change_geom, c.rules, steps, target.inside_polygons(c.polygons), c.locha_cluster_distance, self.plane, graph.KeptComponents(self.spark, f"{self.folder}/components")
@@ -164,12 +170,12 @@ class Project:
         """provider: from (id) to changesets."""
         at = F.lit(now.astimezone(UTC).replace(tzinfo=None)).cast("timestamp_ntz")
         known = self.table("changesets")
-        ids = Steps(self.spark, "changesets").keep(changesets.missing(self.base, self.table("queue"), known, at))
+        ids = self.steps("changesets").keep(changesets.missing(self.base, self.table("queue"), known, at))
         self.put(changesets=changesets.upserted(known, provider(ids), at))
 
     def links(self) -> DataFrame:
         """The queue's links from before to after, in clusters of logical changes."""
-        c, steps = self.config, Steps(self.spark, "links")
+        c, steps = self.config, self.steps("links")
         base_geom, change_geom = self.shapes()
         queue = self.table("queue")
         rows = target.enriched(queue, self.base, change_geom, base_geom)
@@ -205,7 +211,7 @@ class Project:
 
     def validate(self, now: datetime) -> None:
         """Judge the queue, refresh the log, and apply the logical changes of which every link is accepted."""
-        steps = Steps(self.spark, "validate")
+        steps = self.steps("validate")
         links = self.links()
         judged = validate.validate(links, self.validators(now), self.config.rules)
         at = F.lit(now.astimezone(UTC).replace(tzinfo=None))
@@ -217,7 +223,7 @@ class Project:
     def accept(self, chosen: DataFrame, uid: int) -> None:
         """Accept by hand: chosen has locha_id, and semantic_group for single groups."""
         log = self.table("log")
-        keys = Steps(self.spark, "accept").keep(review.keys_of(review.pending(log), chosen))
+        keys = self.steps("accept").keep(review.keys_of(review.pending(log), chosen))
         self.put(log=review.accepted_by_hand(log, chosen, uid))
         self.apply_keys(keys)
 
@@ -286,6 +292,7 @@ class Project:
 
     def update(self, batch: DataFrame, provider: Callable[[DataFrame], DataFrame] | None, now: datetime) -> None:
         """One whole update."""
+        before = len(self.open_steps)
         self.import_changes(batch)
         self.prune()
         self.release()
@@ -294,3 +301,6 @@ class Project:
         self.validate(now)
         self.export_update(now)
         self.vacuum()
+        for steps in self.open_steps[before:]:
+            steps.drop()
+        del self.open_steps[before:]
