@@ -114,11 +114,12 @@ def unzipped(data: bytes) -> bytes:
 
 
 def packed(numbers: np.ndarray) -> bytes:
-    return zipped(np.asarray(numbers, np.uint32).tobytes())
+    """Numbers below 2^32, their lowest bytes first, then the next ones, as these are alike."""
+    return zipped(np.asarray(numbers, np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(unzipped(data), np.uint32)
+    return np.ascontiguousarray(np.frombuffer(unzipped(data), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
 
 
 def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -128,10 +129,10 @@ def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class BlockTable:
-    """Ids of a block's chunks by their numbers."""
+    """Ids of a block's chunks by their numbers; a part's rising numbers come as their steps."""
 
     def __init__(self, rows: list[tuple[bytes, bytes, bytes]]):
-        parts = [tuple(map(unpacked, r)) for r in rows]
+        parts = [(np.cumsum(unpacked(steps), dtype=np.int64), unpacked(sizes), unpacked(ids)) for steps, sizes, ids in rows]
         sizes = np.zeros(sum(len(n) for n, _, _ in parts), np.int64)
         for numbers, size, _ in parts:
             sizes[numbers] = size
@@ -173,7 +174,7 @@ def tokenize_joined(df: DataFrame, model: str, keep: str = "doc_id", text: str =
             # A line feed is a chunk of its own and is in no other: it stands as the empty one.
             lists = [zipped(b"\n".join(b"" if own[i] == b"\n" else own[i] for i in e.tolist())) for e in each]
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, block)), pa.nulls(n, kept_type), pa.nulls(n, pa.binary()), pa.array(part[order][cuts[:-1]]), pa.array([packed(e) for e in each], pa.binary()), pa.array(lists, pa.binary())], names
+                [pa.array(np.full(n, block)), pa.nulls(n, kept_type), pa.nulls(n, pa.binary()), pa.array(part[order][cuts[:-1]]), pa.array([packed(np.diff(e, prepend=0)) for e in each], pa.binary()), pa.array(lists, pa.binary())], names
             )
 
         kept_type = None
