@@ -62,6 +62,15 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def save_dealt(self, df: DataFrame, key: str, buckets: int) -> DataFrame:
+        """save() in buckets by a key, so that what is grouped or joined by it comes to these rows, which aren't shuffled again."""
+        self.n += 1
+        name = f"scratch_{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").option("path", f"{self.root}/{self.n}").bucketBy(buckets, key).saveAsTable(name)
+        out = self.spark.table(name)
+        self.spark.sql(f"DROP TABLE {name}")  # the name only: the files are this scratch's own
+        return out
+
     def inner(self) -> Scratch:
         return Scratch(self.spark, "inner", self.root)
 

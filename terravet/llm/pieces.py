@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -101,6 +102,12 @@ def tokenize(df: DataFrame, model: str, keep: str = "doc_id", text: str = "text"
     return out.withColumnRenamed("keep", keep)
 
 
+@cache
+def segmenter(model: str) -> Segmenter:
+    """One for each model of a worker, for what is called once a block."""
+    return Segmenter(model)
+
+
 def zipped(data: bytes) -> bytes:
     import zstandard
 
@@ -151,8 +158,8 @@ def tokenize_joined(df: DataFrame, model: str, keep: str = "doc_id", text: str =
 
     Texts are cut in blocks of `block_bytes`; a block keeps each text as numbers and sends each of its distinct chunks once,
     packed by parts of a hash of the chunk. A part's task has all of its chunks' senders, segments each chunk once, and sends
-    the ids back to the blocks, where numbers lead to them. So what is dealt are distinct chunks of blocks and never words;
-    a task holds the chunks of one part or of one block. Nulls, empty and long texts and repeated rows are as in
+    the ids back to the blocks, where numbers lead to them. So what is dealt are distinct chunks of blocks and never words:
+    texts lie in a table in buckets of blocks, to which only ids are shuffled; a task holds the chunks of one part or of one block. Nulls, empty and long texts and repeated rows are as in
     tokenize. A model whose pieces may cross the cuts raises ValueError.
     """
     if not Segmenter(model).cuts:
@@ -213,34 +220,26 @@ def tokenize_joined(df: DataFrame, model: str, keep: str = "doc_id", text: str =
                 ids.append(packed(list(chain.from_iterable(found))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], ["block", "numbers", "sizes", "ids"])
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by block, its chunks before its texts."""
-        seg, now, held, table = Segmenter(model), None, [], BlockTable([])
-        for batch in batches:
-            block, is_text = np.asarray(batch.column(0)), np.asarray(batch.column(1)) == 1
-            edges = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (is_text[1:] != is_text[:-1]), [True]]))
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                if block[a] != now:
-                    now, held, table = int(block[a]), [], BlockTable([])
-                if not is_text[a]:
-                    held += zip(*[batch.column(c).slice(a, b - a).to_pylist() for c in (4, 5, 6)])
-                    continue
-                if held:
-                    table, held = BlockTable(held), []
-                for x, y in slices(batch.column(3).slice(a, b - a)):
-                    some = batch.slice(a + x, y - x)
-                    ids = [table.of(unpacked(data)) for data in some.column(3).to_pylist()]
-                    sizes = np.array([len(i) for i in ids], np.int64)
-                    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
-                    yield pa.RecordBatch.from_arrays([some.column(2), pa.array(sizes), lists, pa.array(seg.decode([i.tolist() for i in ids]), pa.string())], ["keep", "n_tokens", "ids", "decoded"])
+    def place(known: pa.Table, texts: pa.Table) -> pa.Table:
+        """All of one block: its chunks' ids, and its texts as numbers."""
+        seg = segmenter(model)
+        table = BlockTable(list(zip(*[known.column(c).to_pylist() for c in ("numbers", "sizes", "ids")])))
+        out = []
+        for batch in texts.select(["keep", "positions"]).to_batches():
+            for x, y in slices(batch.column(1)):
+                some = batch.slice(x, y - x)
+                ids = [table.of(unpacked(data)) for data in some.column(1).to_pylist()]
+                sizes = np.array([len(i) for i in ids], np.int64)
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+                out.append(pa.RecordBatch.from_arrays([some.column(0), pa.array(sizes), lists, pa.array(seg.decode([i.tolist() for i in ids]), pa.string())], ["keep", "n_tokens", "ids", "decoded"]))
+        none = {"keep": texts.schema.field("keep").type, "n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "decoded": pa.string()}
+        return pa.Table.from_batches(out) if out else pa.schema(none).empty_table()
 
     rows = df.select(F.col(keep).alias("keep"), F.col(text).alias("text")).mapInArrow(cut, f"block long, keep {kind}, positions binary, part int, numbers binary, chunks binary")
-    rows = scratch.save(rows)
+    rows = scratch.save_dealt(rows, "block", int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     asked = rows.filter("part IS NOT NULL").select("block", "part", "numbers", "chunks")
     known = asked.repartition("part").sortWithinPartitions("part").mapInArrow(learn, "block long, numbers binary, sizes binary, ids binary")
-    null = lambda t: F.lit(None).cast(t)
-    known = known.select("block", F.lit(0).alias("role"), null(kind).alias("keep"), null("binary").alias("positions"), "numbers", "sizes", "ids")
-    texts = rows.filter("positions IS NOT NULL").select("block", F.lit(1).alias("role"), "keep", "positions", *[null("binary").alias(c) for c in ("numbers", "sizes", "ids")])
-    dealt = known.union(texts).repartition("block").sortWithinPartitions("block", "role")
-    return dealt.mapInArrow(place, f"keep {kind}, n_tokens long, ids array<int>, decoded string").withColumnRenamed("keep", keep)
+    texts = rows.filter("positions IS NOT NULL").select("block", "keep", "positions")
+    out = known.groupBy("block").cogroup(texts.groupBy("block")).applyInArrow(place, f"keep {kind}, n_tokens long, ids array<int>, decoded string")
+    return out.withColumnRenamed("keep", keep)
