@@ -109,16 +109,17 @@ def entries(docs: DataFrame, least: int, parts: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "part int, entries binary")
 
 
-def buckets(packed: DataFrame) -> DataFrame:
+def buckets(packed: DataFrame, parts: int, flush: int = FLUSH) -> DataFrame:
     """(key, id, pivot) of each line in a bucket with others, but the one first met, which is the bucket's pivot.
 
-    A task holds the pivots of its keys and sorts FLUSH bytes of entries at a time; it holds no bucket.
+    Entries come part by part. A task sorts `flush` bytes of them at a time and holds the pivots of the part that it is in; it holds no bucket.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.zeros((0, 3), np.int64)
 
-        def met(blobs: list[bytes]) -> pa.RecordBatch:
+        def met(blobs: list[bytes], part: int) -> pa.RecordBatch:
+            """Of known pivots, those of the last part that was met go on."""
             nonlocal known
             rows = np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 3)
             rows = np.concatenate([known, rows])  # a stable sort leaves known pivots first
@@ -126,21 +127,22 @@ def buckets(packed: DataFrame) -> DataFrame:
             first = np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]])
             known = rows[first]
             pivot = known[np.cumsum(first) - 1]
+            known = known[known[:, 0].view(np.uint64) % np.uint64(parts) == np.uint64(part)]
             other = (rows[:, 1:] != pivot[:, 1:]).any(axis=1)
             return pa.RecordBatch.from_arrays([pa.array(rows[other, 0]), binary(rows[other, 1:]), binary(pivot[other, 1:])], ["key", "id", "pivot"])
 
         held, size = [], 0
         for batch in batches:
-            for blob in batch.column(1).to_pylist():
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held.append(blob)
                 size += len(blob)
-                if size >= FLUSH:
-                    yield met(held)
+                if size >= flush:
+                    yield met(held, part)
                     held, size = [], 0
         if held:
-            yield met(held)
+            yield met(held, part)
 
-    return packed.repartition("part").mapInArrow(run, "key long, id binary, pivot binary").distinct()
+    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(run, "key long, id binary, pivot binary").distinct()
 
 
 def places(docs: DataFrame, least: int) -> DataFrame:
@@ -169,7 +171,7 @@ def removals(docs: DataFrame, scratch: Scratch, least: int = MIN_BYTES) -> DataF
     """(doc_id, lines array<int>): the numbers of each document's lines that another line stands for."""
     parts = SPREAD * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     with scratch.inner() as own:
-        met = own.save(buckets(entries(docs.filter("doc_id IS NOT NULL"), least, parts)))
+        met = own.save(buckets(entries(docs.filter("doc_id IS NOT NULL"), least, parts), parts))
         members = own.save(met.union(met.select("key", F.col("pivot").alias("id"), "pivot").distinct()))
         every = own.save(places(docs, least))
         at = F.struct("doc_id", "line")
