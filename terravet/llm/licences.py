@@ -107,6 +107,26 @@ def bigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, pair, row
 
 
+class Bigrams:
+    """The bigrams of one text, in order, with the last place before each where the same one is met (-1: none)."""
+
+    def __init__(self, pair: np.ndarray):
+        self.pair, self.before = pair, np.full(len(pair), -1)
+        order = np.argsort(pair, kind="stable")
+        again = pair[order[1:]] == pair[order[:-1]]
+        self.before[order[1:][again]] = order[:-1][again]
+
+    def among(self, known: np.ndarray) -> np.ndarray:
+        return known[np.minimum(np.searchsorted(known, self.pair), len(known) - 1)] == self.pair
+
+    def distinct(self, width: int, which: np.ndarray | None = None) -> np.ndarray:
+        """For each place, how many different bigrams (of `which`) the next `width` hold: each counts for the starts after its last equal one."""
+        last = np.arange(len(self.pair)) if which is None else np.flatnonzero(which)
+        first = np.maximum(self.before[last] + 1, np.maximum(0, last - width + 1))
+        ends = len(self.pair) + 1
+        return np.cumsum(np.bincount(first, minlength=ends) - np.bincount(last + 1, minlength=ends))[:-1]
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str] | None = None, dice: float = DICE):
         templates = templates_known() if templates is None else templates
@@ -128,30 +148,38 @@ class Scanner:
         #: A set outside these sizes can't reach the coefficient.
         self.bounds = [(n * dice / (2 - dice) - 1e-9, n * (2 - dice) / dice + 1e-9) for n in sizes]
 
-    def coefficient(self, k: int, own: np.ndarray) -> float:
-        low, high = self.bounds[k]
-        if not low <= len(own) <= high:
-            return 0.0
-        return 2.0 * len(np.intersect1d(own, self.sets[k], assume_unique=True)) / (len(own) + len(self.sets[k]))
+    def windows(self, k: int, own: Bigrams, match: np.ndarray, begins: np.ndarray, width: int) -> Iterator[tuple[float, int]]:
+        """(coefficient, first word) of the windows of `width` bigrams from these places whose sets the size bounds allow."""
+        (low, high), n = self.bounds[k], len(self.sets[k])
+        size, both = own.distinct(width)[begins], own.distinct(width, match)[begins]
+        fits = (low <= size) & (size <= high)
+        yield from zip((2.0 * both[fits] / (size[fits] + n)).tolist(), begins[fits].tolist())
 
-    def spans(self, k: int, own: np.ndarray) -> list[tuple[float, int]]:
-        """(coefficient, first word) of the best span of a text's bigrams from each that matches, up to the words that the size bounds allow.
+    def span(self, k: int, own: Bigrams, match: np.ndarray) -> tuple[float, int] | None:
+        """(coefficient, first word) of the best span of a text's bigrams, the first of equal ones, if it reaches the coefficient.
 
-        Both ends of a span are matching bigrams, as it is no better for one that doesn't match.
+        Both ends of a span are matching bigrams, as it is no better for one that doesn't match. The template's bigrams within the words
+        that the size bounds allow after a start bound what its spans can reach; starts are tried from the largest bound down, until
+        none can be better. A bound is a difference of running counts, so starts that can't reach the coefficient cost no comparison.
         """
-        match = np.isin(own, self.sets[k])
         at, n, (low, high) = np.flatnonzero(match), len(self.sets[k]), self.bounds[k]
-        width, out = int(self.lengths[k] * (2 - self.dice) / self.dice) + 1, []
-        for a in at.tolist():
-            part = own[a : a + width]
-            new = np.zeros(len(part), bool)
-            new[np.unique(part, return_index=True)[1]] = True
+        width = int(self.lengths[k] * (2 - self.dice) / self.dice) + 1
+        most = own.distinct(width, match)[at]
+        bound, best = 2.0 * most / (most + n), (self.dice, -len(match))
+        some = np.flatnonzero(bound >= self.dice)
+        for i in some[np.argsort(-bound[some], kind="stable")].tolist():
+            a = int(at[i])
+            if bound[i] < best[0]:
+                break
+            if bound[i] == best[0] and -a < best[1]:
+                continue
+            new = own.before[a : a + width] < a
             size, both = np.cumsum(new), np.cumsum(new & match[a : a + width])
-            ends = at[np.searchsorted(at, a) : np.searchsorted(at, a + len(part))] - a
+            ends = at[i : np.searchsorted(at, a + len(new))] - a
             ends = ends[(size[ends] >= low) & (size[ends] <= high)]
             if len(ends):
-                out.append((float((2.0 * both[ends] / (size[ends] + n)).max()), a))
-        return out
+                best = max(best, (float((2.0 * both[ends] / (size[ends] + n)).max()), -a))
+        return (best[0], -best[1]) if best[1] > -len(match) else None
 
     def text(self, pair: np.ndarray, hits: np.ndarray) -> list[tuple[int, float, int]]:
         """(template, coefficient, first word) of each template that the whole text, a window of the template's length, or a span between two matching bigrams reaches."""
@@ -162,13 +190,15 @@ class Scanner:
             for k, j in self.leads[int(pair[at])]:
                 windows.setdefault(k, set()).add(max(0, at - j))
                 begun.setdefault(k, []).append(at)
-        n = len(pair)
+        own = None
         for k, starts in begun.items():
             # A set that reaches the coefficient shares at least dice / (2 - dice) of the template; leads are all but its common bigrams.
             if len(np.unique(pair[starts])) + self.common[k] < self.bounds[k][0]:
                 continue
-            found = [(self.coefficient(k, np.unique(pair[a : b - 1])), a) for a, b in [(0, n), *[(a, min(n, a + self.lengths[k])) for a in windows[k]]]]
-            for c, a in found + self.spans(k, pair[: n - 1]):
+            own = own or Bigrams(pair[:-1])
+            match = own.among(self.sets[k])
+            found = [*self.windows(k, own, match, np.array([0]), len(match)), *self.windows(k, own, match, np.array(sorted(windows[k])), self.lengths[k] - 1)]
+            for c, a in [*found, *filter(None, [self.span(k, own, match)])]:
                 if c >= self.dice and (c, -a) > best.get(k, (0.0, 0)):
                     best[k] = (c, -a)
         return sorted(((k, c, -a) for k, (c, a) in best.items()), key=lambda x: (-x[1], -self.lengths[x[0]], x[0]))

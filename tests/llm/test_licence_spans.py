@@ -61,3 +61,26 @@ def test_whole_texts_of_licences():
     s = licences.Scanner()
     found = s.scan([("Copyright 2020 Someone. " * 20 + known["Apache-2.0"]).encode(), known["GPL-3.0"].encode(), known["MPL-2.0 header"].encode(), known["BSD-3-Clause"].encode()])
     assert [s.names[f[0][0]] for f in found] == ["Apache-2.0", "GPL-3.0", "MPL-2.0 header", "BSD-3-Clause"] and len(known) > 18
+
+
+def test_bundles_of_licences():
+    """Many licences after one another are each found where they first begin, in steps that grow with the text."""
+    known = licences.templates_known()
+    s = licences.Scanner()
+    files = [n for n in licences.FULL if n.startswith(("Apache", "MPL", "LGPL"))]
+    text, begins, at = [], {}, 0
+    for n in files * 3:
+        begins.setdefault(n, at)
+        text.append(known[n])
+        at += len(licences.bigrams([known[n].encode()])[0])
+    found = {s.names[k]: (c, a) for k, c, a in s.scan([" ".join(text).encode()])[0]}
+    assert all(found[n] == (1.0, begins[n]) for n in files)
+
+
+def test_distinct_counts():
+    rng = random.Random(3)
+    pair = [rng.randrange(9) for _ in range(60)]
+    own, some = licences.Bigrams(licences.np.array(pair, "u8")), licences.np.array([p < 4 for p in pair])
+    for width in (1, 5, 59, 60, 80):
+        assert own.distinct(width).tolist() == [len(set(pair[a : a + width])) for a in range(60)]
+        assert own.distinct(width, some).tolist() == [len({p for p in pair[a : a + width] if p < 4}) for a in range(60)]
