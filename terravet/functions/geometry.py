@@ -36,8 +36,7 @@ def point(lon: Column, lat: Column) -> Column:
 
 def no_repeats(vertices: Column) -> Column:
     """Consecutive equal vertices once."""
-    start = F.expr(f"CAST(array() AS array<{POINT}>)")
-    return F.aggregate(vertices, start, lambda s, p: F.when(F.element_at(s, F.when(F.size(s) > 0, -1)).eqNullSafe(p), s).otherwise(F.array_append(s, p)))
+    return F.filter(vertices, lambda p, i: (i == 0) | ~F.get(vertices, F.greatest(i - 1, F.lit(0))).eqNullSafe(p))
 
 
 def way_line(vertices: Column, nodes: Column) -> Column:
@@ -48,7 +47,7 @@ def way_line(vertices: Column, nodes: Column) -> Column:
     def build(c: Column) -> Column:
         ends = F.when(F.size(c) > 0, 1)
         shut = F.when(closed & (F.size(c) > 1) & (F.element_at(c, ends) != F.element_at(c, -ends)), F.concat(c, F.slice(c, 1, 1))).otherwise(c)
-        return F.when(F.size(c) == 0, F.lit(None)).when(F.size(F.array_distinct(c)) == 1, geometry("point", F.array(F.slice(c, 1, 1)))).otherwise(geometry("line", F.array(shut)))
+        return F.when(F.size(c) == 0, F.lit(None)).when(F.size(c) == 1, geometry("point", F.array(c))).otherwise(geometry("line", F.array(shut)))
 
     return F.get(F.transform(F.array(clean), build), F.lit(0))
 
@@ -137,21 +136,39 @@ def segment_ends(geom: Column) -> Column:
     return F.flatten(F.transform(F.filter(geom["parts"], lambda p: F.size(p) > 0), of))
 
 
-def _point_to_segment(px: Column, py: Column, s: Column) -> Column:
-    """Distance of a point from a segment (ax, ay, bx, by)."""
+def _point_to_segment(px: np.ndarray, py: np.ndarray, s: dict[str, np.ndarray]) -> np.ndarray:
+    """Distances of points from segments (ax, ay, bx, by), row by row."""
     dx, dy = s["bx"] - s["ax"], s["by"] - s["ay"]
     size = dx * dx + dy * dy
-    t = F.when(size == 0, F.lit(0.0)).otherwise(F.least(F.greatest(((px - s["ax"]) * dx + (py - s["ay"]) * dy) / size, F.lit(0.0)), F.lit(1.0)))
+    t = np.clip(((px - s["ax"]) * dx + (py - s["ay"]) * dy) / np.where(size == 0, 1, size), 0, 1)
     x, y = px - (s["ax"] + t * dx), py - (s["ay"] + t * dy)
-    return F.sqrt(x * x + y * y)
+    return np.sqrt(x * x + y * y)
 
 
 def segments_within(a: Column, b: Column, reach: float) -> Column:
     """Whether two segments are at most `reach` apart: they cross, or an end of one is so near the other."""
-    turn = lambda s, x, y: (s["bx"] - s["ax"]) * (y - s["ay"]) - (s["by"] - s["ay"]) * (x - s["ax"])
-    sides = lambda s, o: turn(s, o["ax"], o["ay"]) * turn(s, o["bx"], o["by"]) < 0
-    ends = [_point_to_segment(p[x], p[y], s) <= reach for p, s in ((a, b), (b, a)) for x, y in (("ax", "ay"), ("bx", "by"))]
-    return ends[0] | ends[1] | ends[2] | ends[3] | (sides(a, b) & sides(b, a))
+    names = ("ax", "ay", "bx", "by")
+
+    @F.arrow_udf(T.BooleanType())
+    def udf(first: pa.Array, second: pa.Array) -> pa.Array:
+        p, q = [dict(zip(names, (c.to_numpy(zero_copy_only=False) for c in x.flatten()))) for x in (first, second)]
+        turn = lambda s, x, y: (s["bx"] - s["ax"]) * (y - s["ay"]) - (s["by"] - s["ay"]) * (x - s["ax"])
+        sides = lambda s, o: turn(s, o["ax"], o["ay"]) * turn(s, o["bx"], o["by"]) < 0
+        found = sides(p, q) & sides(q, p)
+        for o, s in ((p, q), (q, p)):
+            for x, y in (("ax", "ay"), ("bx", "by")):
+                found |= _point_to_segment(o[x], o[y], s) <= reach
+        return pa.array(found, pa.bool_())
+
+    flat = lambda s: F.struct(*[s[c].alias(c) for c in names])
+    return udf(flat(a), flat(b))
+
+
+def segment_boxes_within(a: Column, b: Column, reach: float) -> Column:
+    """Whether the boxes of two segments are at most `reach` apart on both axes, up to rounding: what segments_within needs at least."""
+    far = reach * (1 + 1e-9)
+    gap = lambda x, y: (F.least(b[x], b[y]) - F.greatest(a[x], a[y]) <= far) & (F.least(a[x], a[y]) - F.greatest(b[x], b[y]) <= far)
+    return gap("ax", "bx") & gap("ay", "by")
 
 
 def cells_along(s: Column, side: Column) -> Column:
@@ -413,19 +430,54 @@ def merge_lines(parts: list[list[tuple[float, float]]]) -> list[list[tuple[float
     return out
 
 
+def _ends_shared(geom: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which geometries have an end (x, y) more than once; geom: that of each end."""
+    order = np.lexsort((ends[:, 1], ends[:, 0], geom))
+    g, e = geom[order], ends[order]
+    again = (g[1:] == g[:-1]) & (e[1:] == e[:-1]).all(axis=1)
+    return np.unique(g[1:][again])
+
+
 @F.arrow_udf(GEOMETRY)
 def merged_lines(geoms: pa.Array) -> pa.Array:
-    """Line merge of a collection; a single open result is a line, points are kept beside."""
-    out = []
-    for g in geoms.to_pylist():
-        if g is None:
-            out.append(None)
-            continue
-        given = [[(v["x"], v["y"]) for v in part] for part in g["parts"]]
-        done = merge_lines(given) + [p for p in given if len(p) == 1]
-        kind = "point" if len(done) == 1 and len(done[0]) == 1 else "line" if len(done) == 1 else "collection"
-        out.append({"kind": kind, "parts": [[{"x": x, "y": y} for x, y in line] for line in done]})
-    return pa.array(out, ARROW_GEOMETRY)
+    """Line merge of a collection; a single open result is a line, points are kept beside.
+
+    Only geometries in which two open lines share an end are walked; of the others the parts are put in order, lines first, over whole arrays.
+    """
+    parts = geoms.field(1)
+    n, some = len(geoms), geoms.is_valid().to_numpy(zero_copy_only=False)
+    first = parts.offsets.to_numpy()
+    count = np.where(some, np.diff(first), 0)
+    lines = parts.values
+    at = lines.offsets.to_numpy()
+    size = np.diff(at)
+    xy = np.column_stack([c.to_numpy(zero_copy_only=False) for c in lines.values.flatten()]) if len(lines.values) else np.zeros((0, 2))
+    part = np.repeat(first[:-1], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    owner = np.repeat(np.arange(n), count)
+    full = size[part] > 1
+    p, g = part[full], owner[full]
+    a, b = xy[at[p]], xy[at[p + 1] - 1]
+    open_ = (a != b).any(axis=1)
+    walked = np.zeros(n, bool)
+    walked[_ends_shared(np.concatenate([g[open_]] * 2), np.concatenate([a[open_], b[open_]]))] = True
+    order = np.lexsort((part, size[part] == 1, owner))
+    order = order[(size[part] > 0)[order]]
+    numbers = np.bincount(owner[order], minlength=n)
+    single = np.bincount(owner[order][size[part[order]] == 1], minlength=n)
+    kinds = np.where(numbers == 1, np.where(single == 1, "point", "line"), "collection")
+    offsets = np.concatenate([[0], np.cumsum(numbers)]).astype(np.int32)
+    plain = pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), lines.take(pa.array(part[order], pa.int64())))], ["kind", "parts"], mask=pa.array(~some)).cast(ARROW_GEOMETRY)
+    rows = np.flatnonzero(walked)
+    if not len(rows):
+        return plain
+    done = []
+    for geom in geoms.take(pa.array(rows)).to_pylist():
+        given = [[(v["x"], v["y"]) for v in p] for p in geom["parts"]]
+        new = merge_lines(given) + [p for p in given if len(p) == 1]
+        done.append({"kind": "point" if len(new) == 1 and len(new[0]) == 1 else "line" if len(new) == 1 else "collection", "parts": [[{"x": x, "y": y} for x, y in line] for line in new]})
+    take = np.arange(n)
+    take[rows] = n + np.arange(len(rows))
+    return pa.concat_arrays([plain, pa.array(done, ARROW_GEOMETRY)]).take(pa.array(take))
 
 
 def overlapping(low: np.ndarray, high: np.ndarray) -> np.ndarray:

@@ -33,8 +33,7 @@ def clustering_input(rows: DataFrame, projection: G.Projection) -> DataFrame:
 def linked_clusters(shapes: DataFrame, distance: float, steps: Steps) -> DataFrame:
     """(id, cluster): shapes (id, cell, geom) linked within a cell by steps of at most distance; a lone one is its own."""
     shapes = steps.keep(shapes)
-    pairs = nearby.near(shapes, shapes, ["cell"], distance, steps, ordered=True).select(F.col("id").alias("a"), F.col("o_id").alias("b"))
-    found = components(pairs, steps)
+    found = components(nearby.links(shapes, ["cell"], distance, steps), steps)
     return shapes.select("id").join(found.select(F.col("v").alias("id"), F.col("component").alias("cluster")), "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
 
 

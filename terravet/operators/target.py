@@ -78,8 +78,8 @@ def held_components(rows: DataFrame, distance: float, projection: G.Projection |
     core = placed.filter("targeted").select("cc_id").distinct()
     shapes = placed.select(F.col("cc_id").alias("id"), F.explode(F.array("geom", "b_geom")).alias("geom")).filter("geom IS NOT NULL")
     shapes, ids = steps.keep(shapes), core.withColumnRenamed("cc_id", "id")
-    found = nearby.near(shapes.join(ids, "id", "left_semi"), shapes.join(ids, "id", "left_anti"), [], distance, steps)
-    return core.union(found.select(F.col("o_id").alias("cc_id"))).distinct()
+    found = nearby.beside(shapes.join(ids, "id", "left_semi"), shapes.join(ids, "id", "left_anti"), distance, steps)
+    return core.union(found.select(F.col("id").alias("cc_id"))).distinct()
 
 
 def release(rows: DataFrame, held: DataFrame) -> DataFrame:
