@@ -226,30 +226,43 @@ def halves(kind: str, parts: Rings, axis: int, at: float, below: bool) -> Rings:
     return [x for p in parts for x in half_of_line(p, axis, at, below)]
 
 
-def line_pieces(line: np.ndarray, size: float) -> list[tuple[tuple[int, int], np.ndarray]]:
-    """((cx, cy), part) of a line in order: it is cut wherever it passes a border, all at once; what runs along one is in the upper cell."""
-    if len(line) == 1:
-        return [(tuple(np.floor(line[0] / size).astype(int).tolist()), line)]
-    p, q = line[:-1], line[1:]
-    edge, place, point = [np.arange(len(p))], [np.zeros(len(p))], [p]
+def runs(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of n numbers each, one after another."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def line_pieces(xy: np.ndarray, at: np.ndarray, size: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(line, cell, first, last, points): the pieces of lines, the vertices xy[at[i]:at[i + 1]] (one at least), in order; a piece is points[first:last + 1].
+
+    Lines are cut wherever they pass a border, all at once; what runs along one is in the upper cell.
+    """
+    line = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    p = np.flatnonzero(line[1:] == line[:-1])
+    vertex, place, point = [np.arange(len(xy))], [np.zeros(len(xy))], [xy]
     for axis in (0, 1):
-        a, b = p[:, axis], q[:, axis]
+        a, b = xy[p, axis], xy[p + 1, axis]
         first, last = np.floor(np.minimum(a, b) / size) + 1, np.ceil(np.maximum(a, b) / size) - 1
         n = np.maximum(last - first + 1, 0).astype(int)
         e = np.repeat(np.arange(len(p)), n)
-        at = (first[e] + np.arange(len(e)) - np.repeat(np.cumsum(n) - n, n)) * size
-        t = (at - a[e]) / (b[e] - a[e])
-        new = p[e] + t[:, None] * (q[e] - p[e])
-        new[:, axis] = at
-        edge.append(e), place.append(t), point.append(new)
-    order = np.lexsort((np.concatenate(place), np.concatenate(edge)))
-    points = np.concatenate([np.concatenate(point)[order], line[-1:]])
-    points = points[np.concatenate([[True], (points[1:] != points[:-1]).any(axis=1)])]
-    if len(points) == 1:
-        return line_pieces(points, size)
-    cell = np.floor((points[:-1] + points[1:]) / 2 / size).astype(int)
-    cuts = [0, *(np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1).tolist(), len(cell)]
-    return [(tuple(cell[x].tolist()), points[x : y + 1]) for x, y in zip(cuts[:-1], cuts[1:])]
+        border = runs(first.astype(int), n) * size
+        t = (border - a[e]) / (b[e] - a[e])
+        new = xy[p[e]] + t[:, None] * (xy[p[e] + 1] - xy[p[e]])
+        new[:, axis] = border
+        vertex.append(p[e]), place.append(t), point.append(new)
+    of = np.concatenate(vertex)
+    order = np.lexsort((np.concatenate(place), of))
+    points, line = np.concatenate(point)[order], line[of[order]]
+    new = np.concatenate([[True], (line[1:] != line[:-1]) | (points[1:] != points[:-1]).any(axis=1)])[: len(line)]
+    points, line = points[new], line[new]
+    step = np.flatnonzero(line[1:] == line[:-1])
+    cell = np.floor((points[step] + points[step + 1]) / 2 / size).astype(int)
+    begin = np.flatnonzero(np.concatenate([[True], (line[step[1:]] != line[step[:-1]]) | (cell[1:] != cell[:-1]).any(axis=1)])[: len(step)])
+    end = np.concatenate([begin[1:] - 1, [len(step) - 1]])[: len(begin)]
+    lone = np.flatnonzero(np.bincount(line, minlength=len(at) - 1)[line] == 1)
+    first, last = np.concatenate([step[begin], lone]), np.concatenate([step[end] + 1, lone])
+    cells = np.concatenate([cell[begin], np.floor(points[lone] / size).astype(int)])
+    order = np.argsort(first, kind="stable")
+    return line[first[order]], cells[order], first[order], last[order], points
 
 
 def pieces(kind: str, parts: Rings, size: float) -> list[tuple[int, int, Rings]]:
@@ -258,9 +271,9 @@ def pieces(kind: str, parts: Rings, size: float) -> list[tuple[int, int, Rings]]
         return []
     if kind != "polygon":
         by: dict[tuple[int, int], Rings] = {}
-        for line in parts:
-            for cell, part in line_pieces(line, size):
-                by.setdefault(cell, []).append(part)
+        _, cells, first, last, points = line_pieces(np.concatenate(parts), np.cumsum([0, *map(len, parts)]), size)
+        for cell, x, y in zip(map(tuple, cells.tolist()), first.tolist(), last.tolist()):
+            by.setdefault(cell, []).append(points[x : y + 1])
         return sorted(((x, y, own) for (x, y), own in by.items()), key=lambda p: p[:2])
     points = np.concatenate(parts)
     low, high = np.floor(points.min(axis=0) / size).astype(int), np.floor(points.max(axis=0) / size).astype(int)
@@ -284,6 +297,36 @@ def pieces(kind: str, parts: Rings, size: float) -> list[tuple[int, int, Rings]]
 PIECE = T.StructType([T.StructField("cx", T.LongType()), T.StructField("cy", T.LongType()), T.StructField("geom", GEOMETRY)])
 
 
+ARROW_PIECE = pa.struct([("cx", pa.int64()), ("cy", pa.int64()), ("geom", G.ARROW_GEOMETRY)])
+
+
+def split_lines(geoms: pa.Array, size: float) -> pa.Array:
+    """The pieces of shapes without areas, over whole arrays."""
+    n, some, kinds = len(geoms), geoms.is_valid().to_numpy(zero_copy_only=False), np.array(geoms.field(0).to_pylist(), object)
+    parts = geoms.field(1)
+    count = np.where(some, np.diff(parts.offsets.to_numpy()), 0)
+    part, owner = runs(parts.offsets.to_numpy()[:-1].astype(np.int64), count), np.repeat(np.arange(n), count)
+    lines = parts.values
+    at = lines.offsets.to_numpy().astype(np.int64)
+    part, owner = part[np.diff(at)[part] > 0], owner[np.diff(at)[part] > 0]
+    xy = np.column_stack([c.to_numpy(zero_copy_only=False) for c in lines.values.flatten()])
+    n_xy = np.diff(at)[part]
+    line, cell, first, last, points = line_pieces(xy[runs(at[part], n_xy)], np.concatenate([[0], np.cumsum(n_xy)]), size)
+    own = owner[line]
+    order = np.lexsort((cell[:, 1], cell[:, 0], own))
+    own, cell, first, last = own[order], cell[order], first[order], last[order]
+    new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (cell[1:] != cell[:-1]).any(axis=1)])[: len(own)])
+    of_cell = np.diff(np.concatenate([new, [len(own)]]))
+    kind = np.where(kinds[own[new]] == "point", "point", np.where(of_cell == 1, "line", "collection"))
+    offsets = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+    xs, ys = points[runs(first, last - first + 1)].T
+    vertices = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(xs)), pa.array(np.ascontiguousarray(ys))], fields=list(G.ARROW_POINT))
+    rows = pa.ListArray.from_arrays(offsets(of_cell), pa.ListArray.from_arrays(offsets(last - first + 1), vertices))
+    shapes = pa.StructArray.from_arrays([pa.array(kind, pa.string()), rows], ["kind", "parts"])
+    each = pa.StructArray.from_arrays([pa.array(cell[new, 0], pa.int64()), pa.array(cell[new, 1], pa.int64()), shapes], ["cx", "cy", "geom"])
+    return pa.ListArray.from_arrays(offsets(np.bincount(own[new], minlength=n)), each, mask=pa.array(~some)).cast(pa.list_(ARROW_PIECE))
+
+
 def split_by_grid(geom: Column, size: float) -> Column:
     """array of (cx, cy, geom): the pieces of a shape, each in its cell of side `size`; null for null. Lengths and areas add up.
 
@@ -292,11 +335,13 @@ def split_by_grid(geom: Column, size: float) -> Column:
 
     @F.arrow_udf(T.ArrayType(PIECE))
     def udf(geoms: pa.Array) -> pa.Array:
+        if "polygon" not in geoms.field(0).to_pylist():
+            return split_lines(geoms, size)
         out = []
         for g in geoms.to_pylist():
             kind = g and ("polygon" if g["kind"] == "polygon" else "line")
             out.append(None if g is None else [{"cx": x, "cy": y, "geom": {"kind": g["kind"] if g["kind"] in ("polygon", "point") else "line" if len(p) == 1 else "collection", "parts": points_of(p)}} for x, y, p in pieces(kind, G.parts_of(g), size)])
-        return pa.array(out, pa.list_(pa.struct([("cx", pa.int64()), ("cy", pa.int64()), ("geom", G.ARROW_GEOMETRY)])))
+        return pa.array(out, pa.list_(ARROW_PIECE))
 
     return udf(geom)
 
