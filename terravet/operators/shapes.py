@@ -25,7 +25,7 @@ def way_vertices(ways: DataFrame, nodes: DataFrame) -> DataFrame:
 def way_shapes(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, geom) of ways (id, nodes); null where no node is known."""
     known = way_vertices(ways, nodes).filter("lon IS NOT NULL AND lat IS NOT NULL")
-    lists = known.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", G.vertex(F.col("lon"), F.col("lat")).alias("p")))).alias("v"))
+    lists = known.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", G.vertex(F.col("lon"), F.col("lat")).alias("p")))).alias("v"))
     placed = ways.select("id", "nodes").join(lists, "id", "left").withColumn("v", F.transform("v", lambda s: s["p"]))
     return placed.select("id", F.when(F.col("v").isNotNull(), G.way_line(F.col("v"), F.col("nodes"))).alias("geom"))
 
@@ -38,7 +38,7 @@ def relation_shapes(relations: DataFrame, node_shapes: DataFrame, way_shapes_: D
     members = relations.select("id", F.posexplode("members").alias("pos", "m")).select("id", "pos", "m.type", "m.ref")
     shapes = node_shapes.select(F.lit("n").alias("type"), F.col("id").alias("ref"), "geom").unionByName(way_shapes_.select(F.lit("w").alias("type"), F.col("id").alias("ref"), "geom"))
     found = members.join(shapes, ["type", "ref"]).filter("geom IS NOT NULL")
-    lists = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("geom.parts").alias("parts")))).alias("g"))
+    lists = found.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", F.col("geom.parts").alias("parts")))).alias("g"))
     gathered = lists.select("id", G.geometry("collection", F.flatten(F.transform("g", lambda s: s["parts"]))).alias("geom"))
     return relations.select("id").join(gathered.select("id", G.merged_lines("geom").alias("geom")), "id", "left")
 
