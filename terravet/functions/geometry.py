@@ -39,10 +39,14 @@ def no_repeats(vertices: Column) -> Column:
     return F.filter(vertices, lambda p, i: (i == 0) | ~F.get(vertices, F.greatest(i - 1, F.lit(0))).eqNullSafe(p))
 
 
-def way_line(vertices: Column, nodes: Column) -> Column:
-    """Geometry of a way from its known vertices in order: repeats go, one vertex is a point, a ring stays closed, none is null."""
+def is_ring(nodes: Column) -> Column:
+    """Whether a list of references ends where it begins; never null."""
+    return F.coalesce((F.size(nodes) > 1) & (F.get(nodes, F.lit(0)) == F.get(nodes, F.size(nodes) - 1)), F.lit(False))
+
+
+def way_line(vertices: Column, closed: Column) -> Column:
+    """Geometry of a way from its known vertices in order: repeats go, one vertex is a point, a ring (closed) stays closed, none is null."""
     clean = no_repeats(vertices)
-    closed = (F.size(nodes) > 1) & (F.element_at(nodes, F.when(F.size(nodes) > 0, 1)) == F.element_at(nodes, F.when(F.size(nodes) > 0, -1)))
 
     def build(c: Column) -> Column:
         ends = F.when(F.size(c) > 0, 1)

@@ -23,11 +23,15 @@ def way_vertices(ways: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def way_shapes(ways: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, geom) of ways (id, nodes); null where no node is known."""
-    known = way_vertices(ways, nodes).filter("lon IS NOT NULL AND lat IS NOT NULL")
-    lists = known.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", G.vertex(F.col("lon"), F.col("lat")).alias("p")))).alias("v"))
-    placed = ways.select("id", "nodes").join(lists, "id", "left").withColumn("v", F.transform("v", lambda s: s["p"]))
-    return placed.select("id", F.when(F.col("v").isNotNull(), G.way_line(F.col("v"), F.col("nodes"))).alias("geom"))
+    """(id, geom) of ways (id, nodes); null where no node is known.
+
+    Each reference carries whether its way is a ring, so that the lists of vertices aren't joined to the ways again.
+    """
+    refs = ways.select("id", G.is_ring(F.col("nodes")).alias("closed"), F.posexplode_outer("nodes").alias("pos", "node"))
+    placed = refs.join(nodes.select(F.col("id").alias("node"), "lon", "lat"), "node", "left").withColumn("p", G.vertex(F.col("lon"), F.col("lat")))
+    known = F.when(F.col("p").isNotNull(), F.struct("pos", "p"))
+    lists = placed.groupBy("id").agg(F.sort_array(F.collect_list(known)).alias("v"), F.max("closed").alias("closed"))
+    return lists.select("id", G.way_line(F.transform("v", lambda s: s["p"]), F.col("closed")).alias("geom"))
 
 
 def relation_shapes(relations: DataFrame, node_shapes: DataFrame, way_shapes_: DataFrame) -> DataFrame:
@@ -43,13 +47,18 @@ def relation_shapes(relations: DataFrame, node_shapes: DataFrame, way_shapes_: D
     return relations.select("id").join(gathered.select("id", G.merged_lines("geom").alias("geom")), "id", "left")
 
 
-def base_shapes(nodes: DataFrame, ways: DataFrame, relations: DataFrame) -> DataFrame:
-    """(objtype, id, geom) of the base."""
+def base_shapes(nodes: DataFrame, ways: DataFrame, relations: DataFrame, changes: DataFrame | None = None) -> DataFrame:
+    """(objtype, id, geom) of the base; of its objects in `changes` (objtype, id) only, if they are given, from all that these list."""
+    own = lambda df, t: df if changes is None else df.join(changes.filter(F.col("objtype") == t).select("id"), "id", "left_semi")
     points = nodes.select("id", G.point(F.col("lon"), F.col("lat")).alias("geom"))
+    relations = own(relations, "r")
+    if changes is not None:
+        members = relations.select(F.explode("members").alias("m")).filter("m.type = 'w'").select(F.col("m.ref").alias("id"))
+        ways = ways.join(members.union(changes.filter("objtype = 'w'").select("id")).distinct(), "id", "left_semi")
     lines = way_shapes(ways, nodes)
     areas = relation_shapes(relations, points, lines)
     tag = lambda df, t: df.select(F.lit(t).alias("objtype"), "id", "geom")
-    return tag(points, "n").unionByName(tag(lines, "w")).unionByName(tag(areas, "r"))
+    return tag(own(points, "n"), "n").unionByName(tag(own(lines, "w"), "w")).unionByName(tag(areas, "r"))
 
 
 def change_shapes(nodes: DataFrame, ways: DataFrame, relations: DataFrame, changes: DataFrame) -> DataFrame:
