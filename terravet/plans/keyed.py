@@ -22,6 +22,8 @@ from terravet.operators.ingest import last_of
 
 #: Ids of a bucket, as a power of two.
 BITS = 20
+#: Files of a bucket, as a power of two.
+PARTS = 3
 #: Deltas, share of the rows that they may have, and generations, beyond which compaction is due.
 DELTAS, SHARE, GENERATIONS = 16, 0.1, 8
 
@@ -134,9 +136,9 @@ class KeyedTable:
         return rows.select(*cols, *more)
 
     def _write(self, rows: DataFrame, bits: int) -> dict:
-        """A generation of these rows, each bucket in one file, by id."""
+        """A generation of these rows, each bucket in some files of an id range, by id, so that a task has a part of a bucket only."""
         name = f"rows-{uuid.uuid4().hex}"
-        placed = self._typed(rows).withColumn("bucket", self._bucket(bits)).repartition("bucket").sortWithinPartitions("bucket", "id")
+        placed = self._typed(rows).withColumn("bucket", self._bucket(bits)).repartition(self._bucket(max(bits - PARTS, 0))).sortWithinPartitions("bucket", "id")
         placed.write.partitionBy("bucket").parquet(f"{self.path}/{name}")
         some = any(n.startswith("bucket=") for n in self._names(self._at(name)))
         counted = sorted((r["bucket"], r["count"]) for r in self.spark.read.parquet(f"{self.path}/{name}").groupBy("bucket").count().collect()) if some else []
