@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terravet.plans.tables import Steps
 from terravet.schemas import OBJECT_KEY, VERSION_KEY
 
 
@@ -19,16 +20,26 @@ def accepted_changes(queue: DataFrame, keys: DataFrame) -> DataFrame:
     return first_of(queue.join(keys.select(*VERSION_KEY).distinct(), VERSION_KEY, "left_semi"), OBJECT_KEY, F.col("version"))
 
 
+def _like_base(changes: DataFrame, base: DataFrame) -> DataFrame:
+    return changes.select(*[F.col(c) if c in changes.columns else F.lit(None).cast(base.schema[c].dataType).alias(c) for c in base.columns])
+
+
 def upserted(base: DataFrame, accepted: DataFrame) -> DataFrame:
     """The base (with objtype) with accepted living changes written over it."""
     new = accepted.filter("NOT deleted")
-    return base.join(new.select(*OBJECT_KEY), OBJECT_KEY, "left_anti").unionByName(new.select(*[F.col(c) if c in new.columns else F.lit(None).cast(base.schema[c].dataType).alias(c) for c in base.columns]))
+    return base.join(new.select(*OBJECT_KEY), OBJECT_KEY, "left_anti").unionByName(_like_base(new, base))
 
 
 def without_deleted(base: DataFrame, accepted: DataFrame) -> DataFrame:
     return base.join(accepted.filter("deleted").select(*OBJECT_KEY), OBJECT_KEY, "left_anti")
 
 
+def applied(base: DataFrame, accepted: DataFrame) -> DataFrame:
+    """The base with accepted changes (an object at most once) written over it, without the deleted ones: upserted and without_deleted in one pass over the base."""
+    hit = accepted.filter("deleted IS NOT NULL").select(*OBJECT_KEY)
+    return base.join(hit, OBJECT_KEY, "left_anti").unionByName(_like_base(accepted.filter("NOT deleted"), base))
+
+
 def journaled(journal: DataFrame, accepted: DataFrame) -> DataFrame:
     """The journal with the accepted changes; a version that is there stays as it is."""
     new = first_of(accepted, VERSION_KEY, F.col("version")).join(journal.select(*VERSION_KEY), VERSION_KEY, "left_anti")
@@ -39,10 +50,11 @@ def left_in_queue(queue: DataFrame, accepted: DataFrame) -> DataFrame:
     return queue.join(accepted.select(*VERSION_KEY), VERSION_KEY, "left_anti")
 
 
-def apply_changes(base: DataFrame, queue: DataFrame, journal: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Base, queue and journal after the changes in keys (objtype, id, version, deleted)."""
+def apply_changes(base: DataFrame, queue: DataFrame, journal: DataFrame, keys: DataFrame, steps: Steps | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Base, queue and journal after the changes in keys (objtype, id, version, deleted). steps: where the accepted rows are written, so that they are found once."""
     accepted = accepted_changes(queue, keys)
-    return without_deleted(upserted(base, accepted), accepted), left_in_queue(queue, accepted), journaled(journal, accepted)
+    accepted = steps.keep(accepted) if steps else accepted
+    return applied(base, accepted), left_in_queue(queue, accepted), journaled(journal, accepted)
 
 
 def set_aside(table: DataFrame, path: str) -> str:
@@ -104,8 +116,11 @@ def missing_members(relations: DataFrame, base: DataFrame) -> DataFrame:
 
 
 def difference(expected: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows of one table that the other lacks, counted with their number, and on which side; none if they are equal."""
-    return expected.exceptAll(found).withColumn("side", F.lit("expected")).unionByName(found.exceptAll(expected).withColumn("side", F.lit("found")))
+    """Rows of one table that the other lacks, counted with their number, and on which side; none if they are equal. Each table is read once."""
+    counted = expected.withColumn("__n", F.lit(1)).union(found.withColumn("__n", F.lit(-1)))
+    more = counted.groupBy(*expected.columns).agg(F.sum("__n").alias("__n")).filter("__n <> 0")
+    each = more.withColumn("__i", F.explode(F.sequence(F.lit(1), F.abs("__n").cast("int"))))
+    return each.select(*expected.columns, F.when(F.col("__n") > 0, "expected").otherwise("found").alias("side"))
 
 
 def check_empty(rows: DataFrame, what: str) -> None:
