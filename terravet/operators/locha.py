@@ -24,9 +24,14 @@ POINTS, HALVINGS = 5000, 16
 
 
 def clustering_input(rows: DataFrame, projection: G.Projection) -> DataFrame:
-    """(cc_id, geom): the shapes before and after of each component's changes, together and in the plane; null without any."""
-    shapes = rows.select("cc_id", F.explode(F.array("geom", "b_geom")).alias("g"))
-    parts = shapes.groupBy("cc_id").agg(F.collect_list(projection.geometry(F.col("g"))["parts"]).alias("p"))
+    """(cc_id, geom): the shapes after and before of each component's changes, together and in the plane; null without any.
+
+    They stand in the order of the changes' keys, after before before, since the point on the surface is that of the first of the longest.
+    """
+    shapes = rows.select("cc_id", *OBJECT_KEY, F.posexplode(F.array("geom", "b_geom")).alias("side", "g"))
+    some = F.when(F.col("g").isNotNull(), F.struct(*OBJECT_KEY, "side", projection.geometry(F.col("g"))["parts"].alias("parts")))
+    lists = shapes.groupBy("cc_id").agg(F.sort_array(F.collect_list(some)).alias("l"))
+    parts = lists.select("cc_id", F.transform("l", lambda s: s["parts"]).alias("p"))
     return parts.select("cc_id", F.when(F.size(F.flatten("p")) > 0, G.geometry("collection", F.flatten("p"))).alias("geom"))
 
 
@@ -62,7 +67,7 @@ def cut(points: DataFrame, distance: float, most: int) -> DataFrame:
     """points with tile: clusters of more than `most` points are cut into the coarsest cells that hold no more.
 
     Cells are a part's diameter wide at most, as parts have no larger radius. Where more points than `most` stand in the
-    finest cell, they are dealt by their ids.
+    finest cell, they are dealt by the md5 of their ids, which any engine has.
     """
     sizes = points.groupBy("cluster").agg(F.count(F.lit(1)).alias("__n"))
     counted = points.join(sizes, "cluster")
@@ -74,7 +79,8 @@ def cut(points: DataFrame, distance: float, most: int) -> DataFrame:
     full = tiles.groupBy("cluster", "tile").agg(F.count(F.lit(1)).alias("n"))
     fit = tiles.join(full, ["cluster", "tile"]).filter((F.col("n") <= most) | (F.col("k") == HALVINGS))
     first = fit.groupBy("id").agg(F.min_by(F.struct("tile", "n"), "k").alias("t"))
-    dealt = F.concat_ws(":", "t.tile", F.when(F.col("t.n") > most, F.pmod(F.xxhash64("id"), F.ceil(F.col("t.n") / most))))
+    share = F.conv(F.substring(F.md5(F.col("id").cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
+    dealt = F.concat_ws(":", "t.tile", F.when(F.col("t.n") > most, F.pmod(share, F.ceil(F.col("t.n") / most))))
     return whole.unionByName(large.join(first, "id").withColumn("tile", dealt).select(*points.columns, "tile"))
 
 
