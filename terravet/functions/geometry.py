@@ -36,7 +36,12 @@ def point(lon: Column, lat: Column) -> Column:
 
 def no_repeats(vertices: Column) -> Column:
     """Consecutive equal vertices once."""
-    return F.filter(vertices, lambda p, i: (i == 0) | ~F.get(vertices, F.greatest(i - 1, F.lit(0))).eqNullSafe(p))
+    return bound(vertices, lambda v: F.filter(v, lambda p, i: (i == 0) | ~F.get(v, F.greatest(i - 1, F.lit(0))).eqNullSafe(p)))
+
+
+def bound(c: Column, f) -> Column:
+    """f(c) with c computed once for a row, not again for each element that a lambda of f looks at."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
 def is_ring(nodes: Column) -> Column:
@@ -53,7 +58,7 @@ def way_line(vertices: Column, closed: Column) -> Column:
         shut = F.when(closed & (F.size(c) > 1) & (F.element_at(c, ends) != F.element_at(c, -ends)), F.concat(c, F.slice(c, 1, 1))).otherwise(c)
         return F.when(F.size(c) == 0, F.lit(None)).when(F.size(c) == 1, geometry("point", F.array(c))).otherwise(geometry("line", F.array(shut)))
 
-    return F.get(F.transform(F.array(clean), build), F.lit(0))
+    return bound(clean, build)
 
 
 def vertices(geom: Column) -> Column:
@@ -61,7 +66,7 @@ def vertices(geom: Column) -> Column:
 
 
 def bbox(geom: Column) -> Column:
-    xs, ys = F.transform(vertices(geom), lambda p: p["x"]), F.transform(vertices(geom), lambda p: p["y"])
+    xs, ys = vertices(geom)["x"], vertices(geom)["y"]
     return F.when(
         F.size(vertices(geom)) > 0,
         F.struct(F.array_min(xs).alias("min_x"), F.array_min(ys).alias("min_y"), F.array_max(xs).alias("max_x"), F.array_max(ys).alias("max_y")),
@@ -484,6 +489,23 @@ def merged_lines(geoms: pa.Array) -> pa.Array:
     return pa.concat_arrays([plain, pa.array(done, ARROW_GEOMETRY)]).take(pa.array(take))
 
 
+def ends_shared(geom: Column) -> Column:
+    """Whether two ends of a geometry's open lines are one vertex, by hashes; so that is never missed, and false never but by a clash."""
+    end = lambda p, i: F.xxhash64(F.element_at(p, i)["x"] + F.lit(0.0), F.element_at(p, i)["y"] + F.lit(0.0))
+    lines = F.filter(geom["parts"], lambda p: (F.size(p) > 1) & (F.element_at(p, 1) != F.element_at(p, -1)))
+    ends = F.flatten(F.transform(lines, lambda p: F.array(end(p, 1), end(p, -1))))
+    return bound(ends, lambda e: F.size(F.array_distinct(e)) < F.size(e))
+
+
+def merged(geom: Column) -> Column:
+    """merged_lines; only geometries in which lines meet go to Python, the parts of others are put in order where they are."""
+    meet = F.coalesce(ends_shared(geom), F.lit(False))
+    parts = F.concat(F.filter(geom["parts"], lambda p: F.size(p) > 1), F.filter(geom["parts"], lambda p: F.size(p) == 1))
+    kind = lambda p: F.when(F.size(p) != 1, "collection").when(F.size(F.get(p, F.lit(0))) == 1, "point").otherwise("line")
+    plain = F.when(geom.isNotNull(), bound(parts, lambda p: geometry(kind(p), p)))
+    return F.when(meet, merged_lines(F.when(meet, geom))).otherwise(plain)
+
+
 def overlapping(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Pairs (i, j) of boxes that meet."""
     found = list(overlapping_blocks(low, high))

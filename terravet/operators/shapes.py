@@ -31,7 +31,7 @@ def way_shapes(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     placed = refs.join(nodes.select(F.col("id").alias("node"), "lon", "lat"), "node", "left").withColumn("p", G.vertex(F.col("lon"), F.col("lat")))
     known = F.when(F.col("p").isNotNull(), F.struct("pos", "p"))
     lists = placed.groupBy("id").agg(F.sort_array(F.collect_list(known)).alias("v"), F.max("closed").alias("closed"))
-    return lists.select("id", G.way_line(F.transform("v", lambda s: s["p"]), F.col("closed")).alias("geom"))
+    return lists.select("id", G.way_line(F.col("v.p"), F.col("closed")).alias("geom"))
 
 
 def relation_shapes(relations: DataFrame, node_shapes: DataFrame, way_shapes_: DataFrame) -> DataFrame:
@@ -43,8 +43,8 @@ def relation_shapes(relations: DataFrame, node_shapes: DataFrame, way_shapes_: D
     shapes = node_shapes.select(F.lit("n").alias("type"), F.col("id").alias("ref"), "geom").unionByName(way_shapes_.select(F.lit("w").alias("type"), F.col("id").alias("ref"), "geom"))
     found = members.join(shapes, ["type", "ref"]).filter("geom IS NOT NULL")
     lists = found.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", F.col("geom.parts").alias("parts")))).alias("g"))
-    gathered = lists.select("id", G.geometry("collection", F.flatten(F.transform("g", lambda s: s["parts"]))).alias("geom"))
-    return relations.select("id").join(gathered.select("id", G.merged_lines("geom").alias("geom")), "id", "left")
+    gathered = lists.select("id", G.geometry("collection", F.flatten("g.parts")).alias("geom"))
+    return relations.select("id").join(gathered.select("id", G.merged(F.col("geom")).alias("geom")), "id", "left")
 
 
 def base_shapes(nodes: DataFrame, ways: DataFrame, relations: DataFrame, changes: DataFrame | None = None) -> DataFrame:

@@ -87,7 +87,7 @@ class Geometries:
 
         def written(table: KeyedTable, t: str, objects: DataFrame, made) -> int:
             own = hit.filter(F.col("objtype") == t).select("id")
-            there = objects.join(own, "id", "left_semi")
+            there = steps.keep(objects.join(own, "id", "left_semi"))  # the whole table is read once
             rows = own.join(made(there), "id", "left").join(there.select("id", F.lit(False).alias("gone")), "id", "left")
             n = table.change(rows.withColumn("gone", F.coalesce("gone", F.lit(True))), now)
             if table.due():
