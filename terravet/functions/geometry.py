@@ -410,32 +410,37 @@ def point_on_surface(geoms: pa.Array) -> pa.Array:
     return pa.array([None if f is None else {"x": f[0], "y": f[1]} for f in found], ARROW_POINT)
 
 
-def merge_lines(parts: list[list[tuple[float, float]]]) -> list[list[tuple[float, float]]]:
-    """Lines stitched together at ends that exactly two of them share."""
-    lines = [list(p) for p in parts if len(p) > 1]
-    ends: dict[tuple[float, float], list[int]] = {}
-    for i, p in enumerate(lines):
-        if p[0] != p[-1]:
-            for v in (p[0], p[-1]):
-                ends.setdefault(v, []).append(i)
-    join = {v: ids for v, ids in ends.items() if len(ids) == 2 and ids[0] != ids[1]}
+def merge_order(ends: list[tuple]) -> list[list[tuple[int, bool]]]:
+    """Lines by their (first, last) vertices, stitched at ends that exactly two of them share: lists of lines, each with whether it runs forward."""
+    at: dict[tuple, list[int]] = {}
+    for i, (a, b) in enumerate(ends):
+        if a != b:
+            for v in (a, b):
+                at.setdefault(v, []).append(i)
+    join = {v: ids for v, ids in at.items() if len(ids) == 2 and ids[0] != ids[1]}
+    turned = lambda chain: [(j, not forward) for j, forward in reversed(chain)]
     out, used = [], set()
-
-    def walk(i: int) -> None:
+    for i in range(len(ends)):
+        if i in used:
+            continue
         used.add(i)
-        line = lines[i]
+        chain = [(i, True)]
         for turn in (False, True):
             if turn:
-                line.reverse()
-            while (ids := join.get(line[-1])) and (j := next((k for k in ids if k not in used), None)) is not None:
+                chain = turned(chain)
+            while (ids := join.get(last := ends[chain[-1][0]][chain[-1][1]])) and (j := next((k for k in ids if k not in used), None)) is not None:
                 used.add(j)
-                other = lines[j] if lines[j][0] == line[-1] else lines[j][::-1]
-                line.extend(other[1:])
-        out.append(line[::-1])
+                chain.append((j, ends[j][0] == last))
+        out.append(turned(chain))
+    return out
 
-    for i in range(len(lines)):
-        if i not in used:
-            walk(i)
+
+def merge_lines(parts: list[list[tuple[float, float]]]) -> list[list[tuple[float, float]]]:
+    """Lines stitched together at ends that exactly two of them share."""
+    lines, out = [list(p) for p in parts if len(p) > 1], []
+    for chain in merge_order([(p[0], p[-1]) for p in lines]):
+        run = [lines[j] if forward else lines[j][::-1] for j, forward in chain]
+        out.append([v for k, line in enumerate(run) for v in line[k > 0 :]])
     return out
 
 
@@ -479,14 +484,31 @@ def merged_lines(geoms: pa.Array) -> pa.Array:
     rows = np.flatnonzero(walked)
     if not len(rows):
         return plain
-    done = []
-    for geom in geoms.take(pa.array(rows)).to_pylist():
-        given = [[(v["x"], v["y"]) for v in p] for p in geom["parts"]]
-        new = merge_lines(given) + [p for p in given if len(p) == 1]
-        done.append({"kind": "point" if len(new) == 1 and len(new[0]) == 1 else "line" if len(new) == 1 else "collection", "parts": [[{"x": x, "y": y} for x, y in line] for line in new]})
+    # Only ends are looked at in Python; the vertices are taken by their numbers.
+    tuples = lambda v: list(map(tuple, v.tolist()))
+    first_at, last_at = np.searchsorted(g, rows), np.searchsorted(g, rows, "right")
+    pieces, in_part, in_row = [], [], []
+    for row, i, j in zip(rows.tolist(), first_at.tolist(), last_at.tolist()):
+        chains = merge_order(list(zip(tuples(a[i:j]), tuples(b[i:j]))))
+        for chain in chains:
+            pieces += [(int(p[i + k]), forward, m > 0) for m, (k, forward) in enumerate(chain)]
+            in_part.append(len(chain))
+        alone = [k for k in range(first[row], first[row + 1]) if size[k] == 1]
+        pieces += [(k, True, False) for k in alone]
+        in_part += [1] * len(alone)
+        in_row.append(len(chains) + len(alone))
+    line, forward, skip = (np.array(c, np.int64) for c in zip(*pieces))
+    length = size[line] - skip
+    begin = np.where(forward == 1, at[line] + skip, at[line + 1] - 1 - skip)
+    vertex_ = np.repeat(begin, length) + np.repeat(np.where(forward == 1, 1, -1), length) * (np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length))
+    ends_of = lambda counts: np.concatenate([[0], np.cumsum(counts)])
+    listed = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
+    new = listed(ends_of(in_row), listed(ends_of(length)[ends_of(in_part)], lines.values.take(pa.array(vertex_, pa.int64()))))
+    kind = ["line" if k == 1 else "collection" for k in in_row]  # two lines at least met
+    done = pa.StructArray.from_arrays([pa.array(kind, pa.string()), new], ["kind", "parts"]).cast(ARROW_GEOMETRY)
     take = np.arange(n)
     take[rows] = n + np.arange(len(rows))
-    return pa.concat_arrays([plain, pa.array(done, ARROW_GEOMETRY)]).take(pa.array(take))
+    return pa.concat_arrays([plain, done]).take(pa.array(take))
 
 
 def ends_shared(geom: Column) -> Column:

@@ -36,3 +36,9 @@ def test_a_long_way_costs_its_length(spark):
     start = time.monotonic()
     geom = df.select(G.way_line(F.transform("v", lambda p: p), F.lit(False)).alias("geom")).select(F.size(G.vertices(F.col("geom"))).alias("n"), G.bbox(F.col("geom")).alias("b")).first()
     assert geom["n"] == n // 2 and math.isclose(geom["b"]["max_x"], n // 2 - 1) and time.monotonic() - start < 20
+
+
+def test_lines_are_put_in_order_by_their_ends():
+    assert G.merge_order([("a", "b"), ("c", "b"), ("c", "d"), ("e", "e")]) == [[(0, True), (1, False), (2, True)], [(3, True)]]
+    assert G.merge_order([("a", "b"), ("c", "a")]) == [[(1, True), (0, True)]] and G.merge_order([]) == []
+    assert G.merge_order([("a", "b"), ("a", "c"), ("a", "d")]) == [[(0, True)], [(1, True)], [(2, True)]]
