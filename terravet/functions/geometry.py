@@ -35,8 +35,14 @@ def point(lon: Column, lat: Column) -> Column:
 
 
 def no_repeats(vertices: Column) -> Column:
-    """Consecutive equal vertices once."""
-    return bound(vertices, lambda v: F.filter(v, lambda p, i: (i == 0) | ~F.get(v, F.greatest(i - 1, F.lit(0))).eqNullSafe(p)))
+    """Consecutive equal vertices once.
+
+    No lambda refers to another's variable: Spark doesn't hand such an expression to a Python function, but fails.
+    """
+    before = lambda v: F.concat(F.array(F.lit(None)), F.transform(F.slice(v, 1, F.greatest(F.size(v) - 1, F.lit(0))), lambda p: F.struct(p.alias("p"))))
+    paired = lambda v: F.zip_with(v, before(v), lambda p, b: F.struct(p.alias("p"), (b.isNull() | ~b["p"].eqNullSafe(p)).alias("new")))
+    # An empty list is paired with one null before it.
+    return bound(vertices, lambda v: F.when(F.size(v) == 0, v).otherwise(F.transform(F.filter(paired(v), lambda s: s["new"]), lambda s: s["p"])))
 
 
 def bound(c: Column, f) -> Column:
