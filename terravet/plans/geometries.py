@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from terravet.functions import geometry as G
 from terravet.operators import shapes
 from terravet.plans.keyed import KeyedTable
-from terravet.plans.tables import Steps
+from terravet.plans.tables import Steps, unsent
 from terravet.schemas import GEOMETRY
 
 SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("geom", GEOMETRY)])
@@ -33,10 +33,8 @@ def of_ways(ways: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def of_relations(relations: DataFrame, nodes: DataFrame, lines: DataFrame) -> DataFrame:
-    """(id, geom) of some relations, which take only the nodes and way geometries that they list."""
-    members = relations.select(F.explode("members").alias("m")).select("m.type", F.col("m.ref").alias("id")).distinct()
-    listed = lambda t: members.filter(F.col("type") == t).select("id")
-    return shapes.relation_shapes(relations, points(nodes.join(listed("n"), "id", "left_semi")), lines.join(listed("w"), "id", "left_semi"))
+    """(id, geom) of some relations, which take only the nodes and way geometries that they list: by one join with these."""
+    return shapes.relation_shapes(relations, points(nodes), lines)
 
 
 @dataclass
@@ -63,10 +61,10 @@ class Geometries:
         return all((m := t.manifest()) is not None and m.notes == now for t in (self.lines, self.areas))
 
     def build(self) -> None:
-        """Both tables from nothing."""
+        """Both tables from nothing. All meet all, by sorting joins, so that no table is gathered on the driver."""
         now, nodes = self.state(), self.nodes.read()
-        self.lines.replace(shapes.way_shapes(self.ways.read(), nodes), now)
-        self.areas.replace(of_relations(self.relations.read(), nodes, self.lines.read()), now)
+        self.lines.replace(shapes.way_shapes(self.ways.read(), nodes.hint("merge")), now)
+        self.areas.replace(of_relations(self.relations.read().hint("merge"), nodes, self.lines.read()), now)
 
     def current(self) -> Geometries:
         if not self.fresh():
@@ -75,24 +73,25 @@ class Geometries:
 
     def moved(self, changed: DataFrame) -> DataFrame:
         """(objtype, id) of changes (a deleted flag, and the columns of the base) that can move a geometry: before they are applied."""
-        old = self.nodes.read().select("id", F.col("lon").alias("b_lon"), F.col("lat").alias("b_lat"))
+        old = self.nodes.read().select("id", F.col("lon").alias("b_lon"), F.col("lat").alias("b_lat")).hint("merge")
         nodes = changed.filter("objtype = 'n'").join(old, "id", "left").filter("deleted OR NOT (lon <=> b_lon AND lat <=> b_lat)").select("objtype", "id")
         return nodes.unionByName(changed.filter("objtype <> 'n'").select("objtype", "id"))
 
     def refresh(self, moved: DataFrame, steps: Steps) -> tuple[int, int]:
         """Compute again what hangs on `moved` (a small table, saved before the base changed), once it is applied; how many ways and relations that were."""
+        moved = unsent(moved)
         ids = lambda t: moved.filter(F.col("objtype") == t).select("id")
         now, nodes, ways, relations = self.state(), self.nodes.read(), self.ways.read(), self.relations.read()
-        hit = steps.keep(shapes.dirty(ways, relations, ids("n"), ids("w"), ids("r")))
+        hit = unsent(steps.keep(shapes.dirty(ways, relations, ids("n"), ids("w"), ids("r"))))
 
-        def written(table: KeyedTable, t: str, objects: DataFrame, made) -> int:
+        def written(table: KeyedTable, t: str, objects: DataFrame, listed: str, made) -> int:
             own = hit.filter(F.col("objtype") == t).select("id")
-            there = steps.keep(objects.join(own, "id", "left_semi"))  # the whole table is read once
+            there = unsent(steps.keep(objects.join(own, "id", "left_semi")), F.size(listed))  # the whole table is read once
             rows = own.join(made(there), "id", "left").join(there.select("id", F.lit(False).alias("gone")), "id", "left")
             n = table.change(rows.withColumn("gone", F.coalesce("gone", F.lit(True))), now)
             if table.due():
                 table.compact()
             return n
 
-        n_ways = written(self.lines, "w", ways, lambda some: of_ways(some, nodes))
-        return n_ways, written(self.areas, "r", relations, lambda some: of_relations(some, nodes, self.lines.read()))
+        n_ways = written(self.lines, "w", ways, "nodes", lambda some: of_ways(some, nodes))
+        return n_ways, written(self.areas, "r", relations, "members", lambda some: of_relations(some, nodes, self.lines.read()))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terravet.operators.ingest import last_of
+from terravet.plans.tables import unsent
 
 #: Ids of a bucket, as a power of two.
 BITS = 20
@@ -126,7 +127,8 @@ class KeyedTable:
     def _merged(self, m: Manifest) -> DataFrame:
         """The rows of the buckets that deltas touch."""
         last = self._last(m)
-        kept = self._generations(m, m.touched(), []).join(last.select("id"), "id", "left_anti")
+        ids = unsent(last.select("id"), rows=sum(d["rows"] for d in m.deltas))
+        kept = self._generations(m, m.touched(), []).join(ids, "id", "left_anti")
         return kept.unionByName(last.filter("NOT gone").select(*self.schema.names))
 
     # --- writing
