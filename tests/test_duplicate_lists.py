@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from terravet.functions.tags import Rule, Rules
 from terravet.operators import duplicates
 from tests.test_duplicate_places import ROW, close, rows
 
@@ -30,3 +31,18 @@ def test_pairs_are_not_shuffled(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     above = plan[: plan.index("Join")]
     assert "Aggregate" not in above and "Sort" not in re.sub("sort_array", "", above)
+
+
+def test_what_an_object_had_goes_with_it(spark):
+    """The names are made last: above them stands no join and no aggregation, whose shuffle would carry them."""
+    rules = Rules((Rule.of("[a]", duplicate_distance=2.0),))
+    kind = "objtype string, id long, tags map<string,string>, x double, y double"
+    base = spark.createDataFrame([("n", i, {"a": "1"}, x, 0.0) for i, x in ((1, 0.0), (2, 1.0), (3, 2.5), (9, 50.0))], kind)
+    moved = [("n", 1, {"a": "1"}, 0.5, 0.0), ("n", 3, {"a": "1"}, 30.0, 0.0), ("n", 7, {"a": "1"}, 1.0, 1.0), ("n", 8, {"b": "1"}, 1.0, 1.0)]
+    changes = spark.createDataFrame(moved, kind).withColumns({"locha_id": F.lit(4), "deleted": F.lit(False)})
+    got = {strict: duplicates.duplicates(base, changes, rules, strict) for strict in (False, True)}
+    told = {strict: {r["id"]: r["duplicates"] for r in df.collect()} for strict, df in got.items()}
+    assert told == {False: {7: ["n1", "n2"], 1: ["n1"]}, True: {7: ["n1", "n2"], 1: ["n2", "n7"]}}
+    plan = got[True]._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Generate explode(own")]
+    assert "Join" not in above and "Aggregate" not in above
